@@ -59,13 +59,177 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import describe_documents
+
+    return describe_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def file_path() -> Column:
+    """Path of a document in a tree of sources, languages and folders of 100 files."""
+    folder = F.expr("doc_id DIV 100").cast("string")
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import detect, inherit
+
+    docs = table(spark, sf_dir, "documents")
+    return inherit(docs.select("doc_id", file_path().alias("path")), detect(docs.select("doc_id", "text")))
+
+
+# target weights of the mixture; parameters of the query
+DOMAINS = {"web": ([f"src{i}" for i in range(10)], 50), "books": ([f"src{i}" for i in range(10, 15)], 25), "code": ([f"src{i}" for i in range(15, 20)], 20)}
+OTHER_DOMAIN = ("other", 5)
+LANGUAGES = {"en": 60, "de": 15, "fr": 15, "es": 10}
+OTHER_LANGUAGE = 5
+MAX_EPOCHS = 2
+
+
+def domain_of() -> Column:
+    out = F.lit(OTHER_DOMAIN[0])
+    for name, (sources, _) in DOMAINS.items():
+        out = F.when(F.col("source").isin(sources), name).otherwise(out)
+    return out
+
+
+def mixture_weights() -> dict[str, Column]:
+    domain, lang = F.lit(OTHER_DOMAIN[1]), F.lit(OTHER_LANGUAGE)
+    for name, (_, w) in DOMAINS.items():
+        domain = F.when(F.col("domain") == name, w).otherwise(domain)
+    for name, w in LANGUAGES.items():
+        lang = F.when(F.col("lang") == name, w).otherwise(lang)
+    return {"domain": domain, "lang": lang, "source": F.lit(1)}
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, word_count
+    from .store import materialise
+
+    docs = table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", domain_of().alias("domain"), "lang", "source", word_count(F.col("text")).alias("n_tokens"))
+    return mix(materialise(slim, "tokens"), ["domain", "lang", "source"], mixture_weights(), max_epochs=MAX_EPOCHS)
+
+
+def mixing_sql() -> str:
+    """DuckDB twin of op9: the same closed form of the budgets and the same order."""
+    when = " ".join(f"WHEN source IN ({', '.join(repr(x) for x in src)}) THEN '{n}'" for n, (src, _) in DOMAINS.items())
+    wd = " ".join(f"WHEN l0 = '{n}' THEN {w}" for n, (_, w) in DOMAINS.items())
+    wl = " ".join(f"WHEN l1 = '{n}' THEN {w}" for n, w in LANGUAGES.items())
+    ctes = [
+        f"""d AS (SELECT doc_id, CASE {when} ELSE '{OTHER_DOMAIN[0]}' END AS domain, lang, source,
+            CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+')) AS BIGINT) AS n_tokens FROM documents)""",
+        "b AS (SELECT *, domain AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM d)",
+        f"""c0 AS (SELECT *, CASE {wd} ELSE {OTHER_DOMAIN[1]} END AS w0, CASE {wl} ELSE {OTHER_LANGUAGE} END AS w1, 1 AS w2,
+            tokens * {MAX_EPOCHS} AS cap, CAST(sum(tokens) OVER () AS HUGEINT) AS b0
+            FROM (SELECT l0, l1, l2, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM b GROUP BY ALL))""",
+    ]
+    for i in range(3):
+        path = ", ".join(f"l{k}" for k in range(i + 1))
+        up = "PARTITION BY " + ", ".join(f"l{k}" for k in range(i)) if i else ""
+        order = f"ORDER BY CAST(c AS DOUBLE) / CAST(w AS DOUBLE), {path}"
+        ctes += [
+            f"n{i} AS (SELECT {path}, CAST(sum(cap) AS HUGEINT) AS c, first(w{i}) AS w, first(b{i}) AS b FROM c{i} GROUP BY {path})",
+            f"""m{i} AS (SELECT *, b - coalesce(sum(c) OVER ({up} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remain,
+                sum(w) OVER ({up} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM n{i})""",
+            f"f{i} AS (SELECT *, min(CASE WHEN c * ws <= greatest(remain, 0) * w THEN 1 ELSE 0 END) OVER ({up} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS whole FROM m{i})",
+            f"""g{i} AS (SELECT *, sum(CASE WHEN whole = 1 THEN c ELSE 0 END) OVER ({up}) AS used,
+                sum(CASE WHEN whole = 0 THEN w ELSE 0 END) OVER ({up}) AS open FROM f{i})""",
+            f"""c{i + 1} AS (SELECT c{i}.*, CASE WHEN whole = 1 THEN c ELSE CAST(greatest(b - used, 0) AS HUGEINT) * w // open END AS b{i + 1}
+                FROM c{i} JOIN g{i} USING ({path}))""",
+        ]
+    ctes += [
+        """p AS (SELECT l0, l1, l2, CASE WHEN tokens > 0 THEN b3 // tokens ELSE 0 END AS whole,
+            CASE WHEN tokens > 0 THEN b3 % tokens ELSE 0 END AS rest FROM c3)""",
+        "h AS (SELECT b.*, whole, rest, md5('9:' || CAST(CAST(whole AS BIGINT) AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM b JOIN p USING (l0, l1, l2))",
+        "r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r"
+
+
+def license_sql(threshold: float = 0.6) -> str:
+    """DuckDB twin of op6."""
+    from .licenses import TEMPLATES, TRIGGER
+
+    values = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(TEMPLATES))
+    n = len(TEMPLATES)
+    token = "[a-z0-9.]*[a-z0-9]"
+    return f"""
+    WITH t AS (SELECT * FROM (VALUES {values}) v(template, license, x)),
+    ttf AS (SELECT template, license, word, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(x), '{token}')) AS word FROM t) GROUP BY ALL),
+    tdf AS (SELECT word, ln(({n} + 1.0::DOUBLE) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM ttf GROUP BY word),
+    v AS (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY template)) AS norm FROM (SELECT template, license, word, idf, tf * idf AS weight FROM ttf JOIN tdf USING (word))),
+    l AS (SELECT doc_id, line, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+          WHERE regexp_matches(text, '{TRIGGER}')) WHERE regexp_matches(s, '{TRIGGER}')),
+    tf AS (SELECT doc_id, line, word, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '{token}')) AS word FROM l) GROUP BY ALL),
+    w AS (SELECT doc_id, line, word, tf * coalesce(idf, ln(1.0::DOUBLE + {n}) + 1) AS w FROM tf LEFT JOIN tdf USING (word)),
+    norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS lnorm FROM w GROUP BY ALL),
+    dots AS (SELECT doc_id, line, template, license, norm, sum(w * weight) AS dot FROM w JOIN v USING (word) GROUP BY ALL),
+    scored AS (SELECT doc_id, line, license, round(dot / (norm * lnorm), 6) AS score FROM dots JOIN norms USING (doc_id, line)),
+    best AS (SELECT doc_id, license, score FROM scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) = 1),
+    f AS (SELECT doc_id, coalesce(source, 'none') AS a, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS b,
+          coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir FROM documents),
+    own AS (SELECT doc_id, dir, a, b, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license AS own, score AS s FROM f LEFT JOIN best USING (doc_id)),
+    holder AS (SELECT dir, own AS up, s AS us FROM own WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1)
+    SELECT doc_id, path, coalesce(own, up) AS license, coalesce(s, us) AS score, CASE WHEN own IS NOT NULL THEN path WHEN up IS NOT NULL THEN dir END AS from_path
+    FROM own LEFT JOIN holder USING (dir)
+    """
+
+
+def line_dedup_sql(min_chars: int = 20) -> str:
+    """DuckDB twin of op2: stretches of 1, 2, 4, ... lines named by their digests."""
+    ctes = [
+        "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents WHERE text IS NOT NULL)",
+        "p0 AS (SELECT doc_id, line, md5(s) AS r, CAST(length(s) AS BIGINT) AS chars FROM l)",
+        "q0 AS (SELECT *, min(struct_pack(a := doc_id, b := line)) OVER (PARTITION BY r) AS first, count(*) OVER (PARTITION BY r) AS n FROM p0)",
+    ]
+    for j in range(16):
+        ctes += [
+            f"s{j} AS MATERIALIZED (SELECT * FROM q{j} WHERE n > 1)",
+            f"p{j + 1} AS (SELECT x.doc_id, x.line, md5(x.r || y.r) AS r, x.chars + y.chars AS chars FROM s{j} x JOIN s{j} y ON x.doc_id = y.doc_id AND y.line = x.line + {1 << j})",
+            f"q{j + 1} AS (SELECT *, min(struct_pack(a := doc_id, b := line)) OVER (PARTITION BY r) AS first, count(*) OVER (PARTITION BY r) AS n FROM p{j + 1})",
+        ]
+    copies = " UNION ALL ".join(f"SELECT doc_id, line, line + {1 << j} AS stop FROM s{j} WHERE first < struct_pack(a := doc_id, b := line) AND chars >= {min_chars}" for j in range(16))
+    return f"""
+    WITH {", ".join(ctes)}, c AS (SELECT doc_id, line, max(stop) AS stop FROM ({copies} UNION ALL SELECT doc_id, line, NULL FROM s0) GROUP BY ALL),
+    g AS (SELECT doc_id, line FROM (SELECT doc_id, line, max(stop) OVER (PARTITION BY doc_id ORDER BY line) AS reach FROM c) WHERE reach > line),
+    o AS (SELECT x.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, string_agg(raw, chr(10) ORDER BY x.line) FILTER (WHERE g.line IS NULL) AS kept
+          FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.line = x.line GROUP BY x.doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text FROM documents d LEFT JOIN o USING (doc_id)
+    """
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract, fit_tree, training_table
+
+    tree = fit_tree(training_table(spark))
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), tree)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
+        "op3_media_chunks": op3_media_chunks,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_license_scan": op6_license_scan,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
+        "op9_source_mixing": op9_source_mixing,
+        "op10_main_text": op10_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": line_dedup_sql(),
+        "op6_license_scan": license_sql(),
+        "op9_source_mixing": mixing_sql(),
+    }

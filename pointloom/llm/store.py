@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -56,3 +57,13 @@ def evenly(df: DataFrame) -> DataFrame:
     straight from exchanges; an aggregate on the same key would forbid it.
     """
     return df.hint("rebalance")
+
+
+def small(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
+    """Materialise a table expected to be small; broadcast it only if it is.
+
+    The rows are counted after writing.  Beyond ``max_rows`` the joins that
+    follow are ordinary ones, with a plain exchange that can be split.
+    """
+    out = materialise(df, name)
+    return F.broadcast(out) if out.count() <= max_rows else evenly(out)
