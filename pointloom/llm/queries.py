@@ -59,6 +59,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -85,6 +91,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inherit(docs.select("doc_id", file_path().alias("path")), detect(docs.select("doc_id", "text")))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # target weights of the mixture; parameters of the query
 DOMAINS = {"web": ([f"src{i}" for i in range(10)], 50), "books": ([f"src{i}" for i in range(10, 15)], 25), "code": ([f"src{i}" for i in range(15, 20)], 20)}
 OTHER_DOMAIN = ("other", 5)
@@ -216,8 +228,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_media_chunks": op3_media_chunks,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_license_scan": op6_license_scan,
         "op7_toxicity": op7_toxicity,
