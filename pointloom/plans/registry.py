@@ -1,9 +1,650 @@
-"""Registered queries of the point-cloud library."""
+"""Registered queries of the point-cloud library and their DuckDB twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import math
+from collections.abc import Callable
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import vectors
+from ..functions.classes import CLASSES, classes
+from ..functions.shared import shared_dir, written
+from ..operators import blocks as B
+from ..operators import geometry, graph, knn, learn, metrics, orient, runlog, splits
+from ..sources import clouds, tables
+from ..streaming import clouds as streams
+from . import fixtures as fx
+
+SIZE, K, RADIUS, VOXEL = 64, 20, 600, 1000
+ROOM = ["area", "room"]
+MM = ("xi", "yi", "zi")
+TRAIN, TEST = ["Area_1", "Area_2", "Area_3", "Area_4", "Area_6"], "Area_5"
+CONFIG = {"batch_size": 4, "block_size": 8192, "num_features": 9, "num_classes": 13, "learning_rate": 0.001}
+
+
+def _p(spark: SparkSession, d: str) -> DataFrame:
+    return fx.points(spark, d)
+
+
+def _indexed(spark, d):
+    return clouds.dense_index(_p(spark, d), ROOM, ["pid"])
+
+
+def _blocks(spark, d):
+    return B.assign(_indexed(spark, d), ROOM, SIZE)
+
+
+def _block_table(spark, d):
+    """One row per block with its global number."""
+    rooms = B.room_blocks(_p(spark, d), ROOM, SIZE)
+    return rooms.select(*ROOM, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block_no"), "first_block", "n_points").select(
+        (F.col("first_block") + F.col("block_no")).alias("block_id"), *ROOM, "block_no", F.least(F.lit(SIZE), F.col("n_points") - F.col("block_no") * SIZE).alias("num_valid")
+    )
+
+
+def _radius_edges(spark, d, k=K, include_self=True):
+    p = _p(spark, d)
+    return knn.radius_knn(p, p, k, RADIUS, ROOM, coords=MM, include_self=include_self), p
+
+
+def _round(df: DataFrame, columns: list[str], n: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) + 0.0 for c in columns})
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Mean curvature over 20 neighbours per area and label."""
+    p = _p(spark, d)
+    curved = geometry.with_curvature(geometry.covariance(knn.scope_knn(p, K, ROOM, coords=MM), p))
+    both = curved.withColumnRenamed("src", "pid").join(p, "pid")
+    return both.groupBy("area", "y_label").agg(F.round(F.avg("curvature"), 6).alias("curvature"), F.count("*").alias("n"))
+
+
+# --- scans and gates -------------------------------------------------------------------------------------------------
+
+
+def _parsed(spark, d):
+    return clouds.parse(fx.cloud_text(spark, d))
+
+
+def parse_points_text(spark, d):
+    return _parsed(spark, d).where("ok").select("file_path", "line_no", "x", "y", "z", *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
+
+
+def file_shape_gate(spark, d):
+    good, _ = clouds.gate_files(_parsed(spark, d))
+    return good.groupBy("file_path").agg(F.count("*").alias("n_lines"))
+
+
+def file_quarantine(spark, d):
+    return clouds.file_report(_parsed(spark, d)).where("NOT ok").select("file_path", "n_lines", "n_bad")
+
+
+def path_columns(spark, d):
+    return clouds.with_path_columns(fx.cloud_text(spark, d)).groupBy("file_path", *ROOM, "class_name").agg(F.count("*").alias("n"))
+
+
+def label_lookup(spark, d):
+    return clouds.with_labels(clouds.with_path_columns(fx.cloud_text(spark, d))).select("file_path", "line_no", "label")
+
+
+def palette_lookup(spark, d):
+    c = classes(spark).select(F.col("class_id").alias("pred"), "class_name", "cr", "cg", "cb", "hex")
+    return _p(spark, d).select("pid", "pred").join(F.broadcast(c), "pred")
+
+
+def dense_point_index(spark, d):
+    lines = clouds.with_path_columns(fx.cloud_text(spark, d))
+    return clouds.dense_index(lines, ROOM, ["file_path", "line_no"]).select(*ROOM, "file_path", "line_no", "point_idx")
+
+
+def dense_point_index_ranged(spark, d):
+    lines = clouds.with_path_columns(fx.cloud_text(spark, d))
+    return clouds.dense_index_ranged(lines, ROOM, ["file_path", "line_no"]).select(*ROOM, "file_path", "line_no", "point_idx")
+
+
+# --- blocks and splits -----------------------------------------------------------------------------------------------
+
+
+def block_assign(spark, d):
+    return _blocks(spark, d).select("pid", "point_idx", "block_no", "offset", "start_idx", "end_idx")
+
+
+def block_name(spark, d):
+    return _block_table(spark, d).select("block_id", B.block_name(F.col("block_id"), F.col("area")).alias("name"), B.range_name(F.col("block_no") * SIZE, F.col("block_no") * SIZE + F.col("num_valid")).alias("range_name"))
+
+
+def blocks_per_room(spark, d):
+    return B.room_blocks(_p(spark, d), ROOM, SIZE).select(*ROOM, "n_points", "n_blocks")
+
+
+def block_counter(spark, d):
+    return B.room_blocks(_p(spark, d), ROOM, SIZE).select(*ROOM, "first_block")
+
+
+def block_pad_long(spark, d):
+    return B.pad_long(_blocks(spark, d), [*ROOM, "block_no"], SIZE, ["r", "g", "b"], ["xi", "yi", "zi"], "y_label")
+
+
+def _nested(spark, d):
+    return B.nest(_blocks(spark, d), [*ROOM, "block_no"], SIZE, ["r", "g", "b"], ["x", "y", "z"], "y_label")
+
+
+def block_nested(spark, d):
+    return _nested(spark, d)
+
+
+def block_roundtrip(spark, d):
+    good, _ = B.check_blocks(_nested(spark, d), SIZE)
+    return B.unnest(good).select(*ROOM, "block_no", "offset", F.col("point.y").alias("y_label"), F.col("point.x")[0].cast("int").alias("r"))
+
+
+def block_mask(spark, d):
+    bits = F.array_join(F.transform(B.mask(F.col("num_valid"), SIZE), lambda v: F.when(v, "1").otherwise("0")), "")
+    return _block_table(spark, d).select("block_id", "num_valid", bits.alias("mask"))
+
+
+def route_by_area(spark, d):
+    return _block_table(spark, d).select("block_id", "area", splits.route(F.col("area"), TRAIN[:4], TEST).alias("part"))
+
+
+def split_exact_md5(spark, d):
+    return splits.split_exact(_block_table(spark, d).select("block_id"), "block_id")
+
+
+def split_approx(spark, d):
+    return splits.split_approx(_block_table(spark, d).select("block_id"), "block_id")
+
+
+def batch_assign(spark, d):
+    return splits.batches(_block_table(spark, d).select("block_id"), "block_id", 4, epoch=1)
+
+
+def batch_validity(spark, d):
+    b = splits.batches(_block_table(spark, d).select("block_id", "num_valid"), "block_id", 4, epoch=1)
+    return splits.batch_validity(b.withColumn("valid", F.col("num_valid") == SIZE))
+
+
+def error_rate(spark, d):
+    parsed = clouds.with_path_columns(_parsed(spark, d))
+    return splits.error_rate(parsed, ~F.col("ok"), ROOM, 0.01)
+
+
+# --- neighbours and geometry -----------------------------------------------------------------------------------------
+
+
+def _edges_out(e):
+    return e.select("src", "dst", F.col("d2").cast("long").alias("d2"), "rn")
+
+
+def knn20_self(spark, d):
+    p = _p(spark, d)
+    return _edges_out(knn.knn_join(p, p, K, ROOM, coords=MM))
+
+
+def knn20_noself_block(spark, d):
+    p = _blocks(spark, d)
+    return _edges_out(knn.knn_join(p, p, K, [*ROOM, "block_no"], coords=MM, include_self=False))
+
+
+def radius_knn(spark, d):
+    return _edges_out(_radius_edges(spark, d)[0])
+
+
+def _coarse(spark, d):
+    p = _p(spark, d)
+    return p, graph.take_sample(p, graph.voxel_sample(p, ROOM, VOXEL, coords=MM), [*ROOM, "pid"])
+
+
+def bipartite_knn3(spark, d):
+    p, c = _coarse(spark, d)
+    return _edges_out(knn.knn_join(p, c, 3, ROOM, coords=MM))
+
+
+def neighbour_cov(spark, d):
+    e, p = _radius_edges(spark, d)
+    out = geometry.covariance(e, p)
+    return _round(out, [c for c in out.columns if c not in ("src", "n")])
+
+
+def curvature(spark, d):
+    p = _p(spark, d)
+    out = geometry.with_curvature(geometry.covariance(knn.knn_join(p, p, K, ROOM, coords=MM), p))
+    return _round(out.select("src", "n", "curvature"), ["curvature"])
+
+
+def verticality(spark, d):
+    e, p = _radius_edges(spark, d)
+    out = geometry.with_normal(geometry.covariance(e, p)).select("src", "n", (1 - F.abs("nz")).alias("verticality"))
+    return _round(out, ["verticality"], 5)
+
+
+def normals_zup(spark, d):
+    e, p = _radius_edges(spark, d)
+    return geometry.with_normal(geometry.covariance(e, p)).select("src", "n", "nx", "ny", "nz")
+
+
+def _features(spark, d):
+    p = _p(spark, d)
+    return geometry.radius_features(p, ROOM, K, RADIUS / 1000)
+
+
+def feature_vector9(spark, d):
+    return geometry.feature_vector(_features(spark, d)).select("pid", "features")
+
+
+def normals_oriented(spark, d):
+    e, p = _radius_edges(spark, d)
+    n = geometry.with_normal(geometry.covariance(e, p)).select(F.col("src").alias("pid"), "nx", "ny", "nz")
+    return orient.orient_normals(n.join(p.select("pid", "z"), "pid"), e).select("pid", "component", "nx", "ny", "nz")
+
+
+# --- graph operators -------------------------------------------------------------------------------------------------
+
+
+def edge_features(spark, d):
+    e, p = _radius_edges(spark, d, 5, False)
+    return graph.edge_features(e, p, ["r", "g", "b"])
+
+
+def neighbour_max_center(spark, d):
+    e, p = _radius_edges(spark, d, 5, False)
+    return graph.neighbour_max(e, p, ["r", "g", "b"])
+
+
+def neighbour_max_reverse(spark, d):
+    e, p = _radius_edges(spark, d, 5, False)
+    return graph.neighbour_max(e, p, ["r", "g", "b"], direction="reverse")
+
+
+def voxel_sample(spark, d):
+    return graph.voxel_sample(_p(spark, d), ROOM, VOXEL, coords=MM)
+
+
+def sample_semi_join(spark, d):
+    return _coarse(spark, d)[1].select("pid", *ROOM, "y_label")
+
+
+def fps_quarter(spark, d):
+    b = _blocks(spark, d).withColumn("block_id", F.xxhash64(*ROOM, "block_no"))
+    return graph.farthest_points(b)
+
+
+def _lifted(spark, d):
+    p, c = _coarse(spark, d)
+    return p, graph.interpolate(knn.knn_join(p, c, 3, ROOM, coords=MM), c, ["r", "g", "b"])
+
+
+def interp_k3(spark, d):
+    return _round(_lifted(spark, d)[1], ["r", "g", "b"])
+
+
+def skip_concat(spark, d):
+    p, up = _lifted(spark, d)
+    out = graph.skip_concat(p, up, ["r", "g", "b"])
+    return out.select("pid", F.size("features").alias("width"), *[F.round(F.get("features", F.lit(i)), 6).alias(f"f{i}") for i in range(6)])
+
+
+def multiscale(spark, d):
+    return graph.multiscale_features(_p(spark, d), ["r", "g", "b"], ROOM, [1.0, 2.0], k=8)
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+
+
+def _scored(spark, d):
+    return metrics.with_scores(fx.logits(spark, d))
+
+
+def log_softmax(spark, d):
+    return _scored(spark, d).select("vec_id", F.posexplode("logp").alias("class_no", "v")).select("vec_id", "class_no", F.round("v", 6).alias("logp"))
+
+
+def argmax_class(spark, d):
+    return fx.logits(spark, d).select("vec_id", vectors.argmax(F.col("scores")).alias("pred"))
+
+
+def nll_masked(spark, d):
+    return _round(metrics.nll(_scored(spark, d), ["y"]), ["loss"])
+
+
+def accuracy_by_area(spark, d):
+    return metrics.accuracy(_p(spark, d), ["area"], "y_label")
+
+
+def confusion(spark, d):
+    return metrics.confusion(_p(spark, d), "y_label")
+
+
+def class_iou(spark, d):
+    return metrics.class_iou(metrics.confusion(_p(spark, d), "y_label"), "y_label")
+
+
+def _batch_loss(spark, d):
+    rows = _scored(spark, d).withColumn("batch_id", F.floor(F.col("vec_id") / 32)).withColumn("fold", F.floor(F.col("vec_id") / 32) % 2)
+    return metrics.nll(rows, ["fold", "batch_id"])
+
+
+def loss_batch_mean_ref(spark, d):
+    return _round(metrics.batch_mean_loss(_batch_loss(spark, d), ["fold"], F.col("loss") > 2.6, "reference"), ["loss"])
+
+
+def loss_batch_mean_clean(spark, d):
+    return _round(metrics.batch_mean_loss(_batch_loss(spark, d), ["fold"], F.col("loss") > 2.6, "clean"), ["loss"])
+
+
+def nan_inf_gate(spark, d):
+    return metrics.stability(fx.gate(_p(spark, d)), ["x", "y", "z"], ["area"])
+
+
+def _merged(spark, d):
+    p = _p(spark, d)
+    got = fx.gate(p).where(vectors.finite(F.col("x"))).select("pid", "pred")
+    return learn.merge_predictions(p.drop("pred"), got, ["pid"])
+
+
+def merge_predictions(spark, d):
+    return _merged(spark, d).select("pid", "pred")
+
+
+def segmented_text(spark, d):
+    m = clouds.dense_index(_merged(spark, d), ROOM, ["pid"])
+    return m.select(*ROOM, "point_idx", tables.segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")]).alias("line"))
+
+
+def vector_length(spark, d):
+    return learn.vector_length(_blocks(spark, d), ROOM)
+
+
+# --- run logs --------------------------------------------------------------------------------------------------------
+
+
+def runlog_gaps(spark, d):
+    return _round(runlog.gaps(fx.runlog(spark, d)), ["loss_diff", "acc_diff"]).select("run", "epoch", "loss_diff", "acc_diff")
+
+
+def runlog_best(spark, d):
+    return runlog.best(fx.runlog(spark, d))
+
+
+def runlog_running_best(spark, d):
+    return runlog.running_best(fx.runlog(spark, d)).select("run", "epoch", "best_so_far", "is_new_best")
+
+
+def runlog_lr_replay(spark, d):
+    return runlog.replay_rates(fx.runlog(spark, d).where("val_loss IS NOT NULL"))
+
+
+def runlog_lr_changes(spark, d):
+    log = fx.runlog(spark, d).select("run", "epoch", F.floor(F.col("epoch") / 7).cast("int").alias("learning_rate"))
+    return runlog.rate_changes(log)
+
+
+def runlog_failures(spark, d):
+    return runlog.failure_runs(fx.runlog(spark, d))
+
+
+def runlog_summary_json(spark, d):
+    return runlog.summary(fx.runlog(spark, d), CONFIG).select("run", F.to_json(F.struct("training_config", "best_performance", "training_history")).alias("summary"))
+
+
+def runlog_epoch_lines(spark, d):
+    log = fx.runlog(spark, d).withColumn("learning_rate", F.lit(0.001))
+    return tables.epoch_lines(log).where("train_loss <> 'null' AND val_loss <> 'null'")
+
+
+# --- learning, scoring, streams --------------------------------------------------------------------------------------
+
+
+def _learning(spark, d):
+    p = _p(spark, d).withColumn("label", F.col("y_label").cast("double"))
+    return p.where(F.col("area").isin(TRAIN)), p.where(F.col("area") == TEST)
+
+
+def mlp_score(spark, d):
+    train, test = _learning(spark, d)
+    model = learn.pipeline(["x", "y", "z"], 13, "mlp", max_iter=30).fit(train)
+    return learn.score(model, test, ["pid", "y_label"])
+
+
+def rf_score(spark, d):
+    train, test = _learning(spark, d)
+    model = learn.pipeline(["x", "y", "z"], 13, "rf", trees=10).fit(train)
+    return learn.score(model, test, ["pid", "y_label"])
+
+
+def best_of_two(spark, d):
+    """Model selection on a validation split, evaluated per area held out."""
+    train, test = _learning(spark, d)
+    parts = written(splits.split_exact(train.select("pid", "x", "y", "z", "label"), "pid"), "parts")
+    _, model, _ = learn.select_model({"rf": learn.pipeline(["x", "y", "z"], 13, "rf", trees=10), "shallow": learn.pipeline(["x", "y", "z"], 13, "rf", trees=3, depth=3)}, parts.where("part = 'train'"), parts.where("part = 'val'"))
+    by_area, _ = learn.evaluate(learn.score(model, test, ["area", "label"]), ["area"])
+    return by_area
+
+
+def _by_height(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return -np.abs(pos[:, 2:3] * (13 / 3.001) - 0.5 - np.arange(13)[None, :])
+
+
+def score_blocks_udf(spark, d):
+    return learn.score_blocks(_nested(spark, d), _by_height, [*ROOM, "block_no"])
+
+
+def _rule(points: DataFrame) -> DataFrame:
+    return points.withColumn("pred", F.least(F.floor(F.col("z") * 13 / 3.001), F.lit(12)).cast("int"))
+
+
+def _landing(spark, d):
+    root = f"{shared_dir(spark)}/landing-{np.random.default_rng().integers(1 << 60):x}"
+    line = F.format_string("%.3f %.3f %.3f %d %d %d", "x", "y", "z", "r", "g", "b")
+    _p(spark, d).select("area", line.alias("value")).write.partitionBy("area").text(f"{root}/in")
+    return root
+
+
+def stream_scan_score(spark, d):
+    root = _landing(spark, d)
+    done = streams.score_stream(spark, f"{root}/in/*", lambda p: learn.score_clouds(p, None, lambda x: x, _rule), f"{root}/out", f"{root}/state")
+    done.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("x", "y", "z", "r", "g", "b", "pred")
+
+
+def stream_run_metrics(spark, d):
+    root = f"{shared_dir(spark)}/log-{np.random.default_rng().integers(1 << 60):x}"
+    tables.append_epochs(fx.runlog(spark, d).where("train_loss IS NOT NULL AND val_loss IS NOT NULL").withColumn("learning_rate", F.lit(0.001)), f"{root}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out")
+
+    q = streams.run_metrics_stream(spark, f"{root}/in").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").withColumn("run", F.col("run").cast("long"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    parse_points_text, file_shape_gate, file_quarantine, path_columns, label_lookup, palette_lookup, dense_point_index, dense_point_index_ranged,
+    block_assign, block_name, blocks_per_room, block_counter, block_pad_long, block_nested, block_roundtrip, block_mask, route_by_area, split_exact_md5, split_approx,
+    batch_assign, batch_validity, error_rate, knn20_self, knn20_noself_block, radius_knn, bipartite_knn3, neighbour_cov, curvature, verticality, normals_zup,
+    feature_vector9, normals_oriented, edge_features, neighbour_max_center, neighbour_max_reverse, voxel_sample, sample_semi_join, fps_quarter, interp_k3, skip_concat,
+    multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
+    merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
+    runlog_summary_json, runlog_epoch_lines, mlp_score, rf_score, best_of_two, score_blocks_udf, stream_scan_score, stream_run_metrics,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"flagship": flagship} | {q.__name__: q for q in QUERIES}
+
+
+# --- DuckDB twins ----------------------------------------------------------------------------------------------------
+
+
+def _with(body: str, *ctes: str) -> str:
+    return "WITH " + ", ".join(ctes) + " " + body
+
+
+_POINTS = f"points AS ({fx.POINTS})"
+_TEXT = f"cloud_text AS ({fx.cloud_text_sql('printf')})"
+_PARSED = """tok AS (SELECT *, string_split_regex(trim(value), '\\s+') AS t FROM cloud_text),
+parsed AS (SELECT file_path, line_no, len(t) = 6 AS ok, try_cast(t[1] AS DOUBLE) AS x, try_cast(t[2] AS DOUBLE) AS y, try_cast(t[3] AS DOUBLE) AS z,
+ try_cast(t[4] AS DOUBLE) AS r, try_cast(t[5] AS DOUBLE) AS g, try_cast(t[6] AS DOUBLE) AS b FROM tok)"""
+_PATHS = """paths AS (SELECT *, string_split(file_path, '/')[1] AS area, string_split(file_path, '/')[2] AS room,
+ string_split(string_split(file_path, '/')[4], '_')[1] AS class_name FROM cloud_text)"""
+_CLASSES = "classes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {r}, {g}, {b}, '#{r:02x}{g:02x}{b:02x}')" for i, (n, r, g, b) in enumerate(CLASSES)) + ") v(class_id, class_name, cr, cg, cb, hex))"
+_BLOCKS = f"""idx AS (SELECT *, row_number() OVER (PARTITION BY area, room ORDER BY pid) - 1 AS point_idx, count(*) OVER (PARTITION BY area, room) AS n FROM points),
+blocks AS (SELECT *, point_idx // {SIZE} AS block_no, CAST(point_idx % {SIZE} AS INTEGER) AS "offset", point_idx // {SIZE} * {SIZE} AS start_idx,
+ least(point_idx // {SIZE} * {SIZE} + {SIZE}, n) AS end_idx FROM idx)"""
+_ROOMS = f"""rooms AS (SELECT area, room, count(*) AS n_points, (count(*) + {SIZE - 1}) // {SIZE} AS n_blocks FROM points GROUP BY ALL),
+numbered AS (SELECT *, CAST(coalesce(sum(n_blocks) OVER (ORDER BY area, room ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_block FROM rooms),
+blk AS (SELECT first_block + block_no AS block_id, area, room, block_no, least({SIZE}, n_points - block_no * {SIZE}) AS num_valid
+ FROM (SELECT *, unnest(range(n_blocks)) AS block_no FROM numbered))"""
+_D2 = "(a.xi - b.xi) * (a.xi - b.xi) + (a.yi - b.yi) * (a.yi - b.yi) + (a.zi - b.zi) * (a.zi - b.zi)"
+
+
+def _knn(name: str, k: int, left: str = "points", right: str = "points", scope: str = "area, room", self_: bool = True, radius: int | None = None) -> str:
+    where = [] if self_ else ["a.pid <> b.pid"]
+    where += [] if radius is None else [f"{_D2} <= {radius * radius}"]
+    cond = " WHERE " + " AND ".join(where) if where else ""
+    return f"""{name} AS (SELECT src, dst, d2, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rn FROM
+ (SELECT a.pid AS src, b.pid AS dst, {_D2} AS d2 FROM {left} a JOIN {right} b USING ({scope}){cond})) WHERE rn <= {k})"""
+
+
+def _cov(edges: str) -> str:
+    agg = ", ".join(f"avg({a}) AS m{a}" for a in "xyz") + ", " + ", ".join(f"CASE WHEN count(*) > 1 THEN covar_samp({a}, {b}) END AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    return f"cov AS (SELECT src, count(*) AS n, {agg} FROM {edges} JOIN points ON dst = pid GROUP BY src)"
+
+
+_EIGEN = f"""q1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov),
+q2 AS (SELECT *, ((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6 AS p2 FROM q1),
+q3 AS (SELECT *, CASE WHEN p2 > 0 THEN sqrt(p2) END AS p FROM q2),
+q4 AS (SELECT *, (xx - q) / p AS ea, (yy - q) / p AS eb, (zz - q) / p AS ec, xy / p AS ed, xz / p AS ee, yz / p AS ef FROM q3),
+q5 AS (SELECT *, ea * (eb * ec - ef * ef) - ed * (ed * ec - ef * ee) + ee * (ed * ef - eb * ee) AS det FROM q4),
+q6 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, det / 2))) / 3 AS phi FROM q5),
+eig AS (SELECT *, CASE WHEN p2 > 0 THEN q + 2 * p * cos(phi + {2 * math.pi / 3!r}) ELSE q END AS low FROM q6)"""
+_CURVED = "curved AS (SELECT src, n, CASE WHEN n = 2 THEN 0.0 ELSE greatest(low, 0.0) / (xx + yy + zz + 1e-9) END AS curvature FROM eig)"
+_NORMAL = """c1 AS (SELECT *, xx - low AS a, yy - low AS b, zz - low AS c FROM eig),
+c2 AS (SELECT *, xy * yz - xz * b AS ux, xz * xy - a * yz AS uy, a * b - xy * xy AS uz, xy * c - xz * yz AS vx, xz * xz - a * c AS vy, a * yz - xy * xz AS vz,
+ b * c - yz * yz AS wx, yz * xz - xy * c AS wy, xy * yz - b * xz AS wz FROM c1),
+c3 AS (SELECT *, ux * ux + uy * uy + uz * uz AS s0, vx * vx + vy * vy + vz * vz AS s1, wx * wx + wy * wy + wz * wz AS s2 FROM c2),
+c4 AS (SELECT *, greatest(s0, s1, s2) AS most FROM c3),
+faced AS (SELECT src, n, CASE WHEN n >= 3 AND most > 0 THEN abs(CASE WHEN s0 = most THEN uz WHEN s1 = most THEN vz ELSE wz END / sqrt(most)) ELSE 1.0 END AS az FROM c4)"""
+_VOXEL = f"""vox AS (SELECT area, room, xi // {VOXEL} AS vxi, yi // {VOXEL} AS vyi, zi // {VOXEL} AS vzi, pid,
+ (2 * xi - (2 * (xi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * yi - (2 * (yi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * zi - (2 * (zi // {VOXEL}) + 1) * {VOXEL}) ** 2 AS d FROM points),
+picked AS (SELECT area, room, vxi, vyi, vzi, pid, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY area, room, vxi, vyi, vzi ORDER BY d, pid) AS k FROM vox
+ WINDOW w AS (PARTITION BY area, room, vxi, vyi, vzi)) WHERE k = 1),
+coarse AS (SELECT points.* FROM points SEMI JOIN picked USING (pid))"""
+_EDGES5 = _knn("edges", 5, self_=False, radius=RADIUS)
+_EF = "ef AS (SELECT src, dst, " + ", ".join(f"a.{c} AS {c}, b.{c} - a.{c} AS d_{c}" for c in "rgb") + " FROM edges JOIN points a ON src = a.pid JOIN points b ON dst = b.pid)"
+_LIFTED = "up AS (SELECT src AS pid, " + ", ".join(f"sum({c} * (1 / greatest(CAST(d2 AS DOUBLE), 1e-16))) / sum(1 / greatest(CAST(d2 AS DOUBLE), 1e-16)) AS {c}" for c in "rgb") + " FROM near JOIN coarse ON dst = coarse.pid GROUP BY src)"
+_LOGITS = """logits AS (SELECT vec_id, label AS y, unnest(CAST(list_slice(embedding, 1, 13) AS DOUBLE[])) AS v, generate_subscripts(list_slice(embedding, 1, 13), 1) - 1 AS class_no FROM embeddings),
+soft AS (SELECT *, v - max(v) OVER w - ln(sum(exp(v - m)) OVER w) AS logp FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM logits) WINDOW w AS (PARTITION BY vec_id)),
+nll AS (SELECT vec_id, y, -logp AS loss FROM soft WHERE class_no = y),
+bl AS (SELECT vec_id // 32 % 2 AS fold, vec_id // 32 AS batch_id, avg(loss) AS loss FROM nll GROUP BY ALL)"""
+_RUNS = f"runlog AS ({fx.RUNLOG})"
+
+
+def _neighbour_max(key: str) -> str:
+    cols = ", ".join(f"p.{c}, coalesce(max_{c}, 0) AS max_{c}" for c in "rgb")
+    agg = ", ".join(f"max(d_{c}) AS max_{c}" for c in "rgb")
+    if key == "src":
+        return _with(f"SELECT p.pid, {cols} FROM points p LEFT JOIN (SELECT src AS pid, {agg} FROM ef GROUP BY src) USING (pid)", _POINTS, _EDGES5, _EF)
+    agg = ", ".join(f"max(-d_{c}) AS max_{c}" for c in "rgb")
+    return _with(f"SELECT p.pid, {cols} FROM points p LEFT JOIN (SELECT dst AS pid, {agg} FROM ef GROUP BY dst) USING (pid)", _POINTS, _EDGES5, _EF)
+
+
+def oracle_sql() -> dict[str, str]:
+    text = (_POINTS, _TEXT)
+    order = "ORDER BY md5(CAST(block_id AS VARCHAR) || ':42:1'), block_id"
+    xy = "SELECT *, CASE WHEN pid % 101 = 0 THEN 'NaN'::DOUBLE WHEN pid % 103 = 0 THEN 'Infinity'::DOUBLE ELSE x END AS gx FROM points"
+    merged = "merged AS (SELECT p.* EXCLUDE (pred), CASE WHEN pid % 101 = 0 OR pid % 103 = 0 THEN 0 ELSE pred END AS pred FROM points p)"
+    mean = lambda n: f"SELECT fold, coalesce(sum(CASE WHEN loss > 2.6 THEN NULL ELSE loss END), 0) / nullif({n}, 0) AS loss, {n} AS n_batches FROM bl GROUP BY fold"
+    return {
+        "flagship": _with("SELECT area, y_label, round(avg(curvature), 6) AS curvature, count(*) AS n FROM curved JOIN points ON src = pid GROUP BY ALL", _POINTS, _knn("edges", K), _cov("edges"), _EIGEN, _CURVED),
+        "parse_points_text": _with("SELECT file_path, line_no, x, y, z, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM parsed WHERE ok", *text, _PARSED),
+        "file_shape_gate": _with("SELECT file_path, count(*) AS n_lines FROM parsed GROUP BY file_path HAVING bool_and(ok) AND count(*) >= 2", *text, _PARSED),
+        "file_quarantine": _with("SELECT file_path, count(*) AS n_lines, count(*) FILTER (WHERE NOT ok) AS n_bad FROM parsed GROUP BY file_path HAVING NOT (bool_and(ok) AND count(*) >= 2)", *text, _PARSED),
+        "path_columns": _with("SELECT file_path, area, room, class_name, count(*) AS n FROM paths GROUP BY ALL", *text, _PATHS),
+        "label_lookup": _with("SELECT file_path, line_no, class_id AS label FROM paths JOIN classes USING (class_name)", *text, _PATHS, _CLASSES),
+        "palette_lookup": _with("SELECT pid, pred, class_name, cr, cg, cb, hex FROM points JOIN classes ON pred = class_id", _POINTS, _CLASSES),
+        "dense_point_index": _with("SELECT area, room, file_path, line_no, row_number() OVER (PARTITION BY area, room ORDER BY file_path, line_no) - 1 AS point_idx FROM paths", *text, _PATHS),
+        "dense_point_index_ranged": _with("SELECT area, room, file_path, line_no, row_number() OVER (PARTITION BY area, room ORDER BY file_path, line_no) - 1 AS point_idx FROM paths", *text, _PATHS),
+        "block_assign": _with('SELECT pid, point_idx, block_no, "offset", start_idx, end_idx FROM blocks', _POINTS, _BLOCKS),
+        "block_name": _with(f"SELECT block_id, printf('block_%06d_%s', block_id, area) AS name, printf('block_%06d_%06d', block_no * {SIZE}, block_no * {SIZE} + num_valid) AS range_name FROM blk", _POINTS, _ROOMS),
+        "blocks_per_room": _with("SELECT area, room, n_points, n_blocks FROM rooms", _POINTS, _ROOMS),
+        "block_counter": _with("SELECT area, room, first_block FROM numbered", _POINTS, _ROOMS),
+        "block_pad_long": _with(
+            f"""SELECT area, room, block_no, "offset", r, g, b, xi, yi, zi, y_label, true AS valid FROM blocks UNION ALL
+            SELECT area, room, block_no, CAST(unnest(range(c, {SIZE})) AS INTEGER), 0, 0, 0, xi, yi, zi, -1, false FROM
+            (SELECT area, room, block_no, count(*) AS c, arg_max(xi, "offset") AS xi, arg_max(yi, "offset") AS yi, arg_max(zi, "offset") AS zi FROM blocks GROUP BY ALL) WHERE c < {SIZE}""",
+            _POINTS, _BLOCKS,
+        ),
+        "block_roundtrip": _with('SELECT area, room, block_no, "offset", y_label, r FROM blocks', _POINTS, _BLOCKS),
+        "block_mask": _with(f"SELECT block_id, num_valid, repeat('1', num_valid) || repeat('0', {SIZE} - num_valid) AS mask FROM blk", _POINTS, _ROOMS),
+        "route_by_area": _with("SELECT block_id, area, CASE WHEN area = 'Area_5' THEN 'test' WHEN area IN ('Area_1', 'Area_2', 'Area_3', 'Area_4') THEN 'train' END AS part FROM blk", _POINTS, _ROOMS),
+        "split_exact_md5": _with("SELECT block_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(block_id AS VARCHAR) || ':42'), block_id) <= (count(*) OVER () + 4) // 5 THEN 'val' ELSE 'train' END AS part FROM blk", _POINTS, _ROOMS),
+        "split_approx": _with("SELECT block_id, CASE WHEN CAST('0x' || substr(md5(CAST(block_id AS VARCHAR) || ':42'), 1, 6) AS BIGINT) % 100 < 20 THEN 'val' ELSE 'train' END AS part FROM blk", _POINTS, _ROOMS),
+        "batch_assign": _with(f"SELECT block_id, (row_number() OVER ({order}) - 1) // 4 AS batch_id, CAST((row_number() OVER ({order}) - 1) % 4 AS INTEGER) AS slot FROM blk", _POINTS, _ROOMS),
+        "batch_validity": _with(
+            f"""SELECT batch_id, count(*) AS n, count(*) FILTER (WHERE num_valid = {SIZE}) AS n_valid, count(*) FILTER (WHERE num_valid = {SIZE}) >= greatest(1, count(*) // 2) AS ok
+            FROM (SELECT num_valid, (row_number() OVER ({order}) - 1) // 4 AS batch_id FROM blk) GROUP BY batch_id""",
+            _POINTS, _ROOMS,
+        ),
+        "error_rate": _with(
+            """SELECT area, room, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS n_bad, count(*) FILTER (WHERE NOT ok) / CAST(count(*) AS DOUBLE) AS rate,
+            count(*) FILTER (WHERE NOT ok) / CAST(count(*) AS DOUBLE) <= 0.01::DOUBLE AS "within" FROM parsed JOIN paths USING (file_path, line_no) GROUP BY ALL""",
+            *text, _PARSED, _PATHS,
+        ),
+        "knn20_self": _with("SELECT * FROM e", _POINTS, _knn("e", K)),
+        "knn20_noself_block": _with("SELECT * FROM e", _POINTS, _BLOCKS, _knn("e", K, "blocks", "blocks", "area, room, block_no", False)),
+        "radius_knn": _with("SELECT * FROM e", _POINTS, _knn("e", K, radius=RADIUS)),
+        "bipartite_knn3": _with("SELECT * FROM e", _POINTS, _VOXEL, _knn("e", 3, "points", "coarse")),
+        "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
+        "curvature": _with("SELECT src, n, round(curvature, 6) + 0.0 AS curvature FROM curved", _POINTS, _knn("e", K), _cov("e"), _EIGEN, _CURVED),
+        "verticality": _with("SELECT src, n, round(1 - az, 5) + 0.0 AS verticality FROM faced", _POINTS, _knn("e", K, radius=RADIUS), _cov("e"), _EIGEN, _NORMAL),
+        "edge_features": _with("SELECT * FROM ef", _POINTS, _EDGES5, _EF),
+        "neighbour_max_center": _neighbour_max("src"),
+        "neighbour_max_reverse": _neighbour_max("dst"),
+        "voxel_sample": _with("SELECT area, room, vxi, vyi, vzi, pid, n FROM picked", _POINTS, _VOXEL),
+        "sample_semi_join": _with("SELECT pid, area, room, y_label FROM coarse", _POINTS, _VOXEL),
+        "interp_k3": _with("SELECT pid, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) + 0.0 AS b FROM up", _POINTS, _VOXEL, _knn("near", 3, "points", "coarse"), _LIFTED),
+        "skip_concat": _with(
+            "SELECT p.pid, 6 AS width, CAST(p.r AS DOUBLE) AS f0, CAST(p.g AS DOUBLE) AS f1, CAST(p.b AS DOUBLE) AS f2, round(up.r, 6) AS f3, round(up.g, 6) AS f4, round(up.b, 6) AS f5 FROM points p JOIN up USING (pid)",
+            _POINTS, _VOXEL, _knn("near", 3, "points", "coarse"), _LIFTED,
+        ),
+        "log_softmax": _with("SELECT vec_id, CAST(class_no AS INTEGER) AS class_no, round(logp, 6) AS logp FROM soft", _LOGITS),
+        "argmax_class": "SELECT vec_id, CAST(list_position(list_slice(embedding, 1, 13), list_max(list_slice(embedding, 1, 13))) - 1 AS INTEGER) AS pred FROM embeddings",
+        "nll_masked": _with("SELECT y, round(avg(loss), 6) + 0.0 AS loss, count(*) AS n FROM nll GROUP BY y", _LOGITS),
+        "accuracy_by_area": _with("SELECT area, count(*) FILTER (WHERE pred = y_label) AS correct, count(*) AS total, count(*) FILTER (WHERE pred = y_label) / CAST(count(*) AS DOUBLE) AS accuracy FROM points GROUP BY area", _POINTS),
+        "confusion": _with("SELECT y_label, pred, count(*) AS n FROM points GROUP BY ALL", _POINTS),
+        "class_iou": _with(
+            """SELECT class_id, CAST(hit AS BIGINT) AS hit, CAST(a + p - hit AS BIGINT) AS joined, hit / CAST(a + p - hit AS DOUBLE) AS iou FROM
+            (SELECT y_label AS class_id, count(*) AS a, count(*) FILTER (WHERE pred = y_label) AS hit FROM points GROUP BY y_label) JOIN (SELECT pred AS class_id, count(*) AS p FROM points GROUP BY pred) USING (class_id)""",
+            _POINTS,
+        ),
+        "loss_batch_mean_ref": _with(f"SELECT fold, round(loss, 6) + 0.0 AS loss, n_batches FROM ({mean('count(*)')})", _LOGITS),
+        "loss_batch_mean_clean": _with(f"SELECT fold, round(loss, 6) + 0.0 AS loss, n_batches FROM ({mean('count(*) FILTER (WHERE NOT loss > 2.6)')})", _LOGITS),
+        "nan_inf_gate": _with(f"SELECT area, count(*) FILTER (WHERE isnan(gx)) AS n_nan, count(*) FILTER (WHERE isinf(gx)) AS n_inf, count(*) AS n, count(*) FILTER (WHERE isnan(gx) OR isinf(gx)) = 0 AS stable FROM ({xy}) GROUP BY area", _POINTS),
+        "merge_predictions": _with("SELECT pid, pred FROM merged", _POINTS, merged),
+        "segmented_text": _with("SELECT area, room, row_number() OVER (PARTITION BY area, room ORDER BY pid) - 1 AS point_idx, printf('%.6f %.6f %.6f %d %d %d %d', x, y, z, r, g, b, pred) AS line FROM merged", _POINTS, merged),
+        "vector_length": _with("SELECT area, room, count(*) AS length FROM points GROUP BY ALL", _POINTS),
+        "runlog_gaps": _with("SELECT run, epoch, round(val_loss - train_loss, 6) + 0.0 AS loss_diff, round(train_acc - val_acc, 6) + 0.0 AS acc_diff FROM runlog", _RUNS),
+        "runlog_best": _with("SELECT run, epoch AS best_epoch, val_acc AS best_val_acc FROM runlog WHERE val_acc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_acc DESC, epoch) = 1", _RUNS),
+        "runlog_running_best": _with(
+            """SELECT run, epoch, max(val_acc) OVER w AS best_so_far, val_acc > coalesce(max(val_acc) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-Infinity'::DOUBLE) AS is_new_best
+            FROM runlog WINDOW w AS (PARTITION BY run ORDER BY epoch)""",
+            _RUNS,
+        ),
+        "runlog_lr_changes": _with("SELECT run, epoch, before, after FROM (SELECT run, epoch, lag(CAST(epoch // 7 AS INTEGER)) OVER (PARTITION BY run ORDER BY epoch) AS before, CAST(epoch // 7 AS INTEGER) AS after FROM runlog) WHERE before <> after", _RUNS),
+        "runlog_failures": _with(
+            """SELECT run, first_epoch, length, min(CASE WHEN length >= 3 THEN first_epoch + 2 END) OVER (PARTITION BY run) AS stop_epoch FROM
+            (SELECT run, min(epoch) AS first_epoch, count(*) AS length FROM (SELECT run, epoch, epoch - row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM runlog WHERE train_loss = 0 AND train_acc = 0) GROUP BY run, i)""",
+            _RUNS,
+        ),
+        "runlog_epoch_lines": _with(
+            "SELECT run, epoch, " + ", ".join(f"printf('%.6f', {c}) AS {c}" for c in ("train_loss", "train_acc", "val_loss", "val_acc")) + ", printf('%.6f', val_loss - train_loss) AS loss_diff, printf('%.6f', train_acc - val_acc) AS acc_diff, '0.00100000' AS learning_rate FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL",
+            _RUNS,
+        ),
+        "stream_scan_score": _with("SELECT x, y, z, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(least(floor(z * 13 / 3.001::DOUBLE), 12) AS INTEGER) AS pred FROM points", _POINTS),
+        "stream_run_metrics": _with("SELECT run, count(*) AS epochs, max(val_acc) AS best_val_acc, arg_max(CAST(epoch AS INTEGER), struct_pack(a := val_acc, b := -epoch)) AS best_epoch FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL GROUP BY run", _RUNS),
+    }
