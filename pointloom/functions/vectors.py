@@ -31,11 +31,13 @@ def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz:
     return low, 3 * q - high - low, high
 
 
-def smallest_eigenvector(low: Column, xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column, Column]:
+def smallest_eigenvector(low: Column, high: Column, xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column, Column]:
     """Unit eigenvector of eigenvalue ``low``, of either sign; nulls if it is not unique.
 
     Rows of the matrix less ``low`` on its diagonal are orthogonal to it; the
-    longest cross product of two rows gives its direction.
+    longest cross product of two rows gives its direction.  It is as long as
+    the product of the gaps to the other eigenvalues, so sets on a line, with
+    no second gap to speak of, have no direction.
     """
     a, b, c = xx - low, yy - low, zz - low
     crosses = [
@@ -45,7 +47,7 @@ def smallest_eigenvector(low: Column, xx: Column, yy: Column, zz: Column, xy: Co
     ]
     size = [x * x + y * y + z * z for x, y, z in crosses]
     most = F.greatest(*size)
-    pick = lambda i: F.when(most <= 0, None).when(size[0] == most, crosses[0][i]).when(size[1] == most, crosses[1][i]).otherwise(crosses[2][i])
+    pick = lambda i: F.when(most <= 1e-12 * high * high * high * high, None).when(size[0] == most, crosses[0][i]).when(size[1] == most, crosses[1][i]).otherwise(crosses[2][i])
     return tuple(pick(i) / F.sqrt(most) for i in range(3))
 
 

@@ -38,10 +38,9 @@ def radius_knn(queries: DataFrame, candidates: DataFrame, k: int, radius: float,
     """
     names = [f"_c{i}" for i in range(len(coords))]
     side = F.lit(radius)
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     q = queries.select(*scope, F.col(pid).alias("src"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(coords)])
     for i, cell in enumerate(_cells(tuple(f"_q{i}" for i in range(len(coords))), side)):
-        q = q.withColumn(names[i], F.explode(F.transform(near, lambda d, c=cell: c + d)))
+        q = q.withColumn(names[i], F.explode(F.array(cell - 1, cell, cell + 1)))
     c = candidates.select(*scope, F.col(pid).alias("dst"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(coords)], *[x.alias(n) for x, n in zip(_cells(coords, side), names, strict=True)])
     both = q.join(c, [*scope, *names])
     d2 = reduce(lambda a, b: a + b, [(F.col(f"_q{i}") - F.col(f"_d{i}")) * (F.col(f"_q{i}") - F.col(f"_d{i}")) for i in range(len(coords))])
@@ -104,7 +103,8 @@ def knn_join(
         q = q.join(many, keys).withColumn("_share", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int")).drop("_m")
         c = c.join(many, keys).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
         keys = [*keys, "_share"]
-        found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_ranker(k, n, include_self), "src long, dst long, d2 double, rn int")
+        c = c.toDF(*[f"{x}_" for x in c.columns])  # names of their own: both sides may stem from one table
+        found = q.groupBy(*keys).cogroup(c.groupBy(*[f"{x}_" for x in keys])).applyInPandas(_ranker(k, n, include_self), "src long, dst long, d2 double, rn int")
         found = written(found, "edges")
         done.append(found.where("rn > 0"))
         still = found.where("rn = 0").select(F.col("src").alias("id"))
@@ -123,8 +123,8 @@ def _ranker(k: int, n: int, include_self: bool):
         out = []
         if not len(q):
             return pd.DataFrame({"src": [], "dst": [], "d2": [], "rn": []}).astype({"src": "int64", "dst": "int64", "d2": "float64", "rn": "int32"})
-        c = c.sort_values("id")
-        ids, x = c["id"].to_numpy(), c[columns].to_numpy()
+        c = c.sort_values("id_")
+        ids, x = c["id_"].to_numpy(), c[[f"{p}_" for p in columns]].to_numpy()
         radius, everything = q["_r"].to_numpy(), q["_all"].to_numpy()
         src, p = q["id"].to_numpy(), q[columns].to_numpy()
         for at in range(0, len(q), 256):

@@ -206,7 +206,7 @@ def bipartite_knn3(spark, d):
 def neighbour_cov(spark, d):
     e, p = _radius_edges(spark, d)
     out = geometry.covariance(e, p)
-    return _round(out, [c for c in out.columns if c not in ("src", "n")])
+    return _round(out, [c for c in out.columns if c not in ("src", "n")], 8)
 
 
 def curvature(spark, d):
@@ -521,14 +521,14 @@ q3 AS (SELECT *, CASE WHEN p2 > 0 THEN sqrt(p2) END AS p FROM q2),
 q4 AS (SELECT *, (xx - q) / p AS ea, (yy - q) / p AS eb, (zz - q) / p AS ec, xy / p AS ed, xz / p AS ee, yz / p AS ef FROM q3),
 q5 AS (SELECT *, ea * (eb * ec - ef * ef) - ed * (ed * ec - ef * ee) + ee * (ed * ef - eb * ee) AS det FROM q4),
 q6 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, det / 2))) / 3 AS phi FROM q5),
-eig AS (SELECT *, CASE WHEN p2 > 0 THEN q + 2 * p * cos(phi + {2 * math.pi / 3!r}) ELSE q END AS low FROM q6)"""
+eig AS (SELECT *, CASE WHEN p2 > 0 THEN q + 2 * p * cos(phi + {2 * math.pi / 3!r}) ELSE q END AS low, CASE WHEN p2 > 0 THEN q + 2 * p * cos(phi) ELSE q END AS high FROM q6)"""
 _CURVED = "curved AS (SELECT src, n, CASE WHEN n = 2 THEN 0.0 ELSE greatest(low, 0.0) / (xx + yy + zz + 1e-9) END AS curvature FROM eig)"
 _NORMAL = """c1 AS (SELECT *, xx - low AS a, yy - low AS b, zz - low AS c FROM eig),
 c2 AS (SELECT *, xy * yz - xz * b AS ux, xz * xy - a * yz AS uy, a * b - xy * xy AS uz, xy * c - xz * yz AS vx, xz * xz - a * c AS vy, a * yz - xy * xz AS vz,
  b * c - yz * yz AS wx, yz * xz - xy * c AS wy, xy * yz - b * xz AS wz FROM c1),
 c3 AS (SELECT *, ux * ux + uy * uy + uz * uz AS s0, vx * vx + vy * vy + vz * vz AS s1, wx * wx + wy * wy + wz * wz AS s2 FROM c2),
 c4 AS (SELECT *, greatest(s0, s1, s2) AS most FROM c3),
-faced AS (SELECT src, n, CASE WHEN n >= 3 AND most > 0 THEN abs(CASE WHEN s0 = most THEN uz WHEN s1 = most THEN vz ELSE wz END / sqrt(most)) ELSE 1.0 END AS az FROM c4)"""
+faced AS (SELECT src, n, CASE WHEN n >= 3 AND most > 1e-12::DOUBLE * high * high * high * high THEN abs(CASE WHEN s0 = most THEN uz WHEN s1 = most THEN vz ELSE wz END / sqrt(most)) ELSE 1.0 END AS az FROM c4)"""
 _VOXEL = f"""vox AS (SELECT area, room, xi // {VOXEL} AS vxi, yi // {VOXEL} AS vyi, zi // {VOXEL} AS vzi, pid,
  (2 * xi - (2 * (xi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * yi - (2 * (yi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * zi - (2 * (zi // {VOXEL}) + 1) * {VOXEL}) ** 2 AS d FROM points),
 picked AS (SELECT area, room, vxi, vyi, vzi, pid, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY area, room, vxi, vyi, vzi ORDER BY d, pid) AS k FROM vox
@@ -599,7 +599,7 @@ def oracle_sql() -> dict[str, str]:
         "knn20_noself_block": _with("SELECT * FROM e", _POINTS, _BLOCKS, _knn("e", K, "blocks", "blocks", "area, room, block_no", False)),
         "radius_knn": _with("SELECT * FROM e", _POINTS, _knn("e", K, radius=RADIUS)),
         "bipartite_knn3": _with("SELECT * FROM e", _POINTS, _VOXEL, _knn("e", 3, "points", "coarse")),
-        "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
+        "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
         "curvature": _with("SELECT src, n, round(curvature, 6) + 0.0 AS curvature FROM curved", _POINTS, _knn("e", K), _cov("e"), _EIGEN, _CURVED),
         "verticality": _with("SELECT src, n, round(1 - az, 5) + 0.0 AS verticality FROM faced", _POINTS, _knn("e", K, radius=RADIUS), _cov("e"), _EIGEN, _NORMAL),
         "edge_features": _with("SELECT * FROM ef", _POINTS, _EDGES5, _EF),
