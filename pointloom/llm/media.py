@@ -167,7 +167,9 @@ def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, Da
     is the SHA-256 of the UTF-8 text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    distinct = docs.select(F.unhex(F.sha2(t.cast("binary"), 256)).alias("payload_id"), t.alias("_t")).groupBy("payload_id").agg(F.first("_t").alias("_t"))
+    distinct = docs.select(F.unhex(F.sha2(t.cast("binary"), 256)).alias("payload_id"), t.alias("_t"))
+    # said here, or joins would add it to some uses only and the one exchange of texts could not be shared
+    distinct = distinct.where("payload_id IS NOT NULL").groupBy("payload_id").agg(F.first("_t").alias("_t"))
     held = distinct.select("payload_id", F.explode(chunk_digests("_t")).alias("digest"))
     several = held.groupBy("digest").count().where("count > 1").select("digest")
     refs = held.join(evenly(several), "digest").select("payload_id", "digest")
