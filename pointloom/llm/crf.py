@@ -117,7 +117,7 @@ class Crf:
     transitions: np.ndarray
     start: np.ndarray
     lexicons: dict[str, frozenset] = field(default_factory=dict)
-    cache_words: int = 300_000
+    cache_words: int = 150_000
 
     def __post_init__(self) -> None:
         self._ids: dict[str, int] = {}
@@ -316,11 +316,35 @@ def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[s
     return sorted(drawn.select(*columns).collect(), key=lambda r: tuple(map(str, r)))
 
 
+def in_portions(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[int]]:
+    """Row numbers of texts, longest first, in portions of bounded size.
+
+    Texts of like length end up together, so the steps of forward-backward are
+    shared by many; a longer text is a portion of its own.
+    """
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
+    portion: list[int] = []
+    size = 0
+    for i in order:
+        n = len(texts[i] or "")
+        if portion and size + n > chars:
+            yield portion
+            portion, size = [], 0
+        portion.append(i)
+        size += n
+    if portion:
+        yield portion
+
+
 def scorer(model: Crf, summarise: Callable) -> Callable:
     """A function from texts to one summary per text, for use inside tasks."""
 
     def score(texts: list[str | None]) -> list:
-        cut = [words_of(t) for t in texts]
-        return [summarise(w, m) for w, m in zip(cut, model.marginals(cut), strict=True)]
+        out: list = [None] * len(texts)
+        for portion in in_portions(texts):
+            cut = [words_of(texts[i]) for i in portion]
+            for i, w, m in zip(portion, cut, model.marginals(cut), strict=True):
+                out[i] = summarise(w, m)
+        return out
 
     return score

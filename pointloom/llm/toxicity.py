@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .crf import WORD, Crf, bounded_sample, fit, words_of
+from .crf import WORD, Crf, bounded_sample, fit, in_portions, words_of
 
 
 @dataclass
@@ -114,19 +114,18 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", span_at: fl
         m = held.value
         for s in batches:
             texts = ["" if t is None else t for t in s]
-            cut = [words_of(t) for t in texts]
-            found = m.field.marginals(cut) if m.field else (np.zeros((0, 2)) for _ in cut)
-            scores, spans = [], []
-            for t, w, p in zip(texts, cut, found, strict=True):
-                scores.append(m.score(p))
-                hot = np.flatnonzero(p[:, 1] >= span_at) if len(p) else []
-                if len(hot):
-                    where = [x.span() for x in WORD.finditer(t)]
-                    # offsets are those of the original text; lower case may change its length
-                    same = len(where) == len(w)
-                    spans.append([{"begin": where[i][0], "end": where[i][1], "p": float(p[i, 1])} for i in hot] if same else [])
-                else:
-                    spans.append([])
+            scores: list = [0.0] * len(texts)
+            spans: list = [[]] * len(texts)
+            for portion in in_portions(texts):
+                cut = [words_of(texts[i]) for i in portion]
+                found = m.field.marginals(cut) if m.field else [np.zeros((0, 2))] * len(cut)
+                for i, w, p in zip(portion, cut, found, strict=True):
+                    scores[i] = m.score(p)
+                    hot = np.flatnonzero(p[:, 1] >= span_at)
+                    if len(hot):
+                        where = [x.span() for x in WORD.finditer(texts[i])]
+                        # offsets are those of the original text; lower case may change its words
+                        spans[i] = [{"begin": where[k][0], "end": where[k][1], "p": float(p[k, 1])} for k in hot] if len(where) == len(w) else []
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     out = docs.select(*keep, mark(F.col(text)).alias("_m")).select(*keep, "_m.score", "_m.spans")
