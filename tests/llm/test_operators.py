@@ -1,0 +1,319 @@
+"""Edge cases and brute-force versions of the training-data operators."""
+
+import hashlib
+import random
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+pytest.importorskip("pointloom.llm")
+
+from pointloom.llm import forest, langid, licenses, linededup, media, mixing, ngramjoin, queries, sentencepieces, toxicity  # noqa: E402
+from pointloom.llm.components import connected_components  # noqa: E402
+
+DOC = "doc_id long, text string, lang string, source string"
+
+
+def find(n, pairs):
+    p = list(range(n))
+
+    def top(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        p[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
+def words(rng, n, kinds=400):
+    return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(400, 400), (7, None)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    exp = find(401, [(a, b) for a, b in pairs if b is not None])
+    linked = {x for a, b in pairs if b is not None and a != b for x in (a, b)}
+    assert got == {i: exp[i] for i in linked}
+
+
+# --- op5 -------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    e = sentencepieces.PrefixTableEncoder(queries.piece_model())
+    rng = random.Random(5)
+    alphabet = list("abc ethinon  \n\t.,é漢😀ß▁<>/s12́½")
+    texts = ["", " ", "a" * 300, " " * 77, "\x00", "<s></s><0x41>", "x" * 20_000, "tail \n"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for t in texts:
+        ids = e.sp.encode(t, add_eos=True)
+        assert e.encode(t) == ids
+        assert e.decode(ids) == e.sp.decode(ids)
+
+
+def test_pieces_on_rows(spark):
+    rows = [(1, "hello world", "en", "s"), (1, "hello world", "en", "s"), (2, None, None, None), (3, "", "", "")]
+    df = spark.createDataFrame(rows, DOC).withColumnRenamed("lang", "ids")
+    got = sentencepieces.encode_decode(df, queries.piece_model()).collect()
+    assert len(got) == 4 and [r.decoded for r in got] == ["hello world", "hello world", "", ""]
+    assert list(got[2].ids) == [2]
+    digest = sentencepieces.encoding_digests(df, queries.piece_model()).collect()
+    assert digest[2].ids_sha256 == hashlib.sha256(b"2").hexdigest() and digest[2].n_tokens == 1
+    assert sentencepieces.encoding_digests(df.limit(0), queries.piece_model()).count() == 0
+
+
+# --- op2 -------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(docs, min_chars):
+    lines = [(d, i, s.strip(" ")) for d, t in docs for i, s in enumerate(t.split("\n"))]
+    at = {(d, i): s for d, i, s in lines}
+    gone = set()
+    size = 1
+    while True:
+        runs = {}
+        for d, i, _ in lines:
+            if all((d, i + k) in at for k in range(size)):
+                runs.setdefault(tuple(at[d, i + k] for k in range(size)), []).append((d, i))
+        if not any(len(v) > 1 for v in runs.values()):
+            return gone
+        for run, places in runs.items():
+            if sum(map(len, run)) >= min_chars:
+                for d, i in sorted(places)[1:]:
+                    gone |= {(d, i + k) for k in range(size)}
+        size *= 2
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(2)
+    pool = ["alpha beta gamma delta", "short", "", "x", "a common line of some length", *(words(rng, 5) for _ in range(12))]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else words(rng, 6, 10**6) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    docs += [(i, docs[3][1]) for i in (100, 101)] + [(102, "intro\n" + docs[4][1] + "\noutro")]
+    df = spark.createDataFrame([(*d, "en", 7) for d in docs], "doc_id long, text string, lang string, n_lines int")
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
+    gone = brute_lines(docs, 20)
+    for d, t in docs:
+        kept = [s for i, s in enumerate(t.split("\n")) if (d, i) not in gone]
+        assert got[d] == ("\n".join(kept), t.count("\n") + 1 - len(kept))
+    runs = linededup.repeated_runs(linededup.lines_of(df)).collect()
+    assert sum(r.n_lines for r in runs) == len(gone)
+
+
+def test_line_dedup_edges(spark):
+    t = "one line that is long enough\nanother line that is long enough"
+    df = spark.createDataFrame([(1, t), (2, None), (3, ""), (None, t), (4, t), (4, t), (5, "y" * 50_000)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.text, r.n_removed) for r in linededup.dedup_lines(df).collect() if r.text is not None)
+    assert got[0] == (0, t, 0) and (1, t, 0) in got and got.count((4, "", 2)) == 2 and (3, "", 0) in got
+    assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+# --- op3 -------------------------------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    rng = random.Random(3)
+    base = words(rng, 3000)
+    texts = [base, base, base + " tail", "head " + base, "", None, "é" * 40, "z" * 100_000]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, digests string, media string")
+    stored = media.store(df)
+    back = {bytes(r.payload_id): bytes(r.media) for r in media.read_back(*stored).collect()}
+    for t in texts:
+        raw = (t or "").encode()
+        assert media.unwrap(back[hashlib.sha256(raw).digest()]) == media.payload(t or "")
+    assert stored[1].count() > 3  # the long texts share chunks
+    got = {r.doc_id: r for r in media.describe_documents(df).collect()}
+    for i, t in enumerate(texts):
+        p = media.payload(t or "")
+        assert got[i].n_bytes == len((t or "").encode()) and got[i].payload_sha256 == hashlib.sha256(p).hexdigest() and got[i].tail_crc32 == zlib.crc32(p[-64:])
+    assert got[0].feature == got[1].feature
+    assert media.describe_documents(df.limit(0)).count() == 0
+
+
+def test_cuts_do_not_depend_on_neighbours():
+    rng = random.Random(4)
+    some = [media.wrap(media.payload(words(rng, n))) for n in (5, 900, 4000, 1, 2500)]
+    assert media.cuts(some) == [media.cuts([m])[0] for m in some]
+
+
+# --- op4 -------------------------------------------------------------------------------------------------------------
+
+
+def test_jaccard_join_against_brute_force(spark):
+    rng = random.Random(6)
+    docs = []
+    for _ in range(12):
+        base = words(rng, 80).split()
+        for k in range(rng.randrange(1, 9)):
+            w = list(base)
+            for _ in range(k % 5):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            docs.append(" ".join(w))
+    docs += [docs[0], docs[0].upper(), "", None, "one two", "one  two", "a b c d e", words(rng, 20_000)]
+    df = spark.createDataFrame([(i * 3, t, 1, 2) for i, t in enumerate(docs)], "doc_id long, text string, rep int, links int")
+    sets = []
+    for t in docs:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    links = [(a, b) for a, b in combinations(range(len(docs)), 2) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    comp = find(len(docs), links)
+    for block in (1500, 3):
+        got = {r.doc_id: (r.class_id, r.n_links, r.component_id) for r in ngramjoin.jaccard_join(df, block=block).collect()}
+        for i in range(len(docs)):
+            first = min([j for j in range(len(docs)) if sets[j] == sets[i] and sets[i]] or [i])
+            assert got[3 * i] == (3 * first, sum(i in p for p in links), 3 * comp[i])
+    assert ngramjoin.keep_one(df).count() == len(set(comp))
+    assert ngramjoin.jaccard_join(df.limit(0)).count() == 0
+
+
+def test_posterior_needs_more_matches_with_more_values():
+    plan = ngramjoin.least_matches(ngramjoin.Fraction(4, 5), 1e-6)
+    assert [n for n, _ in plan] == [32, 64, 96, 128] and all(0 < m < 0.8 * n for n, m in plan)
+
+
+# --- op1 -------------------------------------------------------------------------------------------------------------
+
+
+def test_forest_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 64))
+    x = np.concatenate([c + 0.12 * rng.normal(size=(rng.integers(1, 12), 64)) for c in centres])
+    labels = [int(i) for i in rng.integers(0, 2, len(x))]
+    rows = [(i, v.tolist(), y, "extra") for i, (v, y) in enumerate(zip(x, labels, strict=True))]
+    n = len(rows)
+    rows += [(n, rows[0][1], labels[0], ""), (n + 1, None, 0, ""), (n + 2, [0.0] * 64, 0, ""), (n + 3, rows[0][1], None, ""), (n + 4, [float("nan")] * 64, 0, ""), (n + 5, [None] + rows[0][1][1:], labels[0], ""), (n + 6, [], 0, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    good = np.concatenate([x, x[:1]])
+    good /= np.linalg.norm(good, axis=1, keepdims=True)
+    y = np.array([*labels, labels[0]])
+    link = (good @ good.T >= 0.93) & (y[:, None] == y[None, :])
+    np.fill_diagonal(link, False)
+    comp = find(n + 7, zip(*np.nonzero(link), strict=True))
+    for leaf, block in ((40, 2000), (100, 25)):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(df, leaf=leaf, block=block).collect()}
+        for i in range(n + 7):
+            assert got[i] == (int(link[i].sum()) if i <= n else 0, comp[i], comp[i] == i)
+    assert forest.near_duplicates(df.limit(0)).count() == 0
+
+
+# --- op7, op8 --------------------------------------------------------------------------------------------------------
+
+
+def sentences(rng, stems, n):
+    return " ".join(rng.choice(stems) + rng.choice(["a", "en", "ion", "o", ""]) for _ in range(n))
+
+
+STEMS = {"aa": ["kilo", "mora", "tipa", "wero"], "bb": ["schul", "grun", "pfla", "zwis"], "cc": ["queu", "beaux", "oise", "trei"]}
+
+
+def test_language_id(spark):
+    rng = random.Random(8)
+    rows = [(i, sentences(rng, STEMS[v], 40), v, "s") for i, v in enumerate(["aa", "bb", "cc"] * 40)]
+    train = spark.createDataFrame(rows, DOC)
+    model = langid.train(train)
+    test = [(900 + i, sentences(rng, STEMS[v], 25), v, 0.5) for i, v in enumerate(["aa", "bb", "cc"] * 10)] + [(990, None, None, 0.0), (991, "12 !?", "aa", 0.0), (992, "", "aa", 0.0), (993, sentences(rng, STEMS["bb"], 30_000), "bb", 0.0)]
+    df = spark.createDataFrame(test, "doc_id long, text string, lang string, score double")
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(got[d].lang_pred == v and 0 <= got[d].score <= 1 for d, _, v, _ in test if d not in (990, 991, 992))
+    assert all(got[d].lang_pred == "und" for d in (990, 991, 992))
+    mixed = sentences(rng, STEMS["aa"], 12) + " " + sentences(rng, STEMS["bb"], 12)
+    tags = langid.tag_words(spark.createDataFrame([(1, mixed, "", "")], DOC), model).orderBy("begin").collect()
+    assert [t.lang for t in tags] == ["aa"] * 12 + ["bb"] * 12 and all(mixed[t.begin : t.end] == t.word for t in tags)
+    assert langid.predict(df, langid.train(train.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(160):
+        w = sentences(rng, STEMS["aa"], 60).split()
+        if i % 4 == 0:
+            w[rng.randrange(60)] = "vile" + rng.choice(["a", "en", "ion"])
+            w[rng.randrange(60)] = "vileness"
+        rows.append((i, " ".join(w), "aa", "s"))
+        labels.append((i, int(i % 4 == 0)))
+    docs, y = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, y.where("doc_id < 120"))
+    extra = spark.createDataFrame([(500, None, "", ""), (501, "", "", ""), (502, rows[0][1] + " kilo" * 20_000, "", "")], DOC)
+    got = {r.doc_id: r for r in toxicity.score(docs.unionByName(extra), model).collect()}
+    assert all(got[i].predicted == t and 0 <= got[i].score <= 1 for i, t in labels if i >= 120)
+    text = dict((r[0], r[1]) for r in rows)
+    spans = {text[i][s.begin : s.end][:4] for i, t in labels if t and i >= 120 for s in got[i].spans}
+    assert spans == {"vile"}
+    assert got[500].predicted == 0 and got[501].predicted == 0 and got[502].predicted == 1
+    none = toxicity.train(docs, y.limit(0))
+    assert toxicity.score(docs.limit(2), none).count() == 2
+
+
+# --- op6 -------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    rows = [
+        (1, "Some prose.\nReleased under the MIT License.", "a/b/LICENSE"),
+        (2, "int main", "a/b/c/d/x.c"),
+        (3, "Licensed under the Apache License, Version 2.0", "a/b/c/y.c"),
+        (4, "prose about a license to wonder and many other things of this world", "a/z.c"),
+        (5, None, "a/b/q.c"),
+        (6, "", None),
+        (7, "Released under the MIT License.", "a/b/c/d/e"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    found = {r.doc_id: r.license for r in licenses.detect(df).collect()}
+    assert found == {1: "MIT", 3: "Apache-2.0", 7: "MIT"}
+    got = {r.doc_id: (r.license, r.from_path) for r in licenses.inherit(df.select("doc_id", "path"), licenses.detect(df)).collect()}
+    assert got[2] == ("MIT", "a/b/c/d") and got[3] == ("Apache-2.0", "a/b/c/y.c") and got[4] == (None, None) and got[5] == ("MIT", "a/b") and got[6] == (None, None)
+    assert licenses.detect(df.limit(0)).count() == 0
+
+
+# --- op9 -------------------------------------------------------------------------------------------------------------
+
+
+def fill(total, caps, weights):
+    """Water filling among siblings in whole tokens, by repeated rounds."""
+    done = {}
+    while True:
+        left = total - sum(done.values())
+        todo = [k for k in caps if k not in done]
+        w = sum(weights[k] for k in todo)
+        full = [k for k in todo if caps[k] * w <= left * weights[k]]
+        if not full:
+            return done | {k: max(left, 0) * weights[k] // w for k in todo}
+        done |= {k: caps[k] for k in full}
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["web", "web", "web", "books"]), rng.choice(["en", "de", None]), f"s{rng.randrange(3)}", rng.randrange(0, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    from pyspark.sql import functions as F
+
+    wd, wl = {"web": 1, "books": 3}, {"en": 5, "de": 2, "": 1}
+    weights = {"domain": F.when(F.col("domain") == "web", 1).otherwise(3), "lang": F.when(F.col("lang") == "en", 5).when(F.col("lang") == "de", 2).otherwise(1), "source": F.lit(1)}
+    got = {r.doc_id: r.copies for r in mixing.mix(df, ["domain", "lang", "source"], weights, (1, 1), 3, seed=4).collect()}
+    tokens = {}
+    for _, a, b, c, n in rows:
+        tokens[a, b or "", c] = tokens.get((a, b or "", c), 0) + n
+    caps = {k: 3 * v for k, v in tokens.items()}
+    plan = {}
+    top = fill(sum(tokens.values()), {a: sum(v for k, v in caps.items() if k[0] == a) for a in wd}, wd)
+    for a in wd:
+        langs = {k[1] for k in caps if k[0] == a}
+        mid = fill(top[a], {b: sum(v for k, v in caps.items() if k[:2] == (a, b)) for b in langs}, wl)
+        for b in langs:
+            leaf = {k: v for k, v in caps.items() if k[:2] == (a, b)}
+            plan |= fill(mid[b], leaf, dict.fromkeys(leaf, 1))
+    for leaf, budget in plan.items():
+        whole, rest = divmod(budget, tokens[leaf]) if tokens[leaf] else (0, 0)
+        mine = sorted(((hashlib.md5(f"4:{whole}:{i}".encode()).hexdigest(), i, n) for i, a, b, c, n in rows if (a, b or "", c) == leaf))
+        run = 0
+        for _, i, n in mine:
+            run += n
+            assert got[i] == whole + (rest > 0 and run <= rest)
+    assert mixing.repeated(mixing.mix(df, ["domain", "lang", "source"], weights)).count() > 0
+    assert mixing.mix(df.limit(0), ["domain", "lang", "source"], weights).count() == 0
