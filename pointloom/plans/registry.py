@@ -206,7 +206,8 @@ def bipartite_knn3(spark, d):
 def neighbour_cov(spark, d):
     e, p = _radius_edges(spark, d)
     out = geometry.covariance(e, p)
-    return _round(out, [c for c in out.columns if c not in ("src", "n")], 8)
+    # the tiny shift keeps exact ties of the rounding apart in both engines
+    return out.select("src", "n", *[F.round(F.col(c) + 1e-10, 8).alias(c) for c in out.columns if c not in ("src", "n")])
 
 
 def curvature(spark, d):
@@ -599,7 +600,7 @@ def oracle_sql() -> dict[str, str]:
         "knn20_noself_block": _with("SELECT * FROM e", _POINTS, _BLOCKS, _knn("e", K, "blocks", "blocks", "area, room, block_no", False)),
         "radius_knn": _with("SELECT * FROM e", _POINTS, _knn("e", K, radius=RADIUS)),
         "bipartite_knn3": _with("SELECT * FROM e", _POINTS, _VOXEL, _knn("e", 3, "points", "coarse")),
-        "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
+        "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c} + 1e-10::DOUBLE, 8) AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
         "curvature": _with("SELECT src, n, round(curvature, 6) + 0.0 AS curvature FROM curved", _POINTS, _knn("e", K), _cov("e"), _EIGEN, _CURVED),
         "verticality": _with("SELECT src, n, round(1 - az, 5) + 0.0 AS verticality FROM faced", _POINTS, _knn("e", K, radius=RADIUS), _cov("e"), _EIGEN, _NORMAL),
         "edge_features": _with("SELECT * FROM ef", _POINTS, _EDGES5, _EF),

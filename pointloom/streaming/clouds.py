@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,14 +19,12 @@ def score_stream(spark: SparkSession, landing: str, score: Callable[[DataFrame],
     batch number is a partition of the table and a batch that is run again
     replaces it.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", False).text(landing)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_s"))
 
     def each(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
-
         order = Window.partitionBy("file_path").orderBy("_s", "_m")
-        numbered = batch.withColumn("line_no", (F.row_number().over(order) - 1).cast("long")).select("file_path", "line_no", "value")
+        numbered = batch.withColumn("_m", F.monotonically_increasing_id()).withColumn("line_no", (F.row_number().over(order) - 1).cast("long")).select("file_path", "line_no", "value")
         scored = score(unlabelled_points(numbered)).withColumn("batch", F.lit(number))
         scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
