@@ -82,3 +82,8 @@ def check_blocks(nested: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     good = F.col("points").isNotNull() & F.col("num_valid").isNotNull() & (F.size("points") == size) & F.col("num_valid").between(1, size)
     flagged = nested.withColumn("_ok", F.coalesce(good, F.lit(False)))
     return flagged.where("_ok").drop("_ok"), flagged.where(~F.col("_ok")).drop("_ok")
+
+
+def time_per_block(jobs: DataFrame, seconds: str = "seconds", n_blocks: str = "n_blocks") -> DataFrame:
+    """Add ``per_block``, seconds per block; null for a job without blocks."""
+    return jobs.withColumn("per_block", F.col(seconds).cast("double") / F.nullif(F.col(n_blocks), F.lit(0)))

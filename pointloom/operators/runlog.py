@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def run_name(at: Column) -> Column:
+    """Name of a run that starts at a time, to the second."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def run_time(name: Column) -> Column:
+    """Start of a run from its name; null for other names."""
+    return F.try_to_timestamp(name, F.lit("yyyyMMdd_HHmmss"))
+
+
 def gaps(log: DataFrame) -> DataFrame:
     """Add ``loss_diff`` and ``acc_diff``."""
     return log.withColumn("loss_diff", F.col("val_loss") - F.col("train_loss")).withColumn("acc_diff", F.col("train_acc") - F.col("val_acc"))

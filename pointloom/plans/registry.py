@@ -396,6 +396,18 @@ def runlog_epoch_lines(spark, d):
     return tables.epoch_lines(log).where("train_loss <> 'null' AND val_loss <> 'null'")
 
 
+def run_names(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("ts").withColumn("run_name", runlog.run_name(F.col("ts")))
+    same = runlog.run_time(F.col("run_name")) == F.date_trunc("second", F.col("ts"))
+    return e.groupBy("run_name").agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
+
+
+def block_times(spark, d):
+    """Scoring time per block and room, at a nominal millisecond per point."""
+    rooms = B.room_blocks(_p(spark, d), ROOM, SIZE).withColumn("seconds", F.col("n_points") / 1000)
+    return _round(B.time_per_block(rooms).select(*ROOM, "per_block"), ["per_block"])
+
+
 # --- learning, scoring, streams --------------------------------------------------------------------------------------
 
 
@@ -470,7 +482,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     feature_vector9, normals_oriented, edge_features, neighbour_max_center, neighbour_max_reverse, voxel_sample, sample_semi_join, fps_quarter, interp_k3, skip_concat,
     multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
     merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
-    runlog_summary_json, runlog_epoch_lines, mlp_score, rf_score, best_of_two, score_blocks_udf, stream_scan_score, stream_run_metrics,
+    runlog_summary_json, runlog_epoch_lines, run_names, block_times, mlp_score, rf_score, best_of_two, score_blocks_udf, stream_scan_score, stream_run_metrics,
 ]
 
 
@@ -646,6 +658,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT run, epoch, " + ", ".join(f"printf('%.6f', {c}) AS {c}" for c in ("train_loss", "train_acc", "val_loss", "val_acc")) + ", printf('%.6f', val_loss - train_loss) AS loss_diff, printf('%.6f', train_acc - val_acc) AS acc_diff, '0.00100000' AS learning_rate FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL",
             _RUNS,
         ),
+        "run_names": "SELECT run_name, count(*) AS n, count(*) FILTER (WHERE strptime(run_name, '%Y%m%d_%H%M%S') = date_trunc('second', ts)) AS n_same FROM (SELECT ts, strftime(ts, '%Y%m%d_%H%M%S') AS run_name FROM events) GROUP BY run_name",
+        "block_times": _with("SELECT area, room, round(n_points / 1000.0::DOUBLE / n_blocks, 6) + 0.0 AS per_block FROM rooms", _POINTS, _ROOMS),
         "stream_scan_score": _with("SELECT x, y, z, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(least(floor(z * 13 / 3.001::DOUBLE), 12) AS INTEGER) AS pred FROM points", _POINTS),
         "stream_run_metrics": _with("SELECT run, count(*) AS epochs, max(val_acc) AS best_val_acc, arg_max(CAST(epoch AS INTEGER), struct_pack(a := val_acc, b := -epoch)) AS best_epoch FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL GROUP BY run", _RUNS),
     }
