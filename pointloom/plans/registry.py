@@ -57,7 +57,7 @@ def _round(df: DataFrame, columns: list[str], n: int = 6) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Mean curvature over 20 neighbours per area and label."""
     p = _p(spark, d)
-    curved = geometry.with_curvature(geometry.covariance(knn.scope_knn(p, K, ROOM, coords=MM), p))
+    curved = geometry.with_curvature(geometry.covariance(knn.knn_join(p, p, K, ROOM, coords=MM), p))
     both = curved.withColumnRenamed("src", "pid").join(p, "pid")
     return both.groupBy("area", "y_label").agg(F.round(F.avg("curvature"), 6).alias("curvature"), F.count("*").alias("n"))
 
