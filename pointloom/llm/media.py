@@ -4,7 +4,7 @@ A payload is stored as 8-bit mono audio (a 44-byte header and the samples), cut
 where a rolling gear hash of the last 32 bytes meets a mask.  Chunks that only
 one payload holds stay inline in its media row; chunks that several payloads
 hold are stored once in a chunk table.  Which are shared is found by joining
-digests only, so payload bytes cross the network once, when equal payloads are
+digests only, so payload bytes cross the network once, compressed, when equal payloads are
 brought together.  Reading back joins the shared chunks to the ordered lists,
 checks every digest and rebuilds the media byte by byte.
 """
@@ -33,9 +33,9 @@ _B, _L, _S = T.BinaryType(), T.LongType(), T.StringType()
 GEAR = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def payload(text: str) -> bytes:
+def payload(text: str | bytes) -> bytes:
     """UTF-8 bytes of a text, filled with zeros up to a positive multiple of 64."""
-    raw = text.encode("utf-8")
+    raw = text.encode("utf-8") if isinstance(text, str) else text
     return raw + b"\0" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
@@ -103,9 +103,9 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()[:16]
 
 
-def _chunks(texts: pd.Series) -> Iterator[tuple[bytes, list[bytes]]]:
-    """Stored form and chunks of each text, a bounded number of bytes at a time."""
-    at, texts = 0, list(texts)
+def _chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Stored form and chunks of each UTF-8 text, a bounded number of bytes at a time."""
+    at = 0
     while at < len(texts):
         some, size = [], 0
         while at < len(texts) and (not some or size < WINDOW):
@@ -116,32 +116,50 @@ def _chunks(texts: pd.Series) -> Iterator[tuple[bytes, list[bytes]]]:
             yield m, [m[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _portions(packed: pd.Series, rows: int = 500) -> Iterator[tuple[slice, list[bytes]]]:
+    """Unpacked texts of a batch, some rows at a time."""
+    for at in range(0, len(packed), rows):
+        part = slice(at, at + rows)
+        yield part, [zlib.decompress(z) for z in packed.iloc[part]]
+
+
+@F.pandas_udf(_B)
+def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts as compressed UTF-8 for the way through the exchange."""
+    for s in batches:
+        yield pd.Series([zlib.compress(t.encode("utf-8")) for t in s], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(_B))
 def chunk_digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Distinct chunk digests of packed texts."""
     for s in batches:
-        yield pd.Series([[*dict.fromkeys(map(digest, c))] for _, c in _chunks(s)], dtype=object)
+        for _, texts in _portions(s):
+            yield pd.Series([[*dict.fromkeys(map(digest, c))] for _, c in _chunks(texts)], dtype=object)
 
 
 @F.pandas_udf(T.StructType().add("digests", T.ArrayType(_B)).add("inline", T.ArrayType(_B)))
 def _inline(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, shared in batches:
-        digests, inline = [], []
-        for (_, chunks), away in zip(_chunks(texts), shared, strict=True):
-            away = set() if away is None else set(away)
-            names = [digest(c) for c in chunks]
-            digests.append(names)
-            inline.append([None if n in away else c for n, c in zip(names, chunks, strict=True)])
-        yield pd.DataFrame({"digests": digests, "inline": inline})
+    for packed, shared in batches:
+        for part, texts in _portions(packed):
+            digests, inline = [], []
+            for (_, chunks), away in zip(_chunks(texts), shared.iloc[part], strict=True):
+                away = set() if away is None else set(away)
+                names = [digest(c) for c in chunks]
+                digests.append(names)
+                inline.append([None if n in away else c for n, c in zip(names, chunks, strict=True)])
+            yield pd.DataFrame({"digests": digests, "inline": inline})
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("digest", _B).add("bytes", _B)))
 def _outline(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, shared in batches:
-        out = []
-        for (_, chunks), away in zip(_chunks(texts), shared, strict=True):
-            names = {digest(c): c for c in chunks}
-            out.append([{"digest": n, "bytes": names[n]} for n in away])
-        yield pd.Series(out, dtype=object)
+    for packed, shared in batches:
+        for part, texts in _portions(packed):
+            out = []
+            for (_, chunks), away in zip(_chunks(texts), shared.iloc[part], strict=True):
+                names = {digest(c): c for c in chunks}
+                out.append([{"digest": n, "bytes": zlib.compress(names[n])} for n in away])
+            yield pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(_B)
@@ -149,7 +167,7 @@ def _rebuild(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
     for digests, inline, names, fetched in batches:
         out = []
         for order, own, n, b in zip(digests, inline, names, fetched, strict=True):
-            table = {} if n is None else dict(zip(n, b, strict=True))
+            table = {} if n is None else {k: zlib.decompress(v) for k, v in zip(n, b, strict=True)}
             parts = [table[d] if c is None else c for d, c in zip(order, own, strict=True)]
             if any(digest(c) != d for d, c in zip(order, parts, strict=True)):
                 raise ValueError("a stored chunk does not match its digest")
@@ -157,35 +175,52 @@ def _rebuild(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
         yield pd.Series(out, dtype=object)
 
 
-def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Media table, chunk table and references of the distinct texts.
-
-    ``media(payload_id, digests, inline)`` has one row per distinct text (null
-    counts as empty) with its ordered chunk list; ``inline`` holds the bytes of
-    chunks no other payload has.  ``chunks(digest, bytes)`` holds each shared
-    chunk once; ``refs(payload_id, digest)`` says who needs it.  ``payload_id``
-    is the SHA-256 of the UTF-8 text.
-    """
+def _plan(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packed distinct texts with the digests kept elsewhere, chunk table, references."""
     t = F.coalesce(F.col(text), F.lit(""))
-    distinct = docs.select(F.unhex(F.sha2(t.cast("binary"), 256)).alias("payload_id"), t.alias("_t"))
+    distinct = docs.select(F.unhex(F.sha2(t.cast("binary"), 256)).alias("payload_id"), pack(t).alias("_z"))
     # said here, or joins would add it to some uses only and the one exchange of texts could not be shared
-    distinct = distinct.where("payload_id IS NOT NULL").groupBy("payload_id").agg(F.first("_t").alias("_t"))
-    held = distinct.select("payload_id", F.explode(chunk_digests("_t")).alias("digest"))
+    distinct = distinct.where("payload_id IS NOT NULL").groupBy("payload_id").agg(F.first("_z").alias("_z"))
+    held = distinct.select("payload_id", F.explode(chunk_digests("_z")).alias("digest"))
     several = held.groupBy("digest").count().where("count > 1").select("digest")
     refs = held.join(evenly(several), "digest").select("payload_id", "digest")
     away = refs.groupBy("payload_id").agg(F.collect_set("digest").alias("_away"))
     marked = distinct.join(away, "payload_id", "left")
-    media = marked.select("payload_id", _inline("_t", "_away").alias("_m")).select("payload_id", "_m.digests", "_m.inline")
-    out = marked.where("_away IS NOT NULL").select(F.explode(_outline("_t", "_away")).alias("_c"))
+    out = marked.where("_away IS NOT NULL").select(F.explode(_outline("_z", "_away")).alias("_c"))
     chunks = out.groupBy(F.col("_c.digest").alias("digest")).agg(F.first("_c.bytes").alias("bytes"))
-    return media, chunks, refs
+    return marked, chunks, refs
+
+
+def _stored(marked: DataFrame) -> DataFrame:
+    """Replace packed texts by their ordered chunk lists."""
+    keep = [c for c in marked.columns if c not in ("_z", "_away")]
+    return marked.select(*keep, _inline("_z", "_away").alias("_m")).select(*keep, "_m.digests", "_m.inline")
+
+
+def store(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Media table, chunk table and references of the distinct texts.
+
+    ``media(payload_id, digests, inline)`` has one row per distinct text (null
+    counts as empty) with its ordered chunk list; ``inline`` holds the bytes of
+    chunks no other payload has.  ``chunks(digest, bytes)`` holds each shared
+    chunk once, compressed; ``refs(payload_id, digest)`` says who needs it.
+    ``payload_id`` is the SHA-256 of the UTF-8 text.
+    """
+    marked, chunks, refs = _plan(docs, text)
+    return _stored(marked), chunks, refs
+
+
+def _fetched(chunks: DataFrame, refs: DataFrame) -> DataFrame:
+    return refs.join(evenly(chunks), "digest").groupBy("payload_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("_g"))
+
+
+def _rebuilt(media: DataFrame) -> DataFrame:
+    return media.select("payload_id", _rebuild("digests", "inline", F.col("_g.digest"), F.col("_g.bytes")).alias("media"))
 
 
 def read_back(media: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """``(payload_id, media binary)``: stored forms rebuilt from verified chunks."""
-    got = refs.join(evenly(chunks), "digest").groupBy("payload_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("_g"))
-    both = media.join(got, "payload_id", "left")
-    return both.select("payload_id", _rebuild("digests", "inline", F.col("_g.digest"), F.col("_g.bytes")).alias("media"))
+    return _rebuilt(media.join(_fetched(chunks, refs), "payload_id", "left"))
 
 
 _DESCRIBED = (
@@ -216,6 +251,8 @@ def describe_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     rows then go to all rows with that text.  Repeated rows are kept.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = read_back(*store(docs, text)).select("payload_id", describe("media").alias("_d")).select("payload_id", "_d.*")
+    marked, chunks, refs = _plan(docs, text)
+    # the chunks a payload needs from the table arrive before its list is written out, so inline bytes stay where they are
+    found = _rebuilt(_stored(marked.join(_fetched(chunks, refs), "payload_id", "left"))).select("payload_id", describe("media").alias("_d")).select("payload_id", "_d.*")
     mine = docs.select(F.col(key), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("payload_id"))
     return mine.join(evenly(found), "payload_id").drop("payload_id")
