@@ -117,7 +117,7 @@ class Crf:
     transitions: np.ndarray
     start: np.ndarray
     lexicons: dict[str, frozenset] = field(default_factory=dict)
-    cache_words: int = 150_000
+    cache_words: int = 100_000
 
     def __post_init__(self) -> None:
         self._ids: dict[str, int] = {}
@@ -316,7 +316,7 @@ def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[s
     return sorted(drawn.select(*columns).collect(), key=lambda r: tuple(map(str, r)))
 
 
-def in_portions(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[int]]:
+def in_portions(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[int]]:
     """Row numbers of texts, longest first, in portions of bounded size.
 
     Texts of like length end up together, so the steps of forward-backward are

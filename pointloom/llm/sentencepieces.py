@@ -37,7 +37,7 @@ class PrefixTableEncoder:
     when full, so memory does not grow with the corpus.
     """
 
-    def __init__(self, model_path: str, cache_words: int = 300_000):
+    def __init__(self, model_path: str, cache_words: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -177,7 +177,7 @@ class PrefixTableEncoder:
 _LOADED: dict[tuple, PrefixTableEncoder] = {}
 
 
-def encoder(model_path: str, cache_words: int = 300_000) -> PrefixTableEncoder:
+def encoder(model_path: str, cache_words: int = 150_000) -> PrefixTableEncoder:
     """The encoder of this process for a model file, loaded once."""
     key = (model_path, cache_words)
     if key not in _LOADED:
@@ -185,7 +185,7 @@ def encoder(model_path: str, cache_words: int = 300_000) -> PrefixTableEncoder:
     return _LOADED[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", cache_words: int = 300_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", cache_words: int = 200_000) -> DataFrame:
     """Add ``ids array<int>`` and ``decoded string`` to every row.
 
     Null texts count as empty (ids hold the end id only).  Columns of ``docs``
@@ -197,19 +197,20 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", cache_wo
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(model_path, cache_words)
         for s in batches:
-            ids, decoded = [], []
-            for x in s:
-                got = e.encode(x)
-                decoded.append(e.decode(got))
-                ids.append(np.array(got, np.int32))  # an eighth of the memory of a list
-            yield pd.DataFrame({"ids": ids, "decoded": decoded})
+            for at in range(0, len(s), 250):  # small portions: ids take more memory than texts
+                ids, decoded = [], []
+                for x in s.iloc[at : at + 250]:
+                    got = e.encode(x)
+                    decoded.append(e.decode(got))
+                    ids.append(np.array(got, np.int32))
+                yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
     out = docs.select(*keep, both(F.coalesce(F.col(text), F.lit(""))).alias("_both"))
     return out.select(*keep, "_both.ids", "_both.decoded")
 
 
-def encoding_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", cache_words: int = 300_000) -> DataFrame:
+def encoding_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", cache_words: int = 400_000) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)`` of every row, in one pass.
 
     The digest form of :func:`encode_decode`: ids and decoded texts are hashed
