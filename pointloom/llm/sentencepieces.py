@@ -146,7 +146,7 @@ class PrefixTableEncoder:
             out += self._run(known)
         return tuple(out)
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str, lines: bool = False) -> list[str]:
         if not text:
             return []
         words = self.cut.findall(MARK + text.replace(" ", MARK))
@@ -157,7 +157,8 @@ class PrefixTableEncoder:
         for w in words:
             if w not in ids:
                 got = ids[w] = self._word(w)
-                self._words[w] = " ".join(map(str, got))
+                if lines:
+                    self._words[w] = " ".join(map(str, got))
         return words
 
     def encode(self, text: str) -> list[int]:
@@ -166,9 +167,12 @@ class PrefixTableEncoder:
 
     def encode_both(self, text: str) -> tuple[list[int], str]:
         """Ids, and the same ids in decimal joined by one space."""
-        words = self._split(text)
+        words = self._split(text, lines=True)
         ids = [*chain.from_iterable(map(self._ids.__getitem__, words)), self.end_id]
-        return ids, " ".join([*map(self._words.__getitem__, words), str(self.end_id)])
+        try:
+            return ids, " ".join([*map(self._words.__getitem__, words), str(self.end_id)])
+        except KeyError:  # a word that encode() met first
+            return ids, " ".join(map(str, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
