@@ -27,6 +27,7 @@ HINT = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
 # fixed values: element names of the markup language
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "select", "button", "noembed", "noframes", "xmp"}
+FOREIGN = {"svg", "math"}  # a slash ends these at once
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -54,6 +55,17 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     aside = main = anchors = 0
     heading = item = 0
 
+    def close(i: int) -> None:
+        """Pop the elements from ``i`` on and take their marks back."""
+        nonlocal aside, main, anchors, heading, item
+        for n, a, b in stack[i:]:
+            aside -= a
+            main -= b
+            anchors -= n == "a"
+            heading -= n in HEADING
+            item -= n == "li"
+        del stack[i:]
+
     def flush() -> None:
         nonlocal text, linked
         if text:
@@ -89,15 +101,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 text.append(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for n, a, b in stack[i:]:
-                        aside -= a
-                        main -= b
-                        anchors -= n == "a"
-                        heading -= n in HEADING
-                        item -= n == "li"
-                    del stack[i:]
+                    close(i)
                     break
             continue
+        if name in FOREIGN and m["rest"].endswith("/"):
+            text.append(" ")
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -106,16 +115,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if name in BLOCK:
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             elif stack and name == "p":  # an open paragraph below inline elements ends as well
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in BLOCK:
                         if stack[i][0] == "p":
-                            for n, a, b in stack[i:]:
-                                aside -= a
-                                main -= b
-                                anchors -= n == "a"
-                            del stack[i:]
+                            close(i)
                         break
         elif name == "br" or name in CELL:
             text.append(" ")
