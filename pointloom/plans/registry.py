@@ -229,7 +229,7 @@ def normals_zup(spark, d):
 
 def _features(spark, d):
     p = _p(spark, d)
-    return geometry.radius_features(p, ROOM, K, RADIUS / 1000)
+    return geometry.geometric_features(p, ROOM, K, RADIUS, neighbours=knn.knn_join(p, p, K, ROOM, coords=MM))
 
 
 def feature_vector9(spark, d):
@@ -237,8 +237,9 @@ def feature_vector9(spark, d):
 
 
 def normals_oriented(spark, d):
-    e, p = _radius_edges(spark, d)
-    n = geometry.with_normal(geometry.covariance(e, p)).select(F.col("src").alias("pid"), "nx", "ny", "nz")
+    p = _p(spark, d)
+    e = knn.knn_join(p, p, K, ROOM, coords=MM)
+    n = geometry.with_normal(geometry.covariance(e.where(F.col("d2") <= RADIUS * RADIUS), p)).select(F.col("src").alias("pid"), "nx", "ny", "nz")
     return orient.orient_normals(n.join(p.select("pid", "z"), "pid"), e).select("pid", "component", "nx", "ny", "nz")
 
 
