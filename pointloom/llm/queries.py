@@ -196,24 +196,16 @@ def license_sql(threshold: float = 0.6) -> str:
 
 
 def line_dedup_sql(min_chars: int = 20) -> str:
-    """DuckDB twin of op2: stretches of 1, 2, 4, ... lines named by their digests."""
-    ctes = [
-        "l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents WHERE text IS NOT NULL)",
-        "p0 AS (SELECT doc_id, line, md5(s) AS r, CAST(length(s) AS BIGINT) AS chars FROM l)",
-        "q0 AS (SELECT *, min(struct_pack(a := doc_id, b := line)) OVER (PARTITION BY r) AS first, count(*) OVER (PARTITION BY r) AS n FROM p0)",
-    ]
-    for j in range(16):
-        ctes += [
-            f"s{j} AS MATERIALIZED (SELECT * FROM q{j} WHERE n > 1)",
-            f"p{j + 1} AS (SELECT x.doc_id, x.line, md5(x.r || y.r) AS r, x.chars + y.chars AS chars FROM s{j} x JOIN s{j} y ON x.doc_id = y.doc_id AND y.line = x.line + {1 << j})",
-            f"q{j + 1} AS (SELECT *, min(struct_pack(a := doc_id, b := line)) OVER (PARTITION BY r) AS first, count(*) OVER (PARTITION BY r) AS n FROM p{j + 1})",
-        ]
-    copies = " UNION ALL ".join(f"SELECT doc_id, line, line + {1 << j} AS stop FROM s{j} WHERE first < struct_pack(a := doc_id, b := line) AND chars >= {min_chars}" for j in range(16))
+    """DuckDB twin of op2 by the definition: maximal runs of equal lines at one distance in a pair of documents."""
     return f"""
-    WITH {", ".join(ctes)}, c AS (SELECT doc_id, line, max(stop) AS stop FROM ({copies} UNION ALL SELECT doc_id, line, NULL FROM s0) GROUP BY ALL),
-    g AS (SELECT doc_id, line FROM (SELECT doc_id, line, max(stop) OVER (PARTITION BY doc_id ORDER BY line) AS reach FROM c) WHERE reach > line),
-    o AS (SELECT x.doc_id, count(*) AS n_lines, count(g.line) AS n_removed, string_agg(raw, chr(10) ORDER BY x.line) FILTER (WHERE g.line IS NULL) AS kept
-          FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.line = x.line GROUP BY x.doc_id)
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL),
+    s AS MATERIALIZED (SELECT *, md5(trim(raw, ' ')) AS h, length(trim(raw, ' ')) AS chars FROM l),
+    m AS (SELECT a.doc_id, a.line, a.chars, b.doc_id AS other, a.line - b.line AS off FROM s a JOIN s b ON a.h = b.h AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.line < a.line)),
+    r AS (SELECT DISTINCT doc_id, min(line) AS start, max(line) AS stop FROM (SELECT *, line - row_number() OVER (PARTITION BY doc_id, other, off ORDER BY line) AS i FROM m)
+          GROUP BY doc_id, other, off, i HAVING sum(chars) >= {min_chars}),
+    g AS (SELECT DISTINCT doc_id, line, true AS gone FROM (SELECT doc_id, unnest(range(start, stop + 1)) AS line FROM r)),
+    o AS (SELECT s.doc_id, count(*) AS n_lines, count(gone) AS n_removed, string_agg(raw, chr(10) ORDER BY s.line) FILTER (WHERE gone IS NULL) AS kept
+          FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.line = s.line GROUP BY s.doc_id)
     SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text FROM documents d LEFT JOIN o USING (doc_id)
     """
 

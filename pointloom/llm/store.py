@@ -1,12 +1,13 @@
 """Materialised intermediate tables that survive lost executors.
 
 Lineage is cut by writing Parquet below the folder the cluster names in
-``spark.checkpoint.dir`` (shared by the driver and all executors).  Only when
-that setting is absent, as in unit tests, a private folder is created.
+``spark.checkpoint.dir`` (shared by the driver and all executors).  Only in
+local mode, as in unit tests, a private folder stands in when it is unset.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Column of row ids; no table of ours names a column like this.
+ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; an own one where unset."""
+    """The shared checkpoint folder of the session; an own one in local mode where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="pointloom-"))
     return f"file://{_OWN[0]}"
@@ -40,6 +45,11 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """``rows`` written with an id of their own in column ``ROW``, which every later plan sees alike."""
+    return materialise(rows.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete a table written by :func:`materialise` that no plan reads any more."""
     path = getattr(df, "_written_at", None)

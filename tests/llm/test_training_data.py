@@ -12,6 +12,7 @@ pytest.importorskip("pointloom.llm")
 
 from pointloom.llm import forest, langid, licenses, linededup, media, mixing, ngramjoin, queries, sentencepieces, toxicity  # noqa: E402
 from pointloom.llm.components import connected_components  # noqa: E402
+from pointloom.llm.store import numbered  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string"
 
@@ -72,45 +73,69 @@ def test_pieces_on_rows(spark):
 
 
 def brute_lines(docs, min_chars):
-    lines = [(d, i, s.strip(" ")) for d, t in docs for i, s in enumerate(t.split("\n"))]
-    at = {(d, i): s for d, i, s in lines}
+    """(row, line) of all lines in a later copy of a run of any length; ``docs`` are (key, text) in row order."""
+    places = sorted((k is not None, k or 0, r, i) for r, (k, t) in enumerate(docs) if t is not None for i in range(t.count("\n") + 1))
+    text = {r: [s.strip(" ") for s in t.split("\n")] for r, (_, t) in enumerate(docs) if t is not None}
     gone = set()
-    size = 1
-    while True:
-        runs = {}
-        for d, i, _ in lines:
-            if all((d, i + k) in at for k in range(size)):
-                runs.setdefault(tuple(at[d, i + k] for k in range(size)), []).append((d, i))
-        if not any(len(v) > 1 for v in runs.values()):
-            return gone
-        for run, places in runs.items():
-            if sum(map(len, run)) >= min_chars:
-                for d, i in sorted(places)[1:]:
-                    gone |= {(d, i + k) for k in range(size)}
-        size *= 2
-
-
-def test_line_dedup_against_brute_force(spark):
-    rng = random.Random(2)
-    pool = ["alpha beta gamma delta", "short", "", "x", "a common line of some length", *(words(rng, 5) for _ in range(12))]
-    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else words(rng, 6, 10**6) for _ in range(rng.randrange(1, 12)))) for i in range(60)]
-    docs += [(i, docs[3][1]) for i in (100, 101)] + [(102, "intro\n" + docs[4][1] + "\noutro")]
-    df = spark.createDataFrame([(*d, "en", 7) for d in docs], "doc_id long, text string, lang string, n_lines int")
-    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
-    gone = brute_lines(docs, 20)
-    for d, t in docs:
-        kept = [s for i, s in enumerate(t.split("\n")) if (d, i) not in gone]
-        assert got[d] == ("\n".join(kept), t.count("\n") + 1 - len(kept))
-    runs = linededup.repeated_runs(linededup.lines_of(df)).collect()
-    assert sum(r.n_lines for r in runs) == len(gone)
+    for size in range(1, max(map(len, text.values()), default=0) + 1):
+        seen = set()
+        for *_, r, i in places:
+            run = tuple(text[r][i : i + size])
+            if len(run) == size and sum(map(len, run)) >= min_chars:
+                if run in seen:
+                    gone |= {(r, i + k) for k in range(size)}
+                seen.add(run)
+    return gone
+
+
+def deduped(spark, docs, parts=3):
+    """Rows of the operator in the order of ``docs``, which carry their number in an extra column."""
+    df = spark.createDataFrame([(k, t, i, 7) for i, (k, t) in enumerate(docs)], "doc_id long, text string, no int, n_lines int").coalesce(1)
+    return [(r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(df).orderBy("no").collect()]
+
+
+def expected(docs, min_chars=20):
+    gone, out = brute_lines(docs, min_chars), []
+    for r, (_, t) in enumerate(docs):
+        kept = None if t is None else [s for i, s in enumerate(t.split("\n")) if (r, i) not in gone]
+        out.append((None, 0, 0) if t is None else ("\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_line_dedup_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = ["alpha beta gamma delta", "short", "", "x", " y ", "nine char", "twelve chars", "a common line of some length", *(words(rng, 5) for _ in range(8))]
+    docs = [(rng.choice([None, i, i, i // 2]), "\n".join(rng.choice(pool) if rng.random() < 0.85 else words(rng, 6, 10**6) for _ in range(rng.randrange(1, 14)))) for i in range(70)]
+    docs += [(i, docs[3][1]) for i in (100, 101)] + [(102, "intro\n" + docs[4][1] + "\noutro"), (103, "\n".join(["x"] * 60)), (104, "\n".join(["", "y"] * 30))]
+    assert deduped(spark, docs) == expected(docs)
+
+
+def test_short_lines_count_together(spark):
+    for run in ("eight ch\nsomewhat\nchars 08", "twelve chars\nx\nchars twelve", "\n".join("abcdefg")):
+        docs = [(1, f"{run}\nonly here, in the first"), (2, f"another beginning of it\n{run}")]
+        enough = len(run.replace("\n", "")) >= 20
+        assert deduped(spark, docs)[1] == (("another beginning of it" if enough else docs[1][1]), run.count("\n") + 2, (run.count("\n") + 1) * enough)
 
 
 def test_line_dedup_edges(spark):
     t = "one line that is long enough\nanother line that is long enough"
-    df = spark.createDataFrame([(1, t), (2, None), (3, ""), (None, t), (4, t), (4, t), (5, "y" * 50_000)], "doc_id long, text string")
-    got = sorted(((r.doc_id or 0), r.text, r.n_removed) for r in linededup.dedup_lines(df).collect() if r.text is not None)
-    assert got[0] == (0, t, 0) and (1, t, 0) in got and got.count((4, "", 2)) == 2 and (3, "", 0) in got
-    assert linededup.dedup_lines(df.limit(0)).count() == 0
+    docs = [(1, t), (2, None), (3, ""), (None, t), (4, t), (4, t), (5, "y" * 50_000), (7, "the same line of two rows"), (7, "a line that one row holds"), (8, "the same line of two rows")]
+    docs += [(9, "\n".join(f"line number {i} of a long document" for i in range(30_000))), (10, "\n".join(f"line number {i} of a long document" for i in range(0, 30_000, 2)))]
+    got = deduped(spark, docs)
+    assert got[3] == (t, 2, 0)  # null keys come first
+    assert got[0] == got[4] == got[5] == ("", 2, 2) and got[1] == (None, 0, 0) and got[2] == ("", 1, 0)
+    assert [x[0] for x in got[7:10]] == ["the same line of two rows", "a line that one row holds", ""]
+    assert got[10][2] == 0 and got[11] == ("", 15_000, 15_000)
+    assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    with pytest.raises(ValueError):
+        linededup.repeated_runs(spark.createDataFrame([], "doc long, row long, line long, h binary, chars long"), 0)
+
+
+def test_repeated_runs_are_maximal(spark):
+    docs = spark.createDataFrame([(1, "a first line of the run\nshort\nthe last line of the run"), (2, "before\na first line of the run\nshort\nthe last line of the run\nafter")], "doc_id long, text string")
+    found = linededup.repeated_runs(linededup.lines_of(numbered(docs.coalesce(1)))).collect()
+    assert [(r.line, r.n_lines) for r in found] == [(1, 3)]
 
 
 # --- op3 -------------------------------------------------------------------------------------------------------------
