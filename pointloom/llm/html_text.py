@@ -1,16 +1,20 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page is cut into flat blocks (runs of text between block elements).  Each
-block has its word count and link density, those of the block before and
-after, and a few marks of the markup around it.  A decision tree trained with
-MLlib on a small labelled table of blocks (:func:`labelled_pages`) decides which
-blocks belong to the article.
+block has its word count and link density and those of the blocks before and
+after it.  Two weak features come from the markup: whether the block lies in an
+element that names itself as main text, and how small a part of the page's
+words the innermost element holds that names itself as menu, advert, notice or
+the like (an element around the whole page counts for nothing).  A decision
+tree trained with MLlib on a small table of blocks labelled by hand
+(:func:`labelled_pages`) decides which blocks belong to the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,8 +27,9 @@ TAG = re.compile(
     re.S,
 )
 SPACE = re.compile(r"\s+")
-HINT = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # fixed values: element names of the markup language
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "select", "button", "noembed", "noframes", "xmp"}
 FOREIGN = {"svg", "math"}  # a slash ends these at once
@@ -34,64 +39,89 @@ BLOCK = {
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
 CELL = {"td", "th"}
-HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-ASIDE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "search", "fieldset"}
+# words by which elements name themselves; evidence for the tree, not a rule
+ASIDE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "search", "fieldset", "head", "header"}
 ASIDE_WORDS = {
-    "nav", "navbar", "navigation", "menu", "sidebar", "side", "footer", "foot", "header", "masthead", "topbar", "toolbar", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "cookie", "cookies", "consent", "gdpr",
-    "notice", "alert", "promo", "promotion", "sponsor", "sponsored", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination",
-    "pager", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "search", "searchbox", "widget", "copyright", "disclaimer", "skip", "complementary", "contentinfo", "form", "feedback", "trending", "tags", "byline", "meta",
+    "nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "ad", "ads", "advert", "advertisement", "banner", "cookie", "cookies", "consent", "notice", "promo", "sponsor", "sponsored", "comment", "comments",
+    "reply", "replies", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "copyright", "contentinfo", "complementary", "byline", "meta",
 }
-MAIN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+MAIN_TAGS = {"article", "main"}
+MAIN_WORDS = {"article", "content", "main", "post", "entry", "story"}
 
-FEATURES = ["words", "words_before", "words_after", "links", "links_before", "links_after", "aside", "main", "heading", "item"]
+FEATURES = ["words", "words_before", "words_after", "links", "links_before", "links_after", "aside", "main"]
+
+
+def _names(rest: str) -> tuple[bool, bool]:
+    """Whether the attributes of an element speak of a side part, and of the main part."""
+    aside = main = False
+    for name, *values in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in ("class", "id", "role", "itemprop"):
+            for token in value.split():
+                parts = {p.lower() for p in NAME_PART.findall(token)}
+                if parts & ASIDE_WORDS:
+                    aside = True
+                elif parts & MAIN_WORDS:
+                    main = True
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and INVISIBLE.search(value):
+            aside = True
+    return aside, main
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """(text, features) of every non-empty flat block of a page, in order."""
-    found: list[tuple[str, int, int, int, int, int, int]] = []
+    """(text, features) of every non-empty flat block of a page, in order; time in proportion to the page."""
+    found: list[tuple[str, int, int, int, bool]] = []  # text, words, linked words, innermost side part, in the main part
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # name, aside mark, main mark
-    aside = main = anchors = 0
-    heading = item = 0
+    stack: list[tuple[str, int, int]] = []  # name, number of the side part it opens (or -1), main mark
+    open_names: Counter[str] = Counter()
+    block_at: list[int] = []  # places of the open block elements on the stack
+    sides: list[int] = []  # open side parts, innermost last
+    spans: list[list[int]] = []  # first block and end of each side part
+    main = 0
 
     def close(i: int) -> None:
         """Pop the elements from ``i`` on and take their marks back."""
-        nonlocal aside, main, anchors, heading, item
-        for n, a, b in stack[i:]:
-            aside -= a
+        nonlocal main
+        while len(stack) > i:
+            n, side, b = stack.pop()
+            open_names[n] -= 1
             main -= b
-            anchors -= n == "a"
-            heading -= n in HEADING
-            item -= n == "li"
-        del stack[i:]
+            if side >= 0:
+                spans[sides.pop()][1] = len(found)
+            if n in BLOCK:
+                block_at.pop()
+
+    def close_named(name: str) -> None:
+        i = len(stack) - 1
+        while stack[i][0] != name:
+            i -= 1
+        close(i)
 
     def flush() -> None:
-        nonlocal text, linked
         if text:
             s = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if s:
                 n = s.count(" ") + 1
                 k = len(html.unescape(" ".join(linked)).split())
-                found.append((s, n, min(k, n), aside, main, heading, item))
-            text, linked = [], []
+                found.append((s, n, min(k, n), sides[-1] if sides else -1, main > 0))
+            text.clear()
+            linked.clear()
 
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at:
-            piece = page[at:stop]
-            text.append(piece)
-            if anchors:
-                linked.append(piece)
+            text.append(page[at:stop])
+            if open_names["a"]:
+                linked.append(page[at:stop])
         if not m:
             break
         at = m.end()
-        name = m["name"]
-        if not name:
+        if not m["name"]:
             continue
-        name = name.lower()
+        name, rest = m["name"].lower(), m["rest"]
         if m["end"]:
             if name in RAW or name in VOID:
                 continue
@@ -99,12 +129,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 flush()
             elif name in CELL:
                 text.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if open_names[name]:  # an end tag without its element ends nothing
+                close_named(name)
             continue
-        if name in FOREIGN and m["rest"].endswith("/"):
+        if name in FOREIGN and rest.endswith("/"):
             text.append(" ")
             continue
         if name in RAW:
@@ -114,99 +142,99 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if name in BLOCK:
             flush()
-            if stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            elif stack and name == "p":  # an open paragraph below inline elements ends as well
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in BLOCK:
-                        if stack[i][0] == "p":
-                            close(i)
-                        break
+            if name == "body" and open_names["head"]:
+                close_named("head")
+            # a block ends the open paragraph, also below inline elements
+            elif block_at and stack[block_at[-1]][0] == "p" and (name == "p" or block_at[-1] == len(stack) - 1):
+                close(block_at[-1])
         elif name == "br" or name in CELL:
             text.append(" ")
-        if name in VOID or m["rest"].endswith("/") and name not in BLOCK:
+        if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
-        a = b = 0
-        rest = m["rest"]
-        if name not in ("html", "body"):
-            if name in ASIDE_TAGS or name == "header" and not main:
-                a = 1
-            elif name == "article" or name == "main":
-                b = 1
-            if rest:
-                words: set[str] = set()
-                for x in HINT.findall(rest):
-                    words.update(re.split(r"[^a-z]+", (x[0] or x[1] or x[2]).lower()))
-                if words & ASIDE_WORDS and not (name in ("article", "main", "header") and main == 0 and b and not words & {"comment", "comments", "ad", "ads", "related"}):
-                    a = 1
-                elif words & MAIN_WORDS:
-                    b = 1
-                if HIDDEN.search(rest):
-                    a = 1
-        if name == "head":
-            a = 1
-        aside += a
-        main += b
-        anchors += name == "a"
-        heading += name in HEADING
-        item += name == "li"
-        stack.append((name, a, b))
+        aside, central = _names(rest) if rest and name not in ("html", "body") else (False, False)
+        central = central or name in MAIN_TAGS
+        aside = aside or name in ASIDE_TAGS and not (name == "header" and main)
+        side = -1
+        if aside:
+            side = len(spans)
+            spans.append([len(found), 0])
+            sides.append(side)
+        main += central
+        open_names[name] += 1
+        if name in BLOCK:
+            block_at.append(len(stack))
+        stack.append((name, side, int(central)))
     flush()
+    close(0)
+    until = [0]
+    for x in found:
+        until.append(until[-1] + x[1])
     out = []
-    for i, (s, n, k, a, b, h, li) in enumerate(found):
-        before = found[i - 1] if i else ("", 0, 0)
-        after = found[i + 1] if i + 1 < len(found) else ("", 0, 0)
-        rates = [x[2] / x[1] if x[1] else 0.0 for x in (found[i], before, after)]
-        out.append((s, [float(n), float(before[1]), float(after[1]), *rates, float(a > 0), float(b > 0), float(h > 0), float(li > 0)]))
+    for i, (s, n, _, side, central) in enumerate(found):
+        around = [found[j] if 0 <= j < len(found) else ("", 0, 0) for j in (i, i - 1, i + 1)]
+        small = 0.0 if side < 0 else 1 - (until[spans[side][1]] - until[spans[side][0]]) / until[-1]
+        out.append((s, [float(n), float(around[1][1]), float(around[2][1]), *(x[2] / x[1] if x[1] else 0.0 for x in around), small, float(central)]))
     return out
 
 
-def labelled_pages() -> list[tuple[str, set[str]]]:
-    """The small labelled table: pages written for this purpose, with the blocks to keep."""
-    long = "The river had risen for three days before anyone in the valley began to worry about the old stone bridge."
-    more = "Engineers measured the piers every hour and found that the foundations had moved by less than a finger."
-    short = "Nobody slept."
-    title = "The night the bridge held"
-    bare = "A reader wrote to us about the colour of the water, which had turned from green to a heavy brown."
-    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "Sport", "Culture", "About us"))
-    note = "We use cookies to make this site work better for you and for our partners in advertising."
-    keep = {title, long, more, short, bare}
-    body = f"<h1>{title}</h1><p>{long}</p><p>{short}</p><p>{more} <a href='/x'>Read why</a></p>"
-    kept = {title, long, short, f"{more} Read why"}
-    return [
-        (f"<html><head><title>{title}</title></head><body><nav><ul>{links}</ul></nav><div class='ad'>Buy two lamps and pay for one this week only.</div><article>{body}<p>{bare}</p></article><footer>All rights reserved by the valley paper.</footer></body></html>", kept | {bare}),
-        (f"<body><header><h2>Valley Paper</h2><p>Independent since the flood.</p></header><main>{body}</main><aside><h3>Most read</h3><ul>{links}</ul></aside><footer><p>{note}</p></footer></body>", kept),
-        (f"<body><div id='cookie-notice'><p>{note}</p><a href='#'>Accept</a></div><div class='content'>{body}<ul><li>Bring a torch.</li><li>Wear boots.</li></ul></div><div class='sidebar'><p>{bare}</p></div></body>", kept | {"Bring a torch.", "Wear boots."}),
-        (f"<body><ul class='menu'>{links}</ul><div><h1>{title}</h1><p>{long}</p><p>{more}</p><p>{short}</p><blockquote>{bare}</blockquote></div><div class='footer'>Contact the editors at the old mill.</div></body>", keep),
-        (f"<body><article><header><h1>{title}</h1></header><p>{long}</p><p>{more}</p><section class='comments'><h2>Comments</h2><p>{bare}</p><p>I was there and it was louder than you say.</p></section></article></body>", {title, long, more}),
-        (f"<body><p>{links}</p><form><p>Subscribe to our letter and get one story a week.</p><input></form><p>{long}</p><p>{bare}</p><div class='related'><a href='/1'>{long}</a></div></body>", {long, bare}),
-        (f"<body><div class='banner'>{note}</div><table><tr><td>{long}</td></tr><tr><td>{more}</td></tr></table><div class='share'><a href='#'>Share</a> <a href='#'>Print</a></div></body>", {long, more}),
-        (f"<body><p><a href='/'>Home</a> | <a href='/n'>News</a> | <a href='/s'>Sport</a></p><h1>{title}</h1><p>{short}</p><p>{long}</p><p><a href='/p'>Previous</a> <a href='/q'>Next</a></p></body>", {title, short, long}),
-        (f"<body><main><h1>{title}</h1><p>{short}</p></main><aside class='ad'><p>{long}</p></aside><div role='contentinfo'><p>{more}</p></div></body>", {title, short}),
-        (f"<body><div class='post'><h2>{title}</h2><p>{short}</p><p>Rain.</p><p>{more}</p><div class='widget newsletter'><p>{note}</p></div></div></body>", {title, short, "Rain.", more}),
-        (f"<body><h1>{title}</h1><p>{short}</p><p>Wind.</p><p>{bare}</p><ul><li><a href='/a'>{bare}</a></li><li><a href='/b'>{more}</a></li></ul></body>", {title, short, "Wind.", bare}),
-        (f"<body><article><h1>{title}</h1><p>Rain.</p><p><a href='/source'>The report</a></p></article><div class='ads'>{long}</div><footer>{more}</footer></body>", {title, "Rain.", "The report"}),
-    ]
-
-
-def training_table(spark: SparkSession) -> DataFrame:
-    """The labelled blocks as a table of features and ``label`` (1: keep)."""
-    rows = []
-    for page, keep in labelled_pages():
-        seen = blocks(page)
-        for text, x in seen:
-            inside = text in keep and not x[FEATURES.index("aside")] and x[FEATURES.index("links")] < 0.9 or text == "The report"
-            rows.append((*x, float(inside)))
-    return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*FEATURES, "label"]))
-
-
-def fit_tree(table: DataFrame, depth: int = 5) -> tuple:
+# the small labelled table: snippets labelled by hand, a plus sign opens the blocks that belong to the article
+ARTICLES = [
+    "<h1>+The night the bridge held</h1><p>+The river had risen for three days before anyone in the valley began to worry about the old stone bridge.</p><p>+Nobody slept.</p><p>+Engineers measured the piers every hour and found that the foundations had moved by less than a finger. <a href='/x'>Read why</a></p>",
+    "<h1>+Rain</h1><p>+Wind.</p><p>+It began on a Sunday.</p><p>+By noon the square was under water and the market women had carried their baskets up to the steps of the town hall, where they went on selling as if nothing had happened.</p><p>+The end.</p>",
+    "<h2>+How to mend a kettle</h2><p>+You need little more than patience, some solder and a clean cloth.</p><ul><li>+Bring a torch.</li><li>+Wear gloves.</li><li>+Empty the kettle.</li></ul><p>+Heat the seam slowly and let the solder run by itself, for a hurried seam leaks within the month.</p><blockquote>+My grandmother mended hers four times and it outlived her.</blockquote>",
+    "<p>+A reader wrote to us about the colour of the water, which had turned from green to a heavy brown.</p><p>+We asked <a href='/m'>the mill</a>, <a href='/t'>the tannery</a> and the <a href='/c'>council</a>, and all three said that somebody else would surely know more about it.</p><h3>+What we found</h3><p>+Nothing.</p><p>+The samples were clear by the time they reached the laboratory in the city, as samples tend to be.</p>",
+    "<h1>+Council votes on the new school after a long debate that lasted well into the morning hours of Thursday</h1><p>+It was close.</p><p>+Seven members were in favour and six against, while the mayor, who had promised to abstain, left the room before the count and did not come back until the lights had been put out.</p><p>+<a href='/source'>The minutes</a></p><p>+Work begins in spring.</p>",
+    "<h1>+Notes</h1><p>+One.</p><p>+Two words.</p><p>+Three short words.</p><p>+Then a paragraph that is a good deal longer than the ones before it and says what the notes are about.</p><p>+Last.</p>",
+    "<p>+Plain prose opens this page without any heading at all, and it goes on for a while so that the reader knows where the text begins.</p><p>+It ends here.</p>",
+    "<h1>+Table of the tides</h1><table><tr><td>+High water at the harbour mouth comes an hour later each day of the week.</td></tr><tr><td>+Low water follows six hours after that.</td></tr></table><p>+Boats should not leave on the ebb when the wind stands in the west.</p><pre>+mon 6 tue 7 wed 8</pre>",
+]
+_MENU = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("Home", "News", "Sport", "Culture", "About us"))
+_STORIES = "".join(f"<li><a href='/s{i}'>{t}</a></li>" for i, t in enumerate(("The mill that would not stop turning even in winter", "Ten walks", "A letter from the harbour master to his successor")))
+# what stands before and after an article, by layout
+LAYOUTS = [
+    ("<nav><ul>" + _MENU + "</ul></nav><div class='ad'>Buy two lamps and pay for one this week only.</div><article>", "</article><footer>All rights reserved by the valley paper.</footer>"),
+    ("<nav><ul>" + _MENU + "</ul></nav><div class='ad'>New soap.</div><article>", "</article><footer>&copy; valley.example &middot; Made by hand. Since the flood. With care.</footer>"),
+    ("<header><h2>Valley Paper</h2><p>Independent since the flood.</p></header><main>", "</main><aside><h3>Most read</h3><ul>" + _STORIES + "</ul></aside><footer><p>We use cookies to make this site work better for you and for our partners in advertising.</p></footer>"),
+    ("<div id='cookie-notice'><p>We use cookies to make this site work better for you and for our partners.</p><a href='#'>Accept</a></div><div class='content'>", "</div><div class='sidebar'><p>Our weather man looks back on forty years of storms, and forward to a few more, in tomorrow's issue.</p></div>"),
+    ("<ul>" + _MENU + "</ul><div>", "</div><p><a href='/p'>Previous</a> <a href='/q'>Next</a></p><ul>" + _STORIES + "</ul>"),
+    ("<p><a href='/'>Home</a> | <a href='/n'>News</a> | <a href='/s'>Sport</a></p><div class='page with-sidebar'>", "</div><p><a href='/imprint'>Imprint</a> <a href='/privacy'>Privacy</a> <a href='/jobs'>Jobs</a></p>"),
+    ("<div class='banner'>We value your privacy and would like you to accept everything at once.</div><div class='share'><a href='#'>Share</a> <a href='#'>Print</a></div>", "<form><p>Subscribe to our letter and get one story a week.</p><input></form><div class='related'><a href='/1'>The mill that would not stop turning</a></div>"),
+    ("<article>", "<section class='comments'><h2>Comments</h2><p>I was there and it was louder than you say.</p><p>First!</p><p>My uncle built that, and he always said that they had used far too little lime for it to last a century.</p></section></article>"),
+    ("<div class='post'>", "<div class='widget newsletter'><p>One story a week, free of charge, and never more than that.</p></div></div><div role='contentinfo'><p>Contact the editors at the old mill.</p></div>"),
+    ("", ""),
+    ("<body class='article-page no-ads'><div class='wrap search-results content'>", "</div></body>"),
+    ("<div>Buy two lamps today</div><ul>" + _MENU + "</ul><ul>" + _STORIES + "</ul>", "<ul>" + _STORIES + "</ul><p><a href='/top'>Back to top</a></p>"),
+    ("<form id='page'><div class='navbar'>" + _MENU + "</div><div class='story'>", "</div></form><div id='footer'>Terms of use. Printed on paper.</div>"),
+    ("<div>Advertisement</div><div>Sign in</div><div>Thursday edition</div><div>", "</div><div>Terms of use</div><div>&copy; Valley Paper</div><div>Contact</div>"),
+    ("<table><tr><td>Valley Paper</td><td>" + _MENU + "</td></tr></table><div>Advertisement</div><div>", "</div><div>More from the valley</div><ul>" + _STORIES + "</ul><div>Printed on paper</div>"),
+    ("<p>Skip to the text</p><p>Log in</p><p>Search</p><div>", "</div><p>Share</p><p>Print</p><p>Save for later</p><p>Report a mistake</p>"),
+    ("<ul>" + _MENU + "</ul><div>Advertisement</div>", "<div>Advertisement</div><ul>" + _MENU + "</ul><div>Made by hand</div>"),
+    ("<div class='byline'>By Ann Miller, our own correspondent in the valley</div><main>", "<div class='ad-box'><p>A new car is waiting for you at the corner of Mill Street and the market, and it wants to be driven today.</p></div></main>"),
+]
+
+
+def labelled_pages() -> list[str]:
+    """The pages of the labelled table: every article in every layout."""
+    return [f"<html><head><title>Page</title></head>{a}{x}{b}</html>" for a, b in LAYOUTS for x in ARTICLES]
+
+
+def labelled_rows(pages: list[str]) -> list[tuple]:
+    """Features and ``label`` (1: keep) of the blocks of labelled pages."""
+    return [(*x, float(text.startswith("+"))) for page in pages for text, x in blocks(page)]
+
+
+def training_table(spark: SparkSession, pages: list[str] | None = None) -> DataFrame:
+    """The labelled blocks as a table of features and ``label``."""
+    return spark.createDataFrame(labelled_rows(labelled_pages() if pages is None else pages), ", ".join(f"{c} double" for c in [*FEATURES, "label"]))
+
+
+def fit_tree(table: DataFrame, depth: int = 7) -> tuple:
     """Fit the tree and return it as nested (feature, threshold, left, right) or a class."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(table).coalesce(1)
-    model = DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, seed=10).fit(ready)
+    model = DecisionTreeClassifier(featuresCol="x", labelCol="label", maxDepth=depth, maxBins=128, seed=10).fit(ready)
 
     def plain(node) -> tuple | bool:
         if node.subtreeDepth() == 0:
