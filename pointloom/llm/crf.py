@@ -20,13 +20,68 @@ import numpy as np
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Begin and end of the runs of letters (``str.isalpha``) of a text."""
+    out = []
+    for m in WORD.finditer(text):
+        if m.group().isalpha():
+            out.append(m.span())
+            continue
+        begin = None  # word characters that are no letters: superscripts, fractions, numerals
+        for i in range(m.start(), m.end() + 1):
+            if i < m.end() and text[i].isalpha():
+                begin = i if begin is None else begin
+            elif begin is not None:
+                out.append((begin, i))
+                begin = None
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case."""
-    return WORD.findall((text or "").lower())
+    """The runs of letters of a text, each in lower case, in the order of :func:`spans_of`."""
+    text = text or ""
+    low = text.lower()
+    if len(low) != len(text):  # a letter became several characters: words are found before
+        return [text[a:b].lower() for a, b in spans_of(text)]
+    found = WORD.findall(low)
+    return found if all(map(str.isalpha, found)) else [low[a:b] for a, b in spans_of(low)]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 1 << 20
+
+
+class KeyTable:
+    """Places of distinct 64-bit keys: an open-addressing table, filled and read in whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        todo, self.steps = np.arange(len(keys)), 0
+        while len(todo):  # each free slot takes the first key that wants it, the others step on
+            want = self._slot(keys[todo], self.steps)
+            free = np.flatnonzero(self.slots[want] < 0)
+            _, first = np.unique(want[free], return_index=True)
+            self.slots[want[free[first]]] = todo[free[first]]
+            todo = np.delete(todo, free[first])
+            self.steps += 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return ((keys + np.uint64(step)) & self.mask).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of every key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        for step in range(self.steps):
+            at = self.slots[self._slot(keys[todo], step)]
+            same = at >= 0
+            same[same] = self.keys[at[same]] == keys[todo[same]]
+            out[todo[same]] = at[same]
+            todo = todo[(at >= 0) & ~same]
+            if not len(todo):
+                break
+        return out
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -122,8 +177,7 @@ class Crf:
     def __post_init__(self) -> None:
         self._ids: dict[str, int] = {}
         self._scores = np.zeros((0, len(self.labels)), np.float32)
-        self._slots = np.full(_SLOTS, -1, np.int32)
-        self._slots[(self.keys % np.uint64(_SLOTS)).astype(np.int64)[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        self._table = KeyTable(self.keys)
         self._lexicons = [np.sort(word_keys(sorted(v))) for _, v in sorted(self.lexicons.items())]
 
     def __getstate__(self) -> dict:
@@ -136,9 +190,8 @@ class Crf:
     def active(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word number, feature number) of the known features of words."""
         owner, key = features(words)
-        at = self._slots[(key % np.uint64(_SLOTS)).astype(np.int64)]
-        ok = (at >= 0) & (self.keys[at] == key) if len(self.keys) else np.zeros(len(key), bool)
-        owner, at = [owner[ok]], [at[ok].astype(np.int64)]
+        at = self._table.find(key)
+        owner, at = [owner[at >= 0]], [at[at >= 0]]
         if self._lexicons:
             whole = word_keys(words)
             for i, have in enumerate(self._lexicons):
@@ -257,8 +310,6 @@ def fit(
     spoken = np.zeros(len(values), np.int64)
     np.maximum.at(spoken, back, often[owner])
     keys = values[(count >= min_count) | (spoken >= 2 * min_count)]
-    slot = (keys % np.uint64(_SLOTS)).astype(np.int64)
-    keys = keys[np.sort(np.unique(slot, return_index=True)[1])]  # features that share a slot: the first stays
     k = len(labels)
     size = len(keys) + len(lexicons)
     model = Crf(labels, keys, np.zeros((size, k)), np.zeros(k), np.zeros((k, k)), np.zeros(k), lexicons)
@@ -298,22 +349,33 @@ def fit(
     return model
 
 
-def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[str]) -> list:
-    """About ``per_stratum`` rows of each value of column ``strata``, chosen by hash.
+def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[str], max_strata: int = 500) -> list:
+    """About ``per_stratum`` different rows of each value of column ``strata``, chosen by hash.
 
-    One counting pass, then one filtered pass; only the sample reaches the
-    driver, however many rows or partitions there are.  Column ``_key`` of
-    ``df`` is hashed for the choice.
+    One counting pass, then one filtered pass.  The driver gets the sample only:
+    the ``max_strata`` most frequent values, and never more than twice
+    ``per_stratum`` rows for each of them, however often a row is repeated.
+    All ``columns`` are hashed for the choice, so equal rows count as one.
     """
     from pyspark.sql import functions as F
 
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
+    counts = dict(map(tuple, df.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(max_strata).collect()))
     if not counts:
         return []
     scale = 1_000_000_000
     part = F.coalesce(*[F.when(F.col(strata) == F.lit(v), F.lit(min(scale, int(scale * per_stratum / n) + 1))) for v, n in sorted(counts.items())])
-    drawn = df.where(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(seed)), F.lit(scale)) < part)
-    return sorted(drawn.select(*columns).collect(), key=lambda r: tuple(map(str, r)))
+    place = F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(seed))
+    drawn = df.select(*columns, part.alias("_part"), place.alias("_place")).where(F.pmod("_place", F.lit(scale)) < F.col("_part"))
+    kept = drawn.dropDuplicates(["_place"]).orderBy("_place").limit(2 * per_stratum * len(counts))
+    return sorted(kept.select(*columns).collect(), key=lambda r: tuple(map(str, r)))
+
+
+def some_window(text, chars: int, seed: int):
+    """A text, or of a longer one the ``chars`` characters from a place drawn by hash."""
+    from pyspark.sql import functions as F
+
+    free = F.greatest(F.length(text) - F.lit(chars), F.lit(0)) + 1
+    return F.substring(text, F.pmod(F.xxhash64(text, F.lit(seed)), free).cast("int") + 1, F.lit(chars))
 
 
 def in_portions(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[int]]:

@@ -20,19 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .crf import WORD, Crf, bounded_sample, fit, scorer, words_of
+from .crf import Crf, bounded_sample, fit, scorer, some_window, spans_of, words_of
 
 UNDETERMINED = "und"
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 150, max_chars: int = 20_000, seed: int = 8, lexicon_size: int = 150, run_words: int = 25) -> Crf | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 150, window_chars: int = 50_000, seed: int = 8, lexicon_size: int = 150, run_words: int = 25) -> Crf | None:
     """Fit on a bounded sample of labelled rows; None when no row is labelled.
 
-    The sample holds about ``per_lang`` texts of each language of at most
-    ``max_chars`` characters.  ``key`` only seeds the draw.
+    The sample holds about ``per_lang`` different texts of each language,
+    whatever their length; of a text of more than ``window_chars`` characters,
+    a stretch of that size from a place drawn by hash.  Rows with a null text
+    or language, and empty texts, are left out.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_lang IS NOT NULL AND _text IS NOT NULL")
-    rows = rows.where(F.length("_text").between(1, max_chars))
+    rows = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_lang IS NOT NULL AND _text <> ''")
+    rows = rows.withColumn("_text", some_window(F.col("_text"), window_chars, seed))
     got = bounded_sample(rows, "_lang", per_lang, seed, ["_lang", "_text"])
     return fit_rows([(r[0], r[1]) for r in got], seed, lexicon_size, run_words)
 
@@ -79,9 +81,10 @@ def _summary(labels: list[str]):
 def predict(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to every row.
 
-    Null texts and texts without letters get ``und`` and score 0, as does every
-    text when the model is None (nothing was labelled).  Columns of these names
-    in ``docs`` are replaced; repeated rows are kept.
+    Null texts and texts without letters (``str.isalpha``) get ``und`` and score
+    0, as does every text when the model is None (nothing was labelled).  Of
+    languages with equal means the first in alphabetical order is taken.
+    Columns of these names in ``docs`` are replaced; repeated rows are kept.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if model is None:
@@ -101,8 +104,8 @@ def predict(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame
 def tag_words(docs: DataFrame, model: Crf, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per word: ``(key, begin, end, word, lang, probability)``.
 
-    Offsets are code points of the text in lower case order; labels are the
-    most probable language of each word in its context.
+    Offsets are code points of the text, words are in lower case; labels are
+    the most probable language of each word in its context.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("begin long, end long, word string, lang string, probability double")])
@@ -111,7 +114,7 @@ def tag_words(docs: DataFrame, model: Crf, text: str = "text", key: str = "doc_i
         m = held.value
         for df in batches:
             for k, t in zip(df[key], df["_t"], strict=True):
-                found = [(x.start(), x.end(), x.group().lower()) for x in WORD.finditer(t)]
+                found = [(a, b, w) for (a, b), w in zip(spans_of(t), words_of(t), strict=True)]
                 if found:
                     p = next(m.marginals([[w for _, _, w in found]]))
                     best = p.argmax(axis=1)

@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .crf import WORD, Crf, bounded_sample, fit, in_portions, words_of
+from .crf import Crf, bounded_sample, fit, in_portions, some_window, spans_of, words_of
 
 
 @dataclass
@@ -81,21 +80,24 @@ def fit_rows(rows: list[tuple[int, str]]) -> ToxicityModel:
     return ToxicityModel(field, tuple(map(float, a)))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = 800, max_chars: int = 20_000, seed: int = 7) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = 800, window_chars: int = 200_000, seed: int = 7) -> ToxicityModel:
     """Fit on about ``per_label`` rows of each label, drawn by hash of ``key``.
 
     ``labels`` holds ``key`` and ``label``; rows with a null label or text are
     ignored, a label given twice counts once.  The draw is made on the labels
-    before any text is read, so a bounded table of keys meets the texts.
-    Training texts have at most ``max_chars`` characters.
+    before any text is read, so a bounded table of keys meets the texts; equal
+    rows count once and at most twice as many texts as keys are fetched.  Texts
+    of every length are drawn; of one of more than ``window_chars`` characters,
+    a stretch of that size from a place drawn by hash.
     """
     y = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_y IN (0, 1) AND _key IS NOT NULL").distinct()
     keys = bounded_sample(y, "_y", per_label, seed, ["_key", "_y"])
     if not keys:
         return fit_rows([])
     chosen = {r[0]: r[1] for r in keys}
-    found = docs.where(F.col(key).isin(sorted(chosen)) & F.length(text).between(1, max_chars)).select(key, text).collect()
-    return fit_rows([(chosen[k], t) for k, t in sorted(found, key=lambda r: (str(r[0]), r[1]))])
+    found = docs.where(F.col(key).isin(sorted(chosen)) & (F.col(text) != "")).select(F.col(key).alias("_key"), some_window(F.col(text), window_chars, seed).alias("_text"))
+    found = found.withColumn("_place", F.xxhash64("_key", "_text")).dropDuplicates(["_place"]).orderBy("_place").limit(2 * len(chosen)).collect()
+    return fit_rows([(chosen[r[0]], r[1]) for r in sorted(found, key=lambda r: (str(r[0]), r[1]))])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", span_at: float = 0.5) -> DataFrame:
@@ -103,7 +105,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", span_at: fl
 
     ``spans array<struct<begin,end,p>>`` are offsets (code points) of words
     whose marginal reaches ``span_at``.  Null and empty texts have no words and
-    get the curve's low end.  Columns of these names in ``docs`` are replaced.
+    get the curve's low end.  Equal texts get equal scores; repeated rows are
+    kept.  Columns of these names in ``docs`` are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -119,19 +122,14 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", span_at: fl
             for portion in in_portions(texts):
                 cut = [words_of(texts[i]) for i in portion]
                 found = m.field.marginals(cut) if m.field else [np.zeros((0, 2))] * len(cut)
-                for i, w, p in zip(portion, cut, found, strict=True):
+                for i, p in zip(portion, found, strict=True):
                     scores[i] = m.score(p)
                     hot = np.flatnonzero(p[:, 1] >= span_at)
                     if len(hot):
-                        where = [x.span() for x in WORD.finditer(texts[i])]
-                        # offsets are those of the original text; lower case may change its words
-                        spans[i] = [{"begin": where[k][0], "end": where[k][1], "p": float(p[k, 1])} for k in hot] if len(where) == len(w) else []
+                        where = spans_of(texts[i])
+                        spans[i] = [{"begin": where[k][0], "end": where[k][1], "p": float(p[k, 1])} for k in hot]
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     out = docs.select(*keep, mark(F.col(text)).alias("_m")).select(*keep, "_m.score", "_m.spans")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-
-def schema_of_spans() -> T.DataType:
-    """Type of the ``spans`` column."""
-    return T.ArrayType(T.StructType.fromDDL("begin long, end long, p double"))
