@@ -1,8 +1,8 @@
 """Comparing all members of groups in bounded blocks.
 
-A group of n rows is cut into ceil(n / size) blocks by a hash; every pair of
-blocks is one unit of work, so a large group becomes many equal units and no
-task holds more than two blocks of it.  Small groups are packed together.
+The members of a group are dealt to blocks by a hash; every pair of blocks is
+one unit of work, so a large group becomes many equal units and no task holds
+more than two blocks of it.  Small groups are packed together.
 """
 
 from __future__ import annotations
@@ -12,19 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(rows: DataFrame, group: str, member: str, size: int, bins: int) -> DataFrame:
-    """Add ``unit long``, ``_g``, ``_i``, ``_j`` (the pair of blocks) and ``_b`` (the row's block).
+def block_pairs(rows: DataFrame, group: list[str], member: str, blocks: str, bins: int) -> DataFrame:
+    """Add ``unit long``, ``_i``, ``_j`` (the pair of blocks) and ``_b`` (the row's block).
 
-    ``rows`` has a column ``_size`` with the size of the row's group.  A row
-    comes once per block pair it belongs to.  Units of one-block groups are one
-    of ``bins`` bins.
+    Column ``blocks`` of ``rows`` is the number of blocks of the row's group; it
+    is dropped.  A row comes once per block pair it belongs to.  Groups of one
+    block are dealt to ``bins`` units.
     """
-    n = F.ceil(F.col("_size") / F.lit(size)).cast("int")
-    rows = rows.withColumn("_nb", n).withColumn("_b", F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col("_nb")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col(blocks)).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
     rows = rows.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
-    unit = F.when(F.col("_nb") == 1, F.pmod(F.xxhash64(F.col(group)), F.lit(bins))).otherwise(F.xxhash64(F.col(group), F.col("_i"), F.col("_j")))
-    return rows.withColumn("unit", unit).withColumn("_g", F.col(group)).drop("_o", "_nb", "_size")
+    unit = F.when(F.col(blocks) == 1, F.pmod(F.xxhash64(*group), F.lit(bins))).otherwise(F.xxhash64(*group, "_i", "_j"))
+    return rows.withColumn("unit", unit).drop("_o", blocks)
 
 
 def forest_edges(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:

@@ -1,16 +1,18 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
 Vectors are scaled to length one and equal vectors of a label are collapsed.
-Every tree splits a label recursively along the difference of two random
-vectors of a bounded sample, at the median; vectors within the margin of a
-split go to both sides (spill), so close pairs are seldom parted, and many
-trees make it rarer still.  Pairs are compared, exactly and in double
-precision, only within leaves.
-
-A pair that meets in several leaves counts once: in the first leaf the two
-share.  Each vector carries the list of its leaves, so a leaf can tell by one
+Every tree splits the vectors recursively half way between two random ones;
+vectors within the margin of a split go to both sides (spill), so close pairs
+are seldom parted, and many trees make it rarer still.
+The upper splits are learned from a bounded sample.  Cells (leaf and label)
+that are larger than wanted are split on, level by level, between two of their
+own members (:func:`split_on`), so cells do not grow with the table.  Pairs are compared, exactly and in double precision,
+only within cells.
+
+A pair that meets in several cells counts once: in the first cell the two
+share.  Each vector carries the list of its cells, so a cell can tell by one
 product of membership matrices which pairs met before; no pair is ever sent
-anywhere.  Links are counted per vector, a spanning forest per leaf feeds the
+anywhere.  Links are counted per vector, a spanning forest per cell feeds the
 connected components.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest_edges
 from .components import connected_components
-from .store import evenly, materialise
+from .store import evenly, materialise, release
 
 
 class Tree:
@@ -41,8 +44,8 @@ class Tree:
         self.root = self._grow(sample, rng, leaf, 0)
 
     def _grow(self, x: np.ndarray, rng: np.random.Generator, leaf: int, depth: int) -> int:
-        if len(x) > leaf and depth < 12:
-            for _ in range(4):
+        if len(x) > leaf and depth < 20:
+            for _ in range(8):
                 a, b = x[rng.choice(len(x), 2, replace=False)]
                 d = a - b
                 size = float(np.linalg.norm(d))
@@ -50,7 +53,7 @@ class Tree:
                     continue
                 d = d / size
                 p = x @ d
-                t = float(np.median(p))
+                t = 0.0  # half way between the two, which both have length one
                 low, high = p <= t + self.spill, p > t - self.spill
                 if max(low.sum(), high.sum()) > 0.9 * len(x):
                     continue
@@ -87,13 +90,48 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
         if v is None or not len(v):
             continue
         a = np.array([np.nan if c is None else c for c in v], np.float64) if isinstance(v, list) or getattr(v, "dtype", None) == object else np.asarray(v, np.float64)
-        size = float(np.linalg.norm(a))
-        if math.isfinite(size) and size > 0:
+        most = float(np.abs(a).max())
+        if math.isfinite(most) and most > 0:  # by the largest component first, or squares may leave the range of doubles
+            a = a / most
             good.append(i)
-            rows.append(a / size)
+            rows.append(a / np.linalg.norm(a))
     return np.array(good, np.int64), rows
 
 
+def split_on(routed: DataFrame, most: int, spill: float, apart: float, seed: int, tries: int = 3, max_rounds: int = 60) -> DataFrame:
+    """``(rep, cell)``: the cells of every vector, cells of more than ``most`` vectors split on.
+
+    ``routed`` has rep, x and cells.  Each round splits every large cell in two
+    with spill, half way between two of its members.  A cell that does not part
+    (the two are nearer than ``apart``, or a side keeps nine tenths) is tried
+    again with other members and then left whole: it is compared in blocks.
+    """
+    at = routed.select("rep", "x", F.explode("cells").alias("cell"))
+    large = at.groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") > most).select("cell")
+    large = materialise(large, "large")
+    done = [at.join(evenly(large), "cell", "left_anti").select("rep", "cell")]
+    todo = at.join(evenly(large), "cell").select("rep", "x", "cell", F.lit(0).alias("tried"))
+    for turn in range(max_rounds):
+        draw = F.xxhash64("rep", F.lit(seed + turn))
+        d = todo.groupBy("cell").agg(F.min_by("x", draw).alias("a"), F.max_by("x", draw).alias("b")).select("cell", F.zip_with("a", "b", lambda a, b: b - a).alias("d"))
+        d = d.withColumn("_l", F.sqrt(F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v))).where(F.col("_l") > apart)
+        # both have length one, so the middle between them projects to zero
+        p = F.aggregate(F.zip_with("x", "d", lambda x, v: x * v), F.lit(0.0), lambda s, v: s + v) / F.col("_l")
+        sides = materialise(todo.join(evenly(d), "cell", "left").select("rep", "x", "cell", "tried", F.coalesce(p <= spill, F.lit(True)).alias("low"), F.coalesce(p > -spill, F.lit(True)).alias("high")), "sides")
+        sizes = sides.groupBy("cell").agg(F.count("*").alias("k"), F.count_if("low").alias("kl"), F.count_if("high").alias("kh"))
+        sizes = sizes.select("cell", (F.greatest("kl", "kh") <= 0.9 * F.col("k")).alias("parts"), (F.col("kl") > most).alias("more_l"), (F.col("kh") > most).alias("more_h"))
+        side = lambda name, more: F.when(F.col("parts") & F.col(name), F.struct(F.xxhash64("cell", F.lit(name)).alias("cell"), F.lit(0).alias("tried"), F.col(more).alias("more")))
+        again = F.when(~F.col("parts"), F.struct("cell", (F.col("tried") + 1).alias("tried"), (F.col("tried") + 1 < tries).alias("more")))
+        moved = sides.join(evenly(sizes), "cell").select("rep", "x", F.explode(F.array_compact(F.array(side("low", "more_l"), side("high", "more_h"), again))).alias("_c")).select("rep", "x", "_c.*")
+        moved = materialise(moved, "moved")
+        release(sides)
+        done.append(moved.where("NOT more").select("rep", "cell"))
+        todo = moved.where("more").drop("more")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*done, todo.select("rep", "cell")])
+
+
 def near_duplicates(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -101,38 +139,39 @@ def near_duplicates(
     label: str = "label",
     threshold: float = 0.93,
     trees: int = 5,
-    leaf: int = 4000,
-    spill: float = 0.03,
+    leaf: int = 1000,
+    spill: float = 0.02,
     sample: int = 20_000,
     block: int = 2000,
     seed: int = 1,
 ) -> DataFrame:
-    """``(key, n_links, component_id, kept)`` for every vector.
+    """``(key, n_links, component_id, kept)`` for every row.
 
     Vectors link when their labels are equal and not null and their cosine is
-    at least ``threshold``.  Null, zero, empty and non-finite vectors, and
-    vectors of different lengths, link with nothing.  ``sample`` bounds the
-    vectors the splits are learned from; all vectors are routed and compared.
-    Keys are assumed unique; a repeated row counts as another vector.
+    at least ``threshold``.  Null, zero, empty and non-finite vectors, vectors
+    with null components and vectors of different lengths link with nothing;
+    finite ones of any size do.  ``sample`` bounds the vectors that the upper
+    splits are learned from; all vectors are routed and compared.  A leaf aims
+    at ``leaf`` vectors, and cells above twice that are split on.  Every row is
+    a vector of its own, also when keys repeat or are null; ``component_id`` is
+    the smallest key of the component, null where no row of it has a key.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("lab"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fit = F.col("lab").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
-    firsts = rows.where(fit).groupBy("lab", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    firsts = materialise(firsts, "vectors")
+    firsts = rows.where(fit).groupBy("lab", "v").agg(F.min("id").alias("head"), F.count("*").alias("size"))
+    firsts = materialise(firsts.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n = firsts.count()
-    if not n:
-        return vectors.select(F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"))
 
-    # the splits: one forest for all labels, learned from a bounded sample
-    share = min(1.0, sample / n)
-    drawn = firsts.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").collect()
+    # the upper splits: one forest for all labels, learned from a bounded sample
+    share = min(1.0, sample / max(1, n))
+    place = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000))
+    drawn = firsts.where(place < int(share * 1_000_000) + 1).select("v").orderBy(place).limit(2 * sample).collect()
     by_width: dict[int, list[np.ndarray]] = {}
-    for r in drawn:
-        if len(r[0]):
-            by_width.setdefault(len(r[0]), []).append(np.asarray(r[0]) / np.linalg.norm(r[0]))
-    small = max(8, round(leaf * min(1.0, sample / n)))
+    for x in unit([r[0] for r in drawn])[1]:
+        by_width.setdefault(len(x), []).append(x)
+    small = max(50, round(leaf * share))
     rng = np.random.default_rng(seed)
     grown = {w: [Tree(np.stack(x), rng, small, spill) for _ in range(trees)] for w, x in sorted(by_width.items())}
     forest = spark.sparkContext.broadcast(grown)
@@ -153,30 +192,35 @@ def near_duplicates(
                         for i in at:
                             member[i].append(code)
                 out = df.iloc[mine][["rep", "lab", "size"]].copy()
-                yield out.assign(x=list(m), leaves=[sorted(c) if c else [w << 40] for c in member])
+                yield out.assign(x=list(m), leaves=[c or [w << 40] for c in member])
 
-    routed = materialise(firsts.mapInPandas(route, "rep long, lab string, size long, x array<double>, leaves array<long>"), "routed")
-    placed = routed.select("*", F.explode("leaves").alias("leaf")).withColumn("cell", F.xxhash64("lab", "leaf"))
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("_size")).where("_size > 1")
-    cells = placed.join(evenly(sizes), "cell")
-    units = block_pairs(cells, "cell", "rep", block, max(1, n * trees // block))
+    routed = firsts.select("rep", "lab", "size", "v").mapInPandas(route, "rep long, lab string, size long, x array<double>, leaves array<long>")
+    routed = materialise(routed.select("rep", "size", "x", F.array_sort(F.transform("leaves", lambda c: F.xxhash64("lab", c))).alias("cells")), "routed")
+    counted = lambda df: df.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("k"))
+    if not counted(routed).where(F.col("k") > 2 * leaf).isEmpty():
+        cells = split_on(routed, 2 * leaf, spill, 1.5 * math.sqrt(2 - 2 * threshold), seed)
+        lists = cells.groupBy("rep").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+        routed = materialise(routed.drop("cells").join(evenly(lists), "rep"), "routed")
+    sizes = counted(routed).where("k > 1").select("cell", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("blocks"))
+    placed = routed.select("*", F.explode("cells").alias("cell")).join(evenly(sizes), "cell")
+    units = block_pairs(placed, ["cell"], "rep", "blocks", max(1, n * trees // block))
 
     def work(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in df.groupby(["_g", "_i", "_j"], sort=True):
+        for (here, one, two), g in df.groupby(["cell", "_i", "_j"], sort=True):
             g = g.sort_values("rep")
-            ids, weight, here = g["rep"].to_numpy(), g["size"].to_numpy(), int(g["leaf"].iloc[0])
+            ids, weight = g["rep"].to_numpy(), g["size"].to_numpy()
             x = np.stack(g["x"].to_list())
-            # leaves before this one, in order, as a 0/1 matrix
-            flat = np.concatenate([np.asarray(c, np.int64) for c in g["leaves"]])
-            owner = np.repeat(np.arange(len(g)), [len(c) for c in g["leaves"]])
+            # cells before this one, in order, as a 0/1 matrix
+            flat = np.concatenate([np.asarray(c, np.int64) for c in g["cells"]])
+            owner = np.repeat(np.arange(len(g)), [len(c) for c in g["cells"]])
             ok = flat < here
             names, col = np.unique(flat[ok], return_inverse=True)
             met = np.zeros((len(g), max(1, len(names))), np.float32)
             met[owner[ok], col] = 1
-            first = g["_b"].to_numpy() == g["_i"].iloc[0]
+            first = g["_b"].to_numpy() == one
             left = np.flatnonzero(first)
-            within = g["_i"].iloc[0] == g["_j"].iloc[0]
+            within = one == two
             right = left if within else np.flatnonzero(~first)
             if not len(left) or not len(right):
                 continue
@@ -201,14 +245,16 @@ def near_duplicates(
     found = materialise(units.groupBy("unit").applyInPandas(work, "rep long, links long, up long"), "links")
     joined = connected_components(found.select(F.col("rep").alias("u"), F.col("up").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = firsts.select("rep", "size").join(evenly(counts), "rep", "left").join(evenly(joined.withColumnRenamed("id", "rep")), "rep", "left")
-    per = materialise(per.select("rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors-found")
-    known = firsts.select("lab", "v", "rep").join(evenly(per), "rep").drop("rep")
+    per = firsts.select("rep", "head", "size").join(evenly(counts), "rep", "left").join(evenly(joined.withColumnRenamed("id", "rep")), "rep", "left")
+    per = materialise(per.select("rep", "head", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vectors-found")
+    named = per.groupBy("component").agg(F.min("head").alias("component_id"))
+    known = firsts.select("lab", "v", "rep").join(evenly(per.join(evenly(named), "component").select("rep", "n_links", "component_id")), "rep").select("lab", "v", "n_links", "component_id", F.lit(True).alias("_met"))
     wide = vectors.select(F.col(key), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("lab"))
+    component = F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("id"))
     out = wide.join(evenly(known), ["lab", "v"], "left")
     return out.select(
         key,
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("id"), component.isNull()).alias("kept"),
     )

@@ -1,14 +1,19 @@
 """N-gram Jaccard self-join with Bayesian pruning of candidates.
 
 Texts become sets of five-word shingles with MinHash signatures.  Texts with
-equal sets are one class.  Candidate groups are the connected parts of the
-classes that share a band of signature values; inside a group, pairs are
-compared block against block: their signatures are read 32 values at a time,
-and a pair is dropped as soon as the posterior probability that its similarity
-reaches the threshold (uniform prior, binomial likelihood) is below the
-tolerance.  What remains is verified exactly on the sets.  A group never turns
-into a table of its pairs: a unit of work returns link counts and a spanning
-forest.
+equal sets are one class, and classes are compared as one.  Candidates are the
+pairs of classes that share a band of signature values.  Their signatures are
+read 32 values at a time, and a pair is dropped as soon as the posterior
+probability that its similarity reaches the threshold (uniform prior, binomial
+likelihood) is below the tolerance.  What remains is verified exactly on the
+sets (of hashed shingles, 64 bits each).
+
+Pairs never become rows.  A unit of work compares the members of a group,
+block against block, and returns link counts and a spanning forest.  Where the
+bands of a connected part mostly hold the same members, as with near copies of
+one text, the part is one group.  Where bands merely chain texts together, each
+band is a group of its own, and a pair counts in the first band it shares.  The
+way with fewer comparisons is taken, so a long chain costs as much as its bands.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import block_pairs, forest_edges
 from .components import connected_components
-from .store import evenly, materialise, release
+from .store import ROW, evenly, materialise, numbered, release
 
 PERMUTATIONS, ROWS_PER_BAND, STEP = 128, 4, 32
 _RNG = np.random.Generator(np.random.PCG64(4))
@@ -92,43 +99,54 @@ def least_matches(threshold: Fraction, tolerance: float) -> list[tuple[int, int]
     return out
 
 
-def sketches(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
-    """``(doc, set_id binary, sig array<int>)``; null ``set_id`` for texts without words."""
+def sketches(rows: DataFrame, n: int) -> DataFrame:
+    """``(row, key, set_id binary, grams int, sig array<int>)``; null ``set_id`` for texts without words.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Arrow batches, because keys pass through as they are.
+    """
+    found = T.StructType.fromDDL("set_id binary, grams int, sig array<int>").fields
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", rows.schema["key"].dataType), *found])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(n)
-        for df in batches:
-            ids, sigs = [], []
-            for t in df["_t"]:
-                s = cut(t)
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).view(np.int32) if len(s) else None)
-            yield pd.DataFrame({"doc": df["doc"], "set_id": ids, "sig": sigs})
+        for batch in batches:
+            sets = map(cut, batch.column("text").to_pylist())
+            made = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), signature(s).view(np.int32)) if len(s) else (None, 0, None) for s in sets]
+            ids, sizes, sigs = zip(*made, strict=True) if made else ((), (), ())
+            columns = [batch.column("row"), batch.column("key"), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return rows.mapInPandas(work, "doc long, set_id binary, sig array<int>")
+    return materialise(rows.select(F.col(ROW).alias("row"), "key", "text").mapInArrow(work, schema), "sketches")
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Bit rows over the shingles that at least two of the sets hold."""
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
+    """Sizes of the intersections of sets i[k] and j[k]; bit rows over some shared shingles at a time."""
+    both = np.zeros(len(i), np.int64)
+    if not len(i):
+        return both
     sizes = np.array([len(s) for s in sets])
-    values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.cumsum(count > 1) - 1
     ok = count[back] > 1
-    row, col = np.repeat(np.arange(len(sets)), sizes)[ok], place[back][ok]
-    words = int(-(-(count > 1).sum() // 64)) or 1
-    bits = np.zeros((len(sets), words), np.uint64)
-    np.bitwise_or.at(bits, (row, col // 64), np.uint64(1) << (col % 64).astype(np.uint64))
-    return bits
+    row, col = np.repeat(np.arange(len(sets)), sizes)[ok], place[back[ok]]
+    for at in range(0, int((count > 1).sum()), columns):
+        here = (col >= at) & (col < at + columns)
+        r, c = row[here], col[here] - at
+        words = int(c.max()) // 64 + 1
+        bits = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_or.at(bits, (r, c // 64), np.uint64(1) << (c % 64).astype(np.uint64))
+        both += _rowwise(lambda x, y: np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64), i, j, max(1, 4_000_000 // words))
+    return both
+
 
+def compare(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction, plan: list[tuple[int, int]], band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members ``left`` and ``right`` (equal arrays: within), as index arrays.
 
-def compare(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction, plan: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members ``left`` and ``right`` (equal arrays: within), as index arrays."""
+    With a ``band``, only pairs that share no band before it.
+    """
     within = left is right
     sizes = np.array([len(s) for s in sets], np.int64)
-    bits = _common(sets)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    num, den = threshold.numerator, threshold.denominator
     rows = max(1, 4_000_000 // (STEP * max(1, len(right))))
     for at in range(0, len(left), rows):
         part = left[at : at + rows]
@@ -144,10 +162,15 @@ def compare(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np
             m = m + _rowwise(lambda x, y, a=a, b=b: (sig[x, a:b] == sig[y, a:b]).sum(axis=1, dtype=np.int16), i, j)
             ok = m >= need
             i, j, m = i[ok], j[ok], m[ok]
-        both = _rowwise(lambda x, y: np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64), i, j)
-        ok = both * den >= num * (sizes[i] + sizes[j] - both)
-        found.append((i[ok], j[ok]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        if band > 0:
+            bands = lambda x: sig[x, : band * ROWS_PER_BAND].reshape(len(x), band, ROWS_PER_BAND)
+            ok = _rowwise(lambda x, y: ~(bands(x) == bands(y)).all(axis=2).any(axis=1), i, j).astype(bool)
+            i, j = i[ok], j[ok]
+        found.append((i, j))
+    i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    both = common(sets, i, j)
+    ok = both * threshold.denominator >= threshold.numerator * (sizes[i] + sizes[j] - both)
+    return i[ok], j[ok]
 
 
 def _rowwise(fn, i: np.ndarray, j: np.ndarray, at_once: int = 50_000) -> np.ndarray:
@@ -156,103 +179,127 @@ def _rowwise(fn, i: np.ndarray, j: np.ndarray, at_once: int = 50_000) -> np.ndar
     return np.concatenate([fn(i[k : k + at_once], j[k : k + at_once]) for k in range(0, len(i), at_once)])
 
 
-def jaccard_join(
-    docs: DataFrame,
-    text: str = "text",
-    key: str = "doc_id",
-    n: int = 5,
-    threshold: Fraction = Fraction(4, 5),
-    tolerance: float = 1e-6,
-    block: int = 1500,
-) -> DataFrame:
-    """``(key, class_id, n_links, component_id)`` for every row with a key.
+def _groups(classes: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """``(rep, groups array<struct<g, band, blocks>>)``: where each class with candidates is compared."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS_PER_BAND - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))
+    banded = classes.select("rep", "grams", F.posexplode(bands).alias("band", "g"))
+    heads = banded.groupBy("g", "band").agg(F.min("rep").alias("head"), F.count("*").alias("k"), F.sum("grams").alias("weight")).where("k > 1")
+    heads = materialise(heads, "bands")
+    stars = banded.join(evenly(heads.select("g", "head")), "g").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    parts = materialise(connected_components(stars), "parts")
+    sizes = parts.join(classes.select(F.col("rep").alias("id"), "grams"), "id").groupBy("component").agg(F.count("*").alias("k"), F.sum("grams").alias("weight"))
+    apart = heads.join(parts, F.col("head") == F.col("id")).groupBy("component").agg(F.sum(F.col("k") * F.col("k")).alias("by_band"))
+    whole = F.col("k") * F.col("k") <= F.col("by_band")
+    blocks = F.greatest(F.ceil(F.col("k") / F.lit(block)), F.ceil(F.col("weight") / F.lit(block_grams))).cast("int").alias("blocks")
+    ways = sizes.join(apart, "component").select("component", whole.alias("whole"), blocks)
+    ways = materialise(parts.join(evenly(ways), "component").select(F.col("id").alias("rep"), "component", "whole", "blocks"), "ways")
+    out = ways.where("whole").select("rep", F.col("component").alias("g"), F.lit(-1).alias("band"), "blocks")
+    loose = banded.join(evenly(ways.where("NOT whole").select("rep")), "rep").select("rep", "g", "band")
+    out = out.unionByName(loose.join(evenly(heads.select("g", blocks)), "g"))
+    out = materialise(out.groupBy("rep").agg(F.collect_list(F.struct("g", "band", "blocks")).alias("groups")), "groups")
+    for t in (heads, parts, ways):
+        release(t)
+    return out
 
-    ``class_id`` is the smallest key with the same shingle set (the key itself
-    for texts without words, which match nothing), ``n_links`` the number of
-    other rows whose sets have Jaccard similarity ``threshold`` or more
-    (equal sets included), ``component_id`` the smallest key reachable by such
-    links.  ``tolerance`` is the posterior below which a pair is dropped; the
-    signature bands miss a pair of similarity 0.8 with a chance below 1e-7.
-    Null texts count as empty; repeated rows of a key count one by one.
+
+def _joined(rows: DataFrame, n: int, threshold: Fraction, tolerance: float, block: int, block_grams: int) -> DataFrame:
+    """``(row, key, head, n_links, first)``; ``head`` and ``first`` are structs (missing, key, row).
+
+    ``rows`` has ``key``, ``text`` and row ids.  ``head`` is the first row of
+    the class, ``first`` that of the component; null keys come last.
     """
-    sk = materialise(sketches(docs, text, key, n), "sketches")
-    worded = sk.where("set_id IS NOT NULL")
-    classes = worded.groupBy("set_id").agg(F.min("doc").alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS_PER_BAND - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))
-    banded = classes.select("rep", F.explode(bands).alias("band"))
-    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = banded.join(evenly(heads), "band").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
-    groups = materialise(connected_components(stars), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("_size"))
-    members = groups.join(evenly(sizes), "component").select(F.col("id").alias("rep"), F.col("component").alias("part"), "_size")
-    members = materialise(members, "members")
-    total = members.count()
+    sk = sketches(rows, n)
+    place = F.struct(F.col("key").isNull().alias("missing"), "key", "row")
+    classes = sk.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(place).alias("head"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("grams").alias("grams"))
+    classes = materialise(classes.withColumn("rep", F.col("head.row")), "classes")
+    groups = _groups(classes, block, block_grams)
+    total = groups.count()
     # whole texts of the candidates, and only theirs
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    info = classes.select("rep", "set_id", F.col("size").alias("weight"), "sig").join(evenly(members), "rep")
-    full = _with_sets(words.join(evenly(info), "rep"), n)
-    units = block_pairs(full, "part", "rep", block, max(1, total // block))
+    info = classes.select("rep", F.col("size").alias("weight"), "sig").join(evenly(groups), "rep")
+    full = _with_sets(rows.select(F.col(ROW).alias("rep"), "text").join(evenly(info), "rep"), n)
+    placed = full.select("rep", "weight", "sig", "grams", F.inline("groups"))
+    units = block_pairs(placed, ["g", "band"], "rep", "blocks", max(1, total // block))
     plan = least_matches(threshold, tolerance)
 
     def work(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in df.groupby(["_g", "_i", "_j"], sort=True):
-            g = g.drop_duplicates("rep").sort_values("rep")
+        for (_, band, one, two), g in df.groupby(["g", "band", "_i", "_j"], sort=True):
+            g = g.sort_values("rep")
             ids, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
             sig = np.stack([np.asarray(x, np.int32) for x in g["sig"]])
             sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-            first = g["_b"].to_numpy() == g["_i"].iloc[0]
+            first = g["_b"].to_numpy() == one
             left = np.flatnonzero(first)
-            right = left if g["_i"].iloc[0] == g["_j"].iloc[0] else np.flatnonzero(~first)
+            right = left if one == two else np.flatnonzero(~first)
             if not len(left) or not len(right):
                 continue
-            i, j = compare(sig, sets, left, right, threshold, plan)
+            i, j = compare(sig, sets, left, right, threshold, plan, int(band))
             links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
             up = dict(forest_edges(i, j, len(ids)))
             for k in np.flatnonzero(links):
                 out.append((int(ids[k]), int(links[k]), int(ids[up[int(k)]]) if int(k) in up else None))
         return pd.DataFrame(out, columns=["rep", "links", "up"]).astype({"rep": "int64", "links": "int64", "up": "Int64"})
 
-    found = units.groupBy("unit").applyInPandas(work, "rep long, links long, up long")
-    found = materialise(found, "links")
+    found = materialise(units.groupBy("unit").applyInPandas(work, "rep long, links long, up long"), "links")
+    release(groups)
     joined = materialise(connected_components(found.select(F.col("rep").alias("u"), F.col("up").alias("v"))), "components")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = classes.select("set_id", "rep", "size").join(evenly(counts), "rep", "left").join(evenly(joined.withColumnRenamed("id", "rep")), "rep", "left")
-    per = materialise(per.select("set_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes-found")
-    release(groups)
-    out = sk.select("doc", "set_id").join(per, "set_id", "left")
-    kind = dict(docs.dtypes)[key]
-    return out.select(
-        F.col("doc").cast(kind).alias(key),
-        F.coalesce("rep", "doc").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "doc").alias("component_id"),
-    )
+    per = classes.select("set_id", "rep", "head", "size").join(evenly(counts), "rep", "left").join(evenly(joined.withColumnRenamed("id", "rep")), "rep", "left")
+    per = materialise(per.withColumn("component", F.coalesce("component", "rep")), "classes-found")
+    first = per.groupBy("component").agg(F.min("head").alias("first"))
+    per = per.join(evenly(first), "component").select("set_id", "head", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), "first")
+    out = sk.select("row", "key", "set_id", place.alias("own")).join(evenly(per), "set_id", "left")
+    return out.select("row", "key", F.coalesce("head", "own").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("first", "own").alias("first"))
 
 
 def _with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """Replace ``_t`` by its shingle set, where it is the set of the class."""
-    fields = "rep long, part long, _size long, set_id binary, weight long, sig array<int>, grams binary"
+    """Replace ``text`` by ``grams``, its shingle set."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(n)
         for df in batches:
-            grams = [cut(t) for t in df["_t"]]
-            right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(grams, df["set_id"], strict=True)]
-            out = df.drop(columns="_t").assign(grams=[s.tobytes() for s in grams])
-            yield out[right]
+            yield df.drop(columns="text").assign(grams=[cut(t).tobytes() for t in df["text"]])
+
+    order = ["rep", "weight", "sig", "groups", "text"]
+    return rows.select(*order).mapInPandas(work, "rep long, weight long, sig array<int>, groups array<struct<g:long,band:int,blocks:int>>, grams binary")
+
+
+def jaccard_join(
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    n: int = 5,
+    threshold: Fraction = Fraction(4, 5),
+    tolerance: float = 1e-6,
+    block: int = 1500,
+    block_grams: int = 2_000_000,
+) -> DataFrame:
+    """``(key, class_id, n_links, component_id)`` for every row.
 
-    order = ["rep", "part", "_size", "set_id", "weight", "sig", "_t"]
-    full = rows.select(*order).mapInPandas(work, fields)
-    return full
+    ``class_id`` is the smallest key with the same shingle set (the key itself
+    for texts without words, which match nothing), ``n_links`` the number of
+    other rows whose sets have Jaccard similarity ``threshold`` or more
+    (equal sets included), ``component_id`` the smallest key reachable by such
+    links.  ``tolerance`` is the posterior below which a pair is dropped; the
+    signature bands miss a pair of similarity 0.8 with a chance below 1e-7.
+    Null texts count as empty.  Every row counts by itself: repeated keys and
+    null keys are compared like all others, and a ``class_id`` or
+    ``component_id`` is null only where no row in question has a key.  Keys may
+    be of any type that can be ordered.  A block holds about ``block`` texts
+    and ``block_grams`` shingles at most.
+    """
+    rows = numbered(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts")
+    out = _joined(rows, n, threshold, tolerance, block, block_grams)
+    return out.select(F.col("key").alias(key), F.col("head.key").alias("class_id"), "n_links", F.col("first.key").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest key.
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: Fraction = Fraction(4, 5), tolerance: float = 1e-6, block: int = 1500, block_grams: int = 2_000_000) -> DataFrame:
+    """One row of each near-duplicate group: the one with the smallest key, null keys last.
 
-    Rows with a null key stay; a repeated key stays once per row.
+    Of rows with equal keys one stays as well.  Texts without words match
+    nothing and stay.  Columns and their order are kept.
     """
-    found = jaccard_join(docs, text, key, **options)
-    gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(evenly(gone), key, "left_anti").select(*docs.columns)
+    rows = numbered(docs, "documents")
+    slim = rows.select(ROW, F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    gone = _joined(slim, n, threshold, tolerance, block, block_grams).where("row <> first.row").select(F.col("row").alias(ROW))
+    return rows.join(evenly(gone), ROW, "left_anti").select(*docs.columns)
