@@ -11,9 +11,10 @@ level needed to fill it does not exceed what is left for it and those after it.
 
 Each leaf then takes a prefix, by tokens, of its texts in seeded order, epoch
 after epoch.  Whole epochs are counted, and only the cut inside the last epoch
-needs an order: hash buckets are summed first and single rows are ranked in
-the one bucket that holds the cut, so a leaf with a third of all rows is never
-sorted in one task.
+needs an order.  It is found by digits of the seeded hash: the totals of 256
+buckets per leaf tell which bucket holds the cut, then only the rows of that
+bucket are summed by two digits more, until one hash value is left.  So no task
+ever sorts the rows of a leaf, however large it is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small
+from .store import materialise, release, small
 
 
 def word_count(text: Column) -> Column:
@@ -29,14 +30,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\r\n\f]+")).cast("long")
 
 
-def budgets(leaves: DataFrame, levels: list[str], total: Column, max_epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, levels: list[str], total: int, max_epochs: int) -> DataFrame:
     """Budget of every leaf.
 
     ``leaves`` has the level columns, ``tokens long`` and per level a weight
-    column ``w_<level> long`` (positive).  ``total`` is the budget at the root,
-    an expression over a constant.  The table is as small as the tree.
+    column ``w_<level> long`` (positive).  ``total`` is the budget at the root.
+    Windows run over the children of one node: names, never rows of texts.
     """
-    cur = leaves.withColumn("_cap", F.col("tokens") * F.lit(max_epochs)).withColumn("_b0", total)
+    cur = leaves.withColumn("_cap", F.col("tokens") * F.lit(max_epochs)).withColumn("_b0", F.lit(total).cast("long"))
     for i, level in enumerate(levels):
         path, up = levels[: i + 1], levels[:i]
         nodes = cur.groupBy(*path).agg(F.sum("_cap").alias("_c"), F.first(f"w_{level}").alias("_w"), F.first(f"_b{i}").alias("_b"))
@@ -59,6 +60,36 @@ def order_hash(key: Column, seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
+def cuts(placed: DataFrame, names: list[str], digits: int = 2) -> DataFrame:
+    """``(names, _stop)``: per leaf the first hash at which the running total of tokens passes ``_rest``.
+
+    ``placed`` has the leaf's ``names``, ``_h`` (hexadecimal), ``_n`` tokens and
+    ``_rest`` tokens to take.  Leaves whose rows all fit do not appear.
+    """
+    at, width = None, 0
+    while True:
+        width += digits
+        part = placed.withColumn("_from", F.lit(0).cast("long"))
+        if at is not None:
+            part = placed.join(at.select(*names, "_x", "_from"), names).where(F.startswith("_h", F.col("_x")))
+        sums = part.groupBy(*names, F.substring("_h", 1, width).alias("_x")).agg(F.sum("_n").alias("_s"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.first("_rest").alias("_r"), F.first("_from").alias("_from"))
+        # at most 16 ** digits buckets of a leaf, in order
+        lists = sums.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_x", "_s", "_lo", "_hi"))).alias("_l"), F.first("_r").alias("_r"), F.first("_from").alias("_from"))
+        nothing = F.lit(None).cast("struct<_x:string,_from:bigint,_lo:string,_hi:string>")
+
+        def step(s, x):
+            passed = s["hit"].isNull() & (s["run"] + x["_s"] > s["r"])
+            hit = F.struct(x["_x"].alias("_x"), s["run"].alias("_from"), x["_lo"].alias("_lo"), x["_hi"].alias("_hi"))
+            return F.struct(s["r"].alias("r"), (s["run"] + x["_s"]).alias("run"), F.when(passed, hit).otherwise(s["hit"]).alias("hit"))
+
+        start = F.struct(F.col("_r").cast("long").alias("r"), F.col("_from").alias("run"), nothing.alias("hit"))
+        found = lists.select(*names, F.aggregate("_l", start, step)["hit"].alias("_c")).where("_c IS NOT NULL").select(*names, "_c.*")
+        last, at = at, small(found, "cut")
+        release(last)
+        if at.where("_lo <> _hi").isEmpty():
+            return at.select(*names, F.col("_lo").alias("_stop"))
+
+
 def mix(rows: DataFrame, levels: list[str], weights: dict[str, Column], budget_share: tuple[int, int] = (1, 1), max_epochs: int = 2, seed: int = 9, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """Add ``copies int``: how many times each row enters the mixture.
 
@@ -68,34 +99,32 @@ def mix(rows: DataFrame, levels: list[str], weights: dict[str, Column], budget_s
     ``budget_share`` (numerator, denominator) of all tokens.  A leaf with
     budget B and T tokens takes B // T whole epochs and, in the next one, the
     rows in seeded order whose running total stays within the remainder; rows
-    with equal keys are taken together.  Rows without tokens follow the whole
-    epochs and count as taken in the partial one when they come before the cut.
+    with equal keys, null keys among them, are taken together.  Rows without
+    tokens follow the whole epochs and count as taken in the partial one when
+    they come before the cut.  A column ``copies`` is replaced, all others are
+    kept; an empty table gives an empty one.
     """
-    cols = {f"_l{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(levels)}
+    cols = {f"__l{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(levels)}
     names = list(cols)
-    base = rows.withColumns(cols).withColumn("_n", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
-    leaves = base.groupBy(*names).agg(F.sum("_n").alias("tokens"), *[F.max(weights[c]).cast("long").alias(f"w__l{i}") for i, c in enumerate(levels)])
+    base = rows.withColumns(cols)
+    # one pass over the rows; what follows reads leaf names, keys and token counts only
+    slim = base.select(*names, F.col(key).alias("_k"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_n"), *[weights[c].cast("long").alias(f"w{n}") for n, c in zip(names, levels, strict=True)])
+    slim = materialise(slim, "slim")
+    leaves = slim.groupBy(*names).agg(F.sum("_n").alias("tokens"), *[F.max(f"w{n}").alias(f"w_{n}") for n in names])
     num, den = budget_share
-    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(num) / F.lit(den)).cast("long")
-    plan = budgets(leaves.withColumn("_total", total), names, F.col("_total"), max_epochs)
-    plan = plan.withColumn("_whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("_rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("_whole") * F.col("tokens")).otherwise(F.lit(0)))
-    plan = small(plan.select(*names, "_whole", "_rest"), "plan")
-    placed = base.join(plan, names).withColumn("_h", order_hash(F.col(key), seed, F.col("_whole")))
-    placed = placed.withColumn("_bucket", F.substring("_h", 1, 3))
-    # totals of 4,096 hash buckets per leaf, then the running total before each bucket
-    sums = placed.groupBy(*names, "_bucket").agg(F.sum("_n").alias("_s"), F.first("_rest").alias("_r"))
-    over = Window.partitionBy(*names).orderBy("_bucket")
-    cut = sums.withColumn("_to", F.sum("_s").over(over)).withColumn("_from", F.col("_to") - F.col("_s"))
-    cut = small(cut.where("_to > _r").groupBy(*names).agg(F.min(F.struct("_bucket", "_from")).alias("_cut")), "cut")
-    placed = placed.join(cut, names, "left")
-    # rows of the bucket that holds the cut, by key: ranked one by one
-    edge = placed.where(F.col("_bucket") == F.col("_cut._bucket")).groupBy(*names, "_h").agg(F.sum("_n").alias("_s"), F.first("_cut").alias("_c"), F.first("_rest").alias("_r"))
-    edge = edge.withColumn("_run", F.col("_c._from") + F.sum("_s").over(Window.partitionBy(*names).orderBy("_h")))
-    edge = small(edge.where("_run > _r").groupBy(*names).agg(F.min("_h").alias("_stop")), "edge")
-    taken = placed.join(edge, names, "left")
-    partial = F.when(F.col("_rest") <= 0, 0).when(F.col("_stop").isNull() | (F.col("_h") < F.col("_stop")), 1).otherwise(0)
-    out = taken.withColumn("copies", (F.col("_whole") + partial).cast("int"))
+    total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * num // den
+    plan = budgets(leaves, names, total, max_epochs)
+    plan = plan.withColumn("__whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("__rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("__whole") * F.col("tokens")).otherwise(F.lit(0)))
+    plan = small(plan.select(*names, "__whole", "__rest"), "plan")
+    placed = slim.join(plan, names).where("__rest > 0").select(*names, "_n", order_hash(F.col("_k"), seed, F.col("__whole")).alias("_h"), F.col("__rest").alias("_rest"))
+    stops = small(plan.join(cuts(placed, names), names, "left"), "stops")
+    release(plan)
+    release(slim)
+    taken = base.join(stops, names)
+    here = order_hash(F.col(key), seed, F.col("__whole"))
+    partial = F.when(F.col("__rest") <= 0, 0).when(F.col("_stop").isNull() | (here < F.col("_stop")), 1).otherwise(0)
+    out = taken.withColumn("copies", (F.col("__whole") + partial).cast("int"))
     return out.select(*[c for c in rows.columns if c != "copies"], "copies")
 
 
@@ -104,4 +133,4 @@ def repeated(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     return mixed.where(F.col(copies) > 0).withColumn("_e", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("_e", copies)
 
 
-__all__ = ["budgets", "mix", "order_hash", "repeated", "word_count"]
+__all__ = ["budgets", "cuts", "mix", "order_hash", "repeated", "word_count"]

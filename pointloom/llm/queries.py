@@ -79,9 +79,10 @@ def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_path() -> Column:
-    """Path of a document in a tree of sources, languages and folders of 100 files."""
-    folder = F.expr("doc_id DIV 100").cast("string")
-    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Path of a document in a tree of sources, languages and folders; some files lie in the upper directories."""
+    depth = F.when(F.col("doc_id") % 50 == 0, 1).when(F.col("doc_id") % 50 == 1, 2).when(F.col("doc_id") % 5 == 2, 3).otherwise(4)
+    parts = F.array(F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("doc_id DIV 1000").cast("string"), F.expr("doc_id DIV 10").cast("string"))
+    return F.concat(F.array_join(F.slice(parts, F.lit(1), depth), "/"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,31 +168,38 @@ def mixing_sql() -> str:
 
 
 def license_sql(threshold: float = 0.6) -> str:
-    """DuckDB twin of op6."""
-    from .licenses import TEMPLATES, TRIGGER
+    """DuckDB twin of op6: the same windows and weights, and all ancestors of every folder."""
+    from .licenses import ANCHORS, NAMES, VAGUE, templates
 
-    values = ", ".join(f"({i}, '{n}', '{x}')" for i, (n, x) in enumerate(TEMPLATES))
-    n = len(TEMPLATES)
-    token = "[a-z0-9.]*[a-z0-9]"
+    quoted = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+    rows = ", ".join(f"({i}, '{name}', {name in VAGUE or text in VAGUE}, {full}, '{' '.join(words)}')" for i, (name, text, full, words) in enumerate(templates()))
+    tokens = "regexp_extract_all(lower(text), '[a-z0-9.]*[a-z0-9]')"
     return f"""
-    WITH t AS (SELECT * FROM (VALUES {values}) v(template, license, x)),
-    ttf AS (SELECT template, license, word, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(x), '{token}')) AS word FROM t) GROUP BY ALL),
-    tdf AS (SELECT word, ln(({n} + 1.0::DOUBLE) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM ttf GROUP BY word),
-    v AS (SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY template)) AS norm FROM (SELECT template, license, word, idf, tf * idf AS weight FROM ttf JOIN tdf USING (word))),
-    l AS (SELECT doc_id, line, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
-          WHERE regexp_matches(text, '{TRIGGER}')) WHERE regexp_matches(s, '{TRIGGER}')),
-    tf AS (SELECT doc_id, line, word, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '{token}')) AS word FROM l) GROUP BY ALL),
-    w AS (SELECT doc_id, line, word, tf * coalesce(idf, ln(1.0::DOUBLE + {n}) + 1) AS w FROM tf LEFT JOIN tdf USING (word)),
-    norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS lnorm FROM w GROUP BY ALL),
-    dots AS (SELECT doc_id, line, template, license, norm, sum(w * weight) AS dot FROM w JOIN v USING (word) GROUP BY ALL),
-    scored AS (SELECT doc_id, line, license, round(dot / (norm * lnorm), 6) AS score FROM dots JOIN norms USING (doc_id, line)),
-    best AS (SELECT doc_id, license, score FROM scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) = 1),
-    f AS (SELECT doc_id, coalesce(source, 'none') AS a, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS b,
-          coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir FROM documents),
-    own AS (SELECT doc_id, dir, a, b, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license AS own, score AS s FROM f LEFT JOIN best USING (doc_id)),
-    holder AS (SELECT dir, own AS up, s AS us FROM own WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1)
-    SELECT doc_id, path, coalesce(own, up) AS license, coalesce(s, us) AS score, CASE WHEN own IS NOT NULL THEN path WHEN up IS NOT NULL THEN dir END AS from_path
-    FROM own LEFT JOIN holder USING (dir)
+    WITH t AS (SELECT template, license, vague, whole, string_split(x, ' ') AS ws FROM (VALUES {rows}) v(template, license, vague, whole, x)),
+    tw AS (SELECT template, vague, whole, len(ws) AS size, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS off FROM t),
+    ttf AS (SELECT template, whole, size, word, count(*) AS tf, NOT whole AND word IN ({quoted(NAMES)}) AS need FROM tw GROUP BY ALL),
+    files AS MATERIALIZED (SELECT doc_id, {tokens} AS ws FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT count(*) AS n FROM files),
+    df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ws) AS word FROM files) WHERE word IN (SELECT word FROM ttf) GROUP BY word),
+    idf AS (SELECT word, coalesce(df, 0) AS df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM ttf) LEFT JOIN df USING (word), n),
+    v AS (SELECT template, whole, size, word, need, tf, df, tf * idf AS weight, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm, count(*) FILTER (WHERE need) OVER (PARTITION BY template) AS needed FROM ttf JOIN idf USING (word)),
+    a AS (SELECT template, word FROM v WHERE CASE WHEN needed > 0 THEN need ELSE tf = 1 END
+          QUALIFY row_number() OVER (PARTITION BY template ORDER BY df, word) <= CASE WHEN needed > 0 THEN 1 ELSE {ANCHORS} END),
+    o AS (SELECT template, word, off, size FROM a JOIN tw USING (template, word)),
+    w AS (SELECT DISTINCT doc_id, template, greatest(pos - off, 0) AS spot, pos - off AS begins, size FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files) JOIN o USING (word)),
+    x AS (SELECT doc_id, template, spot, begins, unnest(ws[spot + 1:begins + size]) AS word FROM w JOIN files USING (doc_id)),
+    xtf AS (SELECT doc_id, template, spot, begins, word, count(*) AS tf FROM x GROUP BY ALL),
+    xw AS (SELECT xtf.*, xtf.tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS u FROM xtf LEFT JOIN idf USING (word), n),
+    s AS (SELECT xw.doc_id, xw.template, xw.spot, round(sum(u * v.weight) / (sqrt(sum(u * u)) * max(k.norm)), 6) AS score, count(*) FILTER (WHERE v.need) AS held, max(k.needed) AS needed
+          FROM xw LEFT JOIN v ON v.template = xw.template AND v.word = xw.word JOIN (SELECT DISTINCT template, norm, needed FROM v) k ON k.template = xw.template GROUP BY xw.doc_id, xw.template, xw.spot, xw.begins),
+    best AS (SELECT doc_id, license, score FROM s JOIN t USING (template) WHERE score >= {threshold} AND held = needed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY vague, score DESC, license, spot) = 1),
+    p AS (SELECT doc_id, [coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)] AS parts,
+          CASE WHEN doc_id % 50 = 0 THEN 1 WHEN doc_id % 50 = 1 THEN 2 WHEN doc_id % 5 = 2 THEN 3 ELSE 4 END AS depth FROM documents),
+    f AS (SELECT p.*, array_to_string(parts[1:depth], '/') AS dir, array_to_string(parts[1:depth], '/') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license AS own, score AS own_score FROM p LEFT JOIN best USING (doc_id)),
+    holder AS (SELECT dir AS up, own AS up_own, own_score AS up_score FROM f WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
+    chain AS (SELECT doc_id, unnest(range(1, depth + 1)) AS k, parts FROM f),
+    near AS (SELECT doc_id, up, up_own, up_score FROM chain JOIN holder ON up = array_to_string(parts[1:k], '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)
+    SELECT doc_id, path, coalesce(own, up_own) AS license, coalesce(own_score, up_score) AS score, CASE WHEN own IS NOT NULL THEN path ELSE up END AS from_path FROM f LEFT JOIN near USING (doc_id)
     """
 
 

@@ -75,5 +75,7 @@ def small(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
     The rows are counted after writing.  Beyond ``max_rows`` the joins that
     follow are ordinary ones, with a plain exchange that can be split.
     """
-    out = materialise(df, name)
-    return F.broadcast(out) if out.count() <= max_rows else evenly(out)
+    table = materialise(df, name)
+    out = F.broadcast(table) if table.count() <= max_rows else evenly(table)
+    out._written_at = table._written_at
+    return out

@@ -196,6 +196,41 @@ def test_jaccard_join_against_brute_force(spark):
     assert ngramjoin.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_rows_and_keys(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
+    rows = [("k2", a), ("k2", a), (None, b), (None, "alone " * 9), (None, "other words " * 5), (None, "other words " * 5), ("k1", ""), ("k0", None), ("k9", "zz " + a)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id or "~", r.class_id or "~", r.n_links, r.component_id or "~") for r in ngramjoin.jaccard_join(df).collect()))
+    assert got == sorted([("k2", "k2", 3, "k2")] * 2 + [("~", "~", 3, "k2"), ("~", "~", 0, "~"), ("~", "~", 1, "~"), ("~", "~", 1, "~"), ("k1", "k1", 0, "k1"), ("k0", "k0", 0, "k0"), ("k9", "k9", 3, "k2")])
+    left = [(r.doc_id, r.text) for r in ngramjoin.keep_one(df).collect()]
+    assert sorted((k or "~", t or "") for k, t in left) == sorted([("k2", a), ("~", "alone " * 9), ("~", "other words " * 5), ("k1", ""), ("k0", "")])
+
+
+def test_chains_are_compared_by_bands(spark):
+    """Windows that slide over one long text: every text is like its neighbours only."""
+    base = [f"w{i}" for i in range(5000)]
+    docs = [" ".join(base[i * 10 : i * 10 + 110]) for i in range(380)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in map(str.split, docs)]
+    links = [(a, b) for a in range(len(docs)) for b in range(a + 1, min(a + 8, len(docs))) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    comp = find(len(docs), links)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngramjoin.jaccard_join(df).collect()}
+    assert links and got == {i: (sum(i in p for p in links), comp[i]) for i in range(len(docs))}
+    rows = numbered(df.withColumnRenamed("doc_id", "key"))
+    sk = ngramjoin.sketches(rows, 5).withColumn("rep", ngramjoin.F.col("row"))
+    groups = ngramjoin._groups(sk, 1500, 2_000_000).select(ngramjoin.F.inline("groups"))
+    work = groups.where("band >= 0").groupBy("g").count().selectExpr("sum(count * count)").first()[0]
+    assert groups.where("band < 0").isEmpty() and work < 380 * 380 / 3
+
+
+def test_common_in_portions():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    for columns in (64, 1000, 1 << 16):
+        assert list(ngramjoin.common(sets, i, j, columns)) == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+
+
 def test_posterior_needs_more_matches_with_more_values():
     plan = ngramjoin.least_matches(ngramjoin.Fraction(4, 5), 1e-6)
     assert [n for n, _ in plan] == [32, 64, 96, 128] and all(0 < m < 0.8 * n for n, m in plan)
@@ -226,6 +261,48 @@ def test_forest_against_brute_force(spark):
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def clustered(rng, n, width=32, noise=0.1):
+    """About ``n`` vectors in clusters of one to twenty near copies."""
+    sizes = []
+    while sum(sizes) < n:
+        sizes.append(int(rng.integers(1, 20)))
+    centres = rng.normal(size=(len(sizes), width))
+    x = np.repeat(centres, sizes, axis=0)
+    return x + noise * rng.normal(size=x.shape)
+
+
+def linked(x, labels):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(link, False)
+    return link
+
+
+@pytest.mark.parametrize("n", [1500, 4000])
+def test_forest_recall_with_deep_trees(spark, n):
+    """Leaves of about 60 vectors, most splits learned beyond the sample; one cluster holds a third of all."""
+    rng = np.random.default_rng(n)
+    x = clustered(rng, n)
+    x = np.concatenate([x, rng.normal(size=32) + 0.25 * rng.normal(size=(n // 3, 32))])
+    labels = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    link = linked(x, labels)
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(df, leaf=60, sample=400).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= link.sum(axis=1)).all()
+    recall = found.sum() / link.sum()
+    print(f"{len(x)} vectors: recall {recall:.4f} of {link.sum()} link ends")
+    assert recall > 0.97
+
+
+def test_forest_rows_and_sizes(spark):
+    big, small = [1e200, 1e200, 0.0], [1e-300, 1e-300, 0.0]
+    rows = [(1, big, "a", 1), (2, [1e200, 1.01e200, 0.0], "a", 2), (3, small, "a", 3), (7, [1.0, 0.0, 0.0], "a", 4), (7, [0.0, 0.0, 1.0], "a", 5), (7, [0.0, 0.01, 1.0], "a", 6), (None, [0.0, 0.0, 2.0], "a", 7), (None, [5.0, 5.0, 0.0], None, 8), (None, [0.0, -1.0, 0.0], "a", 9), (20, [float(i == 3) for i in range(50_000)], "a", 10), (21, [float(i == 3) * 2 for i in range(50_000)], "a", 11)]
+    df = spark.createDataFrame([(k, v, y, i, i, i) for k, v, y, i in rows], "vec_id long, embedding array<double>, label string, n_links int, component_id int, kept int")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in forest.near_duplicates(df).collect())
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (7, 0, 7, True), (7, 2, 7, True), (7, 2, 7, True), (-1, 2, 7, False), (-1, 0, -1, True), (-1, 0, -1, True), (20, 1, 20, True), (21, 1, 20, False)])
+
+
 # --- op7, op8 --------------------------------------------------------------------------------------------------------
 
 
@@ -236,16 +313,75 @@ def sentences(rng, stems, n):
 STEMS = {"aa": ["kilo", "mora", "tipa", "wero"], "bb": ["schul", "grun", "pfla", "zwis"], "cc": ["queu", "beaux", "oise", "trei"]}
 
 
+def test_marginals_against_all_labellings():
+    """Forward-backward equals the sum over every labelling of a chain."""
+    from itertools import product
+
+    from pointloom.llm.crf import forward_backward
+
+    rng = np.random.default_rng(9)
+    lengths, k = np.array([1, 4, 0, 3, 5]), 3
+    scores, t, start = rng.normal(size=(lengths.sum(), k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    got, pairs = forward_backward(scores, lengths, t, start, pairs=True)
+    exp, both, at = np.zeros_like(scores), np.zeros((k, k)), 0
+    for n in lengths:
+        total, own, two = 0.0, np.zeros((n, k)), np.zeros((k, k))
+        for y in product(range(k), repeat=int(n)):
+            w = np.exp(sum(scores[at + i, c] for i, c in enumerate(y)) + (start[y[0]] if n else 0) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            for i, c in enumerate(y):
+                own[i, c] += w
+            for a, b in zip(y, y[1:], strict=False):
+                two[a, b] += w
+        exp[at : at + n], both, at = own / total, both + two / total, at + n
+    assert np.allclose(got, exp, atol=1e-5) and np.allclose(pairs, both, atol=1e-4)
+
+
+def test_letters_and_offsets():
+    from pointloom.llm.crf import KeyTable, spans_of, words_of
+
+    for t in ("²", "½ Ⅷ ① ٣ _ 12", "x²y a\u0130b ǅ é 漢字_ß", "İİ ok", "", "E=mc²"):
+        spans = spans_of(t)
+        assert [t[a:b].lower() for a, b in spans] == words_of(t) and all(t[a:b].isalpha() for a, b in spans)
+        assert sum(b - a for a, b in spans) == sum(c.isalpha() for c in t)
+    keys = np.unique(np.concatenate([np.arange(0, 64_000, 64, dtype=np.uint64), np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)]))
+    assert (KeyTable(keys).find(keys) == np.arange(len(keys))).all() and (KeyTable(keys).find(keys + np.uint64(1 << 63)) == -1).all()
+    assert len(KeyTable(keys[:0]).find(keys)) == len(keys)
+
+
+def test_held_out_quality(spark):
+    """Languages and toxicity of rows that nothing was learned from."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = [r for r in queries.op8_language_id(spark, folder).join(docs, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()]
+    right = sum(r.lang == r.lang_pred for r in found)
+    print(f"languages: {right} of {len(found)} held out")
+    assert right >= 0.97 * len(found) > 0
+    found = queries.op7_toxicity(spark, folder).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    right = sum(r.toxic == r.predicted for r in found)
+    print(f"toxicity: {right} of {len(found)} held out")
+    assert right >= 0.93 * len(found) > 0
+
+
+def test_samples_are_bounded(spark):
+    from pointloom.llm.crf import bounded_sample
+
+    rows = [("en", "one and the same text")] * 5000 + [("en", f"text {i}") for i in range(3000)] + [("xx", f"rare {i}") for i in range(5)] + [(None, "nothing")]
+    df = spark.createDataFrame(rows, "lang string, text string").where("lang IS NOT NULL")
+    got = bounded_sample(df, "lang", 50, 1, ["lang", "text"])
+    assert len({tuple(r) for r in got}) == len(got) <= 200 and sum(r.lang == "xx" for r in got) == 5 and sum(r.lang == "en" for r in got) > 5
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     rows = [(i, sentences(rng, STEMS[v], 40), v, "s") for i, v in enumerate(["aa", "bb", "cc"] * 40)]
     train = spark.createDataFrame(rows, DOC)
     model = langid.train(train)
-    test = [(900 + i, sentences(rng, STEMS[v], 25), v, 0.5) for i, v in enumerate(["aa", "bb", "cc"] * 10)] + [(990, None, None, 0.0), (991, "12 !?", "aa", 0.0), (992, "", "aa", 0.0), (993, sentences(rng, STEMS["bb"], 30_000), "bb", 0.0)]
+    test = [(900 + i, sentences(rng, STEMS[v], 25), v, 0.5) for i, v in enumerate(["aa", "bb", "cc"] * 10)] + [(990, None, None, 0.0), (991, "12 !?", "aa", 0.0), (992, "", "aa", 0.0), (994, "² ½ Ⅷ", "aa", 0.0), (993, sentences(rng, STEMS["bb"], 30_000), "bb", 0.0)]
     df = spark.createDataFrame(test, "doc_id long, text string, lang string, score double")
     got = {r.doc_id: r for r in langid.predict(df, model).collect()}
-    assert all(got[d].lang_pred == v and 0 <= got[d].score <= 1 for d, _, v, _ in test if d not in (990, 991, 992))
-    assert all(got[d].lang_pred == "und" for d in (990, 991, 992))
+    assert all(got[d].lang_pred == v and 0 <= got[d].score <= 1 for d, _, v, _ in test if d not in (990, 991, 992, 994))
+    assert all(got[d].lang_pred == "und" for d in (990, 991, 992, 994))
     mixed = sentences(rng, STEMS["aa"], 12) + " " + sentences(rng, STEMS["bb"], 12)
     tags = langid.tag_words(spark.createDataFrame([(1, mixed, "", "")], DOC), model).orderBy("begin").collect()
     assert [t.lang for t in tags] == ["aa"] * 12 + ["bb"] * 12 and all(mixed[t.begin : t.end] == t.word for t in tags)
@@ -264,12 +400,16 @@ def test_toxicity(spark):
         labels.append((i, int(i % 4 == 0)))
     docs, y = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs, y.where("doc_id < 120"))
-    extra = spark.createDataFrame([(500, None, "", ""), (501, "", "", ""), (502, rows[0][1] + " kilo" * 20_000, "", "")], DOC)
+    extra = spark.createDataFrame([(500, None, "", ""), (501, "", "", ""), (503, "İ kilo viletude " + rows[0][1], "", ""), (502, rows[0][1] + " kilo" * 20_000, "", "")], DOC)
     got = {r.doc_id: r for r in toxicity.score(docs.unionByName(extra), model).collect()}
     assert all(got[i].predicted == t and 0 <= got[i].score <= 1 for i, t in labels if i >= 120)
     text = dict((r[0], r[1]) for r in rows)
     spans = {text[i][s.begin : s.end][:4] for i, t in labels if t and i >= 120 for s in got[i].spans}
     assert spans == {"vile"}
+    odd = "İ kilo viletude " + rows[0][1]
+    assert got[503].predicted == 1 and "vile" in {odd[s.begin : s.end][:4] for s in got[503].spans}
+    twice = spark.createDataFrame([(1, rows[0][1], 0.25, "x")] * 3, "doc_id long, text string, score double, spans string")
+    assert len({(r.score, r.predicted, str(r.spans)) for r in toxicity.score(twice, model).collect()}) == 1
     assert got[500].predicted == 0 and got[501].predicted == 0 and got[502].predicted == 1
     none = toxicity.train(docs, y.limit(0))
     assert toxicity.score(docs.limit(2), none).count() == 2
