@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # fixed values: class names in the order of their identifiers, with their colours
 CLASSES = [
@@ -24,9 +23,7 @@ CLASSES = [
 IGNORE = -1
 FEATURES = ["nx", "ny", "nz", "verticality", "planarity", "curvature", "red", "green", "blue"]
 
-CLASS_SCHEMA = T.StructType.fromJson(
-    {"type": "struct", "fields": [{"name": n, "type": t, "nullable": False, "metadata": {}} for n, t in (("class_id", "integer"), ("class_name", "string"), ("cr", "integer"), ("cg", "integer"), ("cb", "integer"), ("hex", "string"))]}
-)
+CLASS_SCHEMA = "class_id int not null, class_name string not null, cr int not null, cg int not null, cb int not null, hex string not null"
 POINT_SCHEMA = "area string, room string, point_idx long, x double, y double, z double, r double, g double, b double, label int"
 RUNLOG_SCHEMA = "epoch int, train_loss double, train_acc double, val_loss double, val_acc double, loss_diff double, acc_diff double, learning_rate double"
 

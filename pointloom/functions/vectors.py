@@ -62,9 +62,3 @@ def argmax(scores: Column) -> Column:
     """Number, from 0, of the first largest element; null for null or empty arrays."""
     return F.nullif(F.array_position(scores, F.array_max(scores)), F.lit(0)).cast("int") - 1
 
-
-def squared_distance(ax: list[Column], bx: list[Column]) -> Column:
-    out = F.lit(0)
-    for a, b in zip(ax, bx, strict=True):
-        out = out + (a - b) * (a - b)
-    return out

@@ -12,11 +12,25 @@ FIELDS = ["x", "y", "z", "r", "g", "b"]
 PATH = r"([^/]+)/([^/]+)/Annotations/([^_/]+)[^/]*$"
 
 
+def number_lines(raw: DataFrame) -> DataFrame:
+    """``(file_path, line_no, value)`` from lines with the start of their split, in file order.
+
+    ``raw`` is a scan with ``value``, ``file_path``, ``_s`` (start of the split)
+    and ``_m`` (monotonic ids taken directly above the scan).  The ids of a
+    split are consecutive, so a line's number is its distance from the first
+    line of its split plus the lines of the splits before it.  Windows run over
+    the splits of a file, never over its lines.
+    """
+    splits = raw.groupBy("file_path", "_s").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    return raw.join(splits, ["file_path", "_s"]).select("file_path", (F.col("_base") + F.col("_m")).alias("line_no"), "value")
+
+
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(file_path, line_no, value)`` of text files, in file order even across splits."""
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
-    order = Window.partitionBy("file_path").orderBy("_s", "_m")
-    return raw.withColumn("line_no", (F.row_number().over(order) - 1).cast("long")).select("file_path", "line_no", "value")
+    return number_lines(raw)
 
 
 def annotated_tree(spark: SparkSession, root: str, areas: list[str]) -> DataFrame:
@@ -34,23 +48,19 @@ def missing_areas(lines: DataFrame, areas: list[str]) -> DataFrame:
 
 
 def tokens(value: Column) -> Column:
-    """White-space separated tokens of a line without its comment; null for blank lines."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(value, "#.*$", ""), r"\s+", " "))
-    return F.when(s != "", F.split(s, " "))
+    """White-space separated tokens of a line without its comment; an empty array for blank lines."""
+    return F.array_remove(F.split(F.substring_index(value, "#", 1), r"\s+"), "")
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Add x, y, z, r, g, b and ``ok``; blank and comment lines are dropped.
 
-    ``ok`` is false when a line does not hold exactly six numbers.
+    ``ok`` is false when a line does not hold exactly six numbers.  A line is
+    cut once, into an array that the columns are taken from.
     """
-    out = lines.withColumn("_t", tokens(F.col("value"))).where("_t IS NOT NULL")
-    for i, name in enumerate(FIELDS):
-        out = out.withColumn(name, F.get("_t", F.lit(i)).try_cast("double"))
-    whole = F.lit(True)
-    for name in FIELDS:
-        whole = whole & F.col(name).isNotNull()
-    return out.withColumn("ok", (F.size("_t") == 6) & whole).drop("_t")
+    cut = lines.withColumn("_n", F.transform(tokens(F.col("value")), lambda t: t.try_cast("double"))).where(F.size("_n") > 0)
+    ok = (F.size("_n") == 6) & (F.size(F.array_compact("_n")) == F.size("_n"))
+    return cut.select("*", *[F.get("_n", F.lit(i)).alias(name) for i, name in enumerate(FIELDS)], ok.alias("ok")).drop("_n")
 
 
 def file_report(parsed: DataFrame) -> DataFrame:
@@ -77,31 +87,45 @@ def with_labels(df: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, scope: list[str], order: list[str], name: str = "point_idx") -> DataFrame:
-    """Number rows from 0 within each scope, in order; scopes of bounded size."""
+    """Number rows from 0 within each scope, in order; only for scopes with a proven bound on their size."""
     w = Window.partitionBy(*scope).orderBy(*order)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
 def dense_index_ranged(df: DataFrame, scope: list[str], order: list[str], name: str = "point_idx") -> DataFrame:
-    """As :func:`dense_index`, for scopes too large for one task.
+    """Number rows from 0 within each scope, in order, whatever the size of a scope.
 
-    Rows are range partitioned by scope and order, numbered within their
-    partition, and shifted by the rows of the scope in earlier partitions.  The
-    table of shifts has a row per partition and scope in it.
+    Rows are range partitioned and sorted by scope and order and written with
+    consecutive ids.  A row's number is its distance from the first row of its
+    scope in its partition, plus the rows of the scope in earlier partitions.
+    Windows run over the partitions of a scope, never over its rows.
     """
     keys = [*scope, *order]
-    parts = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranged")
-    local = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *scope).orderBy(*order)))
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    parts = written(parts.withColumn("_part", F.shiftright("_id", 33)), "ranged")
     before = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parts.groupBy("_part", *scope).agg(F.count("*").alias("_rows")).withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    return local.join(shift, ["_part", *scope]).withColumn(name, (F.col("_base") + F.col("_at") - 1).cast("long")).drop("_part", "_at", "_base")
+    shift = parts.groupBy("_part", *scope).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    shift = shift.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    return parts.join(shift, ["_part", *scope]).withColumn(name, F.col("_base") + F.col("_id")).drop("_part", "_id", "_base")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error that names what is missing when it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def or_empty(spark: SparkSession, df: DataFrame | None, schema: str) -> DataFrame:
+    """``df``, or an empty table of the given schema in place of None."""
+    return spark.createDataFrame([], schema) if df is None else df
 
 
 def labelled_points(lines: DataFrame) -> DataFrame:
     """Room points with stable positions: gate, label, order by file and line."""
     good, _ = gate_files(parse(lines))
     named = with_labels(with_path_columns(good))
-    out = dense_index(named, ["area", "room"], ["file_path", "line_no"])
+    out = dense_index_ranged(named, ["area", "room"], ["file_path", "line_no"])
     return out.select("area", "room", "point_idx", *FIELDS, "label")
 
 
@@ -109,4 +133,4 @@ def unlabelled_points(lines: DataFrame) -> DataFrame:
     """Points of clouds to score; ``cloud_id`` is the file name without its ending."""
     good, _ = gate_files(parse(lines))
     named = good.withColumn("cloud_id", F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return dense_index(named, ["cloud_id"], ["file_path", "line_no"]).select("cloud_id", "point_idx", *FIELDS)
+    return dense_index_ranged(named, ["cloud_id"], ["file_path", "line_no"]).select("cloud_id", "point_idx", *FIELDS)

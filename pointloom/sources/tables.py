@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Save a fitted pipeline, replacing an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A fitted pipeline saved by :func:`save_model`."""
+    return PipelineModel.load(path)
+
+
 def segmented_line(x: Column, y: Column, z: Column, r: Column, g: Column, b: Column, pred: Column) -> Column:
     """One line of a segmented cloud; colours lose their fractions."""
     return F.format_string("%.6f %.6f %.6f %d %d %d %d", x, y, z, r.cast("long"), g.cast("long"), b.cast("long"), pred.cast("long"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.classes import RUNLOG_SCHEMA
-from ..sources.clouds import unlabelled_points
+from ..sources.clouds import number_lines, unlabelled_points
 
 
 def score_stream(spark: SparkSession, landing: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:
@@ -23,8 +23,7 @@ def score_stream(spark: SparkSession, landing: str, score: Callable[[DataFrame],
     lines = lines.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_s"))
 
     def each(batch: DataFrame, number: int) -> None:
-        order = Window.partitionBy("file_path").orderBy("_s", "_m")
-        numbered = batch.withColumn("_m", F.monotonically_increasing_id()).withColumn("line_no", (F.row_number().over(order) - 1).cast("long")).select("file_path", "line_no", "value")
+        numbered = number_lines(batch.withColumn("_m", F.monotonically_increasing_id()))
         scored = score(unlabelled_points(numbered)).withColumn("batch", F.lit(number))
         scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
