@@ -1,9 +1,14 @@
-"""Exact nearest-neighbour joins on grids.
+"""Exact nearest-neighbour joins on tiles.
 
-``radius_knn`` is one equi-join on grid cells of the radius.  ``knn_join``
-finds k neighbours without a radius: points are grouped in tiles with a halo,
-ranked inside a tile with dense arithmetic, and only queries whose k-th
-neighbour may lie outside the halo go to a further round with a wider one.
+Every scope is cut into tiles of about ``per_tile`` candidates at its mean
+density.  A query looks at the candidates of its tile and of a halo around it,
+as wide as the search radius, in dense blocks of bounded size.
+
+``radius_knn`` is one such pass.  ``knn_join`` starts with a radius that holds
+k candidates on average; queries that do not find k go to a further pass with
+a wider one.  A tile much denser than its scope becomes a scope of its own,
+with a grid that fits it (:func:`_rounds` calls itself), so a cluster in a wide
+room is searched at its own density.  Small scopes are one tile.
 """
 
 from __future__ import annotations
@@ -15,13 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
+from ..functions.shared import release, written
+from ..functions.vectors import finite
 
 XYZ = ("x", "y", "z")
-
-
-def _cells(coords: tuple[str, ...], side: Column) -> list[Column]:
-    return [F.floor(F.col(c) / side).cast("long") for c in coords]
+EDGE = "src long, dst long, d2 double, rn int"
+#: Most distances that a task holds at once.
+AT_ONCE = 2_000_000
 
 
 def top_k(pairs: DataFrame, k: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -30,132 +35,163 @@ def top_k(pairs: DataFrame, k: int, src: str = "src", dst: str = "dst") -> DataF
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def radius_knn(queries: DataFrame, candidates: DataFrame, k: int, radius: float, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True) -> DataFrame:
-    """``(src, dst, d2, rn)``: at most k neighbours within ``radius`` in the same scope.
+def _plain(points: DataFrame, scope: list[str], pid: str, coords: tuple[str, ...]) -> DataFrame:
+    """Scope columns, ``id`` and ``p0 ...`` of the points whose coordinates are finite."""
+    out = points.select(*scope, F.col(pid).cast("long").alias("id"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(coords)])
+    return out.where(reduce(Column.__and__, [finite(F.col(f"p{i}")) for i in range(len(coords))]))
 
-    Each query visits the cells around its own; everything within the radius is
-    there, so one equi-join on (scope, cell) suffices.  Ids are unique.
-    """
-    names = [f"_c{i}" for i in range(len(coords))]
-    side = F.lit(radius)
-    q = queries.select(*scope, F.col(pid).alias("src"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(coords)])
-    for i, cell in enumerate(_cells(tuple(f"_q{i}" for i in range(len(coords))), side)):
-        q = q.withColumn(names[i], F.explode(F.array(cell - 1, cell, cell + 1)))
-    c = candidates.select(*scope, F.col(pid).alias("dst"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(coords)], *[x.alias(n) for x, n in zip(_cells(coords, side), names, strict=True)])
-    both = q.join(c, [*scope, *names])
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"_q{i}") - F.col(f"_d{i}")) * (F.col(f"_q{i}") - F.col(f"_d{i}")) for i in range(len(coords))])
-    both = both.withColumn("d2", d2).where(F.col("d2") <= F.lit(radius) * F.lit(radius))
-    if not include_self:
-        both = both.where("src <> dst")
-    return top_k(both.select("src", "dst", "d2"), k)
-
-
-def knn_join(
-    queries: DataFrame,
-    candidates: DataFrame,
-    k: int,
-    scope: list[str],
-    pid: str = "pid",
-    coords: tuple[str, ...] = XYZ,
-    include_self: bool = True,
-    per_tile: int = 1500,
-    growth: float = 2.0,
-) -> DataFrame:
-    """``(src, dst, d2, rn)``: the k nearest candidates of every query in its scope.
 
-    Ties go to the smaller id; a scope with fewer than k candidates gives all
-    of them.  Tiles hold about ``per_tile`` candidates at the mean density of
-    their scope, and the queries of a tile are dealt out in shares, so a dense
-    tile is worked on by several tasks.  The halo starts at a radius that holds
-    k candidates on average and grows until every query is closed.
+def _grid(q: DataFrame, c: DataFrame, scope: list[str], n: int, k: int, per_tile: int, limit: str | None = None) -> DataFrame:
+    """Per scope: corner ``l<i>``, first radius ``r0``, tile side ``side`` and last radius ``reach``.
+
+    ``reach`` leads from anywhere to anywhere in the scope, or is the largest
+    value of column ``limit`` of its queries.
     """
-    n = len(coords)
-    cand = candidates.select(*scope, F.col(pid).alias("id"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(coords)])
-    open_q = queries.select(*scope, F.col(pid).alias("id"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(coords)])
-    spans = [F.max(f"p{i}") - F.min(f"p{i}") for i in range(n)]
-    stats = cand.groupBy(*scope).agg(F.count("*").alias("_n"), *[s.alias(f"_s{i}") for i, s in enumerate(spans)])
-    longest = F.greatest(*[F.col(f"_s{i}") for i in range(n)], F.lit(1e-9))
+    axes = range(n)
+    ends = lambda df, a, b: [x for i in axes for x in (F.min(f"p{i}").alias(f"{a}{i}"), F.max(f"p{i}").alias(f"{b}{i}"))]
+    most = [F.max(limit).alias("reach")] if limit else []
+    both = c.groupBy(*scope).agg(F.count("*").alias("k"), *ends(c, "a", "b")).join(q.groupBy(*scope).agg(*ends(q, "qa", "qb"), *most), scope)
+    span = [F.greatest(f"b{i}", f"qb{i}") - F.least(f"a{i}", f"qa{i}") for i in axes]
+    both = both.withColumn("far", F.greatest(*span, F.lit(1e-9)) * float(np.sqrt(n)) * 1.0001)
     # flat clouds: a side counts at least a hundredth of the longest one
-    volume = reduce(lambda a, b: a * b, [F.greatest(F.col(f"_s{i}"), longest / 100) for i in range(n)])
-    # every query must see all candidates in the last round, wherever it lies
-    far = open_q.groupBy(*scope).agg(*[F.min(f"p{i}").alias(f"_a{i}") for i in range(n)], *[F.max(f"p{i}").alias(f"_b{i}") for i in range(n)])
-    low = cand.groupBy(*scope).agg(*[F.min(f"p{i}").alias(f"_l{i}") for i in range(n)], *[F.max(f"p{i}").alias(f"_h{i}") for i in range(n)])
-    reach = F.greatest(*[F.greatest(F.col(f"_b{i}"), F.col(f"_h{i}")) - F.least(F.col(f"_a{i}"), F.col(f"_l{i}")) for i in range(n)], F.lit(1e-9)) * float(np.sqrt(n)) * 1.0001
-    grid = stats.join(far, scope).join(low, scope).withColumn("_reach", reach)
-    grid = grid.withColumn("_r0", F.pow(volume * (k + 1) * 0.3 / F.col("_n"), F.lit(1.0 / n))).withColumn("_side", F.greatest(F.pow(volume * per_tile / F.col("_n"), F.lit(1.0 / n)), 2 * F.col("_r0")))
-    grid = written(grid.select(*scope, "_n", "_reach", "_r0", "_side"), "grid")
-    done: list[DataFrame] = []
-    factor = 1.0
+    longest = F.greatest(*[F.col(f"b{i}") - F.col(f"a{i}") for i in axes], F.lit(1e-9))
+    volume = reduce(lambda a, b: a * b, [F.greatest(F.col(f"b{i}") - F.col(f"a{i}"), longest / 100) for i in axes])
+    both = both.withColumn("r0", F.pow(volume * (k + 1) * 0.45 / F.col("k"), F.lit(1.0 / n))).withColumn("side", F.pow(volume * per_tile / F.col("k"), F.lit(1.0 / n)))
+    if limit:
+        both = both.withColumn("r0", F.least("r0", "reach"))
+    else:  # a small scope is one tile
+        both = both.withColumn("reach", F.col("far")).withColumn("r0", F.when(F.col("k") <= 2 * per_tile, F.col("far")).otherwise(F.col("r0")))
+    return both.select(*scope, *[F.least(f"a{i}", f"qa{i}").alias(f"l{i}") for i in axes], "r0", F.greatest(F.col("side"), 2 * F.col("r0")).alias("side"), "reach")
+
+
+def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include_self: bool, per_tile: int, final: bool, depth: int = 0) -> tuple[list[DataFrame], DataFrame | None]:
+    """Edges, and the queries without k candidates within ``reach``.
+
+    ``q`` and ``c`` have a scope number ``s``, ``id`` and ``p<i>``.  With
+    ``final`` everything within ``reach`` is all there is, and no query is left.
+    """
+    axes, done, factor, gave_up = range(n), [], 1.0, None
+    keys = ["s", *[f"c{i}" for i in axes]]
     while True:
-        radius = F.least(F.col("_r0") * F.lit(factor), F.col("_reach"))
-        side = F.greatest(F.col("_side"), radius)
-        g = grid.select(*scope, radius.alias("_r"), side.alias("_w"), (radius >= F.col("_reach")).alias("_all"))
-        cells = [f"_c{i}" for i in range(n)]
-        q = open_q.join(g, scope).select(*scope, "id", *[f"p{i}" for i in range(n)], "_r", "_all", *[F.floor(F.col(f"p{i}") / F.col("_w")).cast("long").alias(cells[i]) for i in range(n)])
-        q = q.withColumn("_share", F.lit(0))
-        c = cand.join(g, scope)
-        for i in range(n):
-            lo, hi = F.floor((F.col(f"p{i}") - F.col("_r")) / F.col("_w")), F.floor((F.col(f"p{i}") + F.col("_r")) / F.col("_w"))
-            c = c.withColumn(cells[i], F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-        c = c.select(*scope, "id", *[f"p{i}" for i in range(n)], *cells)
-        keys = [*scope, *cells]
-        many = q.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(4 * per_tile)).cast("int").alias("_m"))
-        q = q.join(many, keys).withColumn("_share", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int")).drop("_m")
-        c = c.join(many, keys).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
-        keys = [*keys, "_share"]
-        c = c.toDF(*[f"{x}_" for x in c.columns])  # names of their own: both sides may stem from one table
-        found = q.groupBy(*keys).cogroup(c.groupBy(*[f"{x}_" for x in keys])).applyInPandas(_ranker(k, n, include_self), "src long, dst long, d2 double, rn int")
+        r = F.least(F.col("r0") * F.lit(factor), F.col("reach"))
+        g = grid.select("s", *[f"l{i}" for i in axes], r.alias("r"), F.greatest(F.col("side"), r).alias("w"), (r >= F.col("reach")).alias("last"))
+        asked = q.join(g, "s").withColumns({f"c{i}": F.floor((F.col(f"p{i}") - F.col(f"l{i}")) / F.col("w")).cast("long") for i in axes})
+        asked = asked.select(*keys, "id", *[f"p{i}" for i in axes], "r", "last")
+        held = c.join(g, "s")
+        halo = F.col("r") * 1.000001
+        for i in axes:
+            at = F.col(f"p{i}") - F.col(f"l{i}")
+            held = held.withColumn(f"c{i}", F.explode(F.sequence(F.floor((at - halo) / F.col("w")).cast("long"), F.floor((at + halo) / F.col("w")).cast("long"))))
+        held = held.select(*keys, "id", *[f"p{i}" for i in axes])
+        # tiles with queries: how many, and how many candidates
+        tiles = asked.groupBy(*keys).agg(F.count("*").alias("asked"), F.max("r").alias("r"))
+        tiles = tiles.join(held.groupBy(*keys).agg(F.count("*").alias("held")), keys, "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        dense = F.lit(factor == 1.0 and depth < 12) & (F.col("held") > 8 * per_tile) & (F.col("asked") > 2 * per_tile)
+        tiles = written(tiles.withColumn("dense", dense).withColumn("shares", F.ceil(F.col("asked") / F.lit(4 * per_tile)).cast("int")).withColumn("own", F.monotonically_increasing_id()), "tiles")
+        still = []
+        if not tiles.where("dense").isEmpty():
+            own = tiles.where("dense").select(*keys, "own", F.col("r").alias("most"))
+            inner_q = written(asked.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes], "most"), "dense-queries")
+            inner_c = written(held.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes]), "dense-candidates")
+            inner = written(_grid(inner_q, inner_c, ["s"], n, k, per_tile, "most"), "inner-grid")
+            edges, left = _rounds(inner_q.drop("most"), inner_c, inner, n, k, include_self, per_tile, False, depth + 1)
+            done += edges
+            still += [left] if left is not None else []
+            release(inner_q, inner_c, inner)
+        plain = tiles.where("NOT dense").select(*keys, "shares")
+        mine = asked.join(plain, keys).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
+        theirs = held.join(plain, keys).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        theirs = theirs.toDF(*[f"{x}_" for x in theirs.columns])  # names of their own: both sides may stem from one table
+        group = [*keys, "share"]
+        found = mine.groupBy(*group).cogroup(theirs.groupBy(*[f"{x}_" for x in group])).applyInPandas(_ranker(k, n, include_self, final), EDGE)
         found = written(found, "edges")
+        release(tiles)
         done.append(found.where("rn > 0"))
-        still = found.where("rn = 0").select(F.col("src").alias("id"))
-        if still.isEmpty():
-            break
-        open_q = written(open_q.join(still, "id", "left_semi"), "open")
-        factor *= growth
-    return reduce(DataFrame.unionByName, done)
-
-
-def _ranker(k: int, n: int, include_self: bool):
-    """Rank candidates of the queries of one tile; ``rn = 0`` marks an open query."""
+        lost = found.where("rn = -1").select(F.col("src").alias("id"))
+        gave_up = lost if gave_up is None else gave_up.unionByName(lost)
+        still.append(found.where("rn = 0").select(F.col("src").alias("id")))
+        todo = reduce(DataFrame.unionByName, still)
+        if todo.isEmpty():
+            return done, None if final else gave_up
+        q = written(q.join(todo, "id", "left_semi"), "open")
+        factor *= 2.0
+
+
+def _ranker(k: int, n: int, include_self: bool, final: bool):
+    """Rank the candidates of the queries of one tile; ``rn = 0`` marks an open query, -1 one that gives up."""
     columns = [f"p{i}" for i in range(n)]
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if not len(q):
-            return pd.DataFrame({"src": [], "dst": [], "d2": [], "rn": []}).astype({"src": "int64", "dst": "int64", "d2": "float64", "rn": "int32"})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
         c = c.sort_values("id_")
-        ids, x = c["id_"].to_numpy(), c[[f"{p}_" for p in columns]].to_numpy()
-        radius, everything = q["_r"].to_numpy(), q["_all"].to_numpy()
-        src, p = q["id"].to_numpy(), q[columns].to_numpy()
-        for at in range(0, len(q), 256):
-            s = slice(at, at + 256)
+        ids, x = c["id_"].to_numpy(np.int64), c[[f"{p}_" for p in columns]].to_numpy(np.float64)
+        src, p = q["id"].to_numpy(np.int64), q[columns].to_numpy(np.float64)
+        r, last = q["r"].to_numpy(np.float64), q["last"].to_numpy(bool)
+        rows = max(1, AT_ONCE // max(1, len(ids)))
+        for at in range(0, len(q), rows):
+            s = slice(at, at + rows)
             d = np.zeros((len(src[s]), len(ids)))
             for i in range(n):
                 step = p[s, i : i + 1] - x[None, :, i]
                 d += step * step
+            near = d <= (r[s] * r[s])[:, None]
             if not include_self:
-                d[src[s][:, None] == ids[None, :]] = np.inf
-            for row in range(len(d)):
-                most = radius[at + row] ** 2
-                if everything[at + row]:
-                    good = np.flatnonzero(np.isfinite(d[row]))
-                else:
-                    good = np.flatnonzero(d[row] <= most)
-                    if len(good) < k:
-                        out.append((np.array([src[at + row]]), np.array([-1]), np.array([0.0]), np.array([0])))
-                        continue
-                v = d[row][good]
-                if len(good) > k:
-                    cut = np.partition(v, k - 1)[k - 1]
-                    good, v = good[v <= cut], v[v <= cut]
-                best = np.lexsort((ids[good], v))[:k]
-                out.append((np.full(len(best), src[at + row]), ids[good[best]], v[best], np.arange(1, len(best) + 1)))
-        parts = [np.concatenate([o[j] for o in out]) for j in range(4)]
-        return pd.DataFrame({"src": parts[0].astype("int64"), "dst": parts[1].astype("int64"), "d2": parts[2], "rn": parts[3].astype("int32")})
+                near &= src[s][:, None] != ids[None, :]
+            enough = near.sum(axis=1) >= k
+            closed = enough | last[s] if final else enough
+            if len(ids) > k:
+                d[~near] = np.inf
+                near &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            i, j = np.nonzero(near & closed[:, None])
+            v = d[i, j]
+            order = np.lexsort((j, v, i))
+            i, j, v = i[order], j[order], v[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            ok = place < k
+            out.append((src[s][i[ok]], ids[j[ok]], v[ok], (place[ok] + 1).astype(np.int32)))
+            left = np.flatnonzero(~closed)
+            out.append((src[s][left], np.full(len(left), -1), np.zeros(len(left)), np.where(last[s][left], -1, 0).astype(np.int32)))
+        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("src", "dst", "d2", "rn"))})
 
     return rank
 
 
+def _search(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str, coords: tuple[str, ...], include_self: bool, per_tile: int, radius: float | None) -> DataFrame:
+    n = len(coords)
+    q, c = _plain(queries, scope, pid, coords), _plain(candidates, scope, pid, coords)
+    grid = _grid(q, c, scope, n, k, per_tile)
+    if radius is not None:
+        side = F.greatest(F.least("side", F.lit(64.0 * radius)), F.lit(2.0 * radius))
+        grid = grid.withColumns({"r0": F.lit(float(radius)), "reach": F.lit(float(radius)), "side": side})
+    grid = written(grid.withColumn("s", F.monotonically_increasing_id()), "grid")
+    names = grid.select(*scope, "s")
+    plain = ["s", "id", *[f"p{i}" for i in range(n)]]
+    q, c = q.join(names, scope).select(*plain), written(c.join(names, scope).select(*plain), "candidates")
+    edges, _ = _rounds(q, c, grid, n, k, include_self, per_tile, True)
+    release(grid, c)
+    return reduce(DataFrame.unionByName, edges)
+
+
+def radius_knn(queries: DataFrame, candidates: DataFrame, k: int, radius: float, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
+    """``(src, dst, d2, rn)``: at most k neighbours within ``radius`` in the same scope.
+
+    Ids are unique.  Points with a null or non-finite coordinate neither have
+    neighbours nor are any.
+    """
+    return _search(queries, candidates, k, scope, pid, coords, include_self, per_tile, radius)
+
+
+def knn_join(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
+    """``(src, dst, d2, rn)``: the k nearest candidates of every query in its scope.
+
+    Ties go to the smaller id; a scope with fewer than k candidates gives all
+    of them.  The queries of a tile are dealt out in shares, so a tile with
+    many of them is worked on by several tasks.  Points with a null or
+    non-finite coordinate neither have neighbours nor are any.
+    """
+    return _search(queries, candidates, k, scope, pid, coords, include_self, per_tile, None)
+
+
 def scope_knn(points: DataFrame, k: int, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True) -> DataFrame:
     """Reference form for scopes of bounded size: join on the scope, rank by window."""
     a = points.select(*scope, F.col(pid).alias("src"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(coords)])

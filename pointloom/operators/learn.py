@@ -12,6 +12,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.clouds import require_rows
 from . import metrics
 
 
@@ -34,6 +35,8 @@ def score(model: PipelineModel, points: DataFrame, keep: list[str]) -> DataFrame
 
 def select_model(candidates: dict[str, Pipeline], train: DataFrame, val: DataFrame, label: str = "label") -> tuple[str, PipelineModel, dict[str, float]]:
     """Fit all candidates and keep the one with the best validation accuracy, the first of equals."""
+    require_rows(train, "training rows")
+    require_rows(val, "validation rows")
     found: dict[str, float] = {}
     best: tuple[str, PipelineModel] | None = None
     for name, p in candidates.items():
@@ -52,27 +55,46 @@ def evaluate(scored: DataFrame, by: list[str], label: str = "label") -> tuple[Da
     return metrics.accuracy(scored, by, label), metrics.class_iou(metrics.confusion(scored, label), label)
 
 
+def block_scorer(model: PipelineModel) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A fitted perceptron pipeline as a function from (features, positions) of a block to class scores."""
+    scaler, net = model.stages[-2], model.stages[-1]
+    shift, scale = np.array(scaler.mean.toArray()), np.array(scaler.std.toArray())
+    scale = np.where(scale == 0, 0, 1 / np.where(scale == 0, 1, scale))
+    sizes, flat, layers, at = list(net.getLayers()), np.array(net.weights.toArray()), [], 0
+    for a, b in zip(sizes, sizes[1:], strict=False):
+        layers.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
+        at += a * b + b
+
+    def scores(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        h = (x - shift) * scale
+        for i, (w, b) in enumerate(layers):
+            h = h @ w + b
+            if i < len(layers) - 1:
+                h = 1 / (1 + np.exp(-h))
+        return h
+
+    return scores
+
+
 def score_blocks(nested: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], keys: list[str]) -> DataFrame:
     """Apply a user function to each block: (features, positions) to class scores.
 
     The function sees the padded block; only the first ``num_valid``
-    predictions are returned, as ``(keys, offset, pred)``.
+    predictions are returned, as ``(keys, offset, pred)``.  A block crosses to
+    Python as two flat arrays.
     """
     kinds = dict(nested.dtypes)
 
     def run(batches):
         for df in batches:
-            out = []
             for row in df.itertuples(index=False):
-                x = np.array([p["x"] for p in row.points], np.float32)
-                pos = np.array([p["pos"] for p in row.points], np.float32)
+                x, pos = (np.asarray(a, np.float32).reshape(row.size_, -1) for a in (row.x_, row.pos_))
                 pred = np.asarray(fn(x, pos)).argmax(axis=1)[: row.num_valid].astype(np.int32)
-                out.append(pd.DataFrame({**{k: getattr(row, k) for k in keys}, "offset": np.arange(len(pred), dtype=np.int32), "pred": pred}))
-            if out:
-                yield pd.concat(out)
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "offset": np.arange(len(pred), dtype=np.int32), "pred": pred})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "offset int", "pred int"])
-    return nested.select(*keys, "num_valid", "points").mapInPandas(run, schema)
+    flat = [F.flatten(F.col(f"points.{f}")).alias(f"{f}_") for f in ("x", "pos")]
+    return nested.select(*keys, "num_valid", F.size("points").alias("size_"), *flat).mapInPandas(run, schema)
 
 
 def merge_predictions(points: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,28 +1,96 @@
 """Consistent orientation of normals along a minimum spanning forest.
 
-Boruvka rounds over the neighbour graph: every component picks its lightest
-outgoing edge (weight 1 - |cos|), components joined by picked edges merge, and
-the sign that makes the two normals of each picked edge agree is carried along,
-so no tree is walked.  At the end each component is flipped so that the normal
-of its highest point looks up.
+The forest of the neighbour graph has edge weight 1 - |cos| (ties by ids); along
+each of its edges the two normals are made to agree, and at the end every
+component is flipped so that the normal of its highest point looks up.
+
+A scope of up to ``local`` points is worked on in one task: edges in order of
+weight, merged with a sign.  Larger ones take Boruvka rounds: every component
+picks its lightest outgoing edge, components joined by picked edges merge, and
+the sign is carried along, so no tree is walked.  Both ways give the one forest.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
+from ..functions.shared import release, written
+
+
+def _tree_signs(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    """Component (smallest id) and sign of the points of one scope."""
+    p = p.sort_values("id")
+    ids = p["id"].to_numpy()
+    u, v = np.searchsorted(ids, e["u"].to_numpy()), np.searchsorted(ids, e["v"].to_numpy())
+    up, sign = list(range(len(ids))), [1] * len(ids)
+
+    def top(start: int) -> tuple[int, int]:
+        """Root of a point and its sign towards it; the way is shortened."""
+        root, s = start, 1
+        while up[root] != root:
+            s *= sign[root]
+            root = up[root]
+        total, i = s, start
+        while up[i] != root:
+            i, was = up[i], i
+            before = sign[was]
+            up[was], sign[was] = root, s
+            s *= before
+        return root, total
+
+    order = np.lexsort((v, u, e["w"].to_numpy()))
+    for a, b, g in zip(u[order].tolist(), v[order].tolist(), e["g"].to_numpy()[order].tolist(), strict=True):
+        (ra, sa), (rb, sb) = top(a), top(b)
+        if ra != rb:
+            low, high = min(ra, rb), max(ra, rb)
+            up[high], sign[high] = low, sa * sb * g
+    found = [top(i) for i in range(len(ids))]
+    return pd.DataFrame({"id": ids, "comp": ids[[r for r, _ in found]], "s": np.array([s for _, s in found], np.int32)})
 
 
-def orient_normals(points: DataFrame, edges: DataFrame, pid: str = "pid", max_rounds: int = 40) -> DataFrame:
-    """``points`` with signs of ``nx, ny, nz`` made consistent, and ``component``."""
-    n = points.select(F.col(pid).alias("id"), "nx", "ny", "nz", "z")
+def _local(n: DataFrame, e: DataFrame, scope: list[str]) -> DataFrame:
+    """``(id, comp, s)`` of the scopes that fit a task."""
+    place = n.select("id", *scope)
+    edges = e.join(place, F.col("u") == F.col("id")).select(*[F.col(c).alias(f"{c}_") for c in scope], "u", "v", "w", "g")
+    work = lambda p, x: _tree_signs(p, x) if len(p) else pd.DataFrame({"id": [], "comp": [], "s": []}).astype({"id": "int64", "comp": "int64", "s": "int32"})
+    return place.groupBy(*scope).cogroup(edges.groupBy(*[f"{c}_" for c in scope])).applyInPandas(work, "id long, comp long, s int")
+
+
+def orient_normals(points: DataFrame, edges: DataFrame, pid: str = "pid", scope: list[str] | None = None, local: int = 50_000, max_rounds: int = 40) -> DataFrame:
+    """``points`` with signs of ``nx, ny, nz`` made consistent, and ``component`` (its smallest id).
+
+    With ``scope``, columns of ``points`` that no edge leaves, the scopes of up
+    to ``local`` points are done in one task each.
+    """
+    scope = scope or []
+    points = written(points, "normals")  # read for edges, signs and heights
+    n = points.select(F.col(pid).alias("id"), *scope, "nx", "ny", "nz", "z")
     a, b = n.alias("a"), n.alias("b")
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
     dot = F.col("a.nx") * F.col("b.nx") + F.col("a.ny") * F.col("b.ny") + F.col("a.nz") * F.col("b.nz")
     e = e.join(a, F.col("u") == F.col("a.id")).join(b, F.col("v") == F.col("b.id"))
     e = written(e.select("u", "v", (1 - F.abs(dot)).alias("w"), F.when(dot < 0, -1).otherwise(1).alias("g")), "graph")
+    if scope:
+        sized = n.groupBy(*scope).agg((F.count("*") <= local).alias("_fits"))
+        state = written(_local(n.join(sized.where("_fits").select(*scope), scope), e, scope), "signs")
+        large = n.join(sized.where("NOT _fits").select(*scope), scope)
+        if not large.isEmpty():
+            state = state.unionByName(_boruvka(large, e.join(large.select(F.col("id").alias("u")), "u"), max_rounds))
+    else:
+        state = _boruvka(n, e, max_rounds)
+    seen = n.join(state, "id")
+    flip = seen.groupBy("comp").agg(F.max_by(F.struct("nz", "s"), F.struct("z", -F.col("id"))).alias("h"), F.min("id").alias("component"))
+    flip = flip.select("comp", "component", F.when(F.col("h.nz") * F.col("h.s") < 0, -1).otherwise(1).alias("f"))
+    sign = state.join(flip, "comp").select(F.col("id").alias(pid), "component", (F.col("s") * F.col("f")).alias("_s"))
+    out = points.join(sign, pid)
+    return out.withColumns({c: F.col(c) * F.col("_s") for c in ("nx", "ny", "nz")}).drop("_s")
+
+
+def _boruvka(n: DataFrame, e: DataFrame, max_rounds: int) -> DataFrame:
+    """``(id, comp, s)`` by rounds over tables; tables of earlier rounds are deleted."""
     state = written(n.select("id", F.col("id").alias("comp"), F.lit(1).alias("s")), "state")
     for _ in range(max_rounds):
         cu = state.select(F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("s").alias("su"))
@@ -32,23 +100,20 @@ def orient_normals(points: DataFrame, edges: DataFrame, pid: str = "pid", max_ro
         picked = ways.groupBy("x.c").agg(F.min(F.struct("w", "u", "v", "x.t", "r")).alias("p")).select("c", F.col("p.t").alias("t"), F.col("p.r").alias("r"))
         picked = written(picked, "picked")
         if picked.isEmpty():
-            break
+            return state
         # of two components that picked each other, the smaller id becomes the root
+        root = (F.col("_tt") == F.col("c")) & (F.col("c") < F.col("t"))
         back = picked.select(F.col("c").alias("t"), F.col("t").alias("_tt"))
-        up = picked.join(back, "t", "left").select("c", F.when((F.col("_tt") == F.col("c")) & (F.col("c") < F.col("t")), F.col("c")).otherwise(F.col("t")).alias("t"), F.when((F.col("_tt") == F.col("c")) & (F.col("c") < F.col("t")), 1).otherwise(F.col("r")).alias("r"))
-        up = written(up, "up")
-        while True:  # pointer jumping, multiplying signs
-            top = up.select(F.col("c").alias("t"), F.col("t").alias("t2"), F.col("r").alias("r2"))
-            nxt = written(up.join(top, "t", "left").select("c", F.coalesce("t2", "t").alias("t"), (F.col("r") * F.coalesce("r2", F.lit(1))).alias("r"), (F.coalesce("t2", "t") != F.col("t")).alias("moved")), "up")
-            up = nxt.drop("moved")
-            if nxt.where("moved").isEmpty():
-                break
-        state = written(state.join(up.withColumnRenamed("c", "comp"), "comp", "left").select("id", F.coalesce("t", "comp").alias("comp"), (F.col("s") * F.coalesce("r", F.lit(1))).alias("s")), "state")
-    else:
-        raise RuntimeError(f"orientation did not settle in {max_rounds} rounds")
-    seen = n.join(state, "id")
-    flip = seen.groupBy("comp").agg(F.max_by(F.struct("nz", "s"), F.struct("z", -F.col("id"))).alias("h"))
-    flip = flip.select("comp", F.when(F.col("h.nz") * F.col("h.s") < 0, -1).otherwise(1).alias("f"))
-    sign = state.join(flip, "comp").select(F.col("id").alias(pid), F.col("comp").alias("component"), (F.col("s") * F.col("f")).alias("_s"))
-    out = points.join(sign, pid)
-    return out.withColumns({c: F.col(c) * F.col("_s") for c in ("nx", "ny", "nz")}).drop("_s")
+        up = written(picked.join(back, "t", "left").select("c", F.when(root, F.col("c")).otherwise(F.col("t")).alias("t"), F.when(root, 1).otherwise(F.col("r")).alias("r")), "up")
+        moved = True
+        while moved:  # pointer jumping, multiplying signs
+            jump = up.select(F.col("c").alias("t"), F.col("t").alias("t2"), F.col("r").alias("r2"))
+            nxt = written(up.join(jump, "t", "left").select("c", F.coalesce("t2", "t").alias("t"), (F.col("r") * F.coalesce("r2", F.lit(1))).alias("r"), (F.coalesce("t2", "t") != F.col("t")).alias("moved")), "up")
+            moved = not nxt.where("moved").isEmpty()
+            release(up)
+            up = nxt
+        merged = state.join(up.select(F.col("c").alias("comp"), "t", "r"), "comp", "left")
+        merged = written(merged.select("id", F.coalesce("t", "comp").alias("comp"), (F.col("s") * F.coalesce("r", F.lit(1))).alias("s")), "state")
+        release(state, picked, up)
+        state = merged
+    raise RuntimeError(f"orientation did not settle in {max_rounds} rounds")
