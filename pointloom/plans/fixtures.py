@@ -74,9 +74,9 @@ def cloud_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(vec_id, y, scores array<double>)``: 13 components of each vector as class scores."""
+    """``(vec_id, y, scores array<double>)``: all components of each vector as class scores."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", F.col("label").alias("y"), F.slice("embedding", 1, 13).cast("array<double>").alias("scores"))
+    return e.select("vec_id", F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("scores"))
 
 
 def gate(df: DataFrame) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.classes import CLASSES, classes
+from ..functions.classes import CLASSES, FEATURES, classes
 from ..functions.shared import shared_dir, written
 from ..operators import blocks as B
 from ..operators import geometry, graph, knn, learn, metrics, orient, runlog, splits
 from ..sources import clouds, tables
+from ..sources.clouds import require_rows
 from ..streaming import clouds as streams
 from . import fixtures as fx
 
@@ -30,7 +31,7 @@ def _p(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _indexed(spark, d):
-    return clouds.dense_index(_p(spark, d), ROOM, ["pid"])
+    return clouds.dense_index_ranged(_p(spark, d), ROOM, ["pid"])
 
 
 def _blocks(spark, d):
@@ -224,23 +225,23 @@ def verticality(spark, d):
 
 def normals_zup(spark, d):
     e, p = _radius_edges(spark, d)
-    return geometry.with_normal(geometry.covariance(e, p)).select("src", "n", "nx", "ny", "nz")
+    return _round(geometry.with_normal(geometry.covariance(e, p)).select("src", "n", "nx", "ny", "nz"), ["nx", "ny", "nz"], 4)
 
 
 def _features(spark, d):
-    p = _p(spark, d)
-    return geometry.geometric_features(p, ROOM, K, RADIUS, neighbours=knn.knn_join(p, p, K, ROOM, coords=MM))
+    return geometry.geometric_features(_p(spark, d), ROOM, K, RADIUS, coords=MM)
 
 
 def feature_vector9(spark, d):
+    """The nine features: consistent normals, verticality, planarity, curvature of the 20 nearest, colours."""
     return geometry.feature_vector(_features(spark, d)).select("pid", "features")
 
 
 def normals_oriented(spark, d):
     p = _p(spark, d)
-    e = knn.knn_join(p, p, K, ROOM, coords=MM)
+    e = written(knn.knn_join(p, p, K, ROOM, coords=MM), "nearest")
     n = geometry.with_normal(geometry.covariance(e.where(F.col("d2") <= RADIUS * RADIUS), p)).select(F.col("src").alias("pid"), "nx", "ny", "nz")
-    return orient.orient_normals(n.join(p.select("pid", "z"), "pid"), e).select("pid", "component", "nx", "ny", "nz")
+    return orient.orient_normals(n.join(p.select("pid", *ROOM, "z"), "pid"), e, scope=ROOM).select("pid", "component", "nx", "ny", "nz")
 
 
 # --- graph operators -------------------------------------------------------------------------------------------------
@@ -352,7 +353,7 @@ def merge_predictions(spark, d):
 
 
 def segmented_text(spark, d):
-    m = clouds.dense_index(_merged(spark, d), ROOM, ["pid"])
+    m = clouds.dense_index_ranged(_merged(spark, d), ROOM, ["pid"])
     return m.select(*ROOM, "point_idx", tables.segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")]).alias("line"))
 
 
@@ -409,35 +410,115 @@ def block_times(spark, d):
     return _round(B.time_per_block(rooms).select(*ROOM, "per_block"), ["per_block"])
 
 
+# --- tables written and read again -----------------------------------------------------------------------------------
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{np.random.default_rng().integers(1 << 60):x}"
+
+
+def room_table(spark, d):
+    """Rooms written by area and room; one area is written again, the others stay; two areas are read."""
+    path = _path(spark, "rooms")
+    p = _p(spark, d).select("pid", *ROOM, "x", "y", "z", "r", "g", "b", "y_label")
+    tables.write_rooms(p, path)
+    tables.write_rooms(p.where("area = 'Area_2'").withColumn("y_label", F.lit(-1)), path)
+    return tables.read_rooms(spark, path, ["Area_2", "Area_5"])
+
+
+def block_table(spark, d):
+    """Nested blocks written, read, checked and unnested."""
+    path = _path(spark, "blocks")
+    tables.write_blocks(_nested(spark, d), path)
+    good, _ = B.check_blocks(tables.read_blocks(spark, path), SIZE)
+    return B.unnest(good).select(*ROOM, "block_no", "offset", F.col("point.y").alias("y_label"), F.col("point.x")[1].cast("int").alias("g"))
+
+
+def build_once(spark, d):
+    """A table is built when it is missing, and only then."""
+    path = _path(spark, "built")
+    built = tables.build_if_missing(spark, path, lambda: B.room_blocks(_p(spark, d), ROOM, SIZE).select(*ROOM, "n_points"))
+    again = tables.build_if_missing(spark, path, lambda: built.limit(0))
+    return again.groupBy("area").agg(F.count("*").alias("rooms"), F.sum("n_points").alias("n_points"))
+
+
+def epoch_table(spark, d):
+    """The epoch log appended to as CSV in two parts and read with types."""
+    path = _path(spark, "epochs")
+    log = fx.runlog(spark, d).withColumn("learning_rate", F.lit(0.001)).where("train_loss IS NOT NULL AND val_loss IS NOT NULL")
+    tables.append_epochs(log.where("epoch <= 10"), path)
+    tables.append_epochs(log.where("epoch > 10"), path)
+    return tables.read_epochs(spark, path).select(F.col("run").cast("long").alias("run"), "epoch", "train_loss", "val_acc", "loss_diff", "acc_diff")
+
+
+def summary_table(spark, d):
+    """Run summaries written as JSON and read again, the histories unrolled."""
+    path = _path(spark, "summaries")
+    tables.write_summary(runlog.summary(fx.runlog(spark, d), CONFIG), path)
+    s = spark.read.json(path)
+    best = s.select("run", F.col("best_performance.best_epoch").cast("long").alias("best_epoch"), F.col("best_performance.best_val_accuracy").alias("best_val_acc"), F.col("training_config.block_size").cast("long").alias("block_size"), F.posexplode("training_history.val_loss").alias("place", "val_loss"))
+    return best
+
+
 # --- learning, scoring, streams --------------------------------------------------------------------------------------
 
+NINE = FEATURES
+
+
+def _learnable(spark, d):
+    """Points with the nine features as columns and a numeric label; single points have no curvature and count as flat."""
+    f = _features(spark, d).withColumns({n: F.col(c) / 255.0 for n, c in zip(NINE[6:], "rgb", strict=True)} | {"curvature": F.coalesce("curvature", F.lit(0.0))})
+    return written(f.select("pid", *ROOM, "x", "y", "z", "r", "g", "b", *NINE, F.col("y_label").cast("double").alias("label")), "features")
+
 
 def _learning(spark, d):
-    p = _p(spark, d).withColumn("label", F.col("y_label").cast("double"))
-    return p.where(F.col("area").isin(TRAIN)), p.where(F.col("area") == TEST)
+    rows = _learnable(spark, d)
+    return require_rows(rows.where(F.col("area").isin(TRAIN)), "training points"), rows.where(F.col("area") == TEST)
 
 
 def mlp_score(spark, d):
     train, test = _learning(spark, d)
-    model = learn.pipeline(["x", "y", "z"], 13, "mlp", max_iter=30).fit(train)
-    return learn.score(model, test, ["pid", "y_label"])
+    model = learn.pipeline(NINE, 13, "mlp", max_iter=30).fit(train)
+    return learn.score(model, test, ["pid", F.col("label").cast("int").alias("y_label")])
 
 
 def rf_score(spark, d):
     train, test = _learning(spark, d)
-    model = learn.pipeline(["x", "y", "z"], 13, "rf", trees=10).fit(train)
-    return learn.score(model, test, ["pid", "y_label"])
+    model = learn.pipeline(NINE, 13, "rf", trees=10).fit(train)
+    return learn.score(model, test, ["pid", F.col("label").cast("int").alias("y_label")])
 
 
 def best_of_two(spark, d):
     """Model selection on a validation split, evaluated per area held out."""
     train, test = _learning(spark, d)
-    parts = written(splits.split_exact(train.select("pid", "x", "y", "z", "label"), "pid"), "parts")
-    _, model, _ = learn.select_model({"rf": learn.pipeline(["x", "y", "z"], 13, "rf", trees=10), "shallow": learn.pipeline(["x", "y", "z"], 13, "rf", trees=3, depth=3)}, parts.where("part = 'train'"), parts.where("part = 'val'"))
+    parts = written(splits.split_exact(train.select("pid", *NINE, "label"), "pid"), "parts")
+    _, model, _ = learn.select_model({"rf": learn.pipeline(NINE, 13, "rf", trees=10), "shallow": learn.pipeline(NINE, 13, "rf", trees=3, depth=3)}, parts.where("part = 'train'"), parts.where("part = 'val'"))
     by_area, _ = learn.evaluate(learn.score(model, test, ["area", "label"]), ["area"])
     return by_area
 
 
+def score_clouds_text(spark, d):
+    """The whole way of a cloud: lines, points, nine features, padded blocks, saved model, merge, lines again.
+
+    The model learns from the training areas; every room of the test area comes
+    in as the text of an unlabelled cloud.
+    """
+    train = _learnable(spark, d).where(F.col("area").isin(TRAIN))
+    path = _path(spark, "model")
+    tables.save_model(learn.pipeline(NINE, 13, "mlp", max_iter=30).fit(require_rows(train, "training points")), path)
+    scorer = learn.block_scorer(tables.load_model(path))
+    line = F.format_string("%.3f %.3f %.3f %d %d %d", "x", "y", "z", "r", "g", "b")
+    lines = _p(spark, d).where(F.col("area") == TEST).select(F.format_string("/%s_%d.txt", "area", "room").alias("file_path"), F.col("pid").alias("line_no"), line.alias("value"))
+    points = written(clouds.unlabelled_points(lines).withColumn("pid", F.monotonically_increasing_id()), "cloud")
+    ready = geometry.geometric_features(points, ["cloud_id"], K, RADIUS / 1000)
+    ready = ready.withColumns({n: F.col(c) / 255.0 for n, c in zip(NINE[6:], "rgb", strict=True)} | {"curvature": F.coalesce("curvature", F.lit(0.0))})
+    nested = B.nest(B.assign(ready, ["cloud_id"], CONFIG["block_size"]), ["cloud_id", "block_no"], CONFIG["block_size"], NINE, ["x", "y", "z"], None)
+    found = learn.score_blocks(nested, scorer, ["cloud_id", "block_no"])
+    found = found.withColumn("point_idx", F.col("block_no") * CONFIG["block_size"] + F.col("offset"))
+    merged = learn.merge_predictions(points, found, ["cloud_id", "point_idx"])
+    return merged.select("cloud_id", "point_idx", "pred", tables.segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")]).alias("line"))
+
+
 def _by_height(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return -np.abs(pos[:, 2:3] * (13 / 3.001) - 0.5 - np.arange(13)[None, :])
 
@@ -451,7 +532,7 @@ def _rule(points: DataFrame) -> DataFrame:
 
 
 def _landing(spark, d):
-    root = f"{shared_dir(spark)}/landing-{np.random.default_rng().integers(1 << 60):x}"
+    root = _path(spark, "landing")
     line = F.format_string("%.3f %.3f %.3f %d %d %d", "x", "y", "z", "r", "g", "b")
     _p(spark, d).select("area", line.alias("value")).write.partitionBy("area").text(f"{root}/in")
     return root
@@ -465,7 +546,7 @@ def stream_scan_score(spark, d):
 
 
 def stream_run_metrics(spark, d):
-    root = f"{shared_dir(spark)}/log-{np.random.default_rng().integers(1 << 60):x}"
+    root = _path(spark, "log")
     tables.append_epochs(fx.runlog(spark, d).where("train_loss IS NOT NULL AND val_loss IS NOT NULL").withColumn("learning_rate", F.lit(0.001)), f"{root}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -483,7 +564,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     feature_vector9, normals_oriented, edge_features, neighbour_max_center, neighbour_max_reverse, voxel_sample, sample_semi_join, fps_quarter, interp_k3, skip_concat,
     multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
     merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
-    runlog_summary_json, runlog_epoch_lines, run_names, block_times, mlp_score, rf_score, best_of_two, score_blocks_udf, stream_scan_score, stream_run_metrics,
+    runlog_summary_json, runlog_epoch_lines, run_names, block_times, room_table, block_table, build_once, epoch_table, summary_table, mlp_score, rf_score, best_of_two, score_blocks_udf, score_clouds_text, stream_scan_score, stream_run_metrics,
 ]
 
 
@@ -542,7 +623,10 @@ c2 AS (SELECT *, xy * yz - xz * b AS ux, xz * xy - a * yz AS uy, a * b - xy * xy
  b * c - yz * yz AS wx, yz * xz - xy * c AS wy, xy * yz - b * xz AS wz FROM c1),
 c3 AS (SELECT *, ux * ux + uy * uy + uz * uz AS s0, vx * vx + vy * vy + vz * vz AS s1, wx * wx + wy * wy + wz * wz AS s2 FROM c2),
 c4 AS (SELECT *, greatest(s0, s1, s2) AS most FROM c3),
-faced AS (SELECT src, n, CASE WHEN n >= 3 AND most > 1e-12::DOUBLE * high * high * high * high THEN abs(CASE WHEN s0 = most THEN uz WHEN s1 = most THEN vz ELSE wz END / sqrt(most)) ELSE 1.0 END AS az FROM c4)"""
+c5 AS (SELECT *, n >= 3 AND most > 1e-12::DOUBLE * high * high * high * high AS has, CASE WHEN s0 = most THEN ux WHEN s1 = most THEN vx ELSE wx END / sqrt(most) AS fx,
+ CASE WHEN s0 = most THEN uy WHEN s1 = most THEN vy ELSE wy END / sqrt(most) AS fy, CASE WHEN s0 = most THEN uz WHEN s1 = most THEN vz ELSE wz END / sqrt(most) AS fz FROM c4),
+faced AS (SELECT src, n, CASE WHEN has THEN abs(fz) ELSE 1.0 END AS az, CASE WHEN has THEN CASE WHEN fz < 0 THEN -1 ELSE 1 END * fx ELSE 0.0 END AS nx,
+ CASE WHEN has THEN CASE WHEN fz < 0 THEN -1 ELSE 1 END * fy ELSE 0.0 END AS ny, CASE WHEN has THEN abs(fz) ELSE 1.0 END AS nz FROM c5)"""
 _VOXEL = f"""vox AS (SELECT area, room, xi // {VOXEL} AS vxi, yi // {VOXEL} AS vyi, zi // {VOXEL} AS vzi, pid,
  (2 * xi - (2 * (xi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * yi - (2 * (yi // {VOXEL}) + 1) * {VOXEL}) ** 2 + (2 * zi - (2 * (zi // {VOXEL}) + 1) * {VOXEL}) ** 2 AS d FROM points),
 picked AS (SELECT area, room, vxi, vyi, vzi, pid, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY area, room, vxi, vyi, vzi ORDER BY d, pid) AS k FROM vox
@@ -551,7 +635,7 @@ coarse AS (SELECT points.* FROM points SEMI JOIN picked USING (pid))"""
 _EDGES5 = _knn("edges", 5, self_=False, radius=RADIUS)
 _EF = "ef AS (SELECT src, dst, " + ", ".join(f"a.{c} AS {c}, b.{c} - a.{c} AS d_{c}" for c in "rgb") + " FROM edges JOIN points a ON src = a.pid JOIN points b ON dst = b.pid)"
 _LIFTED = "up AS (SELECT src AS pid, " + ", ".join(f"sum({c} * (1 / greatest(CAST(d2 AS DOUBLE), 1e-16))) / sum(1 / greatest(CAST(d2 AS DOUBLE), 1e-16)) AS {c}" for c in "rgb") + " FROM near JOIN coarse ON dst = coarse.pid GROUP BY src)"
-_LOGITS = """logits AS (SELECT vec_id, label AS y, unnest(CAST(list_slice(embedding, 1, 13) AS DOUBLE[])) AS v, generate_subscripts(list_slice(embedding, 1, 13), 1) - 1 AS class_no FROM embeddings),
+_LOGITS = """logits AS (SELECT vec_id, label AS y, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) - 1 AS class_no FROM embeddings),
 soft AS (SELECT *, v - max(v) OVER w - ln(sum(exp(v - m)) OVER w) AS logp FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM logits) WINDOW w AS (PARTITION BY vec_id)),
 nll AS (SELECT vec_id, y, -logp AS loss FROM soft WHERE class_no = y),
 bl AS (SELECT vec_id // 32 % 2 AS fold, vec_id // 32 AS batch_id, avg(loss) AS loss FROM nll GROUP BY ALL)"""
@@ -616,6 +700,7 @@ def oracle_sql() -> dict[str, str]:
         "neighbour_cov": _with("SELECT src, n, " + ", ".join(f"round({c} + 1e-10::DOUBLE, 8) AS {c}" for c in ("mx", "my", "mz", "xx", "yy", "zz", "xy", "xz", "yz")) + " FROM cov", _POINTS, _knn("e", K, radius=RADIUS), _cov("e")),
         "curvature": _with("SELECT src, n, round(curvature, 6) + 0.0 AS curvature FROM curved", _POINTS, _knn("e", K), _cov("e"), _EIGEN, _CURVED),
         "verticality": _with("SELECT src, n, round(1 - az, 5) + 0.0 AS verticality FROM faced", _POINTS, _knn("e", K, radius=RADIUS), _cov("e"), _EIGEN, _NORMAL),
+        "normals_zup": _with("SELECT src, n, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("nx", "ny", "nz")) + " FROM faced", _POINTS, _knn("e", K, radius=RADIUS), _cov("e"), _EIGEN, _NORMAL),
         "edge_features": _with("SELECT * FROM ef", _POINTS, _EDGES5, _EF),
         "neighbour_max_center": _neighbour_max("src"),
         "neighbour_max_reverse": _neighbour_max("dst"),
@@ -627,7 +712,7 @@ def oracle_sql() -> dict[str, str]:
             _POINTS, _VOXEL, _knn("near", 3, "points", "coarse"), _LIFTED,
         ),
         "log_softmax": _with("SELECT vec_id, CAST(class_no AS INTEGER) AS class_no, round(logp, 6) AS logp FROM soft", _LOGITS),
-        "argmax_class": "SELECT vec_id, CAST(list_position(list_slice(embedding, 1, 13), list_max(list_slice(embedding, 1, 13))) - 1 AS INTEGER) AS pred FROM embeddings",
+        "argmax_class": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings",
         "nll_masked": _with("SELECT y, round(avg(loss), 6) + 0.0 AS loss, count(*) AS n FROM nll GROUP BY y", _LOGITS),
         "accuracy_by_area": _with("SELECT area, count(*) FILTER (WHERE pred = y_label) AS correct, count(*) AS total, count(*) FILTER (WHERE pred = y_label) / CAST(count(*) AS DOUBLE) AS accuracy FROM points GROUP BY area", _POINTS),
         "confusion": _with("SELECT y_label, pred, count(*) AS n FROM points GROUP BY ALL", _POINTS),
@@ -649,6 +734,21 @@ def oracle_sql() -> dict[str, str]:
             FROM runlog WINDOW w AS (PARTITION BY run ORDER BY epoch)""",
             _RUNS,
         ),
+        "runlog_lr_replay": "WITH RECURSIVE " + ", ".join((
+            _RUNS, "e AS MATERIALIZED (SELECT run, epoch, val_loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM runlog WHERE val_loss IS NOT NULL)",
+            """s AS (SELECT run, epoch, k, val_loss AS best, 0 AS bad, 0.001::DOUBLE AS lr FROM e WHERE k = 1 UNION ALL
+            SELECT run, epoch, k, least(best, CASE WHEN better THEN val_loss ELSE best END), CASE WHEN better OR bad = 4 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad = 4 THEN greatest(lr * 0.5, 1e-6::DOUBLE) ELSE lr END
+            FROM (SELECT e.*, best, bad, lr, val_loss < best * (1 - 1e-4::DOUBLE) AS better FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1))""",
+        )) + " SELECT run, epoch, lr AS learning_rate FROM s",
+        "room_table": _with("SELECT pid, area, room, x, y, z, r, g, b, CASE WHEN area = 'Area_2' THEN -1 ELSE y_label END AS y_label FROM points WHERE area IN ('Area_2', 'Area_5')", _POINTS),
+        "block_table": _with('SELECT area, room, block_no, "offset", y_label, g FROM blocks', _POINTS, _BLOCKS),
+        "build_once": _with("SELECT area, count(*) AS rooms, CAST(sum(n_points) AS BIGINT) AS n_points FROM rooms GROUP BY area", _POINTS, _ROOMS),
+        "epoch_table": _with("SELECT run, CAST(epoch AS INTEGER) AS epoch, " + ", ".join(f"CAST(printf('%.6f', {c}) AS DOUBLE) AS {n}" for n, c in (("train_loss", "train_loss"), ("val_acc", "val_acc"), ("loss_diff", "val_loss - train_loss"), ("acc_diff", "train_acc - val_acc"))) + " FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL", _RUNS),
+        "summary_table": _with(
+            "SELECT run, best_epoch, best_val_acc, 8192 AS block_size, CAST(row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS INTEGER) AS place, val_loss FROM runlog JOIN (SELECT run, epoch AS best_epoch, val_acc AS best_val_acc FROM runlog WHERE val_acc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_acc DESC, epoch) = 1) USING (run)",
+            _RUNS,
+        ),
+        "score_blocks_udf": _with('SELECT area, room, block_no, "offset", CAST(least(floor(zi * 13 / 3001.0::DOUBLE), 12) AS INTEGER) AS pred FROM blocks', _POINTS, _BLOCKS),
         "runlog_lr_changes": _with("SELECT run, epoch, before, after FROM (SELECT run, epoch, lag(CAST(epoch // 7 AS INTEGER)) OVER (PARTITION BY run ORDER BY epoch) AS before, CAST(epoch // 7 AS INTEGER) AS after FROM runlog) WHERE before <> after", _RUNS),
         "runlog_failures": _with(
             """SELECT run, first_epoch, length, min(CASE WHEN length >= 3 THEN first_epoch + 2 END) OVER (PARTITION BY run) AS stop_epoch FROM

@@ -44,6 +44,52 @@ def test_knn(spark, kind):
     assert got == brute(x, 8, False)
 
 
+def test_knn_of_a_cluster_in_a_wide_room(spark):
+    """Dense tiles become scopes of their own; far points look across the gap."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(2500, 3)) * 0.01, 5 + rng.normal(size=(400, 3)) * 1e-4, rng.uniform(-500, 500, (60, 3)), np.ones((30, 3)) * 7, [[np.nan, 0, 0], [np.inf, 1, 1]]])
+    df = cloud(spark, x)
+    good = x[:-2]
+    for self_ in (True, False):
+        got = {(r.src, r.dst, r.rn) for r in knn.knn_join(df, df, 6, ["area"], per_tile=60, include_self=self_).collect()}
+        assert got == brute(good, 6, self_)
+    d = ((good[:, None] - good[None]) ** 2).sum(axis=2)
+    exp = {(i, j, r) for i, j, r in brute(good, 6) if d[i, j] <= 0.02 * 0.02}
+    assert {(r.src, r.dst, r.rn) for r in knn.radius_knn(df, df, 6, 0.02, ["area"], per_tile=60).collect()} == exp
+
+
+def test_orientation_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 1, (150, 3))
+    df = cloud(spark, x).withColumn("area", F.when(F.col("pid") % 3 == 0, "a").otherwise("b"))
+    near = knn.scope_knn(df, 6, ["area"])
+    n = geometry.with_normal(geometry.covariance(near, df)).select(F.col("src").alias("pid"), "nx", "ny", "nz").join(df, "pid")
+    rows = [sorted((r.pid, r.component, r.nx, r.ny, r.nz) for r in orient.orient_normals(n, near, **how).collect()) for how in ({"scope": ["area"]}, {"scope": ["area"], "local": 60}, {})]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 150
+
+
+def test_block_scorer(spark):
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, *map(float, v), float(v[0] > v[1])) for i, v in enumerate(rng.normal(size=(120, 3)))], "pid long, a double, b double, c double, label double").withColumn("c", F.lit(2.0))
+    model = learn.pipeline(["a", "b", "c"], 2, "mlp", max_iter=20).fit(df)
+    rows = df.orderBy("pid").collect()
+    pred = learn.block_scorer(model)(np.array([(r.a, r.b, r.c) for r in rows]), None).argmax(axis=1)
+    assert [r.pred for r in learn.score(model, df, ["pid"]).orderBy("pid").collect()] == list(pred)
+
+
+def test_missing_rows(spark):
+    from pyspark.sql import types as T
+
+    from pointloom.sources import clouds
+
+    empty = spark.createDataFrame([], "pid long, x double, label double")
+    with pytest.raises(ValueError, match="no training points"):
+        clouds.require_rows(empty, "training points")
+    with pytest.raises(ValueError, match="no training rows"):
+        learn.select_model({"rf": learn.pipeline(["x"], 2, "rf")}, empty, empty)
+    assert clouds.or_empty(spark, None, "a int, b string").schema == T.StructType.fromDDL("a int, b string")
+
+
 def test_radius_knn(spark):
     x = np.random.default_rng(4).integers(0, 20, (300, 3)).astype(float)
     df = cloud(spark, x)
