@@ -2,7 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; other columns are dropped.
+
+Every row is a document of its own.  A row with a null or empty text has no
+language and goes in the first stage.  A null key is a key like others: it
+comes first in line dedup and last among near duplicates.  Null languages and
+sources form leaves of their own in the mixture.  Of repeated rows one stays.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,31 +25,41 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is determined: letters are there and one language prevails."""
+    """Keep documents whose language is determined: letters are there and one language prevails.
+
+    The model learns from the rows with a language; without any, none is
+    determined and no row stays.
+    """
     found = langid.predict(docs, langid.train(docs))
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of repeated line runs; documents left without text go."""
+    """Delete later copies of repeated line runs; documents that lose all their text go.
+
+    The second of two equal rows is such a document.  ``n_chars`` is counted anew.
+    """
     out = linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by similar five-word shingles."""
+    """Keep one document of each group linked by similar five-word shingles: the one with the smallest key."""
     return ngramjoin.keep_one(docs).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Select the mixture by target weights; upsampled leaves repeat rows."""
+    """Select the mixture by target weights; upsampled leaves repeat rows.
+
+    Rows with equal keys are taken together; a text without words costs nothing.
+    """
     rows = docs.select(*COLUMNS, queries.domain_of().alias("domain"), mixing.word_count(F.col("text")).alias("n_tokens"))
     mixed = mixing.mix(rows, ["domain", "lang", "source"], queries.mixture_weights(), max_epochs=queries.MAX_EPOCHS)
     return mixing.repeated(mixed).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text and check that decoding gives it back."""
+    """Encode every text and check that decoding gives it back; a null text counts as empty."""
     both = sentencepieces.encode_decode(docs, queries.piece_model())
     text = F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
