@@ -138,7 +138,7 @@ def near_duplicates(
     vector: str = "embedding",
     label: str = "label",
     threshold: float = 0.93,
-    trees: int = 5,
+    trees: int = 3,
     leaf: int = 1000,
     spill: float = 0.02,
     sample: int = 20_000,

@@ -42,6 +42,93 @@ def test_broken_markup(page):
     html_text.blocks(page)
 
 
+def plain_pipeline(rows, model):
+    """The five stages in plain Python: rows are (doc_id, text, lang, source)."""
+    import hashlib
+    import re
+
+    import numpy as np
+    import sentencepiece
+    from pointloom.llm import crf, langid, queries
+    from test_training_data import brute_lines, fill, find
+
+    sure = langid._summary(model.labels)
+    kept = []
+    for r in rows:
+        words = crf.words_of(r[1])
+        name, score = sure(words, next(model.marginals([words])) if words else np.zeros((0, 1)))
+        if name != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
+            kept.append(r)
+    gone = brute_lines([(k, t) for k, t, *_ in kept], 20)
+    cleaned = []
+    for i, (k, t, lang, source) in enumerate(kept):
+        left = [s for j, s in enumerate(t.split("\n")) if (i, j) not in gone]
+        text = "\n".join(left)
+        if len(left) == t.count("\n") + 1 or text.split():
+            cleaned.append((k, text, lang, source))
+    sets = []
+    for _, t, *_ in cleaned:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    first = {}
+    for i, c in enumerate(find(len(sets), links)):
+        first.setdefault(c, []).append(i)
+    alone = [cleaned[min(part, key=lambda i: (cleaned[i][0] is None, cleaned[i][0] or 0, i))] for part in first.values()]
+    domain = lambda s: next((n for n, (some, _) in queries.DOMAINS.items() if s in some), queries.OTHER_DOMAIN[0])
+    leaf = lambda r: (domain(r[3]), r[2] or "", r[3] or "")
+    count = lambda r: len(re.findall(r"[^ \t\r\n\f]+", r[1]))
+    tokens = {}
+    for r in alone:
+        tokens[leaf(r)] = tokens.get(leaf(r), 0) + count(r)
+    weights = [{n: w for n, (_, w) in queries.DOMAINS.items()} | dict([queries.OTHER_DOMAIN]), queries.LANGUAGES, {}]
+    default = [0, queries.OTHER_LANGUAGE, 1]
+    plan = {(): sum(tokens.values())}
+    for depth in range(3):
+        below = {}
+        for path, budget in plan.items():
+            caps = {}
+            for k, v in tokens.items():
+                if k[:depth] == path:
+                    caps[k[: depth + 1]] = caps.get(k[: depth + 1], 0) + queries.MAX_EPOCHS * v
+            below |= fill(budget, caps, {k: weights[depth].get(k[-1], default[depth]) for k in caps})
+        plan = below
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    out = []
+    for path, budget in plan.items():
+        whole, rest = divmod(budget, tokens[path]) if tokens[path] else (0, 0)
+        run = 0
+        for _, r in sorted((hashlib.md5(f"9:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r) for r in alone if leaf(r) == path):
+            run += count(r)
+            ids = sp.encode(r[1], add_eos=True)
+            out += [(r[0], r[2], r[3], tuple(ids), sp.decode(ids) == r[1])] * (whole + (rest > 0 and run <= rest))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    from pointloom.llm import langid
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(110).collect()
+    some = [(r.doc_id, r.text, r.lang, r.source) for r in rows]
+    some += [(9001, some[0][1], some[0][2], some[0][3]), (9002, None, "en", "src1"), (9003, "123 456 ²", "en", "src1"), (9004, "", None, None), some[5], some[5]]
+    some += [(None, some[7][1] + " and a little more of it", "en", None), (9005, some[9][1] + " one two three", some[9][2], None), (9006, some[9][1] + "\n" + some[11][1], None, "elsewhere")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, r[1]) for r in some], "doc_id long, text string, lang string, source string, n_chars long, score double, ids string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+    place = lambda r: (r[0] is None, r[0] or 0, r[3])
+    assert sorted(((r.doc_id, r.lang, r.source, tuple(r.ids), r.round_trip) for r in got.collect()), key=place) == sorted(plain_pipeline(some, langid.train(docs)), key=place)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.limit(120).collect()
