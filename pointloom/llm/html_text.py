@@ -228,7 +228,7 @@ def training_table(spark: SparkSession, pages: list[str] | None = None) -> DataF
     return spark.createDataFrame(labelled_rows(labelled_pages() if pages is None else pages), ", ".join(f"{c} double" for c in [*FEATURES, "label"]))
 
 
-def fit_tree(table: DataFrame, depth: int = 7) -> tuple:
+def fit_tree(table: DataFrame, depth: int = 9) -> tuple:
     """Fit the tree and return it as nested (feature, threshold, left, right) or a class."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
