@@ -68,13 +68,16 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
     """Edges, and the queries without k candidates within ``reach``.
 
     ``q`` and ``c`` have a scope number ``s``, ``id`` and ``p<i>``.  With
-    ``final`` everything within ``reach`` is all there is, and no query is left.
+    ``final`` everything within ``reach`` is all there is, and no query is left;
+    without, what is still open after some rounds is left to the caller, whose
+    radius is wider.  The few queries of later rounds are far from others, so
+    the radius grows faster then.
     """
     axes, done, factor, gave_up = range(n), [], 1.0, None
     keys = ["s", *[f"c{i}" for i in axes]]
     while True:
         r = F.least(F.col("r0") * F.lit(factor), F.col("reach"))
-        g = grid.select("s", *[f"l{i}" for i in axes], r.alias("r"), F.greatest(F.col("side"), r).alias("w"), (r >= F.col("reach")).alias("last"))
+        g = grid.select("s", *[f"l{i}" for i in axes], r.alias("r"), F.greatest(F.col("side"), r).alias("w"), ((r >= F.col("reach")) | F.lit(not final and factor >= 8)).alias("last"))
         asked = q.join(g, "s").withColumns({f"c{i}": F.floor((F.col(f"p{i}") - F.col(f"l{i}")) / F.col("w")).cast("long") for i in axes})
         asked = asked.select(*keys, "id", *[f"p{i}" for i in axes], "r", "last")
         held = c.join(g, "s")
@@ -113,8 +116,10 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
         todo = reduce(DataFrame.unionByName, still)
         if todo.isEmpty():
             return done, None if final else gave_up
-        q = written(q.join(todo, "id", "left_semi"), "open")
-        factor *= 2.0
+        left = written(q.join(todo, "id", "left_semi"), "open")
+        release(q)
+        q = left
+        factor *= 2.0 if factor < 8 else 8.0
 
 
 def _ranker(k: int, n: int, include_self: bool, final: bool):

@@ -47,7 +47,7 @@ def test_knn(spark, kind):
 def test_knn_of_a_cluster_in_a_wide_room(spark):
     """Dense tiles become scopes of their own; far points look across the gap."""
     rng = np.random.default_rng(11)
-    x = np.concatenate([rng.normal(size=(2500, 3)) * 0.01, 5 + rng.normal(size=(400, 3)) * 1e-4, rng.uniform(-500, 500, (60, 3)), np.ones((30, 3)) * 7, [[np.nan, 0, 0], [np.inf, 1, 1]]])
+    x = np.concatenate([rng.normal(size=(1500, 3)) * 0.01, 5 + rng.normal(size=(300, 3)) * 1e-4, rng.uniform(-500, 500, (60, 3)), np.ones((30, 3)) * 7, [[np.nan, 0, 0], [np.inf, 1, 1]]])
     df = cloud(spark, x)
     good = x[:-2]
     for self_ in (True, False):
