@@ -482,3 +482,33 @@ def test_mixing_against_brute_force(spark):
             assert got[i] == whole + (rest > 0 and run <= rest)
     assert mixing.repeated(mixing.mix(df, ["domain", "lang", "source"], weights)).count() > 0
     assert mixing.mix(df.limit(0), ["domain", "lang", "source"], weights).count() == 0
+
+
+def test_mixing_of_one_large_leaf(spark):
+    """The cut inside a leaf that holds nearly all rows, digit by digit of the hash."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    rows = [(i, "one", rng.randrange(40)) for i in range(4000)] + [(9000, "two", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").repartition(7)
+    for share in ((1, 3), (3, 2)):
+        got = {r.doc_id: r.copies for r in mixing.mix(df, ["source"], {"source": F.lit(1)}, share, 2, seed=3).collect()}
+        total = sum(n for *_, n in rows)
+        budget = fill(total * share[0] // share[1], {"one": 2 * (total - 5), "two": 10}, {"one": 1, "two": 1})["one"]
+        whole, rest = divmod(budget, total - 5)
+        run = 0
+        for _, i, n in sorted((hashlib.md5(f"3:{whole}:{i}".encode()).hexdigest(), i, n) for i, s, n in rows if s == "one"):
+            run += n
+            assert got[i] == whole + (run <= rest)
+
+
+def test_mixing_rows_and_keys(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "web", "s", 10, 7, "x", 1) for k in (None, None, 5, 5, 6, 7, 8)] + [(9, None, None, 0, 7, "y", 2), (10, "web", "s", None, 7, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, source string, n_tokens long, copies int, tokens string, budget int")
+    out = mixing.mix(df, ["domain", "source"], {"domain": F.lit(1), "source": F.lit(1)}, (1, 2))
+    got = out.collect()
+    assert sorted(out.columns) == sorted(df.columns) and len(got) == len(rows) and {r.tokens for r in got} == {"x", "y", "z"}
+    assert all(len({r.copies for r in got if r.doc_id == k}) == 1 for k in (None, 5))
+    assert 0 < sum(r.copies * (r.n_tokens or 0) for r in got) <= 35
