@@ -73,7 +73,8 @@ def sufficient_runs(repeated: DataFrame, min_chars: int) -> DataFrame:
     cut = repeated.select(*PLACE, "chars", stretch.alias("_i")).withColumn("_to", to)
     # borders between lines, by the number of characters of the stretch before them
     before = cut.select("row", "_i", F.col("line").alias("b"), (F.col("_to") - F.col("chars")).alias("v"))
-    borders = before.unionByName(cut.groupBy("row", "_i").agg((F.max("line") + 1).alias("b"), F.max("_to").alias("v")).where(F.col("v") >= min_chars))
+    ends = cut.groupBy("row", "_i").agg((F.max("line") + 1).alias("b"), F.max("_to").alias("v")).where(F.col("v") >= min_chars)
+    borders = materialise(before.unionByName(ends), "borders")  # read four times below
 
     def nearest(shift: int, order: list[Column]) -> DataFrame:
         """Each border ``q`` with the border ``b`` next to ``shift`` characters from it."""
