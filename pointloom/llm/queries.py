@@ -226,6 +226,34 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup_bytes
+
+    out = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def suffix_dedup_sql(depth: int = 50) -> str:
+    """DuckDB twin of op12 by its definition, on hexadecimal strings of two digits a byte."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT row, doc_id, i, substr(h, 2 * i + 1, {2 * depth}) AS s FROM (SELECT *, unnest(range(0, len(h) // 2 - {depth - 1})) AS i FROM d)),
+    low AS (SELECT s, min(doc_id) AS doc_id FROM w GROUP BY s),
+    hit AS (SELECT w.row, w.i, true AS hit FROM w JOIN low ON low.s = w.s AND low.doc_id < w.doc_id),
+    b AS (SELECT row, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT *, unnest(range(0, len(h) // 2)) AS i FROM d)),
+    c AS (SELECT b.*, coalesce(max(CASE WHEN hit THEN b.i END) OVER (PARTITION BY b.row ORDER BY b.i) > b.i - {depth}, false) AS gone FROM b LEFT JOIN hit ON hit.row = b.row AND hit.i = b.i),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS starts FROM c),
+    o AS (SELECT row, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY row)
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (row)
+    """
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -238,6 +266,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_source_mixing": op9_source_mixing,
         "op10_main_text": op10_main_text,
+        "op12_suffix_array_dedup": op12_suffix_array_dedup,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
@@ -246,4 +276,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup_sql(),
         "op6_license_scan": license_sql(),
         "op9_source_mixing": mixing_sql(),
+        "op12_suffix_array_dedup": suffix_dedup_sql(),
     }
