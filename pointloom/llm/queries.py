@@ -226,6 +226,33 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def divergence_sql(least_docs: int = 30, top: int = 50) -> str:
+    """DuckDB twin of op11 over all groups, terms and pairs."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    share = lambda c, n: f"1 + (CAST(1000000000 AS HUGEINT) * ({c} + 5)) // ({n} + 5 * v)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS text FROM documents),
+    o AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS ql FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= {least_docs}),
+    c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+    l AS (SELECT lang, count(*) AS v, CAST(sum(ql) AS BIGINT) AS nl FROM k GROUP BY lang),
+    g AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, {share("coalesce(c, 0)", "n")} AS p, {share("ql", "nl")} AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM x)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= {top}
+    """
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import dedup_bytes
 
@@ -266,6 +293,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_source_mixing": op9_source_mixing,
         "op10_main_text": op10_main_text,
+        "op11_source_divergence": op11_source_divergence,
         "op12_suffix_array_dedup": op12_suffix_array_dedup,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
@@ -276,5 +304,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup_sql(),
         "op6_license_scan": license_sql(),
         "op9_source_mixing": mixing_sql(),
+        "op11_source_divergence": divergence_sql(),
         "op12_suffix_array_dedup": suffix_dedup_sql(),
     }
