@@ -27,6 +27,7 @@ they are.  Digits have 64 bits and are compared within a bucket only.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -41,9 +42,10 @@ _U = np.uint64
 GRAM = 16
 #: A cut where a fingerprint's low bits are zero: every 64 bytes in the mean.
 CUT = _U(63)
-#: Bytes whose digits are made at a time.
-SLICE = 1 << 19
+#: Bytes whose digits are made at a time; packs of up to KEEP bytes keep their fingerprints between digits.
+SLICE, KEEP = 1 << 19, 16 << 20
 STRETCH, LEAST, WHOLE = 0, 1, 2
+_ODD = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 64, (2, 64), dtype=np.uint64) | _U(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,14 +63,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return _mix(words[:-8] * _U(3) + words[8:])
 
 
-def _windows(grams: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of the ``depth`` bytes from each of the first ``n`` bytes on."""
-    a, b = grams[:n].copy(), grams[:n] ^ _U(0x5851F42D4C957F2D)
-    for at in [*range(GRAM, depth - GRAM, GRAM), depth - GRAM] if depth > GRAM else []:
-        a = _mix(a * _U(5) + grams[at : at + n])
-        b = (b ^ grams[at : at + n]) * _U(0xD6E8FEB86659FD93)
-        b ^= b >> _U(31)
-    return a, _mix(b)
+def _windows(grams: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of the ``depth`` bytes from each of some places on: sums of grams, each with its own odd factor."""
+    a, b = np.zeros(len(at), _U), np.zeros(len(at), _U)
+    for k, off in enumerate([*range(0, depth - GRAM, GRAM), depth - GRAM]):
+        g = grams[at + off]
+        a += g * _ODD[0, k % 64]
+        b += g * _ODD[1, k % 64]
+    return _mix(a), _mix(b)
 
 
 def _least(grams: np.ndarray, n: int, depth: int) -> np.ndarray:
@@ -80,62 +82,46 @@ def _least(grams: np.ndarray, n: int, depth: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - k : width - k + n])
 
 
-class Stretches:
-    """What a slice of one text begins with: cuts, stretches and digits of its suffixes.
+def _digests(grams: np.ndarray, at: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of stretches of ``size`` windows: every sixteenth gram by its number, the last window and the size."""
+    steps = -(-size // GRAM)
+    ends = np.cumsum(steps)
+    no = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - steps, steps)
+    by_place = _mix(grams[np.repeat(at, steps) + GRAM * no] + (no.astype(_U) + _U(1)) * _U(0xA0761D6478BD642F))
+    total = np.add.reduceat(by_place, ends - steps) if len(ends) else by_place
+    a, b = _windows(grams, at + size - 1, depth)
+    n = size.astype(_U)
+    return _mix(total * _U(7) + a + n), _mix((total ^ b) * _U(11) + n)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte planes: planes of zeros take no room in a compressed exchange."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
-    ``starts`` are places of windows in the text; ``at`` is the place of the
-    first of each stretch within the slice.
-    """
 
-    def __init__(self, text: np.ndarray, low: int, high: int, depth: int):
-        data = text[low : high + depth - 1]
-        n = high - low
-        grams = _grams(data)
-        self.low, self.n, self.depth = low, n, depth
-        self.grams = grams
-        self.at = np.flatnonzero(np.concatenate([[True], (grams[1:n] & CUT) == 0]))
-        self.size = np.diff(self.at, append=n)
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two fingerprints of every stretch: its grams by place, its last window and its length."""
-        place = np.arange(self.n, dtype=_U) - np.repeat(self.at.astype(_U), self.size)
-        by_place = _mix(self.grams[: self.n] + place * _U(0xA0761D6478BD642F))
-        total = np.add.reduceat(by_place, self.at)
-        a, b = _windows_at(self.grams, self.at + self.size - 1, self.depth)
-        n = self.size.astype(_U)
-        return _mix(total * _U(7) + a + n), _mix((total ^ b) * _U(11) + n)
-
-
-def _windows_at(grams: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`_windows` of some places only."""
-    offsets = [0, *range(GRAM, depth - GRAM, GRAM), depth - GRAM] if depth > GRAM else [0]
-    grid = grams[at[:, None] + np.array(offsets)[None, :]]
-    a, b = grid[:, 0].copy(), grid[:, 0] ^ _U(0x5851F42D4C957F2D)
-    for k in range(1, len(offsets)):
-        a = _mix(a * _U(5) + grid[:, k])
-        b = (b ^ grid[:, k]) * _U(0xD6E8FEB86659FD93)
-        b ^= b >> _U(31)
-    return a, _mix(b)
+def _from_planes(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 class Digits:
-    """Digits of one pass over a pack: values, their buckets and the documents that have them."""
+    """Digits of one pass over a pack: values, their buckets and the texts that have them."""
 
     def __init__(self) -> None:
         self.value: list[np.ndarray] = []
         self.bucket: list[np.ndarray] = []
         self.owner: list[np.ndarray] = []
 
-    def add(self, value: np.ndarray, second: np.ndarray, owner: int) -> None:
+    def add(self, value: np.ndarray, second: np.ndarray, owner: np.ndarray) -> None:
         self.value.append(value)
         self.bucket.append((second >> _U(33)).astype(np.uint32))
-        self.owner.append(np.full(len(value), owner, np.uint32))
+        self.owner.append(owner)
 
     def sorted(self, rank: np.ndarray, buckets: int) -> Sorted:
         """Distinct (bucket, digit) in order, with the least and the largest key rank of each."""
-        if not self.value:
-            return Sorted(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        value, owner = np.concatenate(self.value), rank[np.concatenate(self.owner)]
+        value = np.concatenate([np.zeros(0, _U), *self.value])
+        if not len(value):
+            return Sorted(value, *[np.zeros(0, np.int64)] * 4)
+        owner = rank[np.concatenate(self.owner)]
         bucket = np.concatenate(self.bucket).astype(np.int64) % buckets
         order = np.lexsort((value, bucket))
         value, bucket, owner = value[order], bucket[order], owner[order]
@@ -153,14 +139,14 @@ class Sorted:
         self.value, self.bucket, self.low, self.high, self.place = value, bucket, low, high, place
 
     def requests(self, kind: int, keys: np.ndarray | None) -> Iterator[dict]:
-        """One row per bucket: the digits, and the least key of each where keys are given."""
+        """One row per bucket: the digits by their differences, and the least key of each where keys are given."""
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(self.bucket)], strict=False):
-            row = {"kind": kind, "bucket": int(self.bucket[a]), "digits": self.value[a:b].tobytes(), "keys": b"", "which": b""}
+            row = {"kind": kind, "bucket": int(self.bucket[a]), "digits": _planes(np.diff(self.value[a:b], prepend=_U(0))), "keys": b"", "which": b""}
             if keys is not None:
                 used, which = np.unique(self.low[a:b], return_inverse=True)
                 row["keys"] = keys[used].tobytes()
-                row["which"] = which.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes()
+                row["which"] = _planes(which.astype("<u4"))
             yield row
 
     def answered(self, kind: int, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
@@ -180,7 +166,7 @@ def merge(frame: pd.DataFrame) -> pd.DataFrame:
     With keys: is there a smaller key at another place?  Without: is the digit
     in another pack?  A row without such a digit gets no answer.
     """
-    digits = [np.frombuffer(d, _U) for d in frame["digits"]]
+    digits = [np.cumsum(_from_planes(d, "<u8"), dtype=_U) for d in frame["digits"]]
     size = np.array([len(d) for d in digits])
     value = np.concatenate(digits)
     order = np.argsort(value, kind="stable")
@@ -189,7 +175,7 @@ def merge(frame: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(new)
     count = np.diff(first, append=len(value))
     if frame["keys"].iloc[0]:
-        key = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(w, "<u2" if len(k) <= 8 << 16 else "<u4")] for k, w in zip(frame["keys"], frame["which"], strict=True)])[order]
+        key = np.concatenate([np.frombuffer(k, np.int64)[_from_planes(w, "<u4")] for k, w in zip(frame["keys"], frame["which"], strict=True)])[order]
         hit = key > np.repeat(np.minimum.reduceat(key, first), count)
     else:
         hit = np.repeat(count > 1, count)
@@ -203,93 +189,123 @@ def merge(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 class Pack:
-    """The texts of a pack and what is known of their windows."""
+    """The texts of a pack, end to end, and what is known of their windows.
+
+    Windows are named by the byte they start at; ``window`` marks those that do
+    not reach beyond their text.
+    """
 
     def __init__(self, keys: np.ndarray, ends: np.ndarray, data: bytes, depth: int, buckets: int):
-        self.data = np.frombuffer(data, np.uint8)
-        self.begins, self.ends, self.depth, self.buckets = np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, depth, buckets
+        self.raw, self.depth, self.buckets = data, depth, buckets
+        self.data = np.frombuffer(data + bytes(depth + GRAM), np.uint8)
+        self.begins, self.ends = np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
         self.keys, self.rank = np.unique(keys, return_inverse=True)
-
-    def texts(self) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
-        """Number, bytes and slices of the texts that have windows."""
-        for i, (a, b) in enumerate(zip(self.begins.tolist(), self.ends.tolist(), strict=True)):
-            n = b - a - self.depth + 1
-            if n > 0:
-                yield i, self.data[a:b], [(s, min(n, s + SLICE)) for s in range(0, n, SLICE)]
-
-    def outer(self) -> tuple[Sorted, list[int]]:
-        """Digits of whole texts and stretches, in the order of :meth:`texts`; the number of each text's stretches."""
-        digits, count = Digits(), []
-        for i, text, slices in self.texts():
-            found = [Stretches(text, a, b, self.depth).digests() for a, b in slices]
-            one, two = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            place = np.arange(len(one), dtype=_U)
-            whole = [_mix(_mix(x + place * _U(0xA0761D6478BD642F)).sum(keepdims=True) + _U(len(text))) for x in (one, two)]
-            digits.add(np.concatenate([whole[0], one]), np.concatenate([whole[1], two]), i)
-            count.append(len(one))
-        return digits.sorted(self.rank, self.buckets), count
-
-    def least(self) -> tuple[Sorted, list[np.ndarray]]:
-        """First digits of all suffixes; neighbours with the same one are one, ``runs`` are their lengths by text."""
-        digits, runs = Digits(), []
-        for i, text, slices in self.texts():
-            v = np.concatenate([_least(_grams(text[a : b + self.depth - 1]), b - a, self.depth) for a, b in slices])
-            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            digits.add(v[at], v[at] << _U(33), i)
-            runs.append(np.diff(at, append=len(v)))
-        return digits.sorted(self.rank, self.buckets), runs
-
-    def covered(self, answers: dict[tuple[int, int], bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By text: the windows known to be in a smaller document, and those still open."""
-        outer, count = self.outer()
-        known = outer.answered(STRETCH, answers)
+        self.have = np.flatnonzero(self.ends - self.begins >= depth)
+        mark = np.zeros(len(data) + 1, np.int8)
+        mark[self.begins[self.have]] += 1
+        mark[self.ends[self.have] - depth + 1] -= 1
+        self.window = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        self.kept: dict[int, np.ndarray] = {}
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """Number of the text that a byte lies in."""
+        return np.searchsorted(self.begins, at, side="right") - 1
+
+    def slices(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Begin, end and gram fingerprints of stretches of bytes of bounded size."""
+        for a in range(0, len(self.raw), SLICE):
+            b = min(a + SLICE, len(self.raw))
+            grams = self.kept.get(a)
+            if grams is None:
+                grams = _grams(self.data[a : b + self.depth])
+                if len(self.raw) <= KEEP:
+                    self.kept[a] = grams
+            yield a, b, grams
+
+    def runs(self, a: int, b: int, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a slice and sizes of runs of windows; ``new`` marks where one starts, besides slices and texts."""
+        new[0] = True
+        begins = self.begins[self.have]
+        new[begins[(begins >= a) & (begins < b)] - a] = True
+        inside = self.window[a:b]
+        at = np.flatnonzero(new & inside)
+        before = np.concatenate([[0], np.cumsum(inside)])
+        return at, np.diff(before[at], append=before[-1])
+
+    def outer(self) -> tuple[Sorted, list[tuple[np.ndarray, np.ndarray]]]:
+        """Digits of whole texts, then of stretches; the places and sizes of the stretches."""
+        digits, found = Digits(), []
+        whole = [hashlib.blake2b(self.raw[a:b], digest_size=16).digest() for a, b in zip(self.begins[self.have], self.ends[self.have], strict=True)]
+        two = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
+        digits.add(two[:, 0].copy(), two[:, 1].copy(), self.have)
+        for a, b, grams in self.slices():
+            at, size = self.runs(a, b, (grams[: b - a] & CUT) == 0)
+            digits.add(*_digests(grams, at, size, self.depth), self.owner(at + a))
+            found.append((at + a, size))
+        return digits.sorted(self.rank, self.buckets), found
+
+    def least(self) -> tuple[Sorted, list[tuple[np.ndarray, np.ndarray]]]:
+        """First digits of all suffixes; neighbours with the same one are a run: the places and sizes of the runs."""
+        digits, found = Digits(), []
+        for a, b, grams in self.slices():
+            v = _least(grams, b - a, self.depth)
+            at, size = self.runs(a, b, np.concatenate([[True], v[1:] != v[:-1]]))
+            digits.add(v[at], v[at] << _U(33), self.owner(at + a))
+            found.append((at + a, size))
+        return digits.sorted(self.rank, self.buckets), found
+
+    def spread(self, bits: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The windows of the runs that are marked."""
+        at, size = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+        edge = np.zeros(len(self.raw) + 1, np.int32)
+        edge[at[bits]] += 1
+        np.subtract.at(edge, (at + size)[bits], 1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def covered(self, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows known to be in a smaller document, and those still open."""
+        outer, stretches = self.outer()
+        known = outer.answered(STRETCH, answers)[outer.place]
+        n = len(self.have)
+        at = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in stretches]])
+        owner = np.concatenate([self.have, self.owner(at)])
+        known |= outer.low[outer.place] < self.rank[owner]
+        gone = self.spread(known[n:], stretches)
+        for i in self.have[known[:n]]:
+            gone[self.begins[i] : self.ends[i] - self.depth + 1] = True
         least, runs = self.least()
         several = least.answered(LEAST, answers) | (least.low < least.high)
-        gone, open_, at, to = [], [], 0, 0
-        for (i, text, slices), c, run in zip(self.texts(), count, runs, strict=True):
-            mine = outer.place[at : at + c + 1]
-            inner = known[mine] | (outer.low[mine] < self.rank[i])
-            at += c + 1
-            live = np.repeat(several[least.place[to : to + len(run)]], run)
-            to += len(run)
-            if inner[0]:
-                cover = np.ones(len(live), bool)
-            else:
-                size = np.concatenate([Stretches(text, a, b, self.depth).size for a, b in slices])
-                cover = np.repeat(inner[1:], size)
-            gone.append(cover)
-            open_.append(live & ~cover)
-        return gone, open_
-
-    def inner(self, open_: list[np.ndarray]) -> Sorted:
+        return gone, self.spread(several[least.place], runs) & ~gone
+
+    def inner(self, open_: np.ndarray) -> Sorted:
         """Last digits of the open windows."""
         digits = Digits()
-        for (i, text, slices), live in zip(self.texts(), open_, strict=True):
-            for a, b in slices:
-                at = np.flatnonzero(live[a:b])
-                if not len(at):
-                    continue
-                grams = _grams(text[a : b + self.depth - 1])
-                if 4 * len(at) > b - a:
-                    one, two = _windows(grams, b - a, self.depth)
-                    one, two = one[at], two[at]
-                else:
-                    one, two = _windows_at(grams, at, self.depth)
-                digits.add(one, two, i)
+        for a, b, grams in self.slices():
+            at = np.flatnonzero(open_[a:b])
+            if len(at):
+                digits.add(*_windows(grams, at, self.depth), self.owner(at + a))
         return digits.sorted(self.rank, self.buckets)
 
-    def removed(self, answers: dict[tuple[int, int], bytes]) -> list[np.ndarray]:
-        """By text: the windows that also start in a document with a smaller key."""
+    def removed(self, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """The windows that also start in a document with a smaller key."""
         gone, open_ = self.covered(answers)
-        inner = self.inner(open_)
-        known = inner.answered(WHOLE, answers)
-        at = 0
-        for (i, _, _), cover, live in zip(self.texts(), gone, open_, strict=True):
-            mine = inner.place[at : at + int(live.sum())]
-            at += len(mine)
-            cover[np.flatnonzero(live)] = known[mine] | (inner.low[mine] < self.rank[i])
+        inner, at = self.inner(open_), np.flatnonzero(open_)
+        gone[at] = inner.answered(WHOLE, answers)[inner.place] | (inner.low[inner.place] < self.rank[self.owner(at)])
         return gone
 
+    def spans(self, windows: np.ndarray) -> list[list[tuple[int, int]]]:
+        """By text: maximal runs of bytes (start, end) that the marked windows cover."""
+        at = np.flatnonzero(windows)
+        out: list[list[tuple[int, int]]] = [[] for _ in self.begins]
+        if not len(at):
+            return out
+        owner = self.owner(at)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > self.depth) | (np.diff(owner) > 0)]))
+        last = np.append(first[1:], len(at)) - 1
+        for i, a, b in zip(owner[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True):
+            out[i].append((a - int(self.begins[i]), b + self.depth - int(self.begins[i])))
+        return out
+
 
 def packs(docs: DataFrame, text: str, key: str, pack_bytes: int) -> DataFrame:
     """``(part, pack, keys, ends, data)``: texts end to end, some megabytes a row, bucketed by ``part``.
@@ -389,10 +405,8 @@ def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth:
         for df in batches:
             for r in df.itertuples(index=False):
                 p = _pack(r, depth, buckets)
-                removed = dict(zip([i for i, _, _ in p.texts()], p.removed(_answers(r)), strict=True))
                 rows = []
-                for i, (a, b) in enumerate(zip(p.begins.tolist(), p.ends.tolist(), strict=True)):
-                    spans = _spans(removed.get(i), depth)
+                for i, (a, b, spans) in enumerate(zip(p.begins.tolist(), p.ends.tolist(), p.spans(p.removed(_answers(r))), strict=True)):
                     kept = r.data[a:b]
                     if spans:
                         kept = b"".join(r.data[a + x : a + y] for x, y in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], b - a], strict=True))
@@ -404,12 +418,3 @@ def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth:
     whole = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyless = docs.where(F.col(key).isNull()).select(F.col(key).cast("long").alias("_k"), F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), whole.alias("kept"))
     return out.unionByName(keyless).withColumnRenamed("_k", key)
-
-
-def _spans(windows: np.ndarray | None, depth: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the marked windows."""
-    at = np.flatnonzero(windows) if windows is not None else np.zeros(0, np.int64)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > depth)
-    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + depth).tolist(), strict=True))
