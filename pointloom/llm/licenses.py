@@ -1,14 +1,22 @@
 """License scans: TF-IDF cosine of files to templates, inherited by directory.
 
-Templates are short notices and full license texts; they and the files are
-sparse TF-IDF vectors over words, with document frequencies from all files.
-An inverted index on rare template words finds the places to compare: every
-template has anchor words (:func:`anchors`), and where one of them stands in a
-file, the window of as many words as the template has, aligned at that word, is
-compared with the template.  So a header, a wrapped notice, a sentence inside
-prose and a whole license file are all met by windows of their own size.  The
-file gets the best template of its best window.  A file without one inherits
-the license of its nearest ancestor directory that has a license file.
+Templates are short notices and full license texts; they and the windows of
+files are sparse TF-IDF vectors over words, with document frequencies from all
+files.  A window has as many words as the template it is compared with, so a
+header, a wrapped notice, a sentence inside prose and a whole license file are
+all met by windows of their own size.  An index on template words finds them:
+
+* a notice that names a license is compared with every window that holds all
+  its names, found at the rarest of them;
+* any other notice is compared with every window that holds one of its prefix
+  words (:func:`prefix_words`): a window without them stays below the threshold;
+* a full text is compared where the window, aligned at one of its
+  :data:`SPREAD` landmarks, starts: words that it holds once, the rarest of each
+  of as many stretches.  So a text with fewer altered words than landmarks is
+  always found.
+
+The file gets the best template of its best window.  A file without one
+inherits the license of its nearest ancestor directory that has a license file.
 
 DataFrame operations only.
 """
@@ -22,7 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import evenly, materialise
+from .store import ROW, evenly, materialise
 
 # fixed values: short notices that name public licenses
 TEMPLATES = [
@@ -100,8 +108,8 @@ NAMES = {
 }
 # fixed values: licenses that name no version or no terms, and words that several licenses share; any other template goes before them
 VAGUE = {"GPL", "Proprietary", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"}
-#: Anchor words of a template that names no license.
-ANCHORS = 3
+#: Stretches of a full text that a landmark is taken from.
+SPREAD = 16
 
 
 def words(text: Column) -> Column:
@@ -119,72 +127,102 @@ def templates() -> list[tuple[str, str, bool, list[str]]]:
     return [(n, x, full, re.findall(TOKEN, x.lower())) for full, some in ((False, [*TEMPLATES, *NOTICES]), (True, full_texts())) for n, x in some]
 
 
-def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+def tokens(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the ``words`` of every row, written with a row id of its own; null texts have null words."""
+    return materialise(docs.select(*keep, words(F.col(text)).alias("words"), F.monotonically_increasing_id().alias(ROW)), "file-words")
+
+
+def frequencies(files: DataFrame, vocabulary: DataFrame) -> tuple[dict[str, int], int]:
     """Number of files that hold each word of the templates, and of files with a text.
 
     One aggregate over all files; its result is as large as the vocabulary.
     """
-    wanted = F.lit(vocabulary)
-    seen = docs.where(F.col(text).isNotNull()).select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(wanted, words(F.col(text))))).alias("word"))
-    found = {r[0]: r[1] for r in seen.groupBy("word").count().collect()}
-    return found, found.pop("", 0)
+    seen = files.select(F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(vocabulary), "word")
+    return {r[0]: r[1] for r in seen.groupBy("word").count().collect()}, files.where("words IS NOT NULL").count()
 
 
-def anchors(held: list[str], needs: set[str], df: dict[str, int]) -> list[str]:
-    """The words a template is looked up by.
+def prefix_words(weights: dict[str, float], df: dict[str, int], threshold: float) -> list[str]:
+    """The rarest words that, left out, leave too little of a template for ``threshold``.
 
-    A notice that names a license only matches where all its names stand, so
-    the rarest of them finds every match.  Other templates are looked up by the
-    rarest words that they hold once.
+    What a window shares with a template bounds their cosine by its part of the
+    template's length.
     """
-    some = needs or {w for w in held if held.count(w) == 1}
-    return sorted(some, key=lambda w: (df.get(w, 0), w))[: 1 if needs else ANCHORS]
+    whole = rest = sum(v * v for v in weights.values())
+    some = []
+    for w in sorted(weights, key=lambda w: (df.get(w, 0), w)):
+        if rest < threshold * threshold * whole * (1 - 1e-9):
+            break
+        some.append(w)
+        rest -= weights[w] ** 2
+    return some
 
 
-def windows(docs: DataFrame, text: str, key: str, places: dict[str, list[tuple[int, int, int]]]) -> DataFrame:
-    """``(key, template, at, begin, words)``: the windows of the files; ``places`` gives (template, offset, size) by anchor."""
-    index = F.create_map(*[c for w, some in sorted(places.items()) for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(n).alias("n")) for t, o, n in some]))])
-    known = F.lit(sorted(places))
-    files = docs.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("_w")).where(F.arrays_overlap("_w", known))
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(known, w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-    spans = F.flatten(F.transform(hits, lambda h: F.transform(index[h["w"]], lambda a: F.struct(a["t"].alias("t"), (h["i"] - a["o"]).alias("b"), a["n"].alias("n")))))
-    cut = F.transform(F.array_distinct(spans), lambda s: F.struct(s["t"].alias("template"), F.greatest(s["b"], F.lit(0)).alias("at"), s["b"].alias("begin"), F.slice(F.col("_w"), F.greatest(s["b"], F.lit(0)) + 1, F.least(s["n"], s["n"] + s["b"])).alias("words")))
-    return files.select(key, F.explode(cut).alias("_u")).select(key, "_u.*")
+def landmarks(held: list[str], df: dict[str, int]) -> list[tuple[str, int]]:
+    """(word, offset): of each stretch of a full text the rarest word that the text holds once."""
+    n, out = len(held), []
+    for k in range(SPREAD):
+        some = [i for i in range(k * n // SPREAD, (k + 1) * n // SPREAD) if held.count(held[i]) == 1]
+        out += [(held[i], i) for i in sorted(some, key=lambda i: (df.get(held[i], 0), held[i]))[:1]]
+    return out
 
 
-def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.6) -> DataFrame:
-    """``(key, license, score, at)``: the best template of a file, if any, and the word at which its window begins.
+def windows(files: DataFrame, index: DataFrame) -> DataFrame:
+    """``(ROW, template, at, words)``: the windows to compare; each once.
 
-    A word that no template holds weighs as a word of no file.  A notice that
-    names a license or a version matches only windows that hold these names.
-    Templates that name no version or no terms give way to all others; ties go
-    to the smaller license name, then to the earlier place.  Scores are rounded
-    to six places.  Null and empty texts have no windows; rows with equal keys
-    count as one file, null keys as one more.
+    ``index`` has word, template, low, high (places of the window's first word
+    relative to the word), size and needs (words it must hold).
     """
-    spark, listed = docs.sparkSession, templates()
+    hits = files.select(ROW, F.col("words").alias("_w"), F.posexplode("words").alias("_i", "word")).join(F.broadcast(index), "word").where("_i + high >= 0 OR low = high")
+    begins = F.sequence(F.greatest(F.col("_i") + F.col("low"), F.lit(0)), F.greatest(F.col("_i") + F.col("high"), F.lit(0)))
+    cut = hits.select(ROW, "_w", "template", "size", "needs", F.explode(begins).alias("at"))
+    cut = cut.select(ROW, "template", "at", "needs", F.slice("_w", F.col("at") + 1, F.col("size")).alias("words")).where(F.size(F.array_except("needs", "words")) == 0)
+    return cut.drop("needs").dropDuplicates([ROW, "template", "at"])
+
+
+def best_templates(files: DataFrame, threshold: float) -> DataFrame:
+    """``(ROW, license, score, at)`` of the rows of :func:`tokens` that have a license."""
+    spark, listed = files.sparkSession, templates()
     vocabulary = sorted({w for *_, held in listed for w in held})
-    df, n = frequencies(docs, text, vocabulary)
+    df, n = frequencies(files, spark.createDataFrame([(w,) for w in vocabulary], "word string"))
     idf = {w: math.log((1.0 + n) / (1.0 + df.get(w, 0))) + 1 for w in vocabulary}
-    vectors, facts, places = [], [], {}
+    vectors, facts, index = [], [], []
     for i, (name, source, full, held) in enumerate(listed):
-        needs = set() if full else set(held) & NAMES
+        needs = [] if full else sorted(set(held) & NAMES)
         weights = {w: held.count(w) * idf[w] for w in sorted(set(held))}
-        vectors += [(i, w, v, w in needs) for w, v in weights.items()]
-        facts.append((i, name, name in VAGUE or source in VAGUE, len(needs), math.sqrt(sum(v * v for v in weights.values()))))
-        for w in anchors(held, needs, df):
-            places.setdefault(w, []).extend((i, o, len(held)) for o, x in enumerate(held) if x == w)
-    # all three tables are as large as the fixed list of templates
-    weight = F.broadcast(spark.createDataFrame(vectors, "template int, word string, weight double, need boolean"))
-    fact = F.broadcast(spark.createDataFrame(facts, "template int, license string, vague boolean, needed int, norm double"))
+        vectors += [(i, w, v) for w, v in weights.items()]
+        facts.append((i, name, name in VAGUE or source in VAGUE, math.sqrt(sum(v * v for v in weights.values()))))
+        if full:
+            index += [(w, i, -o, -o, len(held), needs) for w, o in landmarks(held, df)]
+        else:
+            some = [min(needs, key=lambda w: (df.get(w, 0), w))] if needs else prefix_words(weights, df, threshold)
+            index += [(w, i, 1 - len(held), 0, len(held), needs) for w in some]
+    # all four tables are as large as the fixed list of templates
+    weight = F.broadcast(spark.createDataFrame(vectors, "template int, word string, weight double"))
+    fact = F.broadcast(spark.createDataFrame(facts, "template int, license string, vague boolean, norm double"))
     rare = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    window = [key, "template", "at", "begin"]
-    tf = windows(docs, text, key, places).select(*window, F.explode("words").alias("word")).groupBy(*window, "word").agg(F.count("*").alias("tf"))
+    window = [ROW, "template", "at"]
+    places = spark.createDataFrame(index, "word string, template int, low int, high int, size int, needs array<string>")
+    tf = windows(files, places).select(*window, F.explode("words").alias("word")).groupBy(*window, "word").agg(F.count("*").alias("tf"))
     tf = tf.join(rare, "word", "left").withColumn("u", F.col("tf") * F.coalesce("idf", F.lit(math.log(1.0 + n) + 1)))
-    both = tf.join(weight, ["template", "word"], "left").groupBy(*window).agg(F.sum(F.col("u") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("size"), F.count_if("need").alias("held"))
-    scored = both.join(fact, "template").where("held = needed").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy(key).agg(F.min(F.struct("vague", (-F.col("score")).alias("_m"), "license", F.col("at").cast("long").alias("at"))).alias("_b"))
-    return materialise(best.select(key, F.col("_b.license").alias("license"), (-F.col("_b._m")).alias("score"), F.col("_b.at").alias("at")), "licenses")
+    both = tf.join(weight, ["template", "word"], "left").groupBy(*window).agg(F.sum(F.col("u") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("size"))
+    scored = both.join(fact, "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).where(F.col("score") >= threshold)
+    best = scored.groupBy(ROW).agg(F.min(F.struct("vague", (-F.col("score")).alias("_m"), "license", F.col("at").cast("long").alias("at"))).alias("_b"))
+    return materialise(best.select(ROW, F.col("_b.license").alias("license"), (-F.col("_b._m")).alias("score"), F.col("_b.at").alias("at")), "licenses")
+
+
+def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.6) -> DataFrame:
+    """``(key, license, score, at)``: the best template of each row that has one, and the word at which its window begins.
+
+    A word that no template holds weighs as a word of no file.  A notice that
+    names a license or a version matches only windows that hold these names.
+    Templates that name no version or no terms give way to all others; ties go
+    to the smaller license name, then to the earlier place.  Scores are rounded
+    to six places.  Null and empty texts have no windows.  Every row is a file
+    of its own, also with a null or repeated key.
+    """
+    files = tokens(docs, text, [key])
+    found = best_templates(files, threshold)
+    return files.select(key, ROW).join(evenly(found), ROW).select(key, "license", "score", "at")
 
 
 def ancestors(path: Column) -> Column:
@@ -194,26 +232,39 @@ def ancestors(path: Column) -> Column:
 
 
 def inherit(files: DataFrame, found: DataFrame, key: str = "doc_id", path: str = "path") -> DataFrame:
-    """Add ``license``, ``score`` and ``from_path`` (where it comes from) to files.
-
-    A directory's license file is the file with a license of its own that has
-    the smallest key directly in it.  A file's own license comes first
-    (``from_path`` is its path), then that of the nearest ancestor directory.
-    Directories are distinct before they are joined to their ancestors, so
-    large directories cost one row each.  Files with a null path inherit
-    nothing; nulls mean that no license was found.
+    """Add ``license``, ``score`` and ``from_path`` (where it comes from) to files with row ids.
+
+    ``found`` has the licenses by row id.  A directory's license file is the
+    file with a license of its own that lies directly in it; of several the one
+    with the smallest key (null keys come last), then of the smallest path.
+    A file's own license comes first (``from_path`` is its path), then that of
+    the nearest ancestor directory.  Directories are distinct before they are
+    joined to their ancestors, so large directories cost one row each.  Files
+    with a null path inherit nothing; nulls mean that no license was found.
     """
-    own = files.join(evenly(found.select(key, F.col("license").alias("_own"), F.col("score").alias("_score"))), key, "left")
+    own = files.join(evenly(found.select(ROW, F.col("license").alias("_own"), F.col("score").alias("_score"))), ROW, "left")
     own = own.withColumn("_dir", F.element_at(ancestors(F.col(path)), 1))
-    holders = own.where("_own IS NOT NULL AND _dir IS NOT NULL").groupBy(F.col("_dir").alias("_up")).agg(F.min(F.struct(F.col(key).alias("_k"), "_own", "_score")).alias("_l"))
+    first = F.struct(F.col(key).isNull().alias("_z"), F.col(key).alias("_k"), F.col(path).alias("_p"), "_own", "_score")
+    holders = own.where("_own IS NOT NULL AND _dir IS NOT NULL").groupBy(F.col("_dir").alias("_up")).agg(F.min(first).alias("_l"))
     dirs = own.where("_dir IS NOT NULL").select("_dir").distinct()
     chain = dirs.select("_dir", F.posexplode(F.concat(F.array("_dir"), F.when(F.instr("_dir", "/") > 0, ancestors(F.col("_dir"))).otherwise(F.array().cast("array<string>")))).alias("_far", "_up"))
     near = chain.join(evenly(holders), "_up").groupBy("_dir").agg(F.min(F.struct("_far", "_up", "_l")).alias("_n"))
     out = own.join(evenly(near), "_dir", "left")
-    keep = [c for c in files.columns if c not in ("license", "score", "from_path")]
+    keep = [c for c in files.columns if c not in ("license", "score", "from_path", ROW)]
     return out.select(
         *keep,
         F.coalesce("_own", "_n._l._own").alias("license"),
         F.coalesce("_score", "_n._l._score").alias("score"),
         F.when(F.col("_own").isNotNull(), F.col(path)).otherwise(F.col("_n._up")).alias("from_path"),
     )
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", threshold: float = 0.6) -> DataFrame:
+    """The columns of ``docs`` but the text, with ``license``, ``score`` and ``from_path``.
+
+    :func:`detect` for every row, then :func:`inherit`; columns of these names
+    are replaced.  Rows keep to themselves whatever their keys: of two rows
+    with one key each gets the license of its own text or of its own path.
+    """
+    files = tokens(docs, text, [c for c in docs.columns if c not in (text, "words", "license", "score", "from_path")])
+    return inherit(files.drop("words"), best_templates(files, threshold), key, path)

@@ -86,10 +86,9 @@ def file_path() -> Column:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licenses import detect, inherit
+    from .licenses import scan
 
-    docs = table(spark, sf_dir, "documents")
-    return inherit(docs.select("doc_id", file_path().alias("path")), detect(docs.select("doc_id", "text")))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), "text"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,38 +167,42 @@ def mixing_sql() -> str:
 
 
 def license_sql(threshold: float = 0.6) -> str:
-    """DuckDB twin of op6: the same windows and weights, and all ancestors of every folder."""
-    from .licenses import ANCHORS, NAMES, VAGUE, templates
+    """DuckDB twin of op6: every window of the notices (where it has names, from the first of them), and all ancestors of every folder."""
+    from .licenses import NAMES, SPREAD, VAGUE, templates
 
     quoted = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
     rows = ", ".join(f"({i}, '{name}', {name in VAGUE or text in VAGUE}, {full}, '{' '.join(words)}')" for i, (name, text, full, words) in enumerate(templates()))
     tokens = "regexp_extract_all(lower(text), '[a-z0-9.]*[a-z0-9]')"
     return f"""
-    WITH t AS (SELECT template, license, vague, whole, string_split(x, ' ') AS ws FROM (VALUES {rows}) v(template, license, vague, whole, x)),
+    WITH r AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text, lang, source FROM documents),
+    t AS (SELECT template, license, vague, whole, string_split(x, ' ') AS ws FROM (VALUES {rows}) v(template, license, vague, whole, x)),
     tw AS (SELECT template, vague, whole, len(ws) AS size, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS off FROM t),
     ttf AS (SELECT template, whole, size, word, count(*) AS tf, NOT whole AND word IN ({quoted(NAMES)}) AS need FROM tw GROUP BY ALL),
-    files AS MATERIALIZED (SELECT doc_id, {tokens} AS ws FROM documents WHERE text IS NOT NULL),
+    files AS MATERIALIZED (SELECT row, {tokens} AS ws FROM r WHERE text IS NOT NULL),
     n AS (SELECT count(*) AS n FROM files),
-    df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ws) AS word FROM files) WHERE word IN (SELECT word FROM ttf) GROUP BY word),
+    df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT row, unnest(ws) AS word FROM files) WHERE word IN (SELECT word FROM ttf) GROUP BY word),
     idf AS (SELECT word, coalesce(df, 0) AS df, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM ttf) LEFT JOIN df USING (word), n),
     v AS (SELECT template, whole, size, word, need, tf, df, tf * idf AS weight, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm, count(*) FILTER (WHERE need) OVER (PARTITION BY template) AS needed FROM ttf JOIN idf USING (word)),
-    a AS (SELECT template, word FROM v WHERE CASE WHEN needed > 0 THEN need ELSE tf = 1 END
-          QUALIFY row_number() OVER (PARTITION BY template ORDER BY df, word) <= CASE WHEN needed > 0 THEN 1 ELSE {ANCHORS} END),
-    o AS (SELECT template, word, off, size FROM a JOIN tw USING (template, word)),
-    w AS (SELECT DISTINCT doc_id, template, greatest(pos - off, 0) AS spot, pos - off AS begins, size FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files) JOIN o USING (word)),
-    x AS (SELECT doc_id, template, spot, begins, unnest(ws[spot + 1:begins + size]) AS word FROM w JOIN files USING (doc_id)),
-    xtf AS (SELECT doc_id, template, spot, begins, word, count(*) AS tf FROM x GROUP BY ALL),
+    a AS (SELECT template, min(word) AS word, size FROM v WHERE need GROUP BY template, size),
+    l AS (SELECT v.template, v.word, tw.off, v.size FROM v JOIN tw USING (template, word) WHERE v.whole AND v.tf = 1
+          QUALIFY row_number() OVER (PARTITION BY v.template, (({SPREAD} * (tw.off + 1) - 1) // v.size) ORDER BY df, v.word) = 1),
+    p AS MATERIALIZED (SELECT row, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM files),
+    w AS (SELECT DISTINCT row, template, unnest(range(greatest(pos - size + 1, 0), pos + 1)) AS spot, size FROM p JOIN a USING (word)
+          UNION ALL SELECT row, template, pos AS spot, size FROM p, (SELECT DISTINCT template, size FROM v WHERE needed = 0 AND NOT whole)
+          UNION ALL SELECT DISTINCT row, template, greatest(pos - off, 0) AS spot, size FROM p JOIN l USING (word)),
+    x AS (SELECT row, template, spot, unnest(ws[spot + 1:spot + size]) AS word FROM w JOIN files USING (row)),
+    xtf AS (SELECT row, template, spot, word, count(*) AS tf FROM x GROUP BY ALL),
     xw AS (SELECT xtf.*, xtf.tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS u FROM xtf LEFT JOIN idf USING (word), n),
-    s AS (SELECT xw.doc_id, xw.template, xw.spot, round(sum(u * v.weight) / (sqrt(sum(u * u)) * max(k.norm)), 6) AS score, count(*) FILTER (WHERE v.need) AS held, max(k.needed) AS needed
-          FROM xw LEFT JOIN v ON v.template = xw.template AND v.word = xw.word JOIN (SELECT DISTINCT template, norm, needed FROM v) k ON k.template = xw.template GROUP BY xw.doc_id, xw.template, xw.spot, xw.begins),
-    best AS (SELECT doc_id, license, score FROM s JOIN t USING (template) WHERE score >= {threshold} AND held = needed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY vague, score DESC, license, spot) = 1),
-    p AS (SELECT doc_id, [coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)] AS parts,
-          CASE WHEN doc_id % 50 = 0 THEN 1 WHEN doc_id % 50 = 1 THEN 2 WHEN doc_id % 5 = 2 THEN 3 ELSE 4 END AS depth FROM documents),
-    f AS (SELECT p.*, array_to_string(parts[1:depth], '/') AS dir, array_to_string(parts[1:depth], '/') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license AS own, score AS own_score FROM p LEFT JOIN best USING (doc_id)),
-    holder AS (SELECT dir AS up, own AS up_own, own_score AS up_score FROM f WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
-    chain AS (SELECT doc_id, unnest(range(1, depth + 1)) AS k, parts FROM f),
-    near AS (SELECT doc_id, up, up_own, up_score FROM chain JOIN holder ON up = array_to_string(parts[1:k], '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)
-    SELECT doc_id, path, coalesce(own, up_own) AS license, coalesce(own_score, up_score) AS score, CASE WHEN own IS NOT NULL THEN path ELSE up END AS from_path FROM f LEFT JOIN near USING (doc_id)
+    s AS (SELECT xw.row, xw.template, xw.spot, round(sum(u * v.weight) / (sqrt(sum(u * u)) * max(k.norm)), 6) AS score, count(*) FILTER (WHERE v.need) AS held, max(k.needed) AS needed
+          FROM xw LEFT JOIN v ON v.template = xw.template AND v.word = xw.word JOIN (SELECT DISTINCT template, norm, needed FROM v) k ON k.template = xw.template GROUP BY xw.row, xw.template, xw.spot),
+    best AS (SELECT row, license, score FROM s JOIN t USING (template) WHERE score >= {threshold} AND held = needed QUALIFY row_number() OVER (PARTITION BY row ORDER BY vague, score DESC, license, spot) = 1),
+    q AS (SELECT row, doc_id, [coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 10 AS VARCHAR)] AS parts,
+          CASE WHEN doc_id % 50 = 0 THEN 1 WHEN doc_id % 50 = 1 THEN 2 WHEN doc_id % 5 = 2 THEN 3 ELSE 4 END AS depth FROM r),
+    f AS (SELECT q.*, array_to_string(parts[1:depth], '/') AS dir, array_to_string(parts[1:depth], '/') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license AS own, score AS own_score FROM q LEFT JOIN best USING (row)),
+    holder AS (SELECT dir AS up, own AS up_own, own_score AS up_score FROM f WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id, path) = 1),
+    chain AS (SELECT row, unnest(range(1, depth + 1)) AS k, parts FROM f),
+    near AS (SELECT row, up, up_own, up_score FROM chain JOIN holder ON up = array_to_string(parts[1:k], '/') QUALIFY row_number() OVER (PARTITION BY row ORDER BY k DESC) = 1)
+    SELECT doc_id, path, coalesce(own, up_own) AS license, coalesce(own_score, up_score) AS score, CASE WHEN own IS NOT NULL THEN path ELSE up END AS from_path FROM f LEFT JOIN near USING (row)
     """
 
 
