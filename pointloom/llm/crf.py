@@ -349,25 +349,41 @@ def fit(
     return model
 
 
-def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[str], max_strata: int = 500) -> list:
-    """About ``per_stratum`` different rows of each value of column ``strata``, chosen by hash.
-
-    One counting pass, then one filtered pass.  The driver gets the sample only:
-    the ``max_strata`` most frequent values, and never more than twice
-    ``per_stratum`` rows for each of them, however often a row is repeated.
-    All ``columns`` are hashed for the choice, so equal rows count as one.
+def bounded_sample(df, strata: str, per_stratum: int, seed: int, columns: list[str], text: str | None = None, window_chars: int = 50_000, max_chars: int = 100_000_000) -> list:
+    """Between ``per_stratum`` and twice as many different rows of each value of column ``strata``, or all there are, by hash.
+
+    One pass estimates the number of different rows of each value (all
+    ``columns`` are hashed, so equal rows count as one, however often they
+    come), one filtered pass draws them.  No value is left out: what the driver
+    gets grows with the number of values, by rows of bounded size.  ``text``
+    names a column of long texts; of a longer one a stretch is taken from a
+    place drawn by hash, of ``window_chars`` characters or as many (200 at
+    least) as keep the whole sample within ``max_chars``.
     """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    counts = dict(map(tuple, df.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(max_strata).collect()))
-    if not counts:
-        return []
+    from .store import materialise, release, small
+
+    row = df.select(*columns, F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(seed)).alias("_place"))
     scale = 1_000_000_000
-    part = F.coalesce(*[F.when(F.col(strata) == F.lit(v), F.lit(min(scale, int(scale * per_stratum / n) + 1))) for v, n in sorted(counts.items())])
-    place = F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(seed))
-    drawn = df.select(*columns, part.alias("_part"), place.alias("_place")).where(F.pmod("_place", F.lit(scale)) < F.col("_part"))
-    kept = drawn.dropDuplicates(["_place"]).orderBy("_place").limit(2 * per_stratum * len(counts))
-    return sorted(kept.select(*columns).collect(), key=lambda r: tuple(map(str, r)))
+    rate = F.lit(1.2 * per_stratum * scale) / F.col("_n")
+    # few different rows are all taken: an estimate is off by a few percent
+    part = F.when(F.col("_n") <= 1.2 * per_stratum, scale).otherwise(F.least(F.lit(scale), F.ceil(rate))).cast("long")
+    counts = small(row.groupBy(F.col(strata).alias("_s")).agg(F.approx_count_distinct("_place", 0.02).alias("_n")).select("_s", part.alias("_part")), "strata")
+    n = counts.count()
+    if not n:
+        return []
+    if text is not None:
+        room = max(200, min(window_chars, max_chars // (2 * per_stratum * n)))
+        row = row.withColumn(text, some_window(F.col(text), room, seed))
+    drawn = row.join(counts, F.col(strata) == F.col("_s")).where(F.pmod("_place", F.lit(scale)) < F.col("_part"))
+    kept = materialise(drawn.select(*columns, "_place").dropDuplicates(["_place"]), "drawn")
+    turn = F.row_number().over(Window.partitionBy(strata).orderBy("_place"))
+    got = kept.withColumn("_turn", turn).where(F.col("_turn") <= 2 * per_stratum).select(*columns).collect()
+    release(kept)
+    release(counts)
+    return sorted(got, key=lambda r: tuple(map(str, r)))
 
 
 def some_window(text, chars: int, seed: int):

@@ -20,22 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .crf import Crf, bounded_sample, fit, scorer, some_window, spans_of, words_of
+from .crf import Crf, bounded_sample, fit, scorer, spans_of, words_of
 
 UNDETERMINED = "und"
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 150, window_chars: int = 50_000, seed: int = 8, lexicon_size: int = 150, run_words: int = 25) -> Crf | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 150, window_chars: int = 50_000, seed: int = 8, lexicon_size: int = 150, run_words: int = 25, max_chars: int = 100_000_000) -> Crf | None:
     """Fit on a bounded sample of labelled rows; None when no row is labelled.
 
-    The sample holds about ``per_lang`` different texts of each language,
-    whatever their length; of a text of more than ``window_chars`` characters,
-    a stretch of that size from a place drawn by hash.  Rows with a null text
-    or language, and empty texts, are left out.
+    The sample holds ``per_lang`` to twice as many different texts of every
+    language, or all there are, whatever their length and however often one of
+    them is repeated; of a text of more than ``window_chars`` characters, a
+    stretch of that size from a place drawn by hash, or a shorter one where
+    many languages would need more than ``max_chars`` characters together.
+    Rows with a null text or language, and empty texts, are left out.
     """
     rows = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_lang IS NOT NULL AND _text <> ''")
-    rows = rows.withColumn("_text", some_window(F.col("_text"), window_chars, seed))
-    got = bounded_sample(rows, "_lang", per_lang, seed, ["_lang", "_text"])
+    got = bounded_sample(rows, "_lang", per_lang, seed, ["_lang", "_text"], "_text", window_chars, max_chars)
     return fit_rows([(r[0], r[1]) for r in got], seed, lexicon_size, run_words)
 
 

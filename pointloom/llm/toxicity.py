@@ -80,22 +80,25 @@ def fit_rows(rows: list[tuple[int, str]]) -> ToxicityModel:
     return ToxicityModel(field, tuple(map(float, a)))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = 800, window_chars: int = 200_000, seed: int = 7) -> ToxicityModel:
-    """Fit on about ``per_label`` rows of each label, drawn by hash of ``key``.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: int = 800, window_chars: int = 200_000, seed: int = 7, max_chars: int = 100_000_000) -> ToxicityModel:
+    """Fit on ``per_label`` to twice as many rows of each label, drawn by hash of ``key``.
 
     ``labels`` holds ``key`` and ``label``; rows with a null label or text are
     ignored, a label given twice counts once.  The draw is made on the labels
     before any text is read, so a bounded table of keys meets the texts; equal
     rows count once and at most twice as many texts as keys are fetched.  Texts
     of every length are drawn; of one of more than ``window_chars`` characters,
-    a stretch of that size from a place drawn by hash.
+    a stretch of that size from a place drawn by hash, or a shorter one where
+    the sample would hold more than ``max_chars`` characters.  A null ``key``
+    has no label.
     """
     y = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_y IN (0, 1) AND _key IS NOT NULL").distinct()
     keys = bounded_sample(y, "_y", per_label, seed, ["_key", "_y"])
     if not keys:
         return fit_rows([])
     chosen = {r[0]: r[1] for r in keys}
-    found = docs.where(F.col(key).isin(sorted(chosen)) & (F.col(text) != "")).select(F.col(key).alias("_key"), some_window(F.col(text), window_chars, seed).alias("_text"))
+    room = min(window_chars, max(200, max_chars // (2 * len(chosen))))
+    found = docs.where(F.col(key).isin(sorted(chosen)) & (F.col(text) != "")).select(F.col(key).alias("_key"), some_window(F.col(text), room, seed).alias("_text"))
     found = found.withColumn("_place", F.xxhash64("_key", "_text")).dropDuplicates(["_place"]).orderBy("_place").limit(2 * len(chosen)).collect()
     return fit_rows([(chosen[r[0]], r[1]) for r in sorted(found, key=lambda r: (str(r[0]), r[1]))])
 

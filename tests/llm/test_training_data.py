@@ -369,7 +369,25 @@ def test_samples_are_bounded(spark):
     rows = [("en", "one and the same text")] * 5000 + [("en", f"text {i}") for i in range(3000)] + [("xx", f"rare {i}") for i in range(5)] + [(None, "nothing")]
     df = spark.createDataFrame(rows, "lang string, text string").where("lang IS NOT NULL")
     got = bounded_sample(df, "lang", 50, 1, ["lang", "text"])
-    assert len({tuple(r) for r in got}) == len(got) <= 200 and sum(r.lang == "xx" for r in got) == 5 and sum(r.lang == "en" for r in got) > 5
+    assert len({tuple(r) for r in got}) == len(got) <= 200 and sum(r.lang == "xx" for r in got) == 5 and 50 <= sum(r.lang == "en" for r in got) <= 100
+
+
+def test_samples_hold_every_value_whatever_is_repeated(spark):
+    from collections import Counter
+
+    from pointloom.llm.crf import bounded_sample
+
+    fr = spark.range(400_000).selectExpr("'fr' AS lang", "'un texte qui revient toujours' AS text")
+    more = spark.range(300).selectExpr("explode(array('fr', 'en')) AS lang", "concat('texte ', id, ' de ', id * 7) AS text")
+    many = spark.range(600 * 4).selectExpr("concat('l', id % 600) AS lang", "concat('some text ', id) AS text")
+    got = bounded_sample(fr.union(more).union(many), "lang", 150, 8, ["lang", "text"])
+    count = Counter(r.lang for r in got)
+    assert len(count) == 602 and all(count[f"l{i}"] == 4 for i in range(600)) and all(150 <= count[x] <= 300 for x in ("fr", "en"))
+    model = langid.train(fr.union(more.where("lang = 'fr'")).union(more.where("lang = 'en'").selectExpr("lang", "concat('the words of ', text, ' are these')")))
+    assert model.labels == ["en", "fr"]
+    long = spark.range(40).selectExpr("concat('l', id % 2) AS lang", "repeat(concat('word', id, ' '), 5000) AS text")
+    sizes = [len(r.text) for r in bounded_sample(long, "lang", 20, 1, ["lang", "text"], "text", 10_000, 80_000)]
+    assert len(sizes) == 40 and set(sizes) == {1000}
 
 
 def test_language_id(spark):
