@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,54 +31,65 @@ from .store import materialise, small
 #: Bytes of terms: letters of ASCII, lower-cased, and all bytes beyond; other bytes become spaces.
 TERM_BYTES = bytes(x | 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 SCALE, PRIOR = 1_000_000_000, 5
-_PAGE = "shard int, lang string, first binary, terms array<binary>, docs array<long>, held array<int>, sources array<string>, counts array<long>"
+_PAGE = "shard int, lang string, first binary, terms array<binary>, docs array<long>, held array<int>, names array<string>, sources array<int>, counts array<long>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
     """The terms of a UTF-8 text: matches of ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+``, A-Z lower-cased."""
-    return text.translate(TERM_BYTES).split(b" ")
+    return text.translate(TERM_BYTES).split()
 
 
 class Block:
-    """An index in memory."""
+    """An index in memory: for each language the numbers of its terms and the postings of its documents."""
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, Counter] = {}
-        self.size = 0
+        self.terms: dict[str, dict[bytes, int]] = {}
+        self.sources: dict[str, dict[str, int]] = {}
+        #: By language: term number, count and source of every term of every document.
+        self.postings: dict[str, tuple[array, array, array]] = {}
+        self.bytes = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        count, docs = self.counts.setdefault((lang, source), Counter()), self.docs.setdefault(lang, Counter())
-        before = len(count) + len(docs)
-        terms = terms_of(text)
-        count.update(terms)
-        docs.update(set(terms))
-        del count[b""], docs[b""]  # between two separators
-        self.size += len(count) + len(docs) - before
+        known = self.terms.setdefault(lang, {})
+        sources = self.sources.setdefault(lang, {})
+        ids, counts, owners = self.postings.setdefault(lang, (array("i"), array("q"), array("i")))
+        before = len(known)
+        held = Counter(terms_of(text))
+        ids.extend([known.setdefault(t, len(known)) for t in held])
+        counts.extend(held.values())
+        owners.extend([sources.setdefault(source, len(sources))] * len(held))
+        self.bytes += 160 * (len(known) - before) + 16 * len(held)
 
     def spill(self, shards: int, page: int) -> Iterator[pd.DataFrame]:
-        """The index as pages of sorted terms, then an empty one."""
-        for lang, docs in self.docs.items():
-            postings: dict[bytes, list] = {t: [] for t in docs}
-            for (other, source), count in self.counts.items():
-                if other == lang:
-                    for t, c in count.items():
-                        postings[t].append((source, c))
-            by_shard: list[list[bytes]] = [[] for _ in range(shards)]
-            for t in sorted(docs):
-                by_shard[zlib.crc32(t) % shards].append(t)
-            for no, terms in enumerate(by_shard):
+        """The index as pages of sorted terms, which empties it."""
+        for lang, known in self.terms.items():
+            if not known:
+                continue
+            ids, counts, owners = (np.array(x, np.int64) for x in self.postings[lang])
+            terms, names = list(known), np.array(list(self.sources[lang]), object)
+            order = sorted(range(len(terms)), key=terms.__getitem__)
+            shard = np.array([zlib.crc32(t) % shards for t in terms])
+            place = np.empty(len(terms), np.int64)  # of a term among those of its shard, all shards end to end
+            order = np.array(order)[np.argsort(shard[order], kind="stable")]
+            place[order] = np.arange(len(terms))
+            docs = np.bincount(place[ids], minlength=len(terms))
+            pair, at = np.unique(place[ids] * len(names) + owners, return_inverse=True)
+            total = np.bincount(at, counts, len(pair)).astype(np.int64)  # far below 2**53 in a block
+            begin = np.searchsorted(pair, np.arange(len(terms) + 1) * len(names))
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for no in range(shards):
                 rows = []
-                for at in range(0, len(terms), page):
-                    part = terms[at : at + page]
-                    flat = [x for t in part for x in postings[t]]
-                    rows.append((no, lang, part[0], part, [docs[t] for t in part], [len(postings[t]) for t in part], [s for s, _ in flat], [c for _, c in flat]))
+                for a in range(edges[no], edges[no + 1], page):
+                    b = min(a + page, edges[no + 1])
+                    part = [terms[k] for k in order[a:b]]
+                    used, code = np.unique(pair[begin[a] : begin[b]] % len(names), return_inverse=True)
+                    rows.append((no, lang, part[0], part, docs[a:b], np.diff(begin[a : b + 1]), names[used], code, total[begin[a] : begin[b]]))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["shard", "lang", "first", "terms", "docs", "held", "sources", "counts"])
+                    yield pd.DataFrame(rows, columns=["shard", "lang", "first", "terms", "docs", "held", "names", "sources", "counts"])
         self.__init__()
 
 
-def runs(docs: DataFrame, shards: int, block: int, page: int) -> DataFrame:
+def runs(docs: DataFrame, shards: int, block_bytes: int, page: int) -> DataFrame:
     """Pages of term-sorted runs of ``docs`` (lang, source, text)."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,81 +97,88 @@ def runs(docs: DataFrame, shards: int, block: int, page: int) -> DataFrame:
         for df in batches:
             for lang, source, text in zip(df["lang"], df["source"], df["t"], strict=True):
                 here.add(lang, source, text)
-                if here.size >= block:
+                if here.bytes >= block_bytes:
                     yield from here.spill(shards, page)
         yield from here.spill(shards, page)
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("t")).mapInPandas(index, _PAGE)
 
 
-def entries(page) -> Iterator[tuple]:
-    """(lang, term, documents, sources, counts) of a page, in order."""
-    to = np.cumsum(page.held)
-    for term, docs, a, b in zip(page.terms, page.docs, to - page.held, to, strict=True):
-        yield page.lang, bytes(term), int(docs), page.sources[a:b], page.counts[a:b]
-
-
-def heap_merge(pages: Iterator) -> Iterator[tuple]:
-    """Entries of all pages in order; pages come by (lang, first term).
+def heap_merge(pages: Iterator) -> Iterator[tuple[bytes, int, object]]:
+    """(term, place, page) of the terms of all pages in order; pages come by their first term.
 
     A page is opened when every term before its first one has been given out.
     """
     heap: list[tuple] = []
     for no, page in enumerate(pages):
-        due = (page.lang, bytes(page.first))
+        due = bytes(page.first)
         while heap and heap[0][0] < due:
-            yield from _least(heap)
-        rest = entries(page)
-        e = next(rest)
-        heapq.heappush(heap, (e[:2], no, e, rest))
+            yield _least(heap)
+        heapq.heappush(heap, (due, no, 0, page))
     while heap:
-        yield from _least(heap)
+        yield _least(heap)
 
 
-def _least(heap: list[tuple]) -> Iterator[tuple]:
-    _, no, e, rest = heap[0]
-    after = next(rest, None)
-    if after is None:
-        heapq.heappop(heap)
+def _least(heap: list[tuple]) -> tuple[bytes, int, object]:
+    term, no, at, page = heap[0]
+    if at + 1 < len(page.terms):
+        heapq.heapreplace(heap, (page.terms[at + 1], no, at + 1, page))
     else:
-        heapq.heapreplace(heap, (after[:2], no, after, rest))
-    yield e
+        heapq.heappop(heap)
+    return term, at, page
 
 
-def frequencies(docs: DataFrame, least_docs: int = 30, block: int = 400_000, page: int = 1000) -> DataFrame:
+def frequencies(docs: DataFrame, least_docs: int = 30, block_bytes: int = 96 << 20, page: int = 1000) -> DataFrame:
     """``(lang, term binary, sources, counts)``: occurrences of terms in at least ``least_docs`` documents of a language.
 
-    ``docs`` has lang, source and text without nulls.  ``block`` bounds the
-    entries of an index in memory.
+    ``docs`` has lang, source and text without nulls.  ``block_bytes`` bounds
+    an index in memory.
     """
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = runs(docs, shards, block, page).repartition(shards, "shard").sortWithinPartitions("lang", "first")
+    pages = runs(docs, shards, block_bytes, page).repartition(shards, "shard").sortWithinPartitions("lang", "first")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        held: Counter = Counter()
-        now, docs = None, 0
-
-        def done() -> None:
-            if now is not None and docs >= least_docs:
-                rows.append((*now, list(held), list(held.values())))
-
-        for lang, term, n, sources, counts in heap_merge(r for df in batches for r in df.itertuples(index=False)):
-            if (lang, term) != now:
-                done()
-                now, docs, held = (lang, term), 0, Counter()
-                if len(rows) >= 5000:
-                    yield pd.DataFrame(rows, columns=["lang", "term", "sources", "counts"])
-                    rows = []
-            docs += n
-            for s, c in zip(sources, counts, strict=True):
-                held[s] += int(c)
-        done()
+
+        def done(lang: str, term: bytes | None, docs: int, found: list) -> None:
+            if docs < least_docs or term is None:
+                return
+            held: Counter = Counter()
+            for at, page in found:
+                a, b = page.to[at] - page.held[at], page.to[at]
+                for s, c in zip(page.sources[a:b].tolist(), page.counts[a:b].tolist(), strict=True):
+                    held[page.names[s]] += c
+            rows.append((lang, term, list(held), list(held.values())))
+
+        pages = (Page(r) for df in batches for r in df.itertuples(index=False))
+        for lang, mine in groupby(pages, key=lambda p: p.lang):
+            now, docs, found = None, 0, []
+            for term, at, p in heap_merge(mine):
+                if term != now:
+                    done(lang, now, docs, found)
+                    now, docs, found = term, 0, []
+                    if len(rows) >= 5000:
+                        yield pd.DataFrame(rows, columns=["lang", "term", "sources", "counts"])
+                        rows.clear()
+                docs += p.docs[at]
+                found.append((at, p))
+            done(lang, now, docs, found)
         yield pd.DataFrame(rows, columns=["lang", "term", "sources", "counts"])
 
     return pages.mapInPandas(merge, "lang string, term binary, sources array<string>, counts array<long>")
 
 
+class Page:
+    """A page of a run, as it is read by the merge."""
+
+    __slots__ = ("counts", "docs", "first", "held", "lang", "names", "sources", "terms", "to")
+
+    def __init__(self, row):
+        self.lang, self.first, self.names, self.sources, self.counts = row.lang, row.first, row.names, row.sources, row.counts
+        self.terms, self.docs, self.held = row.terms.tolist(), row.docs.tolist(), row.held.tolist()
+        self.to = np.cumsum(row.held).tolist()
+
+
 def billionths(count: Column, total: Column, kinds: Column) -> Column:
     """1 + floor(10**9 * (count + 5) / (total + 5 * kinds)), exact; null without kinds."""
     wide = lambda c: c.cast("decimal(20,0)")

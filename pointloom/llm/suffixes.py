@@ -257,10 +257,10 @@ class Pack:
     def spread(self, bits: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The windows of the runs that are marked."""
         at, size = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
-        edge = np.zeros(len(self.raw) + 1, np.int32)
-        edge[at[bits]] += 1
-        np.subtract.at(edge, (at + size)[bits], 1)
-        return np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(self.raw) + 1, np.int8)
+        edge[at[bits]] += 1  # runs do not overlap: at each byte one may start and one end
+        edge[(at + size)[bits]] -= 1
+        return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
     def covered(self, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The windows known to be in a smaller document, and those still open."""
@@ -369,7 +369,7 @@ def _answers(r) -> dict[tuple[int, int], bytes]:
     return {(a["kind"], a["bucket"]): a["bits"] for a in (r.answers if r.answers is not None else []) if a["pack"] == r.pack}
 
 
-def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 50, pack_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 50, pack_bytes: int = 2 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """``(key, n_bytes, n_removed, spans, kept)`` of every row.
 
     A byte goes when a string of ``depth`` bytes (at least 16) covers it that

@@ -5,7 +5,6 @@ import re
 from collections import Counter
 from types import SimpleNamespace
 
-import numpy as np
 import pytest
 
 pytest.importorskip("pointloom.llm")
@@ -60,7 +59,7 @@ def test_runs_are_spilled_and_merged(spark):
     rng = random.Random(8)
     docs = [(" ".join(chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26)) for _ in range(40)), rng.choice(["l", "m"]), f"s{rng.randrange(9)}") for _ in range(80)]
     df = spark.createDataFrame(docs, "text string, lang string, source string")
-    got = {(r.lang, bytes(r.term).decode()): dict(zip(r.sources, r.counts)) for r in divergence.frequencies(df, least_docs=2, block=150, page=7).collect()}
+    got = {(r.lang, bytes(r.term).decode()): dict(zip(r.sources, r.counts)) for r in divergence.frequencies(df, least_docs=2, block_bytes=20_000, page=7).collect()}
     count, seen = {}, Counter()
     for t, la, s in docs:
         for w in t.split():
@@ -74,22 +73,20 @@ def test_heap_merge_opens_pages_when_due():
     pages, expected = [], []
     for _ in range(30):
         terms = sorted({f"{rng.randrange(200):03}".encode() for _ in range(20)})
-        lang = rng.choice("ab")
-        for at in range(0, len(terms), 6):
-            part = terms[at : at + 6]
-            pages.append(SimpleNamespace(lang=lang, first=part[0], terms=part, docs=[1] * len(part), held=np.ones(len(part), int), sources=["s"] * len(part), counts=[1] * len(part)))
-            expected += [(lang, t) for t in part]
+        pages += [SimpleNamespace(first=terms[at], terms=terms[at : at + 6]) for at in range(0, len(terms), 6)]
+        expected += terms
     read = []
 
     def stream():
-        for p in sorted(pages, key=lambda p: (p.lang, p.first)):
+        for p in sorted(pages, key=lambda p: p.first):
             read.append(p)
             yield p
 
     got = []
-    for e in divergence.heap_merge(stream()):
-        got.append(e[:2])
-        assert all((p.lang, p.first) <= (e[0], e[1]) for p in read[:-1])
+    for term, at, page in divergence.heap_merge(stream()):
+        assert page.terms[at] == term
+        got.append(term)
+        assert all(p.first <= term for p in read[:-1])
     assert got == sorted(expected)
 
 
