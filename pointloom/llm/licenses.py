@@ -4,7 +4,8 @@ Templates are short notices and full license texts; they and the windows of
 files are sparse TF-IDF vectors over words, with document frequencies from all
 files.  A window has as many words as the template it is compared with, so a
 header, a wrapped notice, a sentence inside prose and a whole license file are
-all met by windows of their own size.  An index on template words finds them:
+all met by windows of their own size.  A window begins with a word of the template.
+An index on template words finds them:
 
 * a notice that names a license is compared with every window that holds all
   its names, found at the rarest of them;
@@ -12,8 +13,8 @@ all met by windows of their own size.  An index on template words finds them:
   words (:func:`prefix_words`): a window without them stays below the threshold;
 * a full text is compared where the window, aligned at one of its
   :data:`SPREAD` landmarks, starts: words that it holds once, the rarest of each
-  of as many stretches.  So a text with fewer altered words than landmarks is
-  always found.
+  of as many stretches.  The window holds :data:`LANDMARKS` of them at least, so
+  a text with fewer altered words than the others are many is always found.
 
 The file gets the best template of its best window.  A file without one
 inherits the license of its nearest ancestor directory that has a license file.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +112,8 @@ NAMES = {
 VAGUE = {"GPL", "Proprietary", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"}
 #: Stretches of a full text that a landmark is taken from.
 SPREAD = 16
+#: Landmarks that a window holds which is compared with a full text.
+LANDMARKS = 4
 
 
 def words(text: Column) -> Column:
@@ -159,24 +163,27 @@ def prefix_words(weights: dict[str, float], df: dict[str, int], threshold: float
 
 def landmarks(held: list[str], df: dict[str, int]) -> list[tuple[str, int]]:
     """(word, offset): of each stretch of a full text the rarest word that the text holds once."""
-    n, out = len(held), []
+    n, count, out = len(held), Counter(held), []
     for k in range(SPREAD):
-        some = [i for i in range(k * n // SPREAD, (k + 1) * n // SPREAD) if held.count(held[i]) == 1]
+        some = [i for i in range(k * n // SPREAD, (k + 1) * n // SPREAD) if count[held[i]] == 1]
         out += [(held[i], i) for i in sorted(some, key=lambda i: (df.get(held[i], 0), held[i]))[:1]]
     return out
 
 
 def windows(files: DataFrame, index: DataFrame) -> DataFrame:
-    """``(ROW, template, at, words)``: the windows to compare; each once.
+    """``(ROW, template, at, words)``: the windows to compare.
 
     ``index`` has word, template, low, high (places of the window's first word
-    relative to the word), size and needs (words it must hold).
+    relative to the word), size, begins (words a window may begin with, null
+    for any), needs and least (it holds so many of these words).  A window that
+    several words lead to comes several times, which leaves its direction as it is.
     """
-    hits = files.select(ROW, F.col("words").alias("_w"), F.posexplode("words").alias("_i", "word")).join(F.broadcast(index), "word").where("_i + high >= 0 OR low = high")
-    begins = F.sequence(F.greatest(F.col("_i") + F.col("low"), F.lit(0)), F.greatest(F.col("_i") + F.col("high"), F.lit(0)))
-    cut = hits.select(ROW, "_w", "template", "size", "needs", F.explode(begins).alias("at"))
-    cut = cut.select(ROW, "template", "at", "needs", F.slice("_w", F.col("at") + 1, F.col("size")).alias("words")).where(F.size(F.array_except("needs", "words")) == 0)
-    return cut.drop("needs").dropDuplicates([ROW, "template", "at"])
+    hits = files.select(ROW, F.col("words").alias("_w"), F.posexplode("words").alias("_i", "word")).join(F.broadcast(index), "word")
+    places = F.sequence(F.greatest(F.col("_i") + F.col("low"), F.lit(0)), F.greatest(F.col("_i") + F.col("high"), F.lit(0)))
+    places = F.filter(places, lambda b: F.col("begins").isNull() | F.array_contains("begins", F.element_at("_w", b + 1)))
+    cut = hits.select(ROW, "_w", "template", "size", "needs", "least", F.explode(places).alias("at"))
+    cut = cut.select(ROW, "template", "at", "needs", "least", F.slice("_w", F.col("at") + 1, F.col("size")).alias("words"))
+    return cut.where(F.size(F.array_intersect("needs", "words")) >= F.col("least")).drop("needs", "least")
 
 
 def best_templates(files: DataFrame, threshold: float) -> DataFrame:
@@ -188,20 +195,21 @@ def best_templates(files: DataFrame, threshold: float) -> DataFrame:
     vectors, facts, index = [], [], []
     for i, (name, source, full, held) in enumerate(listed):
         needs = [] if full else sorted(set(held) & NAMES)
-        weights = {w: held.count(w) * idf[w] for w in sorted(set(held))}
+        weights = {w: k * idf[w] for w, k in sorted(Counter(held).items())}
         vectors += [(i, w, v) for w, v in weights.items()]
         facts.append((i, name, name in VAGUE or source in VAGUE, math.sqrt(sum(v * v for v in weights.values()))))
         if full:
-            index += [(w, i, -o, -o, len(held), needs) for w, o in landmarks(held, df)]
+            marks = landmarks(held, df)
+            index += [(w, i, -o, -o, len(held), None, [x for x, _ in marks], min(LANDMARKS, len(marks))) for w, o in marks]
         else:
             some = [min(needs, key=lambda w: (df.get(w, 0), w))] if needs else prefix_words(weights, df, threshold)
-            index += [(w, i, 1 - len(held), 0, len(held), needs) for w in some]
+            index += [(w, i, 1 - len(held), 0, len(held), sorted(weights), needs, len(needs)) for w in some]
     # all four tables are as large as the fixed list of templates
     weight = F.broadcast(spark.createDataFrame(vectors, "template int, word string, weight double"))
     fact = F.broadcast(spark.createDataFrame(facts, "template int, license string, vague boolean, norm double"))
     rare = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
     window = [ROW, "template", "at"]
-    places = spark.createDataFrame(index, "word string, template int, low int, high int, size int, needs array<string>")
+    places = spark.createDataFrame(index, "word string, template int, low int, high int, size int, begins array<string>, needs array<string>, least int")
     tf = windows(files, places).select(*window, F.explode("words").alias("word")).groupBy(*window, "word").agg(F.count("*").alias("tf"))
     tf = tf.join(rare, "word", "left").withColumn("u", F.col("tf") * F.coalesce("idf", F.lit(math.log(1.0 + n) + 1)))
     both = tf.join(weight, ["template", "word"], "left").groupBy(*window).agg(F.sum(F.col("u") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("size"))

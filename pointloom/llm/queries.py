@@ -168,7 +168,7 @@ def mixing_sql() -> str:
 
 def license_sql(threshold: float = 0.6) -> str:
     """DuckDB twin of op6: every window of the notices (where it has names, from the first of them), and all ancestors of every folder."""
-    from .licenses import NAMES, SPREAD, VAGUE, templates
+    from .licenses import LANDMARKS, NAMES, SPREAD, VAGUE, templates
 
     quoted = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
     rows = ", ".join(f"({i}, '{name}', {name in VAGUE or text in VAGUE}, {full}, '{' '.join(words)}')" for i, (name, text, full, words) in enumerate(templates()))
@@ -190,7 +190,11 @@ def license_sql(threshold: float = 0.6) -> str:
     w AS (SELECT DISTINCT row, template, unnest(range(greatest(pos - size + 1, 0), pos + 1)) AS spot, size FROM p JOIN a USING (word)
           UNION ALL SELECT row, template, pos AS spot, size FROM p, (SELECT DISTINCT template, size FROM v WHERE needed = 0 AND NOT whole)
           UNION ALL SELECT DISTINCT row, template, greatest(pos - off, 0) AS spot, size FROM p JOIN l USING (word)),
-    x AS (SELECT row, template, spot, unnest(ws[spot + 1:spot + size]) AS word FROM w JOIN files USING (row)),
+    held AS (SELECT template, list(word) AS held, bool_or(whole) AS whole FROM v GROUP BY template),
+    marks AS (SELECT template, list(DISTINCT word) AS marks FROM l GROUP BY template),
+    fit AS (SELECT w.* FROM w JOIN files USING (row) JOIN held USING (template) LEFT JOIN marks USING (template)
+            WHERE CASE WHEN whole THEN len(list_intersect(marks, ws[spot + 1:spot + size])) >= least({LANDMARKS}, len(marks)) ELSE list_contains(held, ws[spot + 1]) END),
+    x AS (SELECT row, template, spot, unnest(ws[spot + 1:spot + size]) AS word FROM fit JOIN files USING (row)),
     xtf AS (SELECT row, template, spot, word, count(*) AS tf FROM x GROUP BY ALL),
     xw AS (SELECT xtf.*, xtf.tf * coalesce(idf, ln(1.0::DOUBLE + n) + 1) AS u FROM xtf LEFT JOIN idf USING (word), n),
     s AS (SELECT xw.row, xw.template, xw.spot, round(sum(u * v.weight) / (sqrt(sum(u * u)) * max(k.norm)), 6) AS score, count(*) FILTER (WHERE v.need) AS held, max(k.needed) AS needed

