@@ -5,7 +5,9 @@ block has its word count and link density and those of the blocks before and
 after it.  Two weak features come from the markup: whether the block lies in an
 element that names itself as main text, and how small a part of the page's
 words the innermost element holds that names itself as menu, advert, notice or
-the like (an element around the whole page counts for nothing).  A decision
+the like (an element around the whole page counts for nothing, and
+readers' comments, by their name or by the heading over them, count in full).
+Two more are whether the block claims rights, and whether it ends like a sentence.  A decision
 tree trained with MLlib on a small table of blocks labelled by hand
 (:func:`labelled_pages`) decides which blocks belong to the article.
 """
@@ -31,8 +33,10 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # fixed values: element names of the markup language
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "select", "button", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}  # without an end tag they go on to the end of the page
+SKIPPED = {"noscript", "template", "svg", "object", "video", "audio", "canvas", "select", "button", "annotation"}  # nothing inside them is text; without an end tag they hold nothing
 FOREIGN = {"svg", "math"}  # a slash ends these at once
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -45,29 +49,54 @@ ASIDE_WORDS = {
     "nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "ad", "ads", "advert", "advertisement", "banner", "cookie", "cookies", "consent", "notice", "promo", "sponsor", "sponsored", "comment", "comments",
     "reply", "replies", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "copyright", "contentinfo", "complementary", "byline", "meta",
 }
+COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
+# words that go with those above in names such as footer-links; any other word beside them makes a name of its own, as in notice-board
+FILLERS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "form", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "middle", "outer", "page", "panel",
+    "article", "articles", "post", "posts", "stories", "story", "primary", "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper",
+}
 MAIN_TAGS = {"article", "main"}
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story"}
+#: A heading over the comments of readers.
+COMMENTS = re.compile(r"(?:\d+ |all |reader |readers' |user )*(?:comments?|replies)(?: \(\d+\)| so far)?[:.]?|leave a (?:comment|reply)[:.]?", re.I)
+#: How a sentence ends.
+STOPS = set(".!?:…。！？\"'”’»)")
+#: A line that claims rights.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)|.{0,80}\ball rights reserved\b", re.I)
 
-FEATURES = ["words", "words_before", "words_after", "links", "links_before", "links_after", "aside", "main"]
+FEATURES = ["words", "words_before", "words_after", "links", "links_before", "links_after", "aside", "main", "rights", "stop"]
 
 
-def _names(rest: str) -> tuple[bool, bool]:
-    """Whether the attributes of an element speak of a side part, and of the main part."""
-    aside = main = False
+def _names(rest: str) -> tuple[int, bool]:
+    """Whether the attributes of an element speak of a side part (2: of readers' comments), and of the main part."""
+    aside, main = 0, False
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id", "role", "itemprop"):
             for token in value.split():
-                parts = {p.lower() for p in NAME_PART.findall(token)}
+                parts = {p.lower() for p in NAME_PART.findall(token) if len(p) > 1}
                 if parts & ASIDE_WORDS:
-                    aside = True
+                    if parts <= ASIDE_WORDS | FILLERS:
+                        aside = max(aside, 2 if parts & COMMENT_WORDS else 1)
                 elif parts & MAIN_WORDS:
                     main = True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and INVISIBLE.search(value):
-            aside = True
+            aside = max(aside, 1)
     return aside, main
 
 
+def ends_of(page: str, name: str) -> dict[int, int]:
+    """Ends of the elements of a name, by the ends of their start tags; elements without an end tag are left out."""
+    open_at: list[int] = []
+    out = {}
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\\s/>])[^>]*>", re.I).finditer(page):
+        if not m[1]:
+            open_at.append(m.end())
+        elif open_at:
+            out[open_at.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """(text, features) of every non-empty flat block of a page, in order; time in proportion to the page."""
     found: list[tuple[str, int, int, int, bool]] = []  # text, words, linked words, innermost side part, in the main part
@@ -77,7 +106,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     open_names: Counter[str] = Counter()
     block_at: list[int] = []  # places of the open block elements on the stack
     sides: list[int] = []  # open side parts, innermost last
-    spans: list[list[int]] = []  # first block and end of each side part
+    spans: list[list[int]] = []  # first block and end of each side part, and whether it holds comments
+    ends: dict[str, dict[int, int]] = {}  # of skipped elements, by name
     main = 0
 
     def close(i: int) -> None:
@@ -123,14 +153,21 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         name, rest = m["name"].lower(), m["rest"]
         if m["end"]:
-            if name in RAW or name in VOID:
+            if name in RAW or name in SKIPPED or name in VOID:
                 continue
             if name in BLOCK:
+                heads = name in HEADINGS and len(found)
                 flush()
             elif name in CELL:
                 text.append(" ")
             if open_names[name]:  # an end tag without its element ends nothing
                 close_named(name)
+                if name in HEADINGS and heads is not False and len(found) == heads + 1 and stack and stack[-1][1] < 0 and COMMENTS.fullmatch(found[-1][0]):
+                    # what follows in the element around the heading is a side part
+                    stack[-1] = (stack[-1][0], len(spans), stack[-1][2])
+                    sides.append(len(spans))
+                    spans.append([len(found) - 1, 0, 1])
+                    found[-1] = (*found[-1][:3], sides[-1], found[-1][4])
             continue
         if name in FOREIGN and rest.endswith("/"):
             text.append(" ")
@@ -140,6 +177,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             at = end.end() if end else size
             text.append(" ")
             continue
+        if name in SKIPPED:
+            if name not in ends:
+                ends[name] = ends_of(page, name)
+            at = max(at, ends[name].get(at, at))
+            text.append(" ")
+            continue
         if name in BLOCK:
             flush()
             if name == "body" and open_names["head"]:
@@ -151,13 +194,13 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             text.append(" ")
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
-        aside, central = _names(rest) if rest and name not in ("html", "body") else (False, False)
+        aside, central = _names(rest) if rest and name not in ("html", "body") else (0, False)
         central = central or name in MAIN_TAGS
-        aside = aside or name in ASIDE_TAGS and not (name == "header" and main)
+        aside = aside or int(name in ASIDE_TAGS and not (name == "header" and main))
         side = -1
         if aside:
             side = len(spans)
-            spans.append([len(found), 0])
+            spans.append([len(found), 0, int(aside == 2)])
             sides.append(side)
         main += central
         open_names[name] += 1
@@ -169,11 +212,16 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     until = [0]
     for x in found:
         until.append(until[-1] + x[1])
+
+    def side_of(span: list[int]) -> float:
+        part = (until[span[1]] - until[span[0]]) / until[-1]
+        return 1.0 if span[2] else 1 - part
+
     out = []
     for i, (s, n, _, side, central) in enumerate(found):
         around = [found[j] if 0 <= j < len(found) else ("", 0, 0) for j in (i, i - 1, i + 1)]
-        small = 0.0 if side < 0 else 1 - (until[spans[side][1]] - until[spans[side][0]]) / until[-1]
-        out.append((s, [float(n), float(around[1][1]), float(around[2][1]), *(x[2] / x[1] if x[1] else 0.0 for x in around), small, float(central)]))
+        small = 0.0 if side < 0 else side_of(spans[side])
+        out.append((s, [float(n), float(around[1][1]), float(around[2][1]), *(x[2] / x[1] if x[1] else 0.0 for x in around), small, float(central), float(RIGHTS.match(s) is not None), float(s[-1] in STOPS)]))
     return out
 
 
@@ -187,6 +235,9 @@ ARTICLES = [
     "<h1>+Notes</h1><p>+One.</p><p>+Two words.</p><p>+Three short words.</p><p>+Then a paragraph that is a good deal longer than the ones before it and says what the notes are about.</p><p>+Last.</p>",
     "<p>+Plain prose opens this page without any heading at all, and it goes on for a while so that the reader knows where the text begins.</p><p>+It ends here.</p>",
     "<h1>+Table of the tides</h1><table><tr><td>+High water at the harbour mouth comes an hour later each day of the week.</td></tr><tr><td>+Low water follows six hours after that.</td></tr></table><p>+Boats should not leave on the ebb when the wind stands in the west.</p><pre>+mon 6 tue 7 wed 8</pre>",
+    "<h1>+Sources of the river</h1><p>+Four springs feed it, and each has been claimed as the true one.</p><ul><li>+<a href='/a'>A map of the springs</a></li><li>+<a href='/b'>The survey of 1887</a></li><li>+<a href='/c'>Letters to the editor</a></li></ul><p>+See also <a href='/d'>the mill</a>.</p>",
+    "<p>+Hello.</p><p>+Ok.</p>",
+    "<h1>+On notices</h1><div class='notice-board'><p>+The board outside the town hall has carried the same three notices since the flood, and people still stop to read them.</p></div><div class='related-work'><p>+Others have written about the mill before, among them the schoolmaster, whose account differs from ours in almost every point.</p></div><p>+So be it.</p>",
 ]
 _MENU = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("Home", "News", "Sport", "Culture", "About us"))
 _STORIES = "".join(f"<li><a href='/s{i}'>{t}</a></li>" for i, t in enumerate(("The mill that would not stop turning even in winter", "Ten walks", "A letter from the harbour master to his successor")))
@@ -209,6 +260,9 @@ LAYOUTS = [
     ("<table><tr><td>Valley Paper</td><td>" + _MENU + "</td></tr></table><div>Advertisement</div><div>", "</div><div>More from the valley</div><ul>" + _STORIES + "</ul><div>Printed on paper</div>"),
     ("<p>Skip to the text</p><p>Log in</p><p>Search</p><div>", "</div><p>Share</p><p>Print</p><p>Save for later</p><p>Report a mistake</p>"),
     ("<ul>" + _MENU + "</ul><div>Advertisement</div>", "<div>Advertisement</div><ul>" + _MENU + "</ul><div>Made by hand</div>"),
+    ("<div>", "</div><p>Copyright 2020 the valley paper and its many friends in town, printed by hand.</p>"),
+    ("<ul>" + _MENU + "</ul><div>", "<div><h2>3 comments</h2><p>I was there and it was louder than you say.</p><p>My uncle built that, and he always said that they had used far too little lime for it to last a century.</p></div></div>"),
+    ("<article>", "<div><h3>Comments (2)</h3><p>First!</p><p>What a fine piece, and what a pity that nobody asked the people on the other side of the water.</p></div></article><p>(c) Valley Paper. All rights reserved.</p>"),
     ("<div class='byline'>By Ann Miller, our own correspondent in the valley</div><main>", "<div class='ad-box'><p>A new car is waiting for you at the corner of Mill Street and the market, and it wants to be driven today.</p></div></main>"),
 ]
 
