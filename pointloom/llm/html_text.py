@@ -7,7 +7,8 @@ element that names itself as main text, and how small a part of the page's
 words the innermost element holds that names itself as menu, advert, notice or
 the like (an element around the whole page counts for nothing, and
 readers' comments, by their name or by the heading over them, count in full).
-Two more are whether the block claims rights, and whether it ends like a sentence.  A decision
+Two more are whether a block outside the main part claims rights, and whether a
+block ends like a sentence.  A decision
 tree trained with MLlib on a small table of blocks labelled by hand
 (:func:`labelled_pages`) decides which blocks belong to the article.
 """
@@ -221,7 +222,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     for i, (s, n, _, side, central) in enumerate(found):
         around = [found[j] if 0 <= j < len(found) else ("", 0, 0) for j in (i, i - 1, i + 1)]
         small = 0.0 if side < 0 else side_of(spans[side])
-        out.append((s, [float(n), float(around[1][1]), float(around[2][1]), *(x[2] / x[1] if x[1] else 0.0 for x in around), small, float(central), float(RIGHTS.match(s) is not None), float(s[-1] in STOPS)]))
+        out.append((s, [float(n), float(around[1][1]), float(around[2][1]), *(x[2] / x[1] if x[1] else 0.0 for x in around), small, float(central), float(not central and RIGHTS.match(s) is not None), float(s[-1] in STOPS)]))
     return out
 
 
