@@ -25,6 +25,8 @@ from ..functions.vectors import finite
 
 XYZ = ("x", "y", "z")
 EDGE = "src long, dst long, d2 double, rn int"
+PAIRS = ["xx", "yy", "zz", "xy", "xz", "yz"]
+MOMENTS = "src long, rn int, n long, n_r long, " + ", ".join(f"{c} double" for p in PAIRS for c in (p, f"{p}_r")) + ", near array<long>"
 #: Most distances that a task holds at once.
 AT_ONCE = 2_000_000
 
@@ -64,8 +66,8 @@ def _grid(q: DataFrame, c: DataFrame, scope: list[str], n: int, k: int, per_tile
     return both.select(*scope, *[F.least(f"a{i}", f"qa{i}").alias(f"l{i}") for i in axes], "r0", F.greatest(F.col("side"), 2 * F.col("r0")).alias("side"), "reach")
 
 
-def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include_self: bool, per_tile: int, final: bool, depth: int = 0) -> tuple[list[DataFrame], DataFrame | None]:
-    """Edges, and the queries without k candidates within ``reach``.
+def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include_self: bool, per_tile: int, final: bool, depth: int = 0, within: tuple[float, float] | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Edges, or with ``within`` moments (:func:`knn_moments`), and the queries without k candidates within ``reach``.
 
     ``q`` and ``c`` have a scope number ``s``, ``id`` and ``p<i>``.  With
     ``final`` everything within ``reach`` is all there is, and no query is left;
@@ -97,7 +99,7 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
             inner_q = written(asked.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes], "most"), "dense-queries")
             inner_c = written(held.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes]), "dense-candidates")
             inner = written(_grid(inner_q, inner_c, ["s"], n, k, per_tile, "most"), "inner-grid")
-            edges, left = _rounds(inner_q.drop("most"), inner_c, inner, n, k, include_self, per_tile, False, depth + 1)
+            edges, left = _rounds(inner_q.drop("most"), inner_c, inner, n, k, include_self, per_tile, False, depth + 1, within)
             done += edges
             still += [left] if left is not None else []
             release(inner_q, inner_c, inner)
@@ -106,7 +108,7 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
         theirs = held.join(plain, keys).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
         theirs = theirs.toDF(*[f"{x}_" for x in theirs.columns])  # names of their own: both sides may stem from one table
         group = [*keys, "share"]
-        found = mine.groupBy(*group).cogroup(theirs.groupBy(*[f"{x}_" for x in group])).applyInPandas(_ranker(k, n, include_self, final), EDGE)
+        found = mine.groupBy(*group).cogroup(theirs.groupBy(*[f"{x}_" for x in group])).applyInPandas(_ranker(k, n, include_self, final, within), EDGE if within is None else MOMENTS)
         found = written(found, "edges")
         release(tiles)
         done.append(found.where("rn > 0"))
@@ -122,12 +124,29 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
         factor *= 2.0 if factor < 8 else 8.0
 
 
-def _ranker(k: int, n: int, include_self: bool, final: bool):
+def _moments(e: np.ndarray, begin: np.ndarray, inside: np.ndarray) -> dict[str, np.ndarray]:
+    """Sample covariances of groups of rows of ``e`` that start at ``begin``, of all rows and of those ``inside``."""
+    count = np.diff(begin, append=len(e))
+    out = {}
+    for name, weight in (("", np.ones(len(e))), ("_r", inside.astype(np.float64))):
+        total = np.add.reduceat(weight, begin)
+        mean = np.add.reduceat(e * weight[:, None], begin) / np.maximum(total, 1)[:, None]
+        c = (e - np.repeat(mean, count, axis=0)) * weight[:, None]
+        out[f"n{name}"] = total.astype(np.int64)
+        for pair in PAIRS:
+            a, b = ("xyz".index(x) for x in pair)
+            out[f"{pair}{name}"] = np.where(total > 1, np.add.reduceat(c[:, a] * c[:, b], begin) / np.maximum(total - 1, 1), np.nan)
+    return out
+
+
+def _ranker(k: int, n: int, include_self: bool, final: bool, within: tuple[float, float] | None = None):
     """Rank the candidates of the queries of one tile; ``rn = 0`` marks an open query, -1 one that gives up."""
     columns = [f"p{i}" for i in range(n)]
+    names = [f.split()[0] for f in MOMENTS.split(", ")]
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+        tables: list[pd.DataFrame] = []
         c = c.sort_values("id_")
         ids, x = c["id_"].to_numpy(np.int64), c[[f"{p}_" for p in columns]].to_numpy(np.float64)
         src, p = q["id"].to_numpy(np.int64), q[columns].to_numpy(np.float64)
@@ -153,15 +172,26 @@ def _ranker(k: int, n: int, include_self: bool, final: bool):
             i, j, v = i[order], j[order], v[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             ok = place < k
-            out.append((src[s][i[ok]], ids[j[ok]], v[ok], (place[ok] + 1).astype(np.int32)))
             left = np.flatnonzero(~closed)
+            if within is not None:
+                i, j, v = i[ok], j[ok], v[ok]
+                radius, unit = within
+                begin = np.flatnonzero(np.diff(i, prepend=-1))
+                if len(begin):
+                    got = _moments((x[j] - p[s][i]) * unit, begin, v <= radius * radius)
+                    tables.append(pd.DataFrame({"src": src[s][i[begin]], "rn": np.int32(1), **got, "near": np.split(ids[j], begin[1:])}))
+                tables.append(pd.DataFrame({"src": src[s][left], "rn": np.where(last[s][left], -1, 0).astype(np.int32)}))
+                continue
+            out.append((src[s][i[ok]], ids[j[ok]], v[ok], (place[ok] + 1).astype(np.int32)))
             out.append((src[s][left], np.full(len(left), -1), np.zeros(len(left)), np.where(last[s][left], -1, 0).astype(np.int32)))
+        if within is not None:
+            return pd.concat([t for t in tables if len(t)] or [pd.DataFrame({"src": []})]).reindex(columns=names).astype({"src": "int64", "rn": "int32", "n": "Int64", "n_r": "Int64"})
         return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("src", "dst", "d2", "rn"))})
 
     return rank
 
 
-def _search(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str, coords: tuple[str, ...], include_self: bool, per_tile: int, radius: float | None) -> DataFrame:
+def _search(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str, coords: tuple[str, ...], include_self: bool, per_tile: int, radius: float | None, within: tuple[float, float] | None = None) -> DataFrame:
     n = len(coords)
     q, c = _plain(queries, scope, pid, coords), _plain(candidates, scope, pid, coords)
     grid = _grid(q, c, scope, n, k, per_tile)
@@ -172,7 +202,7 @@ def _search(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str],
     names = grid.select(*scope, "s")
     plain = ["s", "id", *[f"p{i}" for i in range(n)]]
     q, c = q.join(names, scope).select(*plain), written(c.join(names, scope).select(*plain), "candidates")
-    edges, _ = _rounds(q, c, grid, n, k, include_self, per_tile, True)
+    edges, _ = _rounds(q, c, grid, n, k, include_self, per_tile, True, within=within)
     release(grid, c)
     return reduce(DataFrame.unionByName, edges)
 
@@ -197,6 +227,18 @@ def knn_join(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str]
     return _search(queries, candidates, k, scope, pid, coords, include_self, per_tile, None)
 
 
+def knn_moments(points: DataFrame, k: int, radius: float, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, unit: float = 1.0, per_tile: int = 700) -> DataFrame:
+    """Covariances of the k nearest of every point, and of those of them within ``radius``: one row a point.
+
+    ``(src, n, n_r, xx, xx_r, ..., near)``; ``near`` are the ids of the
+    neighbours, nearest first.  The task that ranks the candidates of a tile
+    adds up the two covariances at once, so no table of edges is written or
+    read.  ``radius`` is in the unit of ``coords``, covariances in that of
+    ``coords`` times ``unit``; of a single neighbour they are null.
+    """
+    return _search(points, points, k, scope, pid, coords, True, per_tile, None, (radius, unit)).drop("rn")
+
+
 def scope_knn(points: DataFrame, k: int, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True) -> DataFrame:
     """Reference form for scopes of bounded size: join on the scope, rank by window."""
     a = points.select(*scope, F.col(pid).alias("src"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(coords)])
@@ -207,4 +249,4 @@ def scope_knn(points: DataFrame, k: int, scope: list[str], pid: str = "pid", coo
     return top_k(both if include_self else both.where("src <> dst"), k)
 
 
-__all__ = ["knn_join", "radius_knn", "scope_knn", "top_k"]
+__all__ = ["knn_join", "knn_moments", "radius_knn", "scope_knn", "top_k"]

@@ -21,34 +21,37 @@ from ..functions.shared import release, written
 
 
 def _tree_signs(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-    """Component (smallest id) and sign of the points of one scope."""
-    p = p.sort_values("id")
-    ids = p["id"].to_numpy()
+    """Component and sign of the points of one scope: Boruvka rounds over arrays."""
+    ids = np.sort(p["id"].to_numpy())
     u, v = np.searchsorted(ids, e["u"].to_numpy()), np.searchsorted(ids, e["v"].to_numpy())
-    up, sign = list(range(len(ids))), [1] * len(ids)
-
-    def top(start: int) -> tuple[int, int]:
-        """Root of a point and its sign towards it; the way is shortened."""
-        root, s = start, 1
-        while up[root] != root:
-            s *= sign[root]
-            root = up[root]
-        total, i = s, start
-        while up[i] != root:
-            i, was = up[i], i
-            before = sign[was]
-            up[was], sign[was] = root, s
-            s *= before
-        return root, total
-
-    order = np.lexsort((v, u, e["w"].to_numpy()))
-    for a, b, g in zip(u[order].tolist(), v[order].tolist(), e["g"].to_numpy()[order].tolist(), strict=True):
-        (ra, sa), (rb, sb) = top(a), top(b)
-        if ra != rb:
-            low, high = min(ra, rb), max(ra, rb)
-            up[high], sign[high] = low, sa * sb * g
-    found = [top(i) for i in range(len(ids))]
-    return pd.DataFrame({"id": ids, "comp": ids[[r for r, _ in found]], "s": np.array([s for _, s in found], np.int32)})
+    order = np.lexsort((v, u, e["w"].to_numpy()))  # from here on the lighter of two edges comes first
+    a, b, r = u[order], v[order], e["g"].to_numpy()[order].astype(np.int32)
+    comp, sign = np.arange(len(ids)), np.ones(len(ids), np.int32)
+    while True:
+        out = a != b
+        a, b, r = a[out], b[out], r[out]
+        if not len(a):
+            return pd.DataFrame({"id": ids, "comp": ids[comp], "s": sign})
+        # the lightest edge of every component; a component picks at most one
+        pick = np.full(len(ids), len(a))
+        back = np.arange(len(a))[::-1]
+        pick[a[back]] = back
+        other = np.full(len(ids), len(a))
+        other[b[back]] = back
+        pick = np.minimum(pick, other)
+        c = np.flatnonzero(pick < len(a))
+        k = pick[c]
+        up, way = np.arange(len(ids)), np.ones(len(ids), np.int32)
+        up[c], way[c] = np.where(a[k] == c, b[k], a[k]), r[k]
+        root = c[(up[up[c]] == c) & (c < up[c])]  # of two that picked each other the smaller stays
+        up[root], way[root] = root, 1
+        while True:
+            far = up[up]
+            if np.array_equal(far, up):
+                break
+            way, up = way * way[up], far
+        sign, comp = sign * way[comp], up[comp]
+        r, a, b = r * way[a] * way[b], up[a], up[b]
 
 
 def _local(n: DataFrame, e: DataFrame, scope: list[str]) -> DataFrame:
@@ -90,16 +93,19 @@ def orient_normals(points: DataFrame, edges: DataFrame, pid: str = "pid", scope:
 
 
 def _boruvka(n: DataFrame, e: DataFrame, max_rounds: int) -> DataFrame:
-    """``(id, comp, s)`` by rounds over tables; tables of earlier rounds are deleted."""
+    """``(id, comp, s)`` by rounds over tables; tables of earlier rounds are deleted.
+
+    The graph is contracted: after a round its nodes are components, edges
+    inside one are gone and of parallel edges the lightest is left.
+    """
     state = written(n.select("id", F.col("id").alias("comp"), F.lit(1).alias("s")), "state")
+    edges = e.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v", F.col("g").alias("r"))
     for _ in range(max_rounds):
-        cu = state.select(F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("s").alias("su"))
-        cv = state.select(F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("s").alias("sv"))
-        out = e.join(cu, "u").join(cv, "v").where("cu <> cv").withColumn("r", F.col("su") * F.col("sv") * F.col("g"))
-        ways = out.select(F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("t")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("t")))).alias("x"), "w", "u", "v", "r")
+        ways = edges.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("t")), F.struct(F.col("b").alias("c"), F.col("a").alias("t")))).alias("x"), "w", "u", "v", "r")
         picked = ways.groupBy("x.c").agg(F.min(F.struct("w", "u", "v", "x.t", "r")).alias("p")).select("c", F.col("p.t").alias("t"), F.col("p.r").alias("r"))
         picked = written(picked, "picked")
         if picked.isEmpty():
+            release(picked, edges)
             return state
         # of two components that picked each other, the smaller id becomes the root
         root = (F.col("_tt") == F.col("c")) & (F.col("c") < F.col("t"))
@@ -114,6 +120,10 @@ def _boruvka(n: DataFrame, e: DataFrame, max_rounds: int) -> DataFrame:
             up = nxt
         merged = state.join(up.select(F.col("c").alias("comp"), "t", "r"), "comp", "left")
         merged = written(merged.select("id", F.coalesce("t", "comp").alias("comp"), (F.col("s") * F.coalesce("r", F.lit(1))).alias("s")), "state")
-        release(state, picked, up)
-        state = merged
+        # every component with an edge has picked one, so both ends have moved
+        fewer = edges.join(up.select(F.col("c").alias("a"), F.col("t").alias("ta"), F.col("r").alias("ra")), "a").join(up.select(F.col("c").alias("b"), F.col("t").alias("tb"), F.col("r").alias("rb")), "b").where("ta <> tb")
+        fewer = fewer.groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.min(F.struct("w", "u", "v", (F.col("r") * F.col("ra") * F.col("rb")).alias("r"))).alias("p"))
+        fewer = written(fewer.select("a", "b", "p.w", "p.u", "p.v", "p.r"), "contracted")
+        release(state, picked, up, edges)
+        state, edges = merged, fewer
     raise RuntimeError(f"orientation did not settle in {max_rounds} rounds")

@@ -229,7 +229,7 @@ def normals_zup(spark, d):
 
 
 def _features(spark, d):
-    return geometry.geometric_features(_p(spark, d), ROOM, K, RADIUS, coords=MM)
+    return geometry.geometric_features(_p(spark, d), ROOM, K, RADIUS, coords=MM, unit=0.001)
 
 
 def feature_vector9(spark, d):
