@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -13,8 +14,8 @@ from ..functions import vectors
 from ..functions.classes import CLASSES, FEATURES, classes
 from ..functions.shared import shared_dir, written
 from ..operators import blocks as B
-from ..operators import geometry, graph, knn, learn, metrics, orient, runlog, splits
-from ..sources import clouds, tables
+from ..operators import geometry, graph, knn, learn, metrics, orient, runlog, scoring, splits, training
+from ..sources import clouds, files, tables
 from ..sources.clouds import require_rows
 from ..streaming import clouds as streams
 from . import fixtures as fx
@@ -381,8 +382,7 @@ def runlog_lr_replay(spark, d):
 
 
 def runlog_lr_changes(spark, d):
-    log = fx.runlog(spark, d).select("run", "epoch", F.floor(F.col("epoch") / 7).cast("int").alias("learning_rate"))
-    return runlog.rate_changes(log)
+    return runlog.rate_changes(runlog.replay_rates(fx.runlog(spark, d).where("val_loss IS NOT NULL")))
 
 
 def runlog_failures(spark, d):
@@ -455,7 +455,7 @@ def summary_table(spark, d):
     """Run summaries written as JSON and read again, the histories unrolled."""
     path = _path(spark, "summaries")
     tables.write_summary(runlog.summary(fx.runlog(spark, d), CONFIG), path)
-    s = spark.read.json(path)
+    s = tables.read_summary(spark, path)
     best = s.select("run", F.col("best_performance.best_epoch").cast("long").alias("best_epoch"), F.col("best_performance.best_val_accuracy").alias("best_val_acc"), F.col("training_config.block_size").cast("long").alias("block_size"), F.posexplode("training_history.val_loss").alias("place", "val_loss"))
     return best
 
@@ -465,17 +465,36 @@ def summary_table(spark, d):
 NINE = FEATURES
 
 
-def _learnable(spark, d):
-    """Points with the nine features as columns and a numeric label; single points have no curvature and count as flat."""
-    f = _features(spark, d).withColumns({n: F.col(c) / 255.0 for n, c in zip(NINE[6:], "rgb", strict=True)} | {"curvature": F.coalesce("curvature", F.lit(0.0))})
+def _learnable(spark, d, areas: list[str]):
+    """Points of some areas with the nine features as columns and a numeric label; rooms are scopes, so others are not needed."""
+    points = _p(spark, d).where(F.col("area").isin(areas))
+    f = scoring.nine(geometry.geometric_features(points, ROOM, K, RADIUS, coords=MM, unit=0.001))
     return written(f.select("pid", *ROOM, "x", "y", "z", "r", "g", "b", *NINE, F.col("y_label").cast("double").alias("label")), "features")
 
 
 def _learning(spark, d):
-    rows = _learnable(spark, d)
+    rows = _learnable(spark, d, [*TRAIN, TEST])
     return require_rows(rows.where(F.col("area").isin(TRAIN)), "training points"), rows.where(F.col("area") == TEST)
 
 
+def saved_model(spark, d) -> str:
+    """Path of the perceptron of a folder's training areas, fitted and saved when a session first needs it."""
+    path = f"{shared_dir(spark)}/model-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    if not tables.exists(spark, path):
+        train = require_rows(_learnable(spark, d, TRAIN), "training points")
+        tables.save_model(learn.pipeline(NINE, 13, "mlp", max_iter=30).fit(train), path)
+    return path
+
+
+def train_run_log(spark, d):
+    """The log of a run in rounds on the training areas: validation on a fifth of their points, rates and stop while it runs."""
+    path = _path(spark, "run")
+    parts = written(splits.split_exact(_learnable(spark, d, TRAIN).select("pid", *NINE, "label"), "pid"), "parts")
+    plan = training.Plan(features=tuple(NINE), n_classes=13, epochs=8, steps=10, learning_rate=0.3, patience=1)
+    training.train(parts.where("part = 'train'"), parts.where("part = 'val'"), plan, path, "areas")
+    return training.run_log(spark, path)
+
+
 def mlp_score(spark, d):
     train, test = _learning(spark, d)
     model = learn.pipeline(NINE, 13, "mlp", max_iter=30).fit(train)
@@ -497,26 +516,17 @@ def best_of_two(spark, d):
     return by_area
 
 
-def score_clouds_text(spark, d):
-    """The whole way of a cloud: lines, points, nine features, padded blocks, saved model, merge, lines again.
-
-    The model learns from the training areas; every room of the test area comes
-    in as the text of an unlabelled cloud.
-    """
-    train = _learnable(spark, d).where(F.col("area").isin(TRAIN))
-    path = _path(spark, "model")
-    tables.save_model(learn.pipeline(NINE, 13, "mlp", max_iter=30).fit(require_rows(train, "training points")), path)
-    scorer = learn.block_scorer(tables.load_model(path))
+def _cloud_lines(spark, d):
+    """Every room of the test area as the text of an unlabelled cloud: (file, pid, value)."""
     line = F.format_string("%.3f %.3f %.3f %d %d %d", "x", "y", "z", "r", "g", "b")
-    lines = _p(spark, d).where(F.col("area") == TEST).select(F.format_string("/%s_%d.txt", "area", "room").alias("file_path"), F.col("pid").alias("line_no"), line.alias("value"))
-    points = written(clouds.unlabelled_points(lines).withColumn("pid", F.monotonically_increasing_id()), "cloud")
-    ready = geometry.geometric_features(points, ["cloud_id"], K, RADIUS / 1000)
-    ready = ready.withColumns({n: F.col(c) / 255.0 for n, c in zip(NINE[6:], "rgb", strict=True)} | {"curvature": F.coalesce("curvature", F.lit(0.0))})
-    nested = B.nest(B.assign(ready, ["cloud_id"], CONFIG["block_size"]), ["cloud_id", "block_no"], CONFIG["block_size"], NINE, ["x", "y", "z"], None)
-    found = learn.score_blocks(nested, scorer, ["cloud_id", "block_no"])
-    found = found.withColumn("point_idx", F.col("block_no") * CONFIG["block_size"] + F.col("offset"))
-    merged = learn.merge_predictions(points, found, ["cloud_id", "point_idx"])
-    return merged.select("cloud_id", "point_idx", "pred", tables.segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")]).alias("line"))
+    return _p(spark, d).where(F.col("area") == TEST).select(F.format_string("%s_%d.txt", "area", "room").alias("file"), "pid", line.alias("value"))
+
+
+def score_clouds_text(spark, d):
+    """The way of a cloud by a model saved before: lines, points, nine features, padded blocks, model, merge, lines again."""
+    score = scoring.CloudScorer(saved_model(spark, d), K, RADIUS / 1000, CONFIG["block_size"]).load()
+    lines = _cloud_lines(spark, d).select(F.concat(F.lit("/"), "file").alias("file_path"), F.col("pid").alias("line_no"), "value")
+    return score(clouds.unlabelled_points(lines)).select("cloud_id", "point_idx", "pred", tables.segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")]).alias("line"))
 
 
 def _by_height(x: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -527,22 +537,31 @@ def score_blocks_udf(spark, d):
     return learn.score_blocks(_nested(spark, d), _by_height, [*ROOM, "block_no"])
 
 
-def _rule(points: DataFrame) -> DataFrame:
-    return points.withColumn("pred", F.least(F.floor(F.col("z") * 13 / 3.001), F.lit(12)).cast("int"))
+def stream_scan_score(spark, d):
+    """Clouds that land as files, scored in a stream by the model and the function of :func:`score_clouds_text`."""
+    root = _path(spark, "landing")
+    files.write_named(_cloud_lines(spark, d), f"{root}/in", "file", ["pid"])
+    score = scoring.CloudScorer(saved_model(spark, d), K, RADIUS / 1000, CONFIG["block_size"]).load()
+    streams.score_stream(spark, f"{root}/in", score, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("cloud_id", "point_idx", "x", "y", "z", "r", "g", "b", "pred")
 
 
-def _landing(spark, d):
-    root = _path(spark, "landing")
-    line = F.format_string("%.3f %.3f %.3f %d %d %d", "x", "y", "z", "r", "g", "b")
-    _p(spark, d).select("area", line.alias("value")).write.partitionBy("area").text(f"{root}/in")
-    return root
+def segmented_files(spark, d):
+    """Every room as one ordered file named after it, written, listed and read again."""
+    root = _path(spark, "segmented")
+    m = clouds.dense_index_ranged(_merged(spark, d), ROOM, ["pid"])
+    tables.write_segmented_files(m.withColumn("cloud_id", F.concat_ws("_", *ROOM)), root)
+    return clouds.read_lines(spark, f"{root}/*_segmented.txt").select(F.element_at(F.split("file_path", "/"), -1).alias("file"), "line_no", F.col("value").alias("line"))
 
 
-def stream_scan_score(spark, d):
-    root = _landing(spark, d)
-    done = streams.score_stream(spark, f"{root}/in/*", lambda p: learn.score_clouds(p, None, lambda x: x, _rule), f"{root}/out", f"{root}/state")
-    done.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("x", "y", "z", "r", "g", "b", "pred")
+def checked_scan(spark, d):
+    """The annotated tree written as named files and scanned with errors as rows: lines and characters of each file."""
+    root = _path(spark, "tree")
+    text = fx.cloud_text(spark, d)
+    files.write_named(text, root, "file_path", ["line_no"])
+    lines = files.read_checked(spark, root, ["Area_1", "Area_5", "Area_9"], split_bytes=4096)
+    out = lines.groupBy("area", F.substring_index("file_path", "/", -4).alias("file_path"))
+    return out.agg(F.count("*").alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.length("value")).alias("n_chars"), F.count("error").alias("n_errors"))
 
 
 def stream_run_metrics(spark, d):
@@ -565,6 +584,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
     merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
     runlog_summary_json, runlog_epoch_lines, run_names, block_times, room_table, block_table, build_once, epoch_table, summary_table, mlp_score, rf_score, best_of_two, score_blocks_udf, score_clouds_text, stream_scan_score, stream_run_metrics,
+    train_run_log, segmented_files, checked_scan,
 ]
 
 
@@ -655,6 +675,12 @@ def oracle_sql() -> dict[str, str]:
     text = (_POINTS, _TEXT)
     order = "ORDER BY md5(CAST(block_id AS VARCHAR) || ':42:1'), block_id"
     xy = "SELECT *, CASE WHEN pid % 101 = 0 THEN 'NaN'::DOUBLE WHEN pid % 103 = 0 THEN 'Infinity'::DOUBLE ELSE x END AS gx FROM points"
+    replay = "WITH RECURSIVE " + ", ".join((
+        _RUNS, "e AS MATERIALIZED (SELECT run, epoch, val_loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM runlog WHERE val_loss IS NOT NULL)",
+        """s AS (SELECT run, epoch, k, val_loss AS best, 0 AS bad, 0.001::DOUBLE AS lr FROM e WHERE k = 1 UNION ALL
+        SELECT run, epoch, k, least(best, CASE WHEN better THEN val_loss ELSE best END), CASE WHEN better OR bad = 4 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad = 4 THEN greatest(lr * 0.5, 1e-6::DOUBLE) ELSE lr END
+        FROM (SELECT e.*, best, bad, lr, val_loss < best * (1 - 1e-4::DOUBLE) AS better FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1))""",
+    ))
     merged = "merged AS (SELECT p.* EXCLUDE (pred), CASE WHEN pid % 101 = 0 OR pid % 103 = 0 THEN 0 ELSE pred END AS pred FROM points p)"
     mean = lambda n: f"SELECT fold, coalesce(sum(CASE WHEN loss > 2.6 THEN NULL ELSE loss END), 0) / nullif({n}, 0) AS loss, {n} AS n_batches FROM bl GROUP BY fold"
     return {
@@ -734,12 +760,7 @@ def oracle_sql() -> dict[str, str]:
             FROM runlog WINDOW w AS (PARTITION BY run ORDER BY epoch)""",
             _RUNS,
         ),
-        "runlog_lr_replay": "WITH RECURSIVE " + ", ".join((
-            _RUNS, "e AS MATERIALIZED (SELECT run, epoch, val_loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM runlog WHERE val_loss IS NOT NULL)",
-            """s AS (SELECT run, epoch, k, val_loss AS best, 0 AS bad, 0.001::DOUBLE AS lr FROM e WHERE k = 1 UNION ALL
-            SELECT run, epoch, k, least(best, CASE WHEN better THEN val_loss ELSE best END), CASE WHEN better OR bad = 4 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad = 4 THEN greatest(lr * 0.5, 1e-6::DOUBLE) ELSE lr END
-            FROM (SELECT e.*, best, bad, lr, val_loss < best * (1 - 1e-4::DOUBLE) AS better FROM s JOIN e ON e.run = s.run AND e.k = s.k + 1))""",
-        )) + " SELECT run, epoch, lr AS learning_rate FROM s",
+        "runlog_lr_replay": replay + " SELECT run, epoch, lr AS learning_rate FROM s",
         "room_table": _with("SELECT pid, area, room, x, y, z, r, g, b, CASE WHEN area = 'Area_2' THEN -1 ELSE y_label END AS y_label FROM points WHERE area IN ('Area_2', 'Area_5')", _POINTS),
         "block_table": _with('SELECT area, room, block_no, "offset", y_label, g FROM blocks', _POINTS, _BLOCKS),
         "build_once": _with("SELECT area, count(*) AS rooms, CAST(sum(n_points) AS BIGINT) AS n_points FROM rooms GROUP BY area", _POINTS, _ROOMS),
@@ -749,7 +770,7 @@ def oracle_sql() -> dict[str, str]:
             _RUNS,
         ),
         "score_blocks_udf": _with('SELECT area, room, block_no, "offset", CAST(least(floor(zi * 13 / 3001.0::DOUBLE), 12) AS INTEGER) AS pred FROM blocks', _POINTS, _BLOCKS),
-        "runlog_lr_changes": _with("SELECT run, epoch, before, after FROM (SELECT run, epoch, lag(CAST(epoch // 7 AS INTEGER)) OVER (PARTITION BY run ORDER BY epoch) AS before, CAST(epoch // 7 AS INTEGER) AS after FROM runlog) WHERE before <> after", _RUNS),
+        "runlog_lr_changes": replay + " SELECT run, epoch, before, after FROM (SELECT run, epoch, lag(lr) OVER (PARTITION BY run ORDER BY epoch) AS before, lr AS after FROM s) WHERE before <> after",
         "runlog_failures": _with(
             """SELECT run, first_epoch, length, min(CASE WHEN length >= 3 THEN first_epoch + 2 END) OVER (PARTITION BY run) AS stop_epoch FROM
             (SELECT run, min(epoch) AS first_epoch, count(*) AS length FROM (SELECT run, epoch, epoch - row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM runlog WHERE train_loss = 0 AND train_acc = 0) GROUP BY run, i)""",
@@ -761,6 +782,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "run_names": "SELECT run_name, count(*) AS n, count(*) FILTER (WHERE strptime(run_name, '%Y%m%d_%H%M%S') = date_trunc('second', ts)) AS n_same FROM (SELECT ts, strftime(ts, '%Y%m%d_%H%M%S') AS run_name FROM events) GROUP BY run_name",
         "block_times": _with("SELECT area, room, round(n_points / 1000.0::DOUBLE / n_blocks, 6) + 0.0 AS per_block FROM rooms", _POINTS, _ROOMS),
-        "stream_scan_score": _with("SELECT x, y, z, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(least(floor(z * 13 / 3.001::DOUBLE), 12) AS INTEGER) AS pred FROM points", _POINTS),
+        "segmented_files": _with("SELECT concat(area, '_', room, '_segmented.txt') AS file, row_number() OVER (PARTITION BY area, room ORDER BY pid) - 1 AS line_no, printf('%.6f %.6f %.6f %d %d %d %d', x, y, z, r, g, b, pred) AS line FROM merged", _POINTS, merged),
+        "checked_scan": _with("SELECT string_split(file_path, '/')[1] AS area, file_path, count(*) AS n_lines, count(*) - 1 AS last_line, CAST(sum(length(value)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_errors FROM cloud_text WHERE string_split(file_path, '/')[1] IN ('Area_1', 'Area_5') GROUP BY ALL", *text),
         "stream_run_metrics": _with("SELECT run, count(*) AS epochs, max(val_acc) AS best_val_acc, arg_max(CAST(epoch AS INTEGER), struct_pack(a := val_acc, b := -epoch)) AS best_epoch FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL GROUP BY run", _RUNS),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import RUNLOG_SCHEMA
+from .files import write_named
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -66,6 +67,13 @@ def write_segmented(points: DataFrame, path: str) -> None:
     ordered.select(F.concat("cloud_id", F.lit("_segmented")).alias("cloud"), line.alias("value")).write.mode("overwrite").partitionBy("cloud").text(path)
 
 
+def write_segmented_files(points: DataFrame, path: str) -> None:
+    """One text file ``<cloud>_segmented.txt`` per cloud, in point order."""
+    line = segmented_line(*[F.col(c) for c in ("x", "y", "z", "r", "g", "b", "pred")])
+    lines = points.select(F.concat("cloud_id", F.lit("_segmented.txt")).alias("file"), "point_idx", line.alias("value"))
+    write_named(lines, path, "file", ["point_idx"])
+
+
 def epoch_lines(log: DataFrame) -> DataFrame:
     """Epoch metrics as formatted strings, with both differences."""
     f = lambda c, n: F.format_string(f"%.{n}f", c)
@@ -94,4 +102,5 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """The summaries, one row per run."""
+    return spark.read.json(path)
