@@ -14,7 +14,7 @@ from ..functions import vectors
 from ..functions.classes import CLASSES, FEATURES, classes
 from ..functions.shared import shared_dir, written
 from ..operators import blocks as B
-from ..operators import geometry, graph, knn, learn, metrics, orient, runlog, scoring, splits, training
+from ..operators import geometry, graph, knn, learn, metrics, moments, orient, runlog, scoring, splits, training
 from ..sources import clouds, files, tables
 from ..sources.clouds import require_rows
 from ..streaming import clouds as streams
@@ -434,6 +434,33 @@ def block_table(spark, d):
     return B.unnest(good).select(*ROOM, "block_no", "offset", F.col("point.y").alias("y_label"), F.col("point.x")[1].cast("int").alias("g"))
 
 
+def batch_fetch(spark, d):
+    """The batches of an epoch with their blocks, from a table bucketed by block."""
+    path = _path(spark, "bucketed")
+    blocks = tables.write_block_table(_block_table(spark, d), path.rpartition("/")[2].replace("-", "_"), path)
+    members = splits.batches(blocks.select("block_id"), "block_id", 4, epoch=1)
+    return tables.fetch_batches(members, blocks).select("batch_id", "slot", "block_id", *ROOM, "block_no", "num_valid")
+
+
+def watched_write(spark, d):
+    """Points written once while rows, values that are not finite and labels are counted; the counts of the writing pass."""
+    path = _path(spark, "watched")
+    bad = lambda c: ~vectors.finite(F.col(c))
+    counts = {"n": F.count("*"), "n_nan": F.count_if(F.isnan("x")), "n_bad": F.count_if(bad("x") | bad("y") | bad("z")), "n_labels": F.approx_count_distinct("y_label")}
+    got = tables.write_watched(fx.gate(_p(spark, d)), path, counts, {"n_bad": 0.1})
+    kept = spark.read.parquet(path).agg(F.count("*").alias("n_written"))
+    return kept.select("n_written", *[F.lit(got[c]).cast("long").alias(c) for c in counts])
+
+
+def batch_running_moments(spark, d):
+    """Running means and variances of the colours over the batches of an epoch, as batch standardisation keeps them."""
+    members = splits.batches(_block_table(spark, d).select("block_id", *ROOM, "block_no"), "block_id", 4, epoch=1)
+    rows = _blocks(spark, d).join(members, [*ROOM, "block_no"])
+    run = moments.running_moments(moments.batch_moments(rows, ["batch_id"], ["r", "g", "b"]), [], "batch_id", chunk=16)
+    flat = run.select("batch_id", "n", *[F.element_at(c, i + 1).alias(f"{c}_{n}") for c in ("running_mean", "running_var") for i, n in enumerate("rgb")])
+    return _round(flat, [c for c in flat.columns if c.startswith("running")], 5)
+
+
 def build_once(spark, d):
     """A table is built when it is missing, and only then."""
     path = _path(spark, "built")
@@ -584,7 +611,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
     merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
     runlog_summary_json, runlog_epoch_lines, run_names, block_times, room_table, block_table, build_once, epoch_table, summary_table, mlp_score, rf_score, best_of_two, score_blocks_udf, score_clouds_text, stream_scan_score, stream_run_metrics,
-    train_run_log, segmented_files, checked_scan,
+    train_run_log, segmented_files, checked_scan, batch_fetch, watched_write, batch_running_moments,
 ]
 
 
@@ -783,6 +810,14 @@ def oracle_sql() -> dict[str, str]:
         "run_names": "SELECT run_name, count(*) AS n, count(*) FILTER (WHERE strptime(run_name, '%Y%m%d_%H%M%S') = date_trunc('second', ts)) AS n_same FROM (SELECT ts, strftime(ts, '%Y%m%d_%H%M%S') AS run_name FROM events) GROUP BY run_name",
         "block_times": _with("SELECT area, room, round(n_points / 1000.0::DOUBLE / n_blocks, 6) + 0.0 AS per_block FROM rooms", _POINTS, _ROOMS),
         "segmented_files": _with("SELECT concat(area, '_', room, '_segmented.txt') AS file, row_number() OVER (PARTITION BY area, room ORDER BY pid) - 1 AS line_no, printf('%.6f %.6f %.6f %d %d %d %d', x, y, z, r, g, b, pred) AS line FROM merged", _POINTS, merged),
+        "batch_fetch": _with(f"SELECT block_id, area, room, block_no, num_valid, (row_number() OVER ({order}) - 1) // 4 AS batch_id, CAST((row_number() OVER ({order}) - 1) % 4 AS INTEGER) AS slot FROM blk", _POINTS, _ROOMS),
+        "watched_write": _with(f"SELECT count(*) AS n_written, count(*) AS n, count(*) FILTER (WHERE isnan(gx)) AS n_nan, count(*) FILTER (WHERE isnan(gx) OR isinf(gx)) AS n_bad, CAST(13 AS BIGINT) AS n_labels FROM ({xy})", _POINTS),
+        "batch_running_moments": _with(
+            "SELECT t.batch_id, t.n, " + ", ".join(f"round(sum(0.1::DOUBLE * pow(0.9::DOUBLE, t.batch_id - m.batch_id) * m.{k}_{c}) + {one} * pow(0.9::DOUBLE, t.batch_id + 1), 5) + 0.0 AS running_{k}_{c}" for k, one in (("mean", 0), ("var", 1)) for c in "rgb") + " FROM m t JOIN m ON m.batch_id <= t.batch_id GROUP BY t.batch_id, t.n",
+            _POINTS, _BLOCKS, _ROOMS,
+            f"o AS (SELECT area, room, block_no, (row_number() OVER ({order}) - 1) // 4 AS batch_id FROM blk)",
+            "m AS (SELECT batch_id, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}, var_samp({c}) AS var_{c}" for c in "rgb") + " FROM blocks JOIN o USING (area, room, block_no) GROUP BY batch_id)",
+        ),
         "checked_scan": _with("SELECT string_split(file_path, '/')[1] AS area, file_path, count(*) AS n_lines, count(*) - 1 AS last_line, CAST(sum(length(value)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_errors FROM cloud_text WHERE string_split(file_path, '/')[1] IN ('Area_1', 'Area_5') GROUP BY ALL", *text),
         "stream_run_metrics": _with("SELECT run, count(*) AS epochs, max(val_acc) AS best_val_acc, arg_max(CAST(epoch AS INTEGER), struct_pack(a := val_acc, b := -epoch)) AS best_epoch FROM runlog WHERE train_loss IS NOT NULL AND val_loss IS NOT NULL GROUP BY run", _RUNS),
     }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classes import RUNLOG_SCHEMA
@@ -38,6 +40,46 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_block_table(blocks: DataFrame, name: str, path: str, key: str = "block_id", buckets: int = 64) -> DataFrame:
+    """Blocks as a table bucketed and sorted by their key, for random access.
+
+    Joins on the key read the buckets where they are, without an exchange of
+    the blocks; a filter on keys is pushed to the sorted files.
+    """
+    blocks.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return blocks.sparkSession.table(name)
+
+
+def fetch_batches(members: DataFrame, table: DataFrame, key: str = "block_id") -> DataFrame:
+    """Batch members with their blocks; members travel to the buckets of the blocks."""
+    return members.hint("shuffle_merge").join(table.hint("shuffle_merge"), key)
+
+
+def write_watched(df: DataFrame, path: str, counts: dict[str, Column], limits: dict[str, float] | None = None, by: str = "n") -> dict[str, float]:
+    """Write a Parquet table and return what was counted on the way, with ``seconds``.
+
+    ``counts`` are aggregates that the writing pass observes, so the table is
+    scanned once.  ``limits`` bound a count as a share of count ``by``: beyond
+    one the job fails and the path stays as it was.
+    """
+    spark = df.sparkSession
+    seen, pending, began = Observation(), f"{path}-pending-{uuid.uuid4().hex}", time.time()
+    df.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.parquet(pending)
+    got = dict(seen.get) | {"seconds": time.time() - began}
+    beyond = {n: got[n] / got[by] for n, most in (limits or {}).items() if got[by] and got[n] / got[by] > most}
+    jvm = spark._jvm.org.apache.hadoop.fs
+    here, there = jvm.Path(pending), jvm.Path(path)
+    fs = here.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if beyond:
+        fs.delete(here, True)
+        raise ValueError(f"over the limit: {', '.join(f'{n} {share:.4f}' for n, share in beyond.items())}")
+    fs.delete(there, True)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(here, there):
+        raise OSError(f"cannot rename {pending}")
+    return got
+
+
 def build_if_missing(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read a Parquet table, building it first when its path does not exist."""
     if not exists(spark, path):
