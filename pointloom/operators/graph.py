@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
+from . import knn
 from .knn import knn_join
 
 
@@ -98,9 +100,57 @@ def multiscale_features(points: DataFrame, columns: list[str], scope: list[str],
     for i, side in enumerate([None, *sides]):
         if side is not None:
             level = take_sample(level, voxel_sample(level, scope, side, pid), [*scope, pid])
-        most = neighbour_max(knn_join(level, level, k, scope, pid, include_self=False), level, columns, pid)
+        at = knn.index(level, scope, pid)  # of this level, for both joins
+        most = neighbour_max(knn_join(level, at, k, scope, pid, include_self=False), level, columns, pid)
         names = [f"l{i}_{c}" for c in columns]
         values = most.select(pid, *[F.col(f"max_{c}").cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
-        lifted = values if side is None else interpolate(knn_join(points, level, k_up, scope, pid), values, names, pid)
+        lifted = values if side is None else interpolate(knn_join(points, at, k_up, scope, pid), values, names, pid)
         out = out.join(lifted, pid)
     return out
+
+
+def chained_samples(blocks: DataFrame, levels: int = 3, block: str = "block_id", pid: str = "pid", ratio: float = 0.25) -> DataFrame:
+    """``(block, pid, level, rank)``: farthest points of each block, then of those chosen, ``levels`` times over.
+
+    Level 1 is sampled from the block, every further level from the one before.
+    """
+    found, level = None, blocks
+    for i in range(1, levels + 1):
+        chosen = written(farthest_points(level, block, pid, ratio), "sample")
+        level = blocks.join(chosen.select(block, pid), [block, pid], "left_semi")
+        part = chosen.select(block, pid, F.lit(i).alias("level"), "rank")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def encode_decode(points: DataFrame, columns: list[str], scope: list[str], samples: DataFrame, levels: int = 3, k: int = 20, k_up: int = 3, pid: str = "pid") -> DataFrame:
+    """``(pid, features array)``: the way down the levels and up again, with what each level adds.
+
+    On the way down every level takes, next to its values, the neighbour maxima
+    of its k nearest; its chosen points go on to the next level.  On the way up
+    the values of a level are interpolated to the finer one from the ``k_up``
+    nearest and set beside that level's own.  ``samples`` comes from
+    :func:`chained_samples`; ids are unique.  A level is indexed once for both
+    of its joins.
+    """
+    down, names = [], list(columns)
+    values = points.select(pid, *scope, "x", "y", "z", *[F.col(c).cast("double").alias(c) for c in columns])
+    for i in range(levels + 1):
+        if i:
+            chosen = samples.where(F.col("level") == i).select(pid)
+            values = values.join(chosen, pid, "left_semi")
+        at = knn.index(values, scope, pid)
+        most = neighbour_max(knn_join(values, at, k, scope, pid, include_self=False), values, names, pid)
+        fresh = [f"d{i}_{j}" for j in range(len(names))]
+        most = most.select(pid, *[F.col(f"max_{c}").cast("double").alias(f) for c, f in zip(names, fresh, strict=True)])
+        full = written(values.join(most, pid), f"level{i}")
+        down.append((full, at, [*names, *fresh]))
+        names, values = [*names, *fresh], full
+    up, coarse, held = down.pop()
+    for full, finer, own in reversed(down):
+        lifted = interpolate(knn_join(full, coarse, k_up, scope, pid), up, held, pid)
+        coarse = finer
+        lifted = lifted.select(pid, *[F.col(c).alias(f"u_{c}") for c in held])
+        held = [*own, *[f"u_{c}" for c in held]]
+        up = written(full.join(lifted, pid), "decoded")
+    return up.select(pid, F.array(*held).alias("features"))

@@ -13,6 +13,7 @@ room is searched at its own density.  Small scopes are one tile.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -43,16 +44,42 @@ def _plain(points: DataFrame, scope: list[str], pid: str, coords: tuple[str, ...
     return out.where(reduce(Column.__and__, [finite(F.col(f"p{i}")) for i in range(len(coords))]))
 
 
-def _grid(q: DataFrame, c: DataFrame, scope: list[str], n: int, k: int, per_tile: int, limit: str | None = None) -> DataFrame:
-    """Per scope: corner ``l<i>``, first radius ``r0``, tile side ``side`` and last radius ``reach``.
+def _ends(points: DataFrame, scope: list[str], n: int, low: str, high: str) -> DataFrame:
+    """Per scope: number of points ``k`` and the corners of their box, ``<low><i>`` and ``<high><i>``."""
+    return points.groupBy(*scope).agg(F.count("*").alias("k"), *[x for i in range(n) for x in (F.min(f"p{i}").alias(f"{low}{i}"), F.max(f"p{i}").alias(f"{high}{i}"))])
+
+
+@dataclass(frozen=True)
+class Index:
+    """Candidates written once for several joins: numbered by scope, with the size and the box of every scope."""
+
+    scope: list[str]
+    pid: str
+    coords: tuple[str, ...]
+    scopes: DataFrame
+    points: DataFrame
+
+    def release(self) -> None:
+        release(self.scopes, self.points)
+
+
+def index(points: DataFrame, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ) -> Index:
+    """Write the points of an :class:`Index`; :func:`knn_join` and the others take it in place of candidates."""
+    c, n = _plain(points, scope, pid, coords), len(coords)
+    scopes = written(_ends(c, scope, n, "a", "b").withColumn("s", F.monotonically_increasing_id()), "scopes")
+    return Index(scope, pid, coords, scopes, written(c.join(scopes.select(*scope, "s"), scope).select("s", "id", *[f"p{i}" for i in range(n)]), "candidates"))
+
+
+def _grid(q: DataFrame, ends: DataFrame, scope: list[str], n: int, k: int, per_tile: int, limit: str | None = None) -> DataFrame:
+    """Per scope of queries and of candidates (``ends``): corner ``l<i>``, first radius ``r0``, tile side ``side`` and last radius ``reach``.
 
     ``reach`` leads from anywhere to anywhere in the scope, or is the largest
     value of column ``limit`` of its queries.
     """
     axes = range(n)
-    ends = lambda df, a, b: [x for i in axes for x in (F.min(f"p{i}").alias(f"{a}{i}"), F.max(f"p{i}").alias(f"{b}{i}"))]
-    most = [F.max(limit).alias("reach")] if limit else []
-    both = c.groupBy(*scope).agg(F.count("*").alias("k"), *ends(c, "a", "b")).join(q.groupBy(*scope).agg(*ends(q, "qa", "qb"), *most), scope)
+    both = ends.join(_ends(q, scope, n, "qa", "qb").drop("k"), scope)
+    if limit:
+        both = both.join(q.groupBy(*scope).agg(F.max(limit).alias("reach")), scope)
     span = [F.greatest(f"b{i}", f"qb{i}") - F.least(f"a{i}", f"qa{i}") for i in axes]
     both = both.withColumn("far", F.greatest(*span, F.lit(1e-9)) * float(np.sqrt(n)) * 1.0001)
     # flat clouds: a side counts at least a hundredth of the longest one
@@ -98,7 +125,7 @@ def _rounds(q: DataFrame, c: DataFrame, grid: DataFrame, n: int, k: int, include
             own = tiles.where("dense").select(*keys, "own", F.col("r").alias("most"))
             inner_q = written(asked.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes], "most"), "dense-queries")
             inner_c = written(held.join(own, keys).select(F.col("own").alias("s"), "id", *[f"p{i}" for i in axes]), "dense-candidates")
-            inner = written(_grid(inner_q, inner_c, ["s"], n, k, per_tile, "most"), "inner-grid")
+            inner = written(_grid(inner_q, _ends(inner_c, ["s"], n, "a", "b"), ["s"], n, k, per_tile, "most"), "inner-grid")
             edges, left = _rounds(inner_q.drop("most"), inner_c, inner, n, k, include_self, per_tile, False, depth + 1, within)
             done += edges
             still += [left] if left is not None else []
@@ -191,23 +218,26 @@ def _ranker(k: int, n: int, include_self: bool, final: bool, within: tuple[float
     return rank
 
 
-def _search(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str, coords: tuple[str, ...], include_self: bool, per_tile: int, radius: float | None, within: tuple[float, float] | None = None) -> DataFrame:
+def _search(queries: DataFrame, candidates: DataFrame | Index, k: int, scope: list[str], pid: str, coords: tuple[str, ...], include_self: bool, per_tile: int, radius: float | None, within: tuple[float, float] | None = None) -> DataFrame:
     n = len(coords)
-    q, c = _plain(queries, scope, pid, coords), _plain(candidates, scope, pid, coords)
-    grid = _grid(q, c, scope, n, k, per_tile)
+    given = isinstance(candidates, Index)
+    at = candidates if given else index(candidates, scope, pid, coords)
+    if (at.scope, at.coords) != (scope, coords):
+        raise ValueError(f"the index has scope {at.scope} and coordinates {at.coords}")
+    q = _plain(queries, scope, pid, coords).join(at.scopes.select(*scope, "s"), scope).select("s", "id", *[f"p{i}" for i in range(n)])
+    grid = _grid(q, at.scopes, ["s"], n, k, per_tile)
     if radius is not None:
         side = F.greatest(F.least("side", F.lit(64.0 * radius)), F.lit(2.0 * radius))
         grid = grid.withColumns({"r0": F.lit(float(radius)), "reach": F.lit(float(radius)), "side": side})
-    grid = written(grid.withColumn("s", F.monotonically_increasing_id()), "grid")
-    names = grid.select(*scope, "s")
-    plain = ["s", "id", *[f"p{i}" for i in range(n)]]
-    q, c = q.join(names, scope).select(*plain), written(c.join(names, scope).select(*plain), "candidates")
-    edges, _ = _rounds(q, c, grid, n, k, include_self, per_tile, True, within=within)
-    release(grid, c)
+    grid = written(grid, "grid")
+    edges, _ = _rounds(q, at.points, grid, n, k, include_self, per_tile, True, within=within)
+    release(grid)
+    if not given:
+        at.release()
     return reduce(DataFrame.unionByName, edges)
 
 
-def radius_knn(queries: DataFrame, candidates: DataFrame, k: int, radius: float, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
+def radius_knn(queries: DataFrame, candidates: DataFrame | Index, k: int, radius: float, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
     """``(src, dst, d2, rn)``: at most k neighbours within ``radius`` in the same scope.
 
     Ids are unique.  Points with a null or non-finite coordinate neither have
@@ -216,13 +246,14 @@ def radius_knn(queries: DataFrame, candidates: DataFrame, k: int, radius: float,
     return _search(queries, candidates, k, scope, pid, coords, include_self, per_tile, radius)
 
 
-def knn_join(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
+def knn_join(queries: DataFrame, candidates: DataFrame | Index, k: int, scope: list[str], pid: str = "pid", coords: tuple[str, ...] = XYZ, include_self: bool = True, per_tile: int = 700) -> DataFrame:
     """``(src, dst, d2, rn)``: the k nearest candidates of every query in its scope.
 
     Ties go to the smaller id; a scope with fewer than k candidates gives all
     of them.  The queries of a tile are dealt out in shares, so a tile with
     many of them is worked on by several tasks.  Points with a null or
-    non-finite coordinate neither have neighbours nor are any.
+    non-finite coordinate neither have neighbours nor are any.  An
+    :func:`index` of the candidates serves several joins.
     """
     return _search(queries, candidates, k, scope, pid, coords, include_self, per_tile, None)
 
@@ -249,4 +280,4 @@ def scope_knn(points: DataFrame, k: int, scope: list[str], pid: str = "pid", coo
     return top_k(both if include_self else both.where("src <> dst"), k)
 
 
-__all__ = ["knn_join", "knn_moments", "radius_knn", "scope_knn", "top_k"]
+__all__ = ["Index", "index", "knn_join", "knn_moments", "radius_knn", "scope_knn", "top_k"]

@@ -295,6 +295,23 @@ def multiscale(spark, d):
     return graph.multiscale_features(_p(spark, d), ["r", "g", "b"], ROOM, [1.0, 2.0], k=8)
 
 
+def _chain(spark, d):
+    b = written(_blocks(spark, d).withColumn("block_id", F.xxhash64(*ROOM, "block_no")), "blocks")
+    return b, graph.chained_samples(b)
+
+
+def fps_chain(spark, d):
+    """Three chained levels of farthest points of every block, a quarter each."""
+    return _chain(spark, d)[1]
+
+
+def encoder_levels(spark, d):
+    """Colours down three chained levels with neighbour maxima, and up again by interpolation, per block."""
+    b, chosen = _chain(spark, d)
+    out = graph.encode_decode(b, ["r", "g", "b"], ["block_id"], chosen, k=5)
+    return out.select("pid", F.size("features").alias("width"), F.transform("features", lambda v: F.round(v, 6) + 0.0).alias("features"))
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 
@@ -611,7 +628,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     multiscale, log_softmax, argmax_class, nll_masked, accuracy_by_area, confusion, class_iou, loss_batch_mean_ref, loss_batch_mean_clean, nan_inf_gate,
     merge_predictions, segmented_text, vector_length, runlog_gaps, runlog_best, runlog_running_best, runlog_lr_replay, runlog_lr_changes, runlog_failures,
     runlog_summary_json, runlog_epoch_lines, run_names, block_times, room_table, block_table, build_once, epoch_table, summary_table, mlp_score, rf_score, best_of_two, score_blocks_udf, score_clouds_text, stream_scan_score, stream_run_metrics,
-    train_run_log, segmented_files, checked_scan, batch_fetch, watched_write, batch_running_moments,
+    train_run_log, segmented_files, checked_scan, batch_fetch, watched_write, batch_running_moments, fps_chain, encoder_levels,
 ]
 
 
