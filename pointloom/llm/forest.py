@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest_edges
@@ -98,19 +98,35 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array(good, np.int64), rows
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows of finite vectors that are not zero, in doubles and of length one; as :func:`unit` does it."""
+    x = v.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _unit(v: Column) -> Column:
+    """The same within Spark."""
+    v = v.cast("array<double>")
+    most = F.array_max(F.transform(v, F.abs))
+    x = F.transform(v, lambda c: c / most)
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
+    return F.transform(x, lambda c: c / size)
+
+
 def split_on(routed: DataFrame, most: int, spill: float, apart: float, seed: int, tries: int = 3, max_rounds: int = 60) -> DataFrame:
     """``(rep, cell)``: the cells of every vector, cells of more than ``most`` vectors split on.
 
-    ``routed`` has rep, x and cells.  Each round splits every large cell in two
+    ``routed`` has rep, v and cells.  Each round splits every large cell in two
     with spill, half way between two of its members.  A cell that does not part
     (the two are nearer than ``apart``, or a side keeps nine tenths) is tried
     again with other members and then left whole: it is compared in blocks.
     """
-    at = routed.select("rep", "x", F.explode("cells").alias("cell"))
+    at = routed.select("rep", "v", F.explode("cells").alias("cell"))
     large = at.groupBy("cell").agg(F.count("*").alias("k")).where(F.col("k") > most).select("cell")
     large = materialise(large, "large")
     done = [at.join(evenly(large), "cell", "left_anti").select("rep", "cell")]
-    todo = at.join(evenly(large), "cell").select("rep", "x", "cell", F.lit(0).alias("tried"))
+    todo = at.join(evenly(large), "cell").select("rep", _unit(F.col("v")).alias("x"), "cell", F.lit(0).alias("tried"))
     for turn in range(max_rounds):
         draw = F.xxhash64("rep", F.lit(seed + turn))
         d = todo.groupBy("cell").agg(F.min_by("x", draw).alias("a"), F.max_by("x", draw).alias("b")).select("cell", F.zip_with("a", "b", lambda a, b: b - a).alias("d"))
@@ -138,7 +154,7 @@ def near_duplicates(
     vector: str = "embedding",
     label: str = "label",
     threshold: float = 0.93,
-    trees: int = 3,
+    trees: int = 5,
     leaf: int = 1000,
     spill: float = 0.02,
     sample: int = 20_000,
@@ -157,7 +173,9 @@ def near_duplicates(
     the smallest key of the component, null where no row of it has a key.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("lab"))
+    # vectors travel as they are; doubles of length one are made where they are compared
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.col(label).cast("string").alias("lab"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fit = F.col("lab").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
     firsts = rows.where(fit).groupBy("lab", "v").agg(F.min("id").alias("head"), F.count("*").alias("size"))
@@ -191,11 +209,10 @@ def near_duplicates(
                         code = (w << 40) | (t << 20) | leaf_no
                         for i in at:
                             member[i].append(code)
-                out = df.iloc[mine][["rep", "lab", "size"]].copy()
-                yield out.assign(x=list(m), leaves=[c or [w << 40] for c in member])
+                yield df.iloc[mine][["rep", "lab", "size", "v"]].assign(leaves=[c or [w << 40] for c in member])
 
-    routed = firsts.select("rep", "lab", "size", "v").mapInPandas(route, "rep long, lab string, size long, x array<double>, leaves array<long>")
-    routed = materialise(routed.select("rep", "size", "x", F.array_sort(F.transform("leaves", lambda c: F.xxhash64("lab", c))).alias("cells")), "routed")
+    routed = firsts.select("rep", "lab", "size", "v").mapInPandas(route, f"rep long, lab string, size long, v {kind}, leaves array<long>")
+    routed = materialise(routed.select("rep", "size", "v", F.array_sort(F.transform("leaves", lambda c: F.xxhash64("lab", c))).alias("cells")), "routed")
     counted = lambda df: df.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("k"))
     if not counted(routed).where(F.col("k") > 2 * leaf).isEmpty():
         cells = split_on(routed, 2 * leaf, spill, 1.5 * math.sqrt(2 - 2 * threshold), seed)
@@ -210,7 +227,7 @@ def near_duplicates(
         for (here, one, two), g in df.groupby(["cell", "_i", "_j"], sort=True):
             g = g.sort_values("rep")
             ids, weight = g["rep"].to_numpy(), g["size"].to_numpy()
-            x = np.stack(g["x"].to_list())
+            x = scaled(np.stack(g["v"].to_list()))
             # cells before this one, in order, as a 0/1 matrix
             flat = np.concatenate([np.asarray(c, np.int64) for c in g["cells"]])
             owner = np.repeat(np.arange(len(g)), [len(c) for c in g["cells"]])
@@ -249,7 +266,7 @@ def near_duplicates(
     per = materialise(per.select("rep", "head", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vectors-found")
     named = per.groupBy("component").agg(F.min("head").alias("component_id"))
     known = firsts.select("lab", "v", "rep").join(evenly(per.join(evenly(named), "component").select("rep", "n_links", "component_id")), "rep").select("lab", "v", "n_links", "component_id", F.lit(True).alias("_met"))
-    wide = vectors.select(F.col(key), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("lab"))
+    wide = vectors.select(F.col(key), F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.col(label).cast("string").alias("lab"))
     component = F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("id"))
     out = wide.join(evenly(known), ["lab", "v"], "left")
     return out.select(

@@ -295,6 +295,24 @@ def test_forest_recall_with_deep_trees(spark, n):
     assert recall > 0.97
 
 
+@pytest.mark.parametrize("leaf, least", [(1000, 0.99), (200, 0.99), (50, 0.98)])
+def test_forest_recall_near_the_threshold(spark, leaf, least):
+    """Pairs planted at cosines of 0.930 to 0.940, at several depths of the trees."""
+    rng = np.random.default_rng(leaf)
+    n = 3000
+    a = rng.normal(size=(n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.94, (n, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = forest.near_duplicates(df, leaf=leaf).where("n_links > 0").count()
+    print(f"leaf {leaf}: recall {found / (2 * n):.4f}")
+    assert found / (2 * n) >= least
+
+
 def test_forest_rows_and_sizes(spark):
     big, small = [1e200, 1e200, 0.0], [1e-300, 1e-300, 0.0]
     rows = [(1, big, "a", 1), (2, [1e200, 1.01e200, 0.0], "a", 2), (3, small, "a", 3), (7, [1.0, 0.0, 0.0], "a", 4), (7, [0.0, 0.0, 1.0], "a", 5), (7, [0.0, 0.01, 1.0], "a", 6), (None, [0.0, 0.0, 2.0], "a", 7), (None, [5.0, 5.0, 0.0], None, 8), (None, [0.0, -1.0, 0.0], "a", 9), (20, [float(i == 3) for i in range(50_000)], "a", 10), (21, [float(i == 3) * 2 for i in range(50_000)], "a", 11)]
