@@ -8,10 +8,15 @@ more than two blocks of it.  Small groups are packed together.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def block_of(member: str, blocks: str) -> Column:
+    """The block a member of a group is dealt to."""
+    return F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col(blocks)).cast("int")
+
+
 def block_pairs(rows: DataFrame, group: list[str], member: str, blocks: str, bins: int) -> DataFrame:
     """Add ``unit long``, ``_i``, ``_j`` (the pair of blocks) and ``_b`` (the row's block).
 
@@ -19,7 +24,7 @@ def block_pairs(rows: DataFrame, group: list[str], member: str, blocks: str, bin
     is dropped.  A row comes once per block pair it belongs to.  Groups of one
     block are dealt to ``bins`` units.
     """
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col(blocks)).cast("int"))
+    rows = rows.withColumn("_b", block_of(member, blocks))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
     rows = rows.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
     unit = F.when(F.col(blocks) == 1, F.pmod(F.xxhash64(*group), F.lit(bins))).otherwise(F.xxhash64(*group, "_i", "_j"))

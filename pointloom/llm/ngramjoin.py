@@ -14,6 +14,12 @@ bands of a connected part mostly hold the same members, as with near copies of
 one text, the part is one group.  Where bands merely chain texts together, each
 band is a group of its own, and a pair counts in the first band it shares.  The
 way with fewer comparisons is taken, so a long chain costs as much as its bands.
+
+A group of one block is compared where its sets are made.  The members of a
+larger one meet block by block with the group's first set, and go on to the
+pairs of blocks as differences from it, in sets and signatures alike: of near
+copies little more than the edits travels.  The size of a symmetric difference
+does not depend on the set both sides are taken from, so the check stays exact.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import block_pairs, forest_edges
+from .blocks import block_of, block_pairs, forest_edges
 from .components import connected_components
 from .store import ROW, evenly, materialise, numbered, release
 
@@ -139,13 +145,17 @@ def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int =
     return both
 
 
-def compare(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction, plan: list[tuple[int, int]], band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+def compare(
+    sig: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction, plan: list[tuple[int, int]], band: int = -1
+) -> tuple[np.ndarray, np.ndarray]:
     """Links between members ``left`` and ``right`` (equal arrays: within), as index arrays.
 
-    With a ``band``, only pairs that share no band before it.
+    ``sets`` hold the members' differences from one set (the members themselves
+    where that is empty), ``sizes`` the members' own sizes.  With a ``band``,
+    only pairs that share no band before it.
     """
     within = left is right
-    sizes = np.array([len(s) for s in sets], np.int64)
+    apart = np.array([len(s) for s in sets], np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     rows = max(1, 4_000_000 // (STEP * max(1, len(right))))
     for at in range(0, len(left), rows):
@@ -168,7 +178,8 @@ def compare(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np
             i, j = i[ok], j[ok]
         found.append((i, j))
     i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    both = common(sets, i, j)
+    unlike = apart[i] + apart[j] - 2 * common(sets, i, j)
+    both = (sizes[i] + sizes[j] - unlike) // 2
     ok = both * threshold.denominator >= threshold.numerator * (sizes[i] + sizes[j] - both)
     return i[ok], j[ok]
 
@@ -180,7 +191,7 @@ def _rowwise(fn, i: np.ndarray, j: np.ndarray, at_once: int = 50_000) -> np.ndar
 
 
 def _groups(classes: DataFrame, block: int, block_grams: int) -> DataFrame:
-    """``(rep, groups array<struct<g, band, blocks>>)``: where each class with candidates is compared."""
+    """``(rep, groups array<struct<g, band, blocks, head>>)``: where each class with candidates is compared; ``head`` is the group's first."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS_PER_BAND - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))
     banded = classes.select("rep", "grams", F.posexplode(bands).alias("band", "g"))
     heads = banded.groupBy("g", "band").agg(F.min("rep").alias("head"), F.count("*").alias("k"), F.sum("grams").alias("weight")).where("k > 1")
@@ -193,10 +204,10 @@ def _groups(classes: DataFrame, block: int, block_grams: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("k") / F.lit(block)), F.ceil(F.col("weight") / F.lit(block_grams))).cast("int").alias("blocks")
     ways = sizes.join(apart, "component").select("component", whole.alias("whole"), blocks)
     ways = materialise(parts.join(evenly(ways), "component").select(F.col("id").alias("rep"), "component", "whole", "blocks"), "ways")
-    out = ways.where("whole").select("rep", F.col("component").alias("g"), F.lit(-1).alias("band"), "blocks")
+    out = ways.where("whole").select("rep", F.col("component").alias("g"), F.lit(-1).alias("band"), "blocks", F.col("component").alias("head"))
     loose = banded.join(evenly(ways.where("NOT whole").select("rep")), "rep").select("rep", "g", "band")
-    out = out.unionByName(loose.join(evenly(heads.select("g", blocks)), "g"))
-    out = materialise(out.groupBy("rep").agg(F.collect_list(F.struct("g", "band", "blocks")).alias("groups")), "groups")
+    out = out.unionByName(loose.join(evenly(heads.select("g", blocks, "head")), "g"))
+    out = materialise(out.groupBy("rep").agg(F.collect_list(F.struct("g", "band", "blocks", "head")).alias("groups")), "groups")
     for t in (heads, parts, ways):
         release(t)
     return out
@@ -218,29 +229,7 @@ def _joined(rows: DataFrame, n: int, threshold: Fraction, tolerance: float, bloc
     info = classes.select("rep", F.col("size").alias("weight"), "sig").join(evenly(groups), "rep")
     full = _with_sets(rows.select(F.col(ROW).alias("rep"), "text").join(evenly(info), "rep"), n)
     placed = full.select("rep", "weight", "sig", "grams", F.inline("groups"))
-    units = block_pairs(placed, ["g", "band"], "rep", "blocks", max(1, total // block))
-    plan = least_matches(threshold, tolerance)
-
-    def work(df: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, band, one, two), g in df.groupby(["g", "band", "_i", "_j"], sort=True):
-            g = g.sort_values("rep")
-            ids, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
-            sig = np.stack([np.asarray(x, np.int32) for x in g["sig"]])
-            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-            first = g["_b"].to_numpy() == one
-            left = np.flatnonzero(first)
-            right = left if one == two else np.flatnonzero(~first)
-            if not len(left) or not len(right):
-                continue
-            i, j = compare(sig, sets, left, right, threshold, plan, int(band))
-            links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-            up = dict(forest_edges(i, j, len(ids)))
-            for k in np.flatnonzero(links):
-                out.append((int(ids[k]), int(links[k]), int(ids[up[int(k)]]) if int(k) in up else None))
-        return pd.DataFrame(out, columns=["rep", "links", "up"]).astype({"rep": "int64", "links": "int64", "up": "Int64"})
-
-    found = materialise(units.groupBy("unit").applyInPandas(work, "rep long, links long, up long"), "links")
+    found = _links(placed, max(1, total // block), threshold, least_matches(threshold, tolerance))
     release(groups)
     joined = materialise(connected_components(found.select(F.col("rep").alias("u"), F.col("up").alias("v"))), "components")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -252,6 +241,92 @@ def _joined(rows: DataFrame, n: int, threshold: Fraction, tolerance: float, bloc
     return out.select("row", "key", F.coalesce("head", "own").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("first", "own").alias("first"))
 
 
+#: A row is a result (``links`` and ``up``) or a member of a block; members with ``base`` stand for the set that the others differ from.
+_STEP = "rep long, links long, up long, g long, band int, blocks int, base boolean, plain boolean, weight long, size long, sig array<int>, grams binary"
+
+
+def _links(placed: DataFrame, bins: int, threshold: Fraction, plan: list[tuple[int, int]]) -> DataFrame:
+    """``(rep, links, up)`` rows: counts of links and edges of a spanning forest, some per unit of work."""
+
+    def rows_of(ids: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[dict]:
+        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+        up = dict(forest_edges(i, j, len(ids)))
+        return [{"rep": int(ids[k]), "links": int(links[k]), "up": int(ids[up[int(k)]]) if int(k) in up else None} for k in np.flatnonzero(links)]
+
+    def within(g: pd.DataFrame, band: int) -> list[dict]:
+        sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+        every = np.arange(len(sets))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        return rows_of(g["rep"].to_numpy(), g["weight"].to_numpy(), *compare(_signatures(g), sets, sizes, every, every, threshold, plan, band))
+
+    def first(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (group, band, b), g in df.groupby(["g", "band", "_b"], sort=True):
+            blocks = int(g["blocks"].iloc[0])
+            members = g[~g["base"]].sort_values("rep")
+            if blocks == 1:
+                out += within(members, int(band))
+                continue
+            base = g[g["base"]].iloc[0]
+            common_set, common_sig = np.frombuffer(base["grams"], np.uint64), np.asarray(base["sig"], np.int32)
+            place = {"g": int(group), "band": int(band), "blocks": blocks}
+            if b == 0:
+                out.append({"rep": int(base["rep"]), **place, "base": True, "plain": True, "grams": base["grams"], "size": len(common_set)})
+            for m in members.itertuples():
+                own = np.frombuffer(m.grams, np.uint64)
+                apart = np.setxor1d(own, common_set, assume_unique=True)
+                plain = len(apart) > len(own)
+                sig = np.asarray(m.sig, np.int32) ^ common_sig
+                out.append({"rep": m.rep, **place, "base": False, "plain": plain, "weight": m.weight, "size": len(own), "sig": sig, "grams": m.grams if plain else apart.tobytes()})
+        return _framed(out)
+
+    def second(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, band, one, two), g in df.groupby(["g", "band", "_i", "_j"], sort=True):
+            base, g = g[g["base"]], g[~g["base"]].sort_values("rep")
+            own = g["_b"].to_numpy() == one
+            left = np.flatnonzero(own)
+            right = left if one == two else np.flatnonzero(~own)
+            if not len(left) or not len(right):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+            if g["plain"].any():
+                # some member is unlike the group's first set: all sets are made whole again
+                common_set = np.frombuffer(base["grams"].iloc[0], np.uint64)
+                sets = [s if p else np.setxor1d(s, common_set, assume_unique=True) for s, p in zip(sets, g["plain"], strict=True)]
+            sizes = g["size"].to_numpy().astype(np.int64)
+            i, j = compare(_signatures(g), sets, sizes, left, right, threshold, plan, int(band))
+            out += rows_of(g["rep"].to_numpy(), g["weight"].to_numpy().astype(np.int64), i, j)
+        return _framed(out)[["rep", "links", "up"]]
+
+    # the first member of a group of several blocks comes to all of them besides
+    dealt = placed.withColumn("_mine", block_of("rep", "blocks"))
+    others = F.when((F.col("rep") == F.col("head")) & (F.col("blocks") > 1), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("_b"), F.lit(True).alias("base"))))
+    own = F.array(F.struct(F.col("_mine").alias("_b"), F.lit(False).alias("base")))
+    dealt = dealt.select("rep", "weight", "sig", "grams", "g", "band", "blocks", F.inline(F.concat(own, F.coalesce(others, F.array().cast("array<struct<_b:int,base:boolean>>")))))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g", "band"), F.lit(bins))).otherwise(F.xxhash64("g", "band", "_b"))
+    step = materialise(dealt.groupBy(unit.alias("unit")).applyInPandas(first, _STEP), "blocks")
+    found = step.where("links IS NOT NULL").select("rep", "links", "up")
+    members = step.where("links IS NULL").select("rep", "g", "band", "blocks", "base", "plain", "weight", "size", "sig", "grams")
+    if members.isEmpty():
+        return found
+    last = F.col("blocks") - 1
+    bases = members.where("base").withColumn("_i", F.explode(F.sequence(F.lit(0), last))).withColumn("_j", F.explode(F.sequence(F.col("_i"), last)))
+    bases = bases.withColumn("_b", F.lit(-1)).withColumn("unit", F.xxhash64("g", "band", "_i", "_j")).drop("blocks")
+    units = block_pairs(members.where("NOT base"), ["g", "band"], "rep", "blocks", 1).unionByName(bases)
+    pairs = materialise(units.groupBy("unit").applyInPandas(second, "rep long, links long, up long"), "links")
+    return found.unionByName(pairs)
+
+
+def _signatures(g: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(x, np.int32) for x in g["sig"]])
+
+
+def _framed(rows: list[dict]) -> pd.DataFrame:
+    kinds = {"rep": "int64", "links": "Int64", "up": "Int64", "g": "Int64", "band": "Int32", "blocks": "Int32", "base": "boolean", "plain": "boolean", "weight": "Int64", "size": "Int64", "sig": object, "grams": object}
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=k) for c, k in kinds.items()})
+
+
 def _with_sets(rows: DataFrame, n: int) -> DataFrame:
     """Replace ``text`` by ``grams``, its shingle set."""
 
@@ -261,7 +336,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
             yield df.drop(columns="text").assign(grams=[cut(t).tobytes() for t in df["text"]])
 
     order = ["rep", "weight", "sig", "groups", "text"]
-    return rows.select(*order).mapInPandas(work, "rep long, weight long, sig array<int>, groups array<struct<g:long,band:int,blocks:int>>, grams binary")
+    return rows.select(*order).mapInPandas(work, "rep long, weight long, sig array<int>, groups array<struct<g:long,band:int,blocks:int,head:long>>, grams binary")
 
 
 def jaccard_join(

@@ -223,6 +223,34 @@ def test_chains_are_compared_by_bands(spark):
     assert groups.where("band < 0").isEmpty() and work < 380 * 380 / 3
 
 
+def test_large_groups_travel_as_differences(spark, monkeypatch):
+    """Variants of one text in many blocks, some texts in the group that are unlike its first, one very long."""
+    rng = random.Random(12)
+    base = words(rng, 400).split()
+    docs = [" ".join(base)]
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        docs.append(" ".join(w))
+    docs += [" ".join(base[k : k + 150]) for k in range(0, 250, 10)] + [" ".join(base) + " " + words(rng, 3000)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in map(str.split, docs)]
+    links = [(a, b) for a, b in combinations(range(len(docs)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    comp, n = find(len(docs), links), [0] * len(docs)
+    for a, b in links:
+        n[a], n[b] = n[a] + 1, n[b] + 1
+    tables = {}
+    write = ngramjoin.materialise
+    monkeypatch.setattr(ngramjoin, "materialise", lambda t, name: tables.setdefault(name, write(t, name)))
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngramjoin.jaccard_join(df, block=40).collect()}
+    assert got == {i: (n[i], comp[i]) for i in range(len(docs))}
+    sent = tables["blocks"].where("NOT base").groupBy("plain").agg({"size": "sum", "*": "count"}).collect()
+    assert {r.plain for r in sent} == {False, True}
+    near = tables["blocks"].where("NOT base AND NOT plain").selectExpr("sum(length(grams)) AS sent", "sum(8 * size) AS whole").first()
+    assert near.sent < near.whole / 4
+
+
 def test_common_in_portions():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(30)]
