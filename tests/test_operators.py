@@ -189,3 +189,26 @@ def test_learning(spark, tmp_path):
     got = learn.score(PipelineModel.load(str(tmp_path / "m")), df, ["pid"])
     merged = learn.merge_predictions(df, got.where("pid < 100"), ["pid"])
     assert merged.count() == 200 and merged.where("pid >= 100 AND pred <> 0").count() == 0
+
+
+def test_features_compile(spark):
+    """Normals and curvature stay below the size of a method that Java compiles (Spark falls back, slowly or with an error)."""
+    df = cloud(spark, np.random.default_rng(4).random((60, 3)))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        f = geometry.geometric_features(df.withColumns({c: F.lit(1) for c in "rgb"}), ["area"], 8, 0.5)
+        rows = geometry.feature_vector(f).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(rows) == 60 and all(len(r.features) == 9 for r in rows)
+
+
+def test_normals_of_batches(spark):
+    """The batched eigenvectors are those of the column expressions, degenerate sets included."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(50, 5, 3)) * [1.0, 0.5, 0.1]
+    m = np.concatenate([np.einsum("nij,nik->njk", a, a), np.zeros((1, 3, 3)), np.eye(3)[None], np.diag([1.0, 0, 0])[None]])
+    got = vectors.smallest_eigenvectors(*[m[:, i, j] for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))])
+    for v, s in zip(got[:50], m[:50], strict=True):
+        assert abs(abs(v @ np.linalg.eigh(s)[1][:, 0]) - 1) < 1e-9
+    assert np.isnan(got[50:]).all()
