@@ -54,24 +54,44 @@ def take_sample(points: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFr
 def farthest_points(blocks: DataFrame, block: str = "block_id", pid: str = "pid", ratio: float = 0.25, coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``(block, pid, rank)``: ceil(ratio * n) points per block, each the farthest from those before.
 
-    Starts at the smallest id; groups are blocks and thus of bounded size.
+    Starts at the smallest id.  Blocks are of bounded size; they follow each
+    other in sorted batches, and one that a batch cuts goes on to the next.
     """
     cols = list(coords)
 
-    def pick(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(pid)
-        x = df[cols].to_numpy(np.float64)
-        n = int(np.ceil(ratio * len(df)))
+    def pick(x: np.ndarray) -> np.ndarray:
+        n = int(np.ceil(ratio * len(x)))
         chosen = np.zeros(n, np.int64)
-        near = np.full(len(df), np.inf)
+        near = np.full(len(x), np.inf)
         for i in range(1, n):
             step = x - x[chosen[i - 1]]
             near = np.minimum(near, (step * step).sum(axis=1))
             chosen[i] = int(near.argmax())
-        return pd.DataFrame({block: df[block].to_numpy()[chosen], pid: df[pid].to_numpy()[chosen], "rank": np.arange(1, n + 1)})
+        return chosen
+
+    def whole(df: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+        x = df[cols].to_numpy(np.float64)
+        picked = [pick(x[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        rows = np.concatenate([i + c for i, c in zip(ends, picked, strict=False)])
+        return pd.DataFrame({block: df[block].to_numpy()[rows], pid: df[pid].to_numpy()[rows], "rank": np.concatenate([np.arange(1, len(c) + 1) for c in picked])})
+
+    def run(batches):
+        rest = None
+        for df in batches:
+            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+            if not len(df):
+                continue
+            key = df[block].to_numpy()
+            ends = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            if len(ends) > 1:
+                yield whole(df, ends)
+            rest = df.iloc[ends[-1] :]
+        if rest is not None:
+            yield whole(rest, np.array([0, len(rest)]))
 
     kinds = dict(blocks.dtypes)
-    return blocks.select(block, pid, *cols).groupBy(block).applyInPandas(pick, f"{block} {kinds[block]}, {pid} {kinds[pid]}, rank long")
+    ordered = blocks.select(block, pid, *cols).repartition(block).sortWithinPartitions(block, pid)
+    return ordered.mapInPandas(run, f"{block} {kinds[block]}, {pid} {kinds[pid]}, rank long")
 
 
 def interpolate(edges: DataFrame, coarse: DataFrame, columns: list[str], pid: str = "pid") -> DataFrame:

@@ -239,3 +239,19 @@ def test_many_small_scopes_share_a_call(spark):
     assert starts.tolist() == [0, 2, 3, 5]
     parts = knn._parts(x, 96)
     assert max(map(len, parts)) <= 96 and sorted(np.concatenate(parts).tolist()) == list(range(1200))
+
+
+def test_farthest_points_of_cut_batches(spark):
+    """Blocks that a batch cuts in two are sampled whole, and many blocks share a batch."""
+    x = np.random.default_rng(14).random((600, 3))
+    df = spark.createDataFrame([(i % 60, i, *map(float, p)) for i, p in enumerate(x)], "block_id long, pid long, x double, y double, z double")
+    calls = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = {tuple(r) for r in graph.farthest_points(df).collect()}
+    spark.conf.set(calls, "7")
+    try:
+        found = graph.farthest_points(df)
+        assert {tuple(r) for r in found.collect()} == whole
+    finally:
+        spark.conf.unset(calls)
+    assert len(whole) == 60 * 3 and {(b, b, 1) for b in range(60)} <= whole
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
