@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 PENDING = "_pending"
+#: A scan is dealt to some ``TASKS`` tasks or more, of at most ``PACK`` bytes each; opening a file counts as ``OPENING`` bytes.
+TASKS, PACK, OPENING = 256, 32 << 20, 64 << 10
 LINES = "area string, file_path string, split int, line long, value string, error string"
 _ARROW = pa.schema([("area", pa.string()), ("file_path", pa.string()), ("split", pa.int32()), ("line", pa.int64()), ("value", pa.string()), ("error", pa.string())])
 
@@ -127,23 +129,31 @@ def write_named(lines: DataFrame, path: str, name: str, order: list[str], value:
 
 
 @dataclass
-class Piece(InputPartition):
-    """A range of bytes of a file; None for the end of a file that is read whole."""
+class Run:
+    """Pieces of a file that follow each other, from number ``no`` on: a range of bytes, without an end of a file that is read whole."""
 
-    area: str
     path: str
     no: int
     begin: int
     end: int | None
 
 
+@dataclass
+class Pack(InputPartition):
+    """What one task reads."""
+
+    area: str
+    runs: list[Run]
+
+
 class CheckedText(DataSource):
     """Scan ``checked_text`` of ``<path>/<area>/**/*.txt`` and ``*.txt.gz``: lines, or an error where a file cannot be read.
 
     A line that is not UTF-8, and a file that breaks off or cannot be opened,
     give a row with ``error`` and no ``value``; the lines before it stay and
-    the job goes on.  Files are read in ranges of ``split_bytes``, compressed
-    ones whole.  Option ``areas``, a JSON list, chooses the areas that are listed.
+    the job goes on.  Lines are numbered in pieces of ``split_bytes``, compressed
+    files are one piece.  A task reads many small pieces, those of a file that follow
+    each other in one go.  Option ``areas``, a JSON list, chooses the areas that are listed.
     """
 
     @classmethod
@@ -161,63 +171,82 @@ class CheckedReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int, areas: list[str] | None):
         self.path, self.split_bytes, self.areas = path, split_bytes, areas
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pack]:
         fs, root = opened(self.path)
         areas = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.Directory and (self.areas is None or i.base_name in self.areas))
-        pieces = []
-        for area in areas:
-            for info in sorted(fs.get_file_info(pafs.FileSelector(f"{root}/{area}", recursive=True)), key=lambda i: i.path):
-                if info.type != pafs.FileType.File or not info.path.endswith((".txt", ".txt.gz")):
-                    continue
-                if info.path.endswith(".gz"):
-                    pieces.append(Piece(area, info.path, 0, 0, None))
-                else:
-                    size = info.size or 0
-                    pieces += [Piece(area, info.path, k, a, min(a + self.split_bytes, size)) for k, a in enumerate(range(0, max(size, 1), self.split_bytes))]
-        return pieces
-
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, str | None, str | None]] = []
+        found = {area: sorted((i for i in fs.get_file_info(pafs.FileSelector(f"{root}/{area}", recursive=True)) if i.type == pafs.FileType.File and i.path.endswith((".txt", ".txt.gz"))), key=lambda i: i.path) for area in areas}
+        total = sum((i.size or 0) + OPENING for infos in found.values() for i in infos)
+        most = max(self.split_bytes, min(PACK, total // TASKS)) + OPENING
+        packs = []
+        for area, infos in found.items():
+            runs, held = [], 0
+            for info in infos:
+                size, k = info.size or 0, 0
+                n = 1 if info.path.endswith(".gz") else max(1, -(-size // self.split_bytes))
+                while k < n:
+                    if runs and held + OPENING + min(size, self.split_bytes) > most:
+                        packs.append(Pack(area, runs))
+                        runs, held = [], 0
+                    some = max(1, min(n - k, (most - held - OPENING) // self.split_bytes))
+                    begin, end = k * self.split_bytes, min((k + some) * self.split_bytes, size)
+                    whole = info.path.endswith(".gz")
+                    runs.append(Run(info.path, k, begin, None if whole else end))
+                    held += OPENING + (size if whole else end - begin)
+                    k += some
+            if runs:
+                packs.append(Pack(area, runs))
+        return packs
+
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, int, str | None, str | None]] = []
 
         def batch() -> pa.RecordBatch:
-            n = len(rows)
-            columns = [[partition.area] * n, [partition.path] * n, [partition.no] * n, *([r[k] for r in rows] for k in range(3))]
+            columns = [[partition.area] * len(rows), *([r[k] for r in rows] for k in range(5))]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
-        for row in self._lines(partition):
-            rows.append(row)
-            if len(rows) >= 10_000:
-                yield batch()
-                rows = []
+        for run in partition.runs:
+            for row in self._lines(run):
+                rows.append((run.path, *row))
+                if len(rows) >= 10_000:
+                    yield batch()
+                    rows = []
         if rows:
             yield batch()
 
-    def _lines(self, piece: Piece) -> Iterator[tuple[int, str | None, str | None]]:
-        """(line within the piece, text, error): the lines that begin within the piece."""
-        no = 0
+    def _lines(self, run: Run) -> Iterator[tuple[int, int, str | None, str | None]]:
+        """(piece, line within the piece, text, error): the lines that begin within the pieces of a run."""
+        pieces = [0] if run.end is None else range(run.begin, max(run.end, run.begin + 1), self.split_bytes)
+        raw, stream, at = None, None, 0
         try:
-            fs, _ = opened(self.path)
-            with fs.open_input_file(piece.path) as raw:
-                if piece.end is None:
-                    stream = gzip.GzipFile(fileobj=raw)
-                else:
-                    raw.seek(max(piece.begin - 1, 0))
-                    stream = io.BufferedReader(raw, 1 << 20)
-                at = max(piece.begin - 1, 0)
-                if piece.begin:  # a line that began before belongs to the piece before
-                    at += len(stream.readline())
-                while piece.end is None or at < piece.end:
-                    line = stream.readline()
-                    if not line:
-                        return
-                    at += len(line)
-                    try:
-                        yield no, line.rstrip(b"\r\n").decode("utf-8"), None
-                    except UnicodeDecodeError as e:
-                        yield no, None, f"not UTF-8: {e.reason} at byte {e.start} of the line"
-                    no += 1
-        except (OSError, EOFError, pa.ArrowException) as e:  # gzip and zlib errors among them
-            yield no, None, f"{type(e).__name__}: {e}"
+            for piece, begin in enumerate(pieces, run.no):
+                end, no = None if run.end is None else min(begin + self.split_bytes, run.end), 0
+                try:
+                    if stream is None:  # at the first piece, and again after one that broke off
+                        if raw is not None:
+                            raw.close()
+                        fs, _ = opened(self.path)
+                        raw = fs.open_input_file(run.path)
+                        at = max(begin - 1, 0)
+                        raw.seek(at)
+                        stream = gzip.GzipFile(fileobj=raw) if end is None else io.BufferedReader(raw, 1 << 20)
+                        if begin:  # a line that began before belongs to the piece before
+                            at += len(stream.readline())
+                    while end is None or at < end:
+                        line = stream.readline()
+                        if not line:
+                            break
+                        at += len(line)
+                        try:
+                            yield piece, no, line.rstrip(b"\r\n").decode("utf-8"), None
+                        except UnicodeDecodeError as e:
+                            yield piece, no, None, f"not UTF-8: {e.reason} at byte {e.start} of the line"
+                        no += 1
+                except (OSError, EOFError, pa.ArrowException) as e:  # gzip and zlib errors among them
+                    stream = None
+                    yield piece, no, None, f"{type(e).__name__}: {e}"
+        finally:
+            if raw is not None and not raw.closed:
+                raw.close()
 
 
 def read_checked(spark: SparkSession, path: str, areas: list[str] | None = None, split_bytes: int = 32 << 20) -> DataFrame:

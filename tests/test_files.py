@@ -75,3 +75,28 @@ def test_areas_are_chosen_before_files_are_listed(tree):
     pieces = files.CheckedReader(tree, 1000, ["Area_2", "Area_9"]).partitions()
     assert {p.area for p in pieces} == {"Area_2"} and len(pieces) > 5
     assert {p.area for p in files.CheckedReader(tree, 1000, None).partitions()} == {"Area_1", "Area_2"}
+
+
+def test_small_pieces_share_tasks(spark, tmp_path):
+    """Many pieces are few tasks, and every line has the number and the error that it has in a piece of its own."""
+    folder = tmp_path / "data" / "Area_1" / "hall" / "Annotations"
+    folder.mkdir(parents=True)
+    lines = [("%d " % i) * (i % 7) for i in range(4000)]
+    (folder / "wall_1.txt").write_bytes("\r\n".join(lines).encode())
+    (folder / "door_1.txt").write_bytes(b"a\n\xff\nb\n" * 40)
+    root = str(tmp_path / "data")
+    packs = files.CheckedReader(root, 10, None).partitions()
+    runs = [r for p in packs for r in p.runs if r.path.endswith("wall_1.txt")]
+    size = (folder / "wall_1.txt").stat().st_size
+    assert len(packs) < 300 < size // 10 and runs[0].begin == 0 and runs[-1].end == size
+    assert all(a.end == b.begin == 10 * b.no for a, b in zip(runs, runs[1:], strict=False))
+    got = files.read_checked(spark, root, split_bytes=10).where("file_path LIKE '%wall_1.txt'").orderBy("line_no").collect()
+    assert [(r.line_no, r.value, r.error) for r in got] == [(i, v, None) for i, v in enumerate(lines)]
+    bad = files.read_checked(spark, root, split_bytes=10).where("error IS NOT NULL").collect()
+    assert sorted(r.line_no for r in bad) == list(range(1, 120, 3))
+
+
+def test_every_piece_of_a_lost_file_is_an_error(tmp_path):
+    reader = files.CheckedReader(str(tmp_path), 10, None)
+    rows = [r for b in reader.read(files.Pack("Area_1", [files.Run(str(tmp_path / "lost.txt"), 3, 30, 65)])) for r in b.to_pylist()]
+    assert [(r["split"], r["line"], r["value"]) for r in rows] == [(k, 0, None) for k in (3, 4, 5, 6)] and all("Error" in r["error"] for r in rows)
