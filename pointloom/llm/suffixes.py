@@ -17,12 +17,11 @@ What of a whole text, or a stretch, occurs in a document with a smaller key is
 covered, and none of its windows takes part any more: the document with the
 smallest key has the same windows and answers for them.
 
-Texts are packed to rows of some megabytes, in a table bucketed by the task that
-wrote it.  A pass makes the sorted digits of every pack, cut in buckets by a
+Texts are packed to rows of some megabytes, in a table bucketed by pack.  A pass makes the sorted digits of every pack, cut in buckets by a
 second fingerprint; one task per bucket merges them (a radix sort by bucket and
 digit) and answers with one bit per digit: *there is a smaller key elsewhere*,
-or *it is elsewhere at all*.  The bits are joined to the packs, which stay where
-they are.  Digits have 64 bits and are compared within a bucket only.
+or *it is elsewhere at all*.  Every pack is joined with its own bits and stays
+where it is.  Digits have 64 bits and are compared within a bucket only.
 """
 
 from __future__ import annotations
@@ -169,21 +168,24 @@ def merge(frame: pd.DataFrame) -> pd.DataFrame:
     digits = [np.cumsum(_from_planes(d, "<u8"), dtype=_U) for d in frame["digits"]]
     size = np.array([len(d) for d in digits])
     value = np.concatenate(digits)
+    del digits
     order = np.argsort(value, kind="stable")
     value = value[order]
     new = np.concatenate([[True], value[1:] != value[:-1]])
+    del value
     first = np.flatnonzero(new)
-    count = np.diff(first, append=len(value))
     if frame["keys"].iloc[0]:
         key = np.concatenate([np.frombuffer(k, np.int64)[_from_planes(w, "<u4")] for k, w in zip(frame["keys"], frame["which"], strict=True)])[order]
-        hit = key > np.repeat(np.minimum.reduceat(key, first), count)
+        hit = key > np.minimum.reduceat(key, first)[np.cumsum(new, dtype=np.int32) - 1]
+        del key
     else:
+        count = np.diff(first, append=len(order))
         hit = np.repeat(count > 1, count)
     back = np.empty(len(order), bool)
     back[order] = hit
     bits = np.split(back, np.cumsum(size)[:-1])
     some = [i for i, b in enumerate(bits) if b.any()]
-    out = frame.iloc[some][["part", "pack", "kind", "bucket"]].copy()
+    out = frame.iloc[some][["pack", "kind", "bucket"]].copy()
     out["bits"] = [np.packbits(bits[i]).tobytes() for i in some]
     return out
 
@@ -195,8 +197,8 @@ class Pack:
     not reach beyond their text.
     """
 
-    def __init__(self, keys: np.ndarray, ends: np.ndarray, data: bytes, depth: int, buckets: int):
-        self.raw, self.depth, self.buckets = data, depth, buckets
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, data: bytes, depth: int, buckets: int, few: int | None = None):
+        self.raw, self.depth, self.buckets, self.few = data, depth, buckets, few or buckets
         self.data = np.frombuffer(data + bytes(depth + GRAM), np.uint8)
         self.begins, self.ends = np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
         self.keys, self.rank = np.unique(keys, return_inverse=True)
@@ -242,7 +244,7 @@ class Pack:
             at, size = self.runs(a, b, (grams[: b - a] & CUT) == 0)
             digits.add(*_digests(grams, at, size, self.depth), self.owner(at + a))
             found.append((at + a, size))
-        return digits.sorted(self.rank, self.buckets), found
+        return digits.sorted(self.rank, self.few), found
 
     def least(self) -> tuple[Sorted, list[tuple[np.ndarray, np.ndarray]]]:
         """First digits of all suffixes; neighbours with the same one are a run: the places and sizes of the runs."""
@@ -252,7 +254,7 @@ class Pack:
             at, size = self.runs(a, b, np.concatenate([[True], v[1:] != v[:-1]]))
             digits.add(v[at], v[at] << _U(33), self.owner(at + a))
             found.append((at + a, size))
-        return digits.sorted(self.rank, self.buckets), found
+        return digits.sorted(self.rank, self.few), found
 
     def spread(self, bits: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The windows of the runs that are marked."""
@@ -308,9 +310,9 @@ class Pack:
 
 
 def packs(docs: DataFrame, text: str, key: str, pack_bytes: int) -> DataFrame:
-    """``(part, pack, keys, ends, data)``: texts end to end, some megabytes a row, bucketed by ``part``.
+    """``(pack, keys, ends, data)``: texts end to end, some megabytes a row, bucketed by the number ``pack``.
 
-    A part is what one task read.  Rows without a key are left out.
+    Rows without a key are left out.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull())
@@ -321,7 +323,7 @@ def packs(docs: DataFrame, text: str, key: str, pack_bytes: int) -> DataFrame:
 
         def row() -> pd.DataFrame:
             ends = np.cumsum([len(t) for t in texts])
-            return pd.DataFrame({"part": [part], "pack": [no], "keys": [np.array(keys, "<i8").tobytes()], "ends": [ends.astype("<i8").tobytes()], "data": [b"".join(texts)]})
+            return pd.DataFrame({"pack": [(part << 31) + no], "keys": [np.array(keys, "<i8").tobytes()], "ends": [ends.astype("<i8").tobytes()], "data": [b"".join(texts)]})
 
         part = 0
         for df in batches:
@@ -337,39 +339,38 @@ def packs(docs: DataFrame, text: str, key: str, pack_bytes: int) -> DataFrame:
             yield row()
 
     name = f"packs_{uuid.uuid4().hex}"
-    table = rows.mapInPandas(packed, "part int, pack int, keys binary, ends binary, data binary")
-    table.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = rows.mapInPandas(packed, "pack long, keys binary, ends binary, data binary")
+    table.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
-_REQUEST = "part int, pack int, kind int, bucket int, digits binary, keys binary, which binary"
+_REQUEST = "pack long, kind int, bucket int, digits binary, keys binary, which binary"
 
 
 def _asked(packed: DataFrame, name: str, make) -> DataFrame:
-    """Requests of every pack (``make`` gives the rows of one), merged and answered: (part, answers)."""
+    """Requests of every pack (``make`` gives the rows of one), merged and answered: (pack, answers)."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for r in df.itertuples(index=False):
                 out = pd.DataFrame(list(make(r)), columns=["kind", "bucket", "digits", "keys", "which"])
-                out.insert(0, "part", r.part)
-                out.insert(1, "pack", r.pack)
+                out.insert(0, "pack", r.pack)
                 if len(out):
                     yield out
 
-    answers = packed.mapInPandas(ask, _REQUEST).groupBy("kind", "bucket").applyInPandas(merge, "part int, pack int, kind int, bucket int, bits binary")
-    return materialise(answers.groupBy("part").agg(F.collect_list(F.struct("pack", "kind", "bucket", "bits")).alias("answers")), name)
+    answers = packed.mapInPandas(ask, _REQUEST).groupBy("kind", "bucket").applyInPandas(merge, "pack long, kind int, bucket int, bits binary")
+    return materialise(answers.groupBy("pack").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers")), name)
 
 
-def _pack(r, depth: int, buckets: int) -> Pack:
-    return Pack(np.frombuffer(r.keys, "<i8"), np.frombuffer(r.ends, "<i8"), r.data, depth, buckets)
+def _pack(r, depth: int, buckets: tuple[int, int]) -> Pack:
+    return Pack(np.frombuffer(r.keys, "<i8"), np.frombuffer(r.ends, "<i8"), r.data, depth, *buckets)
 
 
 def _answers(r) -> dict[tuple[int, int], bytes]:
-    return {(a["kind"], a["bucket"]): a["bits"] for a in (r.answers if r.answers is not None else []) if a["pack"] == r.pack}
+    return {(a["kind"], a["bucket"]): a["bits"] for a in (r.answers if r.answers is not None else [])}
 
 
-def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 50, pack_bytes: int = 2 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 50, pack_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``(key, n_bytes, n_removed, spans, kept)`` of every row.
 
     A byte goes when a string of ``depth`` bytes (at least 16) covers it that
@@ -380,13 +381,15 @@ def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth:
     from each other; a null key is neither smaller nor larger than another, so
     its row stays whole and removes nothing.  Other columns are left out.
     A row holds its text in one piece; digits are made a slice at a time.
+    ``bucket_bytes`` is how much text a merging task answers for at once.
     """
     if depth < GRAM:
         raise ValueError(f"depth is at least {GRAM}")
     spark = docs.sparkSession
     packed = packs(docs, text, key, pack_bytes)
     volume = packed.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // bucket_bytes))
+    # a text has a last digit per byte at most, but only some twentieth of that of the first ones
+    buckets = tuple(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // n)) for n in (bucket_bytes, 8 * bucket_bytes))
 
     def first(r) -> Iterator[dict]:
         p = _pack(r, depth, buckets)
@@ -398,8 +401,8 @@ def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth:
         yield from p.inner(p.covered(_answers(r))[1]).requests(WHOLE, p.keys)
 
     one = _asked(packed, "answers-outer", first)
-    two = _asked(packed.join(one, "part", "left"), "answers-inner", second)
-    both = one.unionByName(two).groupBy("part").agg(F.flatten(F.collect_list("answers")).alias("answers"))
+    two = _asked(packed.join(one, "pack", "left"), "answers-inner", second)
+    both = one.unionByName(two).groupBy("pack").agg(F.flatten(F.collect_list("answers")).alias("answers"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -414,7 +417,7 @@ def dedup_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", depth:
                 yield pd.DataFrame(rows, columns=["_k", "n_bytes", "n_removed", "spans", "kept"])
 
     schema = "_k long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
-    out = packed.join(evenly(both), "part", "left").mapInPandas(cut, schema)
+    out = packed.join(evenly(both), "pack", "left").mapInPandas(cut, schema)
     whole = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyless = docs.where(F.col(key).isNull()).select(F.col(key).cast("long").alias("_k"), F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), whole.alias("kept"))
     return out.unionByName(keyless).withColumnRenamed("_k", key)

@@ -88,6 +88,25 @@ def test_bytes_of_one_copied_text(spark):
     assert run_bytes(spark, docs, pack_bytes=2000, bucket_bytes=3000) == brute_bytes(docs, 50)
 
 
+def test_packs_get_their_own_answers(spark, monkeypatch):
+    """Answers go to the one pack that asked, however many packs a task has written; last digits have buckets of their own size."""
+    rng = random.Random(6)
+    docs = [(i, t) for i, t in enumerate(texts(rng, 60))]
+    rows, asked = [], suffixes._asked
+    monkeypatch.setattr(suffixes, "_asked", lambda packed, name, make: rows.append((packed, out := asked(packed, name, make))) or out)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = suffixes.dedup_bytes(df, pack_bytes=900, bucket_bytes=1000).collect()
+    assert sum(r.n_removed for r in got) == sum(r[2] for r in brute_bytes(docs, 50))
+    packs = {r.pack for r in rows[0][0].select("pack").collect()}
+    assert len(packs) > 8
+    for _, answers in rows:
+        found = answers.collect()
+        assert len(found) > 1 and len({r.pack for r in found}) == len(found) and {r.pack for r in found} <= packs
+        assert all(len({(a.kind, a.bucket) for a in r.answers}) == len(r.answers) for r in found)
+    most = {kind: max(a.bucket for _, t in rows for r in t.collect() for a in r.answers if a.kind == kind) for kind in (suffixes.LEAST, suffixes.WHOLE)}
+    assert most[suffixes.LEAST] < max(4, -(-sum(len(t.encode()) for _, t in docs) // 8000)) <= most[suffixes.WHOLE]
+
+
 def test_bytes_of_nothing(spark):
     assert run_bytes(spark, []) == []
     assert run_bytes(spark, [(None, None)]) == [(None, 0, 0, (), b"")]
