@@ -1,8 +1,9 @@
 """Training in rounds: warm starts, validation, a plateau rule and a stop that act while it runs.
 
-A round is a short gradient descent of MLlib's perceptron over the whole
-training table, started from the weights of the round before.  After each round
-both tables are scored in one pass each.  Everything the next round needs is
+A round is a short gradient descent of a perceptron over the whole training
+table, started from the weights of the round before (:mod:`.descent`).  After
+each round both tables are scored in one pass each; that of the training table
+is also the first of the next round.  Everything the next round needs is
 one row of a state table, so a run that was cut off goes on where it stopped,
 and the run log is a projection of that table.
 """
@@ -18,14 +19,14 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, log_softmax
+from ..functions.shared import release
 from ..sources.clouds import require_rows
 from ..sources.tables import exists, load_model, save_model
+from .descent import Passes, gradient_steps, packed
 
 STATE = "run string, epoch int, outcome string, train_loss double, train_acc double, val_loss double, val_acc double, learning_rate double, seconds double, weights array<double>, plateau_best double, plateau_bad int, failures int, best_epoch int, best_val_acc double"
 
@@ -80,14 +81,6 @@ def perceptron(plan: Plan, rate: float, weights: list[float], steps: int) -> Mul
     return net.setInitialWeights(Vectors.dense(weights)) if weights else net
 
 
-def losses(scored: DataFrame, label: str) -> tuple[float, float]:
-    """Mean negative log likelihood and accuracy of a scored table, in one pass; (nan, nan) without rows."""
-    raw = vector_to_array("rawPrediction")
-    rows = scored.select(F.col(label).cast("int").alias("_y"), raw.alias("_s"))
-    got = rows.agg(F.avg(-F.element_at(log_softmax(F.col("_s")), F.col("_y") + 1)), F.avg((argmax(F.col("_s")) == F.col("_y")).cast("double"))).first()
-    return tuple(math.nan if v is None else float(v) for v in got)
-
-
 def after(state: State, plan: Plan, outcome: str, weights: list[float], metrics: tuple[float, float, float, float], seconds: float) -> State:
     """The state after a round.
 
@@ -148,12 +141,17 @@ def train(train_rows: DataFrame, val_rows: DataFrame, plan: Plan, path: str, run
     scaler = load_model(f"{path}/scaler")
     fit_on, check_on = (scaler.transform(rows).select("_x", plan.label) for rows in (train_rows, val_rows))
     few = fit_on.limit(1)
+    last = read_states(spark, path).orderBy(F.desc("epoch")).first()
+    state = State(**last.asDict()) if last else State(run, learning_rate=plan.learning_rate)
+    if state.epoch >= plan.epochs or state.failures >= plan.max_failures:
+        return state
+    packs = [packed(rows, "_x", plan.label, plan.n_classes) for rows in (fit_on, check_on)]
+    fit, check = (Passes(table, plan.layers, slope) for table, slope in zip(packs, (True, False), strict=True))
 
     def default(rows: DataFrame, state: State) -> list[float]:
-        return perceptron(plan, state.learning_rate, state.weights, plan.steps).fit(rows).weights.toArray().tolist()
+        weights = state.weights or perceptron(plan, state.learning_rate, [], 0).fit(few).weights.toArray()
+        return gradient_steps(fit, np.asarray(weights), state.learning_rate, plan.steps).tolist()
 
-    last = read_states(spark, path).orderBy(F.desc("epoch")).first()
-    state = State(**last.asDict()) if last else State(run, learning_rate=plan.learning_rate)
     while state.epoch < plan.epochs and state.failures < plan.max_failures:
         began, before = time.time(), state
         outcome, weights, metrics = "unstable", state.weights, (math.nan,) * 4
@@ -163,8 +161,7 @@ def train(train_rows: DataFrame, val_rows: DataFrame, plan: Plan, path: str, run
             print(f"round {state.epoch + 1} failed: {error}")
             outcome = "failed"
         if outcome != "failed" and np.isfinite(weights).all():
-            model = perceptron(plan, state.learning_rate, weights, 0).fit(few)
-            metrics = (*losses(model.transform(fit_on), plan.label), *losses(model.transform(check_on), plan.label))
+            metrics = tuple(v for seen in (fit.at(np.asarray(weights)), check.at(np.asarray(weights))) for v in (seen.loss, seen.accuracy))
             outcome = "ok" if all(map(math.isfinite, metrics)) else "unstable"
         state = after(state, plan, outcome, weights, metrics, time.time() - began)
         if state.best_epoch > before.best_epoch:
@@ -172,4 +169,5 @@ def train(train_rows: DataFrame, val_rows: DataFrame, plan: Plan, path: str, run
             save_model(PipelineModel(stages=[*scaler.stages, net]), f"{path}/best")
         row = spark.createDataFrame([tuple(asdict(state).values())], STATE)
         row.coalesce(1).write.mode("overwrite").parquet(f"{path}/states/epoch={state.epoch:05}")
+    release(*packs)
     return state

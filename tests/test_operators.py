@@ -290,3 +290,29 @@ def test_farthest_points_of_cut_batches(spark):
         spark.conf.unset(calls)
     assert len(whole) == 60 * 3 and {(b, b, 1) for b in range(60)} <= whole
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_expressions_that_java_translates(spark):
+    """Places on the curve and curvatures: right, and in methods below the 8,000 bytes beyond which Java leaves them interpreted."""
+    import re
+
+    x = np.random.default_rng(15).random((200, 3))
+    df = spark.createDataFrame([(i, "A", *map(float, p)) for i, p in enumerate(x)], "pid long, area string, x double, y double, z double")
+    spread = lambda c: sum(((int(c) >> i) & 1) << (3 * i) for i in range(orient.BITS))
+    cells = np.floor((x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0)).max() * ((1 << orient.BITS) - 1))
+    curve = orient._curve(df, ["area"], ["x", "y", "z"])
+    assert {r.pid: r["_at"] for r in curve.collect()} == {i: sum(spread(c) << k for k, c in enumerate(cell)) for i, cell in enumerate(cells)}
+    m = df.select("pid", F.when(F.col("pid") % 3 == 0, 2).otherwise(20).alias("n"), *[F.when(F.col("pid") != 7, F.col(c) * f).alias(name) for name, c, f in zip(geometry.PAIRS, "xyzxyz", (3, 4, 5, 1, 1, 1), strict=True)])
+    curved = geometry.with_curvature(m)
+    low, _, _ = vectors.eigenvalues(*[F.col(c) for c in geometry.PAIRS])
+    exp = {r.pid: None if r.low is None else 0.0 if r.n == 2 else max(r.low, 0.0) / (r.xx + r.yy + r.zz + 1e-9) for r in m.withColumn("low", low).collect()}
+    got = {r.pid: r.curvature for r in curved.collect()}
+    assert got[7] is None and all(exp[i] is None if v is None else abs(v - exp[i]) < 1e-9 for i, v in got.items())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (curve, curved):
+            said = spark._jvm.PythonSQLUtils.explainString(out.select("*")._jdf.queryExecution(), "codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+            assert sizes and max(sizes) < 8000, sizes
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
