@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,35 @@ def take_sample(points: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFr
     return points.join(chosen.select(*keys), keys, "left_semi")
 
 
+def _farthest(x: np.ndarray, ratio: float) -> np.ndarray:
+    """Row numbers of ceil(ratio * n) points, each the farthest from those before, from the first row on."""
+    n = int(np.ceil(ratio * len(x)))
+    chosen = np.zeros(n, np.int64)
+    near = np.full(len(x), np.inf)
+    for i in range(1, n):
+        step = x - x[chosen[i - 1]]
+        near = np.minimum(near, (step * step).sum(axis=1))
+        chosen[i] = int(near.argmax())
+    return chosen
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], block: str, make: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted batches: ``make`` of rows and the places where blocks begin and end; a block that batches cut is put together."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        if not len(t):
+            continue
+        key = t.column(block).to_numpy()
+        ends = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        if len(ends) > 1:
+            yield make(t.slice(0, ends[-1]), ends)
+        rest = t.slice(ends[-1])
+    if rest is not None:
+        yield make(rest, np.array([0, len(rest)]))
+
+
 def farthest_points(blocks: DataFrame, block: str = "block_id", pid: str = "pid", ratio: float = 0.25, coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``(block, pid, rank)``: ceil(ratio * n) points per block, each the farthest from those before.
 
@@ -59,19 +91,9 @@ def farthest_points(blocks: DataFrame, block: str = "block_id", pid: str = "pid"
     """
     cols = list(coords)
 
-    def pick(x: np.ndarray) -> np.ndarray:
-        n = int(np.ceil(ratio * len(x)))
-        chosen = np.zeros(n, np.int64)
-        near = np.full(len(x), np.inf)
-        for i in range(1, n):
-            step = x - x[chosen[i - 1]]
-            near = np.minimum(near, (step * step).sum(axis=1))
-            chosen[i] = int(near.argmax())
-        return chosen
-
     def whole(df: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
         x = df[cols].to_numpy(np.float64)
-        picked = [pick(x[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        picked = [_farthest(x[i:j], ratio) for i, j in zip(ends, ends[1:], strict=False)]
         rows = np.concatenate([i + c for i, c in zip(ends, picked, strict=False)])
         return pd.DataFrame({block: df[block].to_numpy()[rows], pid: df[pid].to_numpy()[rows], "rank": np.concatenate([np.arange(1, len(c) + 1) for c in picked])})
 
@@ -143,34 +165,53 @@ def chained_samples(blocks: DataFrame, levels: int = 3, block: str = "block_id",
     return found
 
 
-def encode_decode(points: DataFrame, columns: list[str], scope: list[str], samples: DataFrame, levels: int = 3, k: int = 20, k_up: int = 3, pid: str = "pid") -> DataFrame:
-    """``(pid, features array)``: the way down the levels and up again, with what each level adds.
+def _levels(x: np.ndarray, values: np.ndarray, levels: int, k: int, k_up: int, ratio: float) -> np.ndarray:
+    """Features of the points of a block, which come in the order of their ids."""
 
-    On the way down every level takes, next to its values, the neighbour maxima
-    of its k nearest; its chosen points go on to the next level.  On the way up
-    the values of a level are interpolated to the finer one from the ``k_up``
-    nearest and set beside that level's own.  ``samples`` comes from
-    :func:`chained_samples`; ids are unique.  A level is indexed once for both
-    of its joins.
-    """
-    down, names = [], list(columns)
-    values = points.select(pid, *scope, "x", "y", "z", *[F.col(c).cast("double").alias(c) for c in columns])
+    def nearest(d: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(d, axis=1, kind="stable")[:, :n]  # equal distances in order of ids
+
+    at, down = np.arange(len(x)), []
     for i in range(levels + 1):
         if i:
-            chosen = samples.where(F.col("level") == i).select(pid)
-            values = values.join(chosen, pid, "left_semi")
-        at = knn.index(values, scope, pid)
-        most = neighbour_max(knn_join(values, at, k, scope, pid, include_self=False), values, names, pid)
-        fresh = [f"d{i}_{j}" for j in range(len(names))]
-        most = most.select(pid, *[F.col(f"max_{c}").cast("double").alias(f) for c, f in zip(names, fresh, strict=True)])
-        full = written(values.join(most, pid), f"level{i}")
-        down.append((full, at, [*names, *fresh]))
-        names, values = [*names, *fresh], full
-    up, coarse, held = down.pop()
-    for full, finer, own in reversed(down):
-        lifted = interpolate(knn_join(full, coarse, k_up, scope, pid), up, held, pid)
-        coarse = finer
-        lifted = lifted.select(pid, *[F.col(c).alias(f"u_{c}") for c in held])
-        held = [*own, *[f"u_{c}" for c in held]]
-        up = written(full.join(lifted, pid), "decoded")
-    return up.select(pid, F.array(*held).alias("features"))
+            keep = np.sort(_farthest(x[at], ratio))
+            at, values = at[keep], values[keep]
+        step = x[at][:, None] - x[at][None]
+        d = (step * step).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        near = nearest(d, min(k, len(at) - 1))
+        most = values[near].max(axis=1) - values if near.shape[1] else np.zeros_like(values)
+        values = np.hstack([values, most])
+        down.append((at, values))
+    at, up = down.pop()
+    for fine, own in reversed(down):
+        step = x[fine][:, None] - x[at][None]
+        d = (step * step).sum(axis=2)
+        near = nearest(d, k_up)
+        w = 1 / np.maximum(np.take_along_axis(d, near, axis=1), 1e-16)
+        up = np.hstack([own, (w[:, :, None] * up[near]).sum(axis=1) / w.sum(axis=1)[:, None]])
+        at = fine
+    return up
+
+
+def encode_decode(blocks: DataFrame, columns: list[str], block: str = "block_id", levels: int = 3, k: int = 20, k_up: int = 3, pid: str = "pid", ratio: float = 0.25, coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """``(pid, features array)``: the way down the levels of every block and up again, with what each level adds.
+
+    The levels are those of :func:`chained_samples`.  On the way down every
+    level takes, next to its values, the neighbour maxima of its k nearest; its
+    chosen points go on to the next level.  On the way up the values of a level
+    are interpolated to the finer one from the ``k_up`` nearest and set beside
+    that level's own.  Blocks are of bounded size and coordinates finite: a
+    block is worked on as a whole, so nothing but its points is moved or written.
+    """
+    cols = [*coords, *columns]
+
+    def make(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        all_ = np.stack([t.column(c).to_numpy() for c in cols], axis=1)
+        x, values = all_[:, : len(coords)], all_[:, len(coords) :]
+        made = np.concatenate([_levels(x[i:j], values[i:j], levels, k, k_up, ratio) for i, j in zip(ends, ends[1:], strict=False)])
+        lists = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1], made.ravel())
+        return pa.RecordBatch.from_pydict({pid: t.column(pid).combine_chunks(), "features": lists})
+
+    ordered = blocks.select(block, pid, *[F.col(c).cast("double").alias(c) for c in cols]).repartition(block).sortWithinPartitions(block, pid)
+    return ordered.mapInArrow(lambda batches: _whole_blocks(batches, block, make), f"{pid} {dict(blocks.dtypes)[pid]}, features array<double>")

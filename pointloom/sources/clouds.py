@@ -105,7 +105,9 @@ def dense_index_ranged(df: DataFrame, scope: list[str], order: list[str], name:
     parts = written(parts.withColumn("_part", F.shiftright("_id", 33)), "ranged")
     before = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = parts.groupBy("_part", *scope).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
-    shift = shift.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    shift = written(shift.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first"), "shift")
+    if shift.count() <= 100_000:  # so that the rows stay where they are
+        shift = F.broadcast(shift)
     return parts.join(shift, ["_part", *scope]).withColumn(name, F.col("_base") + F.col("_id")).drop("_part", "_id", "_base")
 
 

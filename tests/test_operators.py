@@ -316,3 +316,22 @@ def test_expressions_that_java_translates(spark):
             assert sizes and max(sizes) < 8000, sizes
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_levels_move_only_points(spark, monkeypatch):
+    """The levels of cut batches are those of whole ones, also in blocks of one to five points, and no table is written for them."""
+    x = np.random.default_rng(16).random((400, 3))
+    size = [1, 2, 3, 5, 64]
+    block = np.repeat(np.arange(30), [size[i % 5] for i in range(30)])[:400]
+    df = spark.createDataFrame([(int(b), i, *map(float, p), i % 7) for i, (b, p) in enumerate(zip(block, x))], "block_id long, pid long, x double, y double, z double, r int")
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or df)
+    monkeypatch.setattr(knn, "written", lambda df, name: tables.append(name) or df)
+    whole = {r.pid: list(r.features) for r in graph.encode_decode(df, ["r"], k=4).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        cut = {r.pid: list(r.features) for r in graph.encode_decode(df, ["r"], k=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not tables and whole == cut and len(whole) == len(block) and {len(v) for v in whole.values()} == {2 + 4 + 8 + 16}
+    assert whole[0] == [0.0] * 30  # a block of one point with value 0
