@@ -1,4 +1,4 @@
-"""Loss, accuracy and gradient of a perceptron over a whole table, one pass a call, and descents on them.
+"""Loss, accuracy and gradient of a perceptron over a whole table, one pass a call, and a descent on them.
 
 The table is packed once: a row holds some thousands of points as two arrays of
 bytes, scaled features and labels.  A pass multiplies matrices in tasks and
@@ -8,7 +8,7 @@ their order in the flat weights and the loss are those of MLlib's perceptron.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,42 +134,3 @@ def gradient_steps(passes: Passes, w: np.ndarray, rate: float, steps: int) -> np
     for _ in range(steps):
         w = w - rate * passes.at(w).gradient
     return w
-
-
-def lbfgs(at: Callable[[np.ndarray], Seen], w: np.ndarray, steps: int, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
-    """Limited-memory quasi-Newton steps with a line search for the Wolfe conditions.
-
-    It ends after ``steps``, or when loss or gradient hardly change.
-    """
-    seen, pairs = at(w), []
-    for k in range(steps):
-        d, rest = -seen.gradient, []
-        for s, y, r in reversed(pairs):
-            a = r * (s @ d)
-            rest.append(a)
-            d = d - a * y
-        if pairs:
-            s, y, _ = pairs[-1]
-            d = d * ((s @ y) / (y @ y))
-        for (s, y, r), a in zip(pairs, reversed(rest), strict=True):
-            d = d + (a - r * (y @ d)) * s
-        fall = seen.gradient @ d
-        step, low, high = (1.0 if pairs else 1 / max(1.0, float(np.linalg.norm(d)))), 0.0, np.inf
-        for _ in range(20):
-            new = at(w + step * d)
-            if not new.loss <= seen.loss + 1e-4 * step * fall:
-                high = step
-            elif new.gradient @ d < 0.9 * fall:
-                low = step
-            else:
-                break
-            step = (low + high) / 2 if np.isfinite(high) else 2 * step
-        if not new.loss <= seen.loss:
-            return w
-        moved, turned = step * d, new.gradient - seen.gradient
-        if moved @ turned > 1e-12 * (turned @ turned):
-            pairs = [*pairs, (moved, turned, 1 / (moved @ turned))][-memory:]
-        w, change, seen = w + moved, seen.loss - new.loss, new
-        if change <= tolerance * max(abs(seen.loss), tolerance) or np.linalg.norm(seen.gradient) <= tolerance * max(1.0, abs(seen.loss)):
-            break
-    return w
