@@ -62,12 +62,14 @@ def rate_changes(log: DataFrame, column: str = "learning_rate") -> DataFrame:
 
 
 def failure_runs(log: DataFrame, limit: int = 3) -> DataFrame:
-    """Islands of consecutive failed epochs (both training metrics zero) and the stop epoch.
+    """Islands of consecutive failed epochs and the stop epoch.
+
+    Failed is what column ``outcome`` says, or both training metrics zero in a log without it.
 
     ``stop_epoch`` is where the run would end: the epoch that completes the
     first island of at least ``limit``.
     """
-    failed = log.where((F.col("train_loss") == 0) & (F.col("train_acc") == 0))
+    failed = log.where(F.col("outcome") == "failed" if "outcome" in log.columns else (F.col("train_loss") == 0) & (F.col("train_acc") == 0))
     island = F.col("epoch") - F.row_number().over(Window.partitionBy("run").orderBy("epoch"))
     out = failed.withColumn("_i", island).groupBy("run", "_i").agg(F.min("epoch").alias("first_epoch"), F.count("*").alias("length")).drop("_i")
     stop = F.when(F.col("length") >= limit, F.col("first_epoch") + limit - 1)

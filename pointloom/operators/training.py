@@ -28,7 +28,7 @@ from ..sources.clouds import require_rows
 from ..sources.tables import exists, load_model, save_model
 from .descent import Passes, gradient_steps, packed
 
-STATE = "run string, epoch int, outcome string, train_loss double, train_acc double, val_loss double, val_acc double, learning_rate double, seconds double, weights array<double>, plateau_best double, plateau_bad int, failures int, best_epoch int, best_val_acc double"
+STATE = "run string, epoch int, outcome string, train_loss double, train_acc double, val_loss double, val_acc double, learning_rate double, seconds double, weights array<double>, plateau_best double, plateau_bad int, failures int, best_epoch int, best_val_acc double, error string"
 
 
 @dataclass
@@ -50,6 +50,7 @@ class State:
     failures: int = 0
     best_epoch: int = 0
     best_val_acc: float = 0.0
+    error: str | None = None
 
 
 @dataclass(frozen=True)
@@ -81,21 +82,17 @@ def perceptron(plan: Plan, rate: float, weights: list[float], steps: int) -> Mul
     return net.setInitialWeights(Vectors.dense(weights)) if weights else net
 
 
-def after(state: State, plan: Plan, outcome: str, weights: list[float], metrics: tuple[float, float, float, float], seconds: float) -> State:
+def after(state: State, plan: Plan, outcome: str, weights: list[float], metrics: tuple[float, float, float, float], seconds: float, error: str | None = None) -> State:
     """The state after a round.
 
-    A failed round (an error) counts towards the stop and is logged with zero
-    training metrics; a round with a metric that is not finite is skipped.
-    Both leave weights and rate as they were.  A good round moves the plateau
+    A failed round (an error) counts towards the stop; a round with a metric
+    that is not finite is skipped.  Both have no metrics and leave weights and
+    rate as they were.  A good round moves the plateau
     rule by its validation loss and the best epoch by its accuracy.
     """
-    out = State(**asdict(state) | {"epoch": state.epoch + 1, "outcome": outcome, "seconds": seconds})
-    if outcome == "failed":
-        out.train_loss, out.train_acc, out.val_loss, out.val_acc = 0.0, 0.0, None, None
-        out.failures = state.failures + 1
-        return out
-    out.failures = 0
-    if outcome == "unstable":
+    out = State(**asdict(state) | {"epoch": state.epoch + 1, "outcome": outcome, "seconds": seconds, "error": error})
+    out.failures = state.failures + 1 if outcome == "failed" else 0
+    if outcome != "ok":
         out.train_loss = out.train_acc = out.val_loss = out.val_acc = None
         return out
     out.train_loss, out.train_acc, out.val_loss, out.val_acc = metrics
@@ -117,9 +114,8 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """The run log: logged rounds with their metrics and the rate after each; skipped rounds are left out."""
-    rows = read_states(spark, path).where("outcome <> 'unstable'")
-    return rows.select("run", "epoch", "train_loss", "train_acc", "val_loss", "val_acc", "learning_rate", "seconds")
+    """The run log: all rounds with the rate after each; only those whose ``outcome`` is 'ok' have metrics."""
+    return read_states(spark, path).select("run", "epoch", "train_loss", "train_acc", "val_loss", "val_acc", "learning_rate", "seconds", "outcome", "error")
 
 
 def train(train_rows: DataFrame, val_rows: DataFrame, plan: Plan, path: str, run: str = "run", descend: Callable[[DataFrame, State], list[float]] | None = None) -> State:
@@ -154,16 +150,15 @@ def train(train_rows: DataFrame, val_rows: DataFrame, plan: Plan, path: str, run
 
     while state.epoch < plan.epochs and state.failures < plan.max_failures:
         began, before = time.time(), state
-        outcome, weights, metrics = "unstable", state.weights, (math.nan,) * 4
+        outcome, weights, metrics, said = "unstable", state.weights, (math.nan,) * 4, None
         try:
             weights = (descend or default)(fit_on, state)
         except Exception as error:  # a descent that fails is an outcome; several in a row end the run
-            print(f"round {state.epoch + 1} failed: {error}")
-            outcome = "failed"
+            outcome, said = "failed", f"{type(error).__name__}: {error}"
         if outcome != "failed" and np.isfinite(weights).all():
             metrics = tuple(v for seen in (fit.at(np.asarray(weights)), check.at(np.asarray(weights))) for v in (seen.loss, seen.accuracy))
             outcome = "ok" if all(map(math.isfinite, metrics)) else "unstable"
-        state = after(state, plan, outcome, weights, metrics, time.time() - began)
+        state = after(state, plan, outcome, weights, metrics, time.time() - began, said)
         if state.best_epoch > before.best_epoch:
             net = perceptron(plan, state.learning_rate, state.weights, 0).fit(few)
             save_model(PipelineModel(stages=[*scaler.stages, net]), f"{path}/best")

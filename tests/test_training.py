@@ -98,3 +98,55 @@ def test_failures_stop_a_run(spark, rows, tmp_path):
     assert training.train(*rows, plan(epochs=20), path, "r", sometimes).epoch == 8
     with pytest.raises(ValueError, match="no training rows"):
         training.train(rows[0].limit(0), rows[1], plan(), str(tmp_path / "none"))
+
+
+def test_a_failure_is_no_result(spark, rows, tmp_path, monkeypatch):
+    """Failed and skipped rounds are told by their outcome and have no metrics; a query whose run stopped for failures fails."""
+    path = str(tmp_path / "marked")
+    turns = iter(["ok", "boom", "nan", "boom", "boom", "boom"])
+
+    def sometimes(df, state):
+        turn = next(turns)
+        if turn == "boom":
+            raise RuntimeError("no luck")
+        return [math.nan] if turn == "nan" else [0.01] * 38
+
+    last = training.train(*rows, plan(epochs=20), path, "r", sometimes)
+    log = log_of(spark, path)
+    assert [r["outcome"] for r in log] == ["ok", "failed", "unstable", "failed", "failed", "failed"] and last.error == "RuntimeError: no luck"
+    assert [r["error"] for r in log] == [None, "RuntimeError: no luck", None, *["RuntimeError: no luck"] * 3]
+    assert all((r["outcome"] == "ok") == (r[c] is not None) for r in log for c in ("train_loss", "train_acc", "val_loss", "val_acc"))
+    assert [(r.first_epoch, r.length, r.stop_epoch) for r in runlog.failure_runs(training.run_log(spark, path)).orderBy("first_epoch").collect()] == [(2, 1, 6), (4, 3, 6)]
+    from pointloom.plans import registry
+
+    points = rows[0].select("pid", *[F.col(c).alias(n) for c, n in zip("abc", registry.NINE)], *[F.lit(0.5).alias(n) for n in registry.NINE[3:]], "label")
+    monkeypatch.setattr(registry, "_learnable", lambda *a: points)
+
+    def breaks(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(training, "gradient_steps", breaks)
+    with pytest.raises(RuntimeError, match="stopped after 3 failed rounds: RuntimeError: lost"):
+        registry.train_run_log(spark, "unused")
+
+
+def test_passes_equal_mllib(spark, rows):
+    """Loss, accuracy and gradient of the packed passes: by MLlib's model and by differences."""
+    from pyspark.ml.functions import vector_to_array
+
+    from pointloom.operators import descent
+
+    df = rows[0].repartition(3)
+    theirs = learn.pipeline(["a", "b", "c"], 3, "mlp", max_iter=20, hidden=5).fit(df)
+    w = theirs.stages[-1].weights.toArray()
+    scored = theirs.transform(df).select("label", "prediction", vector_to_array("probability").alias("p")).collect()
+    passes = descent.Passes(descent.packed(theirs.transform(df).drop("prediction", "probability", "rawPrediction"), "_x", "label", 3), [3, 5, 3])
+    got = passes.at(w)
+    assert got.n == 300 and abs(got.loss + np.mean([math.log(r.p[int(r.label)]) for r in scored])) < 1e-9
+    assert abs(got.accuracy - np.mean([r.prediction == r.label for r in scored])) < 1e-12
+    for i in (0, 16, 21, 37):
+        step = np.eye(38)[i] * 1e-5
+        slope = (passes.at(w + step).loss - passes.at(w - step).loss) / 2e-5
+        assert abs(slope - got.gradient[i]) < 1e-6
+    with pytest.raises(Exception, match="a label is none of 0 to 1"):
+        descent.packed(theirs.transform(df), "_x", "label", 2)
